@@ -99,21 +99,18 @@ def _codes_index(codes: list) -> dict:
     return {c: np.asarray(r) for c, r in index.items()}
 
 
-def _scan(queries: DataFrame, pool: DataFrame, k: int, query_id: str, pool_id: str,
+def _scan(block: pa.Table, pool: DataFrame, k: int, key_field: T.StructField, pool_id: str,
           query_vec: str, pool_vec: str, metric: str, carry: Sequence[str],
           codes: str | None) -> DataFrame:
     """One pass over the pool for one bounded query block."""
-    cols = [query_id, query_vec] + ([codes] if codes else [])
-    block = queries.select(*cols).limit(2 * QUERY_BLOCK_ROWS + 1).toArrow()
-    if block.num_rows > 2 * QUERY_BLOCK_ROWS:
-        raise ValueError("a query block exceeds its bound")
+    query_id = key_field.name
     sc = pool.sparkSession.sparkContext
     payload = sc.broadcast({
         "vec": _matrix(block[query_vec].combine_chunks()),
         "codes": _codes_index(block[codes].to_pylist()) if codes else None})
     keys = sc.broadcast(block[query_id].combine_chunks())
     kept = [pool_id, *[c for c in carry if c != pool_id]]
-    schema = T.StructType([queries.schema[query_id], *[pool.schema[c] for c in kept],
+    schema = T.StructType([key_field, *[pool.schema[c] for c in kept],
                            T.StructField("dist", T.DoubleType())])
 
     def scan(batches):
@@ -159,6 +156,17 @@ def _scan(queries: DataFrame, pool: DataFrame, k: int, query_id: str, pool_id: s
     return pool.select(*needed).mapInArrow(scan, schema)
 
 
+def _blocks(queries: DataFrame, query_id: str, size: int):
+    """Query blocks by key hash, on average half full so that none exceeds ``size``."""
+    n = math.ceil(2 * queries.count() / size)
+    slot = F.pmod(F.xxhash64(query_id), F.lit(n))
+    for b in range(n):
+        block = queries.where(slot == b).limit(size + 1).toArrow()
+        if block.num_rows > size:
+            raise ValueError("query keys are not unique enough to be spread over blocks")
+        yield block
+
+
 def knn_join(queries: DataFrame, pool: DataFrame, k: int, *, query_id: str = "query_id",
              pool_id: str = "vec_id", query_vec: str = "query_vec", pool_vec: str = "embedding",
              metric: str = "l2", normalize: bool = False, carry: Sequence[str] = (),
@@ -175,16 +183,15 @@ def knn_join(queries: DataFrame, pool: DataFrame, k: int, *, query_id: str = "qu
     if normalize:
         queries = queries.withColumn(query_vec, unit(query_vec))
         pool = pool.withColumn(pool_vec, unit(pool_vec))
-    wanted = [query_id, query_vec] + ([codes] if codes else [])
-    queries = durable(queries.select(*wanted), "queries")
-    blocks = math.ceil(queries.count() / max(1, min(QUERY_BLOCK_ROWS, TASK_HITS // k)))
-    args = (k, query_id, pool_id, query_vec, pool_vec, metric, carry, codes)
-    if blocks <= 1:
-        hits = _scan(queries, pool, *args)
+    queries = queries.select(query_id, query_vec, *([codes] if codes else []))
+    args = (k, queries.schema[query_id], pool_id, query_vec, pool_vec, metric, carry, codes)
+    size = max(1, min(QUERY_BLOCK_ROWS, TASK_HITS // k))
+    block = queries.limit(size + 1).toArrow()
+    if block.num_rows <= size:
+        hits = _scan(block, pool, *args)
     else:
-        slot = F.pmod(F.xxhash64(query_id), F.lit(blocks))
         hits = reduce(DataFrame.unionByName,
-                      [_scan(queries.where(slot == b), pool, *args) for b in range(blocks)])
+                      [_scan(b, pool, *args) for b in _blocks(durable(queries, "queries"), query_id, size)])
     return top_per_group(hits, [query_id], ["dist", pool_id], k, rank_name)
 
 

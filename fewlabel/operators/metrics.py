@@ -28,13 +28,13 @@ def confusion_counts(df: DataFrame, label: str = "label", pred: str = "pred",
 def per_class(df: DataFrame, label: str = "label", pred: str = "pred", by: Sequence[str] = ()) -> DataFrame:
     """Support, precision, recall and F1 of every class seen as label or prediction."""
     by = list(by)
-    cells = df.groupBy(*by, label, pred).agg(F.count(F.lit(1)).alias("n"))
-    hit = F.when(F.col(label) == F.col(pred), F.col("n")).otherwise(F.lit(0))
+    cells = df.groupBy(*by, label, pred).agg(F.count(F.lit(1)).alias("_cell"))
+    hit = F.when(F.col(label) == F.col(pred), F.col("_cell")).otherwise(F.lit(0))
     sides = F.array(
-        F.struct(F.col(label).cast("int").alias("cls"), F.col("n").alias("support"),
+        F.struct(F.col(label).cast("int").alias("cls"), F.col("_cell").alias("support"),
                  F.lit(0).cast("long").alias("predicted"), hit.cast("long").alias("tp")),
         F.struct(F.col(pred).cast("int").alias("cls"), F.lit(0).cast("long").alias("support"),
-                 F.col("n").alias("predicted"), F.lit(0).cast("long").alias("tp")))
+                 F.col("_cell").alias("predicted"), F.lit(0).cast("long").alias("tp")))
     sums = (cells.select(*by, F.inline(sides)).groupBy(*by, "cls")
             .agg(*[F.sum(c).alias(c) for c in ("support", "predicted", "tp")]))
     precision, recall = _ratio(F.col("tp"), F.col("predicted")), _ratio(F.col("tp"), F.col("support"))

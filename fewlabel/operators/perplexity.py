@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fewlabel.functions.signals import words
 from fewlabel.operators.joins import lookup
+from fewlabel.session import durable
 
 START = "<s>"
 
@@ -23,9 +24,10 @@ def bigrams(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def bigram_model(counts: DataFrame, add_k: float = 1.0) -> DataFrame:
     """(prev, word, log_p, n_texts) with add-k smoothing."""
-    pair = counts.groupBy("prev", "word").agg(F.sum("n").alias("c"), F.count(F.lit(1)).alias("n_texts"))
+    pair = durable(counts.groupBy("prev", "word")
+                   .agg(F.sum("n").alias("c"), F.count(F.lit(1)).alias("n_texts")), "pairs")
     prev = pair.groupBy("prev").agg(F.sum("c").alias("c_prev"), F.count(F.lit(1)).alias("n_pairs"))
-    vocabulary = counts.select("word").distinct().agg(F.count(F.lit(1)).alias("v"))
+    vocabulary = pair.select("word").distinct().agg(F.count(F.lit(1)).alias("v"))
     joined = lookup(pair, prev, ["prev"], "n_pairs").withColumn("v", vocabulary.scalar())
     p = (F.col("c") + F.lit(float(add_k))) / (F.col("c_prev") + F.lit(float(add_k)) * F.col("v"))
     return joined.select("prev", "word", F.log(p).alias("log_p"), "n_texts")
@@ -33,8 +35,8 @@ def bigram_model(counts: DataFrame, add_k: float = 1.0) -> DataFrame:
 
 def perplexity(df: DataFrame, key: str, text: str, add_k: float = 1.0) -> DataFrame:
     """(key, perplexity) of every row; a blank text has infinite perplexity."""
-    counts = bigrams(df, key, text)
-    model = bigram_model(counts, add_k)
+    counts = durable(bigrams(df, key, text), "bigrams")
+    model = durable(bigram_model(counts, add_k), "bigram-model")
     scored = lookup(counts, model, ["prev", "word"], "n_texts")
     value = (scored.groupBy(key)
              .agg(F.exp(-F.sum(F.col("n") * F.col("log_p")) / F.sum("n")).alias("perplexity")))

@@ -130,7 +130,7 @@ def render(variant: Column, text: Column, lang: Column, key: Column, examples: C
         return reduce(lambda acc, kv: F.replace(acc, F.lit(kv[0]), kv[1]), fills, piece)
 
     pieces = F.transform(F.split(table[variant], r"\{text\}"), fill)
-    prompt = F.array_join(pieces, text)
+    prompt = F.call_function("array_join", pieces, text)
     if examples is None:
         needs = F.contains(variant, F.lit("few_shot"))
         return F.when(needs, F.raise_error(F.lit("few-shot variants need examples"))).otherwise(prompt)

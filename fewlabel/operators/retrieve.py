@@ -82,14 +82,17 @@ def retrieve_multi(queries: DataFrame, pool: DataFrame, num_retrieved: int, k: i
     k = k or candidate_depth(num_retrieved, n_queries)
     order = ["query_id", "rank"] if policy == "query_major" else ["dist", "query_id", "rank"]
     signals = [c for c in ("uncertainty", "margin", "perplexity") if weights.get(c)]
-    pool_size = pool.count() if deepen else None
+    pool_size = None
     for _ in range(MAX_ROUNDS if deepen else 1):
         hits = durable(knn_join(queries, pool, k, pool_id=pool_id, metric=metric, normalize=normalize,
                                 carry=["lang", "source", "label", *signals]), "hits")
         scaled = min_max(hits, {"dist_norm": "dist"})
         full = attach(scaled, pool, pool_id, ["text"], n_queries * k)
         unique = durable(dedup_two_stage(full, ["source", pool_id], "text", order), "unique")
-        if not deepen or k >= pool_size or unique.count() >= 2 * num_retrieved:
+        if not deepen or unique.count() >= 2 * num_retrieved:
+            break
+        pool_size = pool.count() if pool_size is None else pool_size
+        if k >= pool_size:
             break
         k *= 2
     rows = best_rows(unique, 3 * num_retrieved, order)
@@ -99,7 +102,7 @@ def retrieve_multi(queries: DataFrame, pool: DataFrame, num_retrieved: int, k: i
     if mmr_threshold is not None:
         rows = mmr(rows.withColumn("_all", F.lit(0)), ["_all"], "embedding", "dist_norm", pool_id,
                    threshold=mmr_threshold, min_remained=num_retrieved, lambda_param=lambda_param).drop("_all")
-    rows = durable(_rescore(rows, weights).drop("embedding"), "scored")
+    rows = _rescore(rows, weights).drop("embedding")
     final = ["score", "query_id", "rank"]
     return balance_labels(rows, num_retrieved, final) if balance else best_rows(rows, num_retrieved, final)
 

@@ -40,8 +40,9 @@ def sweep_weights(candidates: DataFrame, truth: DataFrame, criteria: Sequence[st
     names = [f"w_{c}" for c in criteria]
     ranked = top_per_group(rows.withColumn("score", rest * F.col("dist_norm") + score),
                            ["query_id", *names], ["score", "rank"], max(sizes), "place")
-    chosen = ranked.withColumn("n", F.explode(F.array(*[F.lit(n) for n in sizes]))).where("place <= n")
-    keys = [*names, "n"]
+    chosen = (ranked.withColumn("top_n", F.explode(F.array(*[F.lit(n) for n in sizes])))
+              .where("place <= top_n"))
+    keys = [*names, "top_n"]
     return classification_metrics(vote(chosen, truth, keys), by=keys).select(*keys, "f1_macro")
 
 

@@ -325,7 +325,7 @@ def _render_sql(template: str, examples: str, lang: str, key: str) -> str:
     for a, b in (("{yn1}", f"CASE WHEN {first} THEN 'yes' ELSE 'no' END"), ("{yn2}", f"CASE WHEN {first} THEN 'no' ELSE 'yes' END"),
                  ("{language}", _lang_sql(labels.LANGUAGE_NAMES, lang)), ("{examples}", examples)):
         p = f"replace({p}, '{a}', {b})"
-    return f"array_to_string(list_transform(string_split({template}, '{{text}}'), lambda p: {p}), text)"
+    return f"list_reduce(list_transform(string_split({template}, '{{text}}'), lambda p: {p}), lambda a, b: a || text || b)"
 
 
 _TEMPLATE = sql_case("variant", prompts.TEMPLATES, "NULL")

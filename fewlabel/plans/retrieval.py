@@ -327,10 +327,10 @@ _W, _N = [0.0, 0.1, 0.2, 0.3, 0.4], [1, 3, 5]
   cls AS (SELECT w_length_score, n, unnest([0, 1]) AS cls, label, pred FROM y),
   f1 AS (SELECT w_length_score, n, cls, sum((label = cls AND pred = cls)::INT) AS tp, sum((label = cls)::INT) AS sup,
          sum((pred = cls)::INT) AS prd FROM cls GROUP BY ALL)
-  SELECT w_length_score, n::INT AS n, {sql_rnd('avg(2 * tp / (sup + prd))')} AS f1_macro FROM f1 WHERE sup + prd > 0 GROUP BY ALL""")
+  SELECT w_length_score, n::INT AS top_n, {sql_rnd('avg(2 * tp / (sup + prd))')} AS f1_macro FROM f1 WHERE sup + prd > 0 GROUP BY ALL""")
 def param_sweep(spark, sf):
     scores = sweep_weights(_candidates(spark, sf), _truth(spark, sf), ["length_score"], _W, _N)
-    return scores.select("w_length_score", "n", rnd("f1_macro").alias("f1_macro"))
+    return scores.select("w_length_score", "top_n", rnd("f1_macro").alias("f1_macro"))
 
 
 def _truth(spark, sf):
@@ -340,7 +340,7 @@ def _truth(spark, sf):
 @query("param_sweep_best")
 def param_sweep_best(spark, sf):
     scores = sweep_weights(_candidates(spark, sf), _truth(spark, sf), ["length_score"], _W, _N)
-    return best_point(scores.withColumn("f1_macro", rnd("f1_macro")), ["w_length_score", "n"])
+    return best_point(scores.withColumn("f1_macro", rnd("f1_macro")), ["w_length_score", "top_n"])
 
 
 @query("diversity_sweep")

@@ -54,7 +54,9 @@ def scan_runs(spark: SparkSession, path: str, metrics: str, keys: Sequence[str],
     if files:
         options["pathGlobFilter"] = files
     raw = spark.read.schema(metrics).options(**options).json(path)
-    rows = raw.withColumn("_path", F.col("_metadata.file_path")).where(~F.contains("_path", F.lit("checkpoint")))
+    # only what lies below the scanned folder names the run
+    below = F.substring_index(F.col("_metadata.file_path"), path.rstrip("/").split("/")[-1], -1)
+    rows = raw.withColumn("_path", below).where(~F.contains("_path", F.lit("checkpoint")))
     for i, k in enumerate(keys):
         found = (F.regexp_extract("_path", pattern, i + 1) if pattern
                  else F.regexp_extract("_path", rf"/{k}=([^/]+)/", 1))
