@@ -126,9 +126,8 @@ def unify(text, lang) -> Column:
     return out
 
 
-def parse_answer(text, lang) -> Column:
-    """1 for yes, 0 for no, -1 for anything else."""
-    answer = clean_answer(unify(text, lang))
+def verdict(answer: Column, lang) -> Column:
+    """1 for yes, 0 for no, -1 for anything else, from a cleaned answer."""
     yes = by_language({k: v[1] for k, v in LABEL_WORDS.items()}, lang)
     no = by_language({k: v[0] for k, v in LABEL_WORDS.items()}, lang)
     return (F.when((answer == F.lower(yes)) | (answer == "yes"), 1)
@@ -136,6 +135,11 @@ def parse_answer(text, lang) -> Column:
             .otherwise(-1).cast("int"))
 
 
+def parse_answer(text, lang) -> Column:
+    """Raw answer to label; the one-element array makes the cleaning run once per row."""
+    return F.transform(F.array(clean_answer(unify(text, lang))), lambda a: verdict(a, lang))[0]
+
+
 def strip_template(response, template: Column) -> Column:
     """Remove the echoed chat template around an empty instruction."""
     response = F.col(response) if isinstance(response, str) else response

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import chain
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -69,6 +69,15 @@ LABEL_WORDS = {
 }
 
 
+def project_labelled(df: DataFrame, text: str = "text") -> DataFrame:
+    """Rename the label column of a raw source and keep text, label and, where given, split."""
+    present = [c for c in ["label", *LABEL_COLUMNS] if c in df.columns]
+    if not present:
+        raise ValueError("no label column")
+    keep = [F.col(text).alias("text"), F.col(present[0]).alias("label")]
+    return df.select(*keep, *[c for c in ("split",) if c in df.columns])
+
+
 def literal_map(d: dict) -> Column:
     return F.create_map(*[F.lit(x) for x in chain(*d.items())])
 

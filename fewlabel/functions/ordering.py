@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fewlabel.operators.joins import join_small
 from fewlabel.session import durable
 
 # Catalyst prunes ``row_number() <= n`` before the shuffle only up to this n
@@ -24,15 +25,19 @@ def as_cols(names: Sequence) -> list[Column]:
     return [F.col(n) if isinstance(n, str) else n for n in names]
 
 
+# A group known to stay below this many rows is ranked by one task.
+SAFE_GROUP_ROWS = 5_000_000
+
+
 def top_per_group(df: DataFrame, groups: Sequence[str], order: Sequence, n: int,
-                  name: str = "rank") -> DataFrame:
+                  name: str = "rank", group_rows: int | None = None) -> DataFrame:
     """The first ``n`` rows of every group with their 1-based rank.
 
     Small ``n``: a ranking filter, which Catalyst turns into a per-task limit ahead of the
     shuffle, so a hot group ships at most ``n`` rows per task. Large ``n``: the exact
-    range-partitioned rank.
+    range-partitioned rank, unless ``group_rows`` bounds the groups.
     """
-    if n > GROUP_LIMIT:
+    if n > GROUP_LIMIT and (group_rows is None or group_rows > SAFE_GROUP_ROWS):
         ranked = rank_in_group(df, groups, order, name)
     else:
         ranked = df.withColumn(
@@ -89,7 +94,7 @@ def hash_rank(df: DataFrame, groups: Sequence[str], key: Column, limit: int | No
                .drop("_n"))
     if limit is not None:
         offsets = offsets.where(F.col("_before") < limit)
-    ranked = (keyed.join(offsets, [*groups, "_bucket"])
+    ranked = (join_small(keyed, offsets, [*groups, "_bucket"])
               .withColumn(name, (F.col("_before") + F.row_number().over(
                   Window.partitionBy(*groups, "_bucket").orderBy("_key"))).cast("long")))
     if limit is not None:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fewlabel.functions.signals import entropy, margin
 from fewlabel.functions.vectors import arg_max
 from fewlabel.operators import curriculum
-from fewlabel.operators.metrics import class_weights
+from fewlabel.operators.metrics import class_weights, classification_metrics
 
 
 def fit(df: DataFrame, vec: str = "embedding", label: str = "label", weight: str | None = None,
@@ -29,6 +29,11 @@ def score(model, df: DataFrame, vec: str = "embedding", name: str = "probs") ->
             .drop("features", "rawPrediction", "probability", "prediction"))
 
 
+def evaluate_splits(model, df: DataFrame, by=("split",), vec: str = "embedding") -> DataFrame:
+    """Score all rows once and report the metrics of every split."""
+    return classification_metrics(score(model, df, vec), by=list(by))
+
+
 def uncertainty_signals(model, df: DataFrame, vec: str = "embedding") -> DataFrame:
     """Add ``uncertainty`` (entropy) and ``margin`` of the predicted distribution."""
     return (score(model, df, vec).withColumn("uncertainty", entropy(F.col("probs")))

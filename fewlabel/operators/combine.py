@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fewlabel.functions.ordering import top_per_group
+from fewlabel.operators.joins import join_small
 
 
 def with_metadata(df: DataFrame, **values: str) -> DataFrame:
@@ -41,8 +42,8 @@ def union_splits(df: DataFrame, only: Sequence[str] | None = None, split: str =
     last dataset that has them."""
     if not only:
         return df
-    last = df.groupBy(split).agg(F.max(position).alias("_last"))  # one row per split name
-    return (df.join(F.broadcast(last), split)
+    last = df.groupBy(split).agg(F.max(position).alias("_last"))
+    return (join_small(df, last, [split])
             .where(F.col(split).isin(list(only)) | (F.col(position) == F.col("_last"))).drop("_last"))
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fewlabel.session import spread
+
 
 def tfidf_pipeline(text: str = "text", dims: int = 256) -> Pipeline:
     return Pipeline(stages=[
@@ -30,7 +32,7 @@ def embed(df: DataFrame, text: str = "text", name: str = "embedding", dims: int
     if encoder is not None:
         coded = F.pandas_udf(encoder, T.ArrayType(T.FloatType()))
         return df.withColumn(name, coded(F.col(text)))
-    safe = df.withColumn(text, F.coalesce(F.col(text), F.lit("")))
+    safe = spread(df).withColumn(text, F.coalesce(F.col(text), F.lit("")))
     model = tfidf_pipeline(text, dims).fit(safe)
     return (model.transform(safe).withColumn(name, vector_to_array("_unit", "float32"))
             .drop("_tok", "_tf", "_idf", "_unit"))

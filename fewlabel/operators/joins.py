@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,11 +17,22 @@ HOT_KEYS = 1000
 def join_small(left: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner",
                max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Join an aggregated side that is written once and broadcast only when its counted
-    rows stay below ``max_rows``; otherwise the planner picks a shuffled join."""
+    rows stay below ``max_rows``; otherwise the planner picks a shuffled join. Null keys match
+    each other, so rows without a group are kept."""
     side = durable(small, "side")
     if side.count() <= max_rows:
         side = F.broadcast(side)
-    return left.join(side, list(on), how)
+    for c in on:
+        side = side.withColumnRenamed(c, f"_key_{c}")
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_key_{c}")) for c in on])
+    return left.join(side, same, how).drop(*[f"_key_{c}" for c in on])
+
+
+def lookup_counted(left: DataFrame, right: DataFrame, on: Sequence[str], weight: str, rows: int) -> DataFrame:
+    """``lookup``, or one broadcast when the counted ``rows`` of the unique side allow it."""
+    if rows <= MAX_BROADCAST_ROWS:
+        return left.join(F.broadcast(right), list(on))
+    return lookup(left, right, on, weight)
 
 
 def lookup(left: DataFrame, right: DataFrame, on: Sequence[str], weight: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fewlabel.functions.ordering import top_per_group
+from fewlabel.functions.ordering import GROUP_LIMIT, top_per_group
 from fewlabel.functions.vectors import unit
 from fewlabel.session import durable
 
@@ -192,7 +192,8 @@ def knn_join(queries: DataFrame, pool: DataFrame, k: int, *, query_id: str = "qu
     else:
         hits = reduce(DataFrame.unionByName,
                       [_scan(b, pool, *args) for b in _blocks(durable(queries, "queries"), query_id, size)])
-    return top_per_group(hits, [query_id], ["dist", pool_id], k, rank_name)
+    per_query = k * hits.rdd.getNumPartitions() if k > GROUP_LIMIT else None  # every task sends k at most
+    return top_per_group(hits, [query_id], ["dist", pool_id], k, rank_name, per_query)
 
 
 # --- coarse cells -------------------------------------------------------------------------

@@ -6,40 +6,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fewlabel.functions.signals import words
-from fewlabel.operators.joins import lookup
-from fewlabel.session import durable
+from fewlabel.operators.joins import lookup_counted
+from fewlabel.session import durable, spread
 
 START = "<s>"
 
 
 def bigrams(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, prev, word, n): counts inside each text; the first word follows a start mark."""
-    seq = F.concat(F.array(F.lit(START)), words(text))
-    pairs = F.arrays_zip(F.slice(seq, F.lit(1), F.greatest(F.size(seq) - 1, F.lit(0))).alias("prev"),
-                         words(text).alias("word"))
-    return (df.select(key, F.explode(pairs).alias("p"))
-            .groupBy(key, F.col("p.prev").alias("prev"), F.col("p.word").alias("word"))
-            .agg(F.count(F.lit(1)).alias("n")))
-
-
-def bigram_model(counts: DataFrame, add_k: float = 1.0) -> DataFrame:
-    """(prev, word, log_p, n_texts) with add-k smoothing."""
-    pair = durable(counts.groupBy("prev", "word")
-                   .agg(F.sum("n").alias("c"), F.count(F.lit(1)).alias("n_texts")), "pairs")
-    prev = pair.groupBy("prev").agg(F.sum("c").alias("c_prev"), F.count(F.lit(1)).alias("n_pairs"))
-    vocabulary = pair.select("word").distinct().agg(F.count(F.lit(1)).alias("v"))
-    joined = lookup(pair, prev, ["prev"], "n_pairs").withColumn("v", vocabulary.scalar())
+    """(key, prev, word) for every word of every text; the first word follows a start mark."""
+    tokens = spread(df.select(key, text)).select(key, words(text).alias("_words"))
+    before = F.concat(F.array(F.lit(START)), F.col("_words"))
+    pairs = F.arrays_zip(F.slice(before, F.lit(1), F.size("_words")).alias("prev"), F.col("_words").alias("word"))
+    return tokens.select(key, F.inline(pairs).alias("prev", "word"))
+
+
+def bigram_model(pairs: DataFrame, add_k: float = 1.0) -> tuple[DataFrame, int]:
+    """(prev, word, log_p, c) with add-k smoothing, and the number of rows."""
+    counts = durable(pairs.groupBy("prev", "word").agg(F.count(F.lit(1)).alias("c")), "pairs")
+    prev = durable(counts.groupBy("prev").agg(F.sum("c").alias("c_prev"), F.count(F.lit(1)).alias("n_pairs")),
+                   "first-words")
+    vocabulary = counts.select("word").distinct().agg(F.count(F.lit(1)).alias("v"))
+    joined = lookup_counted(counts, prev, ["prev"], "n_pairs", prev.count()).withColumn("v", vocabulary.scalar())
     p = (F.col("c") + F.lit(float(add_k))) / (F.col("c_prev") + F.lit(float(add_k)) * F.col("v"))
-    return joined.select("prev", "word", F.log(p).alias("log_p"), "n_texts")
+    return joined.select("prev", "word", F.log(p).alias("log_p"), "c"), counts.count()
 
 
 def perplexity(df: DataFrame, key: str, text: str, add_k: float = 1.0) -> DataFrame:
-    """(key, perplexity) of every row; a blank text has infinite perplexity."""
-    counts = durable(bigrams(df, key, text), "bigrams")
-    model = durable(bigram_model(counts, add_k), "bigram-model")
-    scored = lookup(counts, model, ["prev", "word"], "n_texts")
-    value = (scored.groupBy(key)
-             .agg(F.exp(-F.sum(F.col("n") * F.col("log_p")) / F.sum("n")).alias("perplexity")))
+    """(key, perplexity) of every row; a blank text has infinite perplexity.
+
+    The texts are tokenised again for scoring instead of storing a token table larger than
+    they are. A model of checked size is broadcast; a larger one is joined with its hot pairs apart.
+    """
+    pairs = bigrams(df, key, text)
+    model, rows = bigram_model(pairs, add_k)
+    scored = lookup_counted(pairs, model, ["prev", "word"], "c", rows)
+    value = scored.groupBy(key).agg(F.exp(-F.avg("log_p")).alias("perplexity"))
     return df.select(key).join(value, key, "left").withColumn(
         "perplexity", F.coalesce("perplexity", F.lit(float("inf"))))
 

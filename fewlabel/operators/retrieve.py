@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from fewlabel.functions.ordering import hash_key, hash_rank
 from fewlabel.functions.scaling import min_max
-from fewlabel.operators.diversity import mmr
-from fewlabel.operators.joins import MAX_BROADCAST_ROWS
+from fewlabel.operators.diversity import MAX_GROUP_ROWS, mmr, mmr_partitioned
+from fewlabel.operators.joins import MAX_BROADCAST_ROWS, join_small
 from fewlabel.operators.knn import knn_join
 from fewlabel.operators.selection import (
     balance_labels, best_rows, dedup_two_stage, exclude, include, weighted_score)
@@ -55,7 +55,15 @@ def cluster_sizes(df: DataFrame, vec: str = "embedding", seed: int = 42) -> Data
     scored = (model.transform(rows.withColumn("features", array_to_vector(vec)))
               .withColumnRenamed("prediction", "cluster").drop("features"))
     sizes = scored.groupBy("cluster").agg(F.count(F.lit(1)).alias("cluster_size"))
-    return scored.join(F.broadcast(sizes), "cluster").drop("cluster")  # one row per cluster
+    return join_small(scored, sizes, ["cluster"]).drop("cluster")
+
+
+def _diversify(rows, max_rows, key, threshold, min_remained, lambda_param):
+    """One greedy pass where the candidates fit one task by their bound, bucketed rounds beyond."""
+    args = {"threshold": threshold, "min_remained": min_remained, "lambda_param": lambda_param}
+    if max_rows > MAX_GROUP_ROWS:
+        return mmr_partitioned(rows, "embedding", "dist_norm", key, **args)
+    return mmr(rows.withColumn("_group", F.lit(0)), ["_group"], "embedding", "dist_norm", key, **args).drop("_group")
 
 
 def _rescore(rows, weights, within=()):
@@ -100,8 +108,7 @@ def retrieve_multi(queries: DataFrame, pool: DataFrame, num_retrieved: int, k: i
     if need_vec:
         rows = durable(attach(rows, pool, pool_id, ["embedding"], 3 * num_retrieved), "candidates")
     if mmr_threshold is not None:
-        rows = mmr(rows.withColumn("_all", F.lit(0)), ["_all"], "embedding", "dist_norm", pool_id,
-                   threshold=mmr_threshold, min_remained=num_retrieved, lambda_param=lambda_param).drop("_all")
+        rows = _diversify(rows, 3 * num_retrieved, pool_id, mmr_threshold, num_retrieved, lambda_param)
     rows = _rescore(rows, weights).drop("embedding")
     final = ["score", "query_id", "rank"]
     return balance_labels(rows, num_retrieved, final) if balance else best_rows(rows, num_retrieved, final)
@@ -146,10 +153,9 @@ def retrieve_random(pool: DataFrame, num_retrieved: int, *, pool_id: str = "doc_
     size = max(2 * num_retrieved, 100)
     drawn = hash_rank(pool, ["_all"], hash_key(pool_id, seed=str(seed)), size, "rank")
     drawn = drawn.withColumn("dist_norm", F.lit(0.0))
-    rows = dedup_two_stage(drawn, ["source", pool_id], "text", ["rank"])
+    rows = durable(dedup_two_stage(drawn, ["source", pool_id], "text", ["rank"]), "drawn")
     if mmr_threshold is not None:
-        rows = mmr(rows, ["_all"], "embedding", "dist_norm", pool_id, threshold=mmr_threshold,
-                   min_remained=num_retrieved, lambda_param=lambda_param)
-    rows = durable(_rescore(rows.drop("_all"), weights).drop("embedding"), "scored")
+        rows = _diversify(rows, size, pool_id, mmr_threshold, num_retrieved, lambda_param)
+    rows = _rescore(rows.drop("_all"), weights).drop("embedding")
     final = ["score", "rank"]
     return balance_labels(rows, num_retrieved, final) if balance else best_rows(rows, num_retrieved, final)

@@ -39,8 +39,10 @@ def split_train_dev_test(df: DataFrame, id_col: str, dataset: str, test: int = T
         return F.coalesce(table[F.col(dataset)], F.lit(default))
 
     n_test, n_dev = size(0, test), size(1, dev)
-    ranked = hash_rank(df, [dataset], hash_key(id_col, seed=str(seed)), None, "_place")
-    return ranked.withColumn(
+    held_out = max([test + dev, *[t + d for t, d in sizes.values()]])
+    # only the held-out ranks are needed: the other rows are train and never shuffled
+    placed = hash_rank(df.select(dataset, id_col), [dataset], hash_key(id_col, seed=str(seed)), held_out, "_place")
+    return join_small(df, placed, [dataset, id_col], "left").withColumn(
         "split", F.when(F.col("_place") <= n_test, "test")
         .when(F.col("_place") <= n_test + n_dev, "dev").otherwise("train")).drop("_place")
 
@@ -75,3 +77,8 @@ def learning_curve(df: DataFrame, id_col: str, dataset: str, sizes: Sequence[int
     allowed = (F.col(lang) == full_language) | (F.col("n") <= other_max)
     return (out.where((F.col("_place") <= F.col("n")) & (F.col("n") < F.col("_total")) & allowed)
             .drop("_place", "_total"))
+
+
+def shuffle_rows(df: DataFrame, id_col: str, seed: int = 123, name: str = "position") -> DataFrame:
+    """A seeded shuffle as an explicit 1-based position."""
+    return hash_rank(df.withColumn("_all", F.lit(0)), ["_all"], hash_key(id_col, seed=str(seed)), None, name).drop("_all")

@@ -9,6 +9,7 @@ from fewlabel.operators import combine, curriculum, prompts, sampling
 from fewlabel.plans.registry import query, rnd, sql_case, sql_rnd, sql_str
 from fewlabel.plans.retrieval import PER_QUERY, per_query_hits
 from fewlabel.plans.tables import LABELLED, labelled, runs, RUNS, table
+from fewlabel.session import spread
 
 _STRIP = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
 
@@ -131,9 +132,9 @@ def _answer_sql() -> str:
 
 @query("parse_answer", _answer_sql())
 def q_parse(spark, sf):
-    return _responses(spark, sf).select(
-        "kind", "id", answers.clean_answer(answers.unify("raw", "lang")).alias("answer"),
-        answers.parse_answer("raw", "lang").alias("pred"))
+    cleaned = spread(_responses(spark, sf)).select(
+        "kind", "id", "lang", answers.clean_answer(answers.unify("raw", "lang")).alias("answer"))
+    return cleaned.select("kind", "id", "answer", answers.verdict(F.col("answer"), "lang").alias("pred"))
 
 
 @query("positive_word", f"""SELECT doc_id, CASE WHEN lower({_strip(f"' ' || CASE WHEN label = 1 THEN {_lang_sql(_YES)} ELSE {_lang_sql(_NO)} END || ' '")})
@@ -189,6 +190,18 @@ def q_recut(spark, sf):
     return sampling.recut_splits(rows, "doc_id", "split", 300, 150)
 
 
+@query("shuffle_rows", "SELECT doc_id, row_number() OVER (ORDER BY md5(doc_id::VARCHAR || '-123')) AS position FROM documents")
+def q_shuffle(spark, sf):
+    return sampling.shuffle_rows(table(spark, sf, "documents").select("doc_id"), "doc_id")
+
+
+@query("rename_label", "SELECT text, toxic AS label, CASE WHEN quality = 1 THEN 'train' ELSE 'test' END AS split FROM documents JOIN labels USING (doc_id)")
+def q_rename(spark, sf):
+    split = F.when(F.col("quality") == 1, "train").otherwise("test")
+    raw = labelled(spark, sf).drop("label").withColumnRenamed("toxic", "HS").withColumn("split", split)
+    return labels.project_labelled(raw)
+
+
 # --- unions -------------------------------------------------------------------------------
 
 def _two_sets(spark, sf):

@@ -21,7 +21,7 @@ def _sets(spark, sf):
 
 
 def _evaluated(model, rows):
-    m = classification_metrics(classify.score(model, rows), by=["lang"])
+    m = classify.evaluate_splits(model, rows, ["lang"])
     return m.select("lang", "n", rnd("accuracy").alias("accuracy"), rnd("f1_macro").alias("f1_macro"))
 
 
