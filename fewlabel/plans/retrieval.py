@@ -276,12 +276,39 @@ def q_criteria(spark, sf):
 
 # --- diversity ----------------------------------------------------------------------------
 
-@query("mmr_per_query")
+def _mmr_sql(src: str, group: str, threshold: float, min_remained: int) -> str:
+    """Greedy selection as a recursive walk over ``src`` per ``group``; yields (grp, doc_id) survivors."""
+    return f"""mr AS (SELECT {group} AS grp, c.doc_id, [z / {sql_norm('x.v')} FOR z IN x.v] AS u, dist_norm,
+        row_number() OVER (PARTITION BY {group} ORDER BY c.doc_id) AS i,
+        CASE WHEN max(-dist_norm) OVER (PARTITION BY {group}) > min(-dist_norm) OVER (PARTITION BY {group})
+          THEN (-dist_norm - min(-dist_norm) OVER (PARTITION BY {group})) / (max(-dist_norm) OVER (PARTITION BY {group}) - min(-dist_norm) OVER (PARTITION BY {group}))
+          ELSE 0 END AS rel FROM {src} c JOIN x ON x.doc_id = c.doc_id),
+      ms AS (SELECT a.grp, a.doc_id, a.i, a.rel, list({sql_dot('a.u', 'b.u')} ORDER BY b.i) AS sims
+        FROM mr a JOIN mr b ON a.grp = b.grp GROUP BY a.grp, a.doc_id, a.i, a.rel),
+      walk AS (SELECT grp, 1 AS step, [arg_max(i, rel * 1e6 - i * 1e-6)] AS picked FROM ms GROUP BY grp
+        UNION ALL SELECT grp, step + 1, list_append(picked, i) FROM (
+          SELECT *, row_number() OVER (PARTITION BY grp ORDER BY 0.5::DOUBLE * rel - 0.5::DOUBLE * top DESC, i) AS rn FROM (
+            SELECT w.grp, w.step, w.picked, ms.i, ms.rel, list_max([ms.sims[p] FOR p IN w.picked]) AS top
+            FROM walk w JOIN ms ON ms.grp = w.grp AND NOT list_contains(w.picked, ms.i)))
+        WHERE rn = 1 AND NOT (step >= {min_remained} AND top > {threshold}::DOUBLE)),
+      wl AS (SELECT grp, unnest(picked) AS i FROM (SELECT * FROM walk QUALIFY step = max(step) OVER (PARTITION BY grp))),
+      kept AS (SELECT ms.grp, ms.doc_id FROM wl JOIN ms ON ms.grp = wl.grp AND ms.i = wl.i)"""
+
+
+@query("mmr_per_query", f"""{_base_sql(15, 'query_id, ', 'rank').replace('WITH x', 'WITH RECURSIVE x')}, {_mmr_sql('d2', 'query_id', 0.2, 5)},
+  e AS (SELECT d2.* FROM d2 JOIN kept ON kept.grp = d2.query_id AND kept.doc_id = d2.doc_id), {_scaled_tokens('e', 'PARTITION BY query_id')},
+  f AS (SELECT *, 0.8::DOUBLE * dist_norm + 0.2::DOUBLE * length_score AS score FROM c),
+  o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, rank) AS position FROM f)
+  SELECT query_id, doc_id, position, {sql_rnd('score')} AS score FROM o WHERE position <= 5""")
 def mmr_per_query(spark, sf):
-    return per_query_hits(spark, sf, mmr_threshold=0.2).select("query_id", "doc_id", "position", rnd("score").alias("score"))
+    return per_query_hits(spark, sf, mmr_threshold=0.2).select(
+        "query_id", "doc_id", F.col("position").cast("long").alias("position"), rnd("score").alias("score"))
 
 
-@query("mmr_multi")
+@query("mmr_multi", f"""{_base_sql(20, '', 'query_id, rank').replace('WITH x', 'WITH RECURSIVE x')},
+  cut AS (SELECT * FROM d2 ORDER BY query_id, rank LIMIT 60), {_mmr_sql('cut', '0', 0.3, 20)}
+  SELECT cut.doc_id, query_id, {sql_rnd('dist_norm')} AS score FROM cut JOIN kept ON kept.doc_id = cut.doc_id
+  ORDER BY dist_norm, query_id, rank LIMIT 20""")
 def mmr_multi(spark, sf):
     x = with_vectors(spark, sf)
     return retrieve_multi(target_queries(x), x, 20, 20, mmr_threshold=0.3, exclude_languages=["es"]).select(
@@ -315,7 +342,7 @@ def _candidates(spark, sf):
 _W, _N = [0.0, 0.1, 0.2, 0.3, 0.4], [1, 3, 5]
 
 
-@query("param_sweep", f"""{_base_sql(45, 'query_id, ', 'rank')}, {_scaled_tokens('d2', 'PARTITION BY query_id')},
+PARAM_SWEEP = f"""{_base_sql(45, 'query_id, ', 'rank')}, {_scaled_tokens('d2', 'PARTITION BY query_id')},
   f AS (SELECT *, 0.5::DOUBLE * dist_norm + 0.5::DOUBLE * length_score AS score FROM c),
   o AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score, rank) <= 15),
   g AS (SELECT o.*, w.w AS w_length_score, (1.0::DOUBLE - w.w) * dist_norm + (0.0::DOUBLE + w.w * length_score) AS s2
@@ -327,7 +354,10 @@ _W, _N = [0.0, 0.1, 0.2, 0.3, 0.4], [1, 3, 5]
   cls AS (SELECT w_length_score, n, unnest([0, 1]) AS cls, label, pred FROM y),
   f1 AS (SELECT w_length_score, n, cls, sum((label = cls AND pred = cls)::INT) AS tp, sum((label = cls)::INT) AS sup,
          sum((pred = cls)::INT) AS prd FROM cls GROUP BY ALL)
-  SELECT w_length_score, n::INT AS top_n, {sql_rnd('avg(2 * tp / (sup + prd))')} AS f1_macro FROM f1 WHERE sup + prd > 0 GROUP BY ALL""")
+  SELECT w_length_score, n::INT AS top_n, {sql_rnd('avg(2 * tp / (sup + prd))')} AS f1_macro FROM f1 WHERE sup + prd > 0 GROUP BY ALL"""
+
+
+@query("param_sweep", PARAM_SWEEP)
 def param_sweep(spark, sf):
     scores = sweep_weights(_candidates(spark, sf), _truth(spark, sf), ["length_score"], _W, _N)
     return scores.select("w_length_score", "top_n", rnd("f1_macro").alias("f1_macro"))
@@ -337,7 +367,7 @@ def _truth(spark, sf):
     return labelled(spark, sf).where(F.col("lang") == "es").select(F.col("doc_id").alias("query_id"), "label")
 
 
-@query("param_sweep_best")
+@query("param_sweep_best", f"SELECT * FROM ({PARAM_SWEEP}) ORDER BY f1_macro DESC, w_length_score, top_n LIMIT 1")
 def param_sweep_best(spark, sf):
     scores = sweep_weights(_candidates(spark, sf), _truth(spark, sf), ["length_score"], _W, _N)
     return best_point(scores.withColumn("f1_macro", rnd("f1_macro")), ["w_length_score", "top_n"])
