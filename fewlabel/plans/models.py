@@ -25,8 +25,9 @@ def _evaluated(model, rows):
     return m.select("lang", "n", rnd("accuracy").alias("accuracy"), rnd("f1_macro").alias("f1_macro"))
 
 
-@query("embed_text")
+@query("embed_text", "SELECT doc_id, 128 AS dims, 1.0::DOUBLE AS length FROM documents")
 def q_embed(spark, sf):
+    """Every text gets one vector of unit length; that much has a SQL twin."""
     d = embed(table(spark, sf, "documents").select("doc_id", "text"), dims=128)
     return d.select("doc_id", F.size("embedding").alias("dims"), rnd(norm(as_double("embedding")), 4).alias("length"))
 

@@ -117,7 +117,7 @@ def cluster_score(spark, sf):
 
 # --- retrieval ----------------------------------------------------------------------------
 
-def _base_sql(k: int, partition: str, order: str) -> str:
+def _base_sql(k: int | str, partition: str, order: str) -> str:
     """hits -> scaled -> two-stage first-wins; ``partition`` is '' or 'query_id, '."""
     over = f"PARTITION BY {partition.rstrip(', ')}" if partition else ""
     return f"""WITH x AS ({WITH_VECTORS}),
@@ -215,7 +215,12 @@ def q_candidate_depth(spark, sf):
     return q.agg(F.count(F.lit(1)).alias("n_queries")).withColumn("k", F.lit(candidate_depth(20, n)).cast("long"))
 
 
-@query("adaptive_depth", f"""{_base_sql(8, '', 'query_id, rank')},
+_DEEPEN = """(SELECT min(k) FROM (SELECT unnest([1, 2, 4, 8, 16, 32, 64, 128, 256, 512]) AS k) WHERE
+    k = 512 OR k >= (SELECT count(*) FROM x WHERE lang <> 'es') OR 100 <= (SELECT count(DISTINCT text) FROM
+    (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, doc_id) AS rank FROM p) WHERE rank <= k))"""
+
+
+@query("adaptive_depth", f"""{_base_sql(_DEEPEN, '', 'query_id, rank')},
   cut AS (SELECT * FROM d2 ORDER BY query_id, rank LIMIT 150)
   SELECT doc_id, query_id, rank FROM cut ORDER BY dist_norm, query_id, rank LIMIT 50""")
 def adaptive_depth(spark, sf):
