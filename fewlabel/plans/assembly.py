@@ -32,13 +32,13 @@ def q_clean(spark, sf):
     return d.unionByName(b).withColumn("text", txt.clean_text("text"))
 
 
-_ENTITIES = [("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
+_ENTITIES = [("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·")]
 
 
 def _unescape_sql(x: str) -> str:
     for a, b in _ENTITIES:
         x = f"replace({x}, '{a}', '{b}')"
-    return x
+    return f"regexp_replace({x}, '&amp;?', '&', 'g')"  # a cut-off entity may lack its semicolon
 
 
 @query("clean_html", f"SELECT page_id, md5({_clean_sql(_unescape_sql('html'))}) AS digest FROM pages")
