@@ -25,9 +25,9 @@ from fewlabel.functions.vectors import unit
 from fewlabel.session import durable
 
 METRICS = ("l2", "ip", "cosine")
-QUERY_BLOCK_ROWS = 8_000
+QUERY_BLOCK_ROWS = 20_000  # about 120 MB at 768 dimensions
 TILE_CELLS = 2_000_000  # distances computed at once
-TASK_HITS = 20_000_000  # hits one task may hold
+TASK_HITS = 5_000_000  # hits one task may hold
 SLACK = 1e-9
 
 

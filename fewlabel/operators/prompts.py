@@ -80,24 +80,32 @@ def chat_wrap(prompt: Column, model_name: str, lang: Column) -> Column:
     return F.replace(shell, F.lit("{instruction}"), prompt)
 
 
-def few_shot_select(hits: DataFrame, shots: int, order: Sequence = ("position",), query: str = "query_id",
-                    label: str = "label") -> DataFrame:
-    """The first ``shots`` rows of each class per query, cut to the smaller class and
-    interleaved 0, 1, 0, 1; ``shot_pos`` is the place in the prompt."""
+def few_shot_select(hits: DataFrame, shots: int | Sequence[int], order: Sequence = ("position",),
+                    query: str = "query_id", label: str = "label") -> DataFrame:
+    """The first rows of each class per query, cut to the smaller class and interleaved
+    0, 1, 0, 1; ``shot_pos`` is the place in the prompt.
+
+    Several shot numbers share one ranking and come back with a ``shots`` column.
+    """
     from pyspark.sql import Window
-    best = top_per_group(hits.where(F.col(label).isin(0, 1)), [query, label], order, shots, "_place")
+    most = shots if isinstance(shots, int) else max(shots)
+    best = top_per_group(hits.where(F.col(label).isin(0, 1)), [query, label], order, most, "_place")
     w = Window.partitionBy(query)  # at most 2 * shots rows per query are left
     for v in (0, 1):
         best = best.withColumn(f"_n{v}", F.count(F.when(F.col(label) == v, 1)).over(w))
-    kept = best.where(F.col("_place") <= F.least("_n0", "_n1"))
-    return (kept.withColumn("shot_pos", ((F.col("_place") - 1) * 2 + F.col(label) + 1).cast("int"))
+    limit = F.least("_n0", "_n1")
+    if not isinstance(shots, int):
+        best = best.withColumn("shots", F.explode(F.array(*[F.lit(n) for n in shots])))
+        limit = F.least("_n0", "_n1", "shots")
+    return (best.where(F.col("_place") <= limit)
+            .withColumn("shot_pos", ((F.col("_place") - 1) * 2 + F.col(label) + 1).cast("int"))
             .drop("_place", "_n0", "_n1"))
 
 
-def example_lists(selected: DataFrame, query: str = "query_id") -> DataFrame:
-    """One row per query with its ordered (text, label) examples."""
+def example_lists(selected: DataFrame, keys: Sequence[str] = ("query_id",)) -> DataFrame:
+    """One row per query (and shot number) with its ordered (text, label) examples."""
     packed = F.sort_array(F.collect_list(F.struct("shot_pos", "text", "label")))
-    return selected.groupBy(query).agg(packed.alias("examples"))
+    return selected.groupBy(*keys).agg(packed.alias("examples"))
 
 
 def format_examples(examples) -> Column:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fewlabel.functions.ordering import top_per_group
+from fewlabel.operators.classify import fit, score
 from fewlabel.operators.metrics import classification_metrics
 from fewlabel.operators.diversity import greedy, relevance_of
 from fewlabel.session import durable
@@ -33,12 +35,12 @@ def sweep_weights(candidates: DataFrame, truth: DataFrame, criteria: Sequence[st
     grid = [g for g in grid if sum(g) <= 1.0]
     points = F.array(*[F.struct(*[F.lit(w).alias(f"w_{c}") for c, w in zip(criteria, g)]) for g in grid])
     rows = candidates.select("*", F.inline(points))
-    rest, score = F.lit(1.0), F.lit(0.0)
+    rest, extra = F.lit(1.0), F.lit(0.0)
     for c in criteria:
         rest = rest - F.col(f"w_{c}")
-        score = score + F.col(f"w_{c}") * F.col(c)
+        extra = extra + F.col(f"w_{c}") * F.col(c)
     names = [f"w_{c}" for c in criteria]
-    ranked = top_per_group(rows.withColumn("score", rest * F.col("dist_norm") + score),
+    ranked = top_per_group(rows.withColumn("score", rest * F.col("dist_norm") + extra),
                            ["query_id", *names], ["score", "rank"], max(sizes), "place")
     chosen = (ranked.withColumn("top_n", F.explode(F.array(*[F.lit(n) for n in sizes])))
               .where("place <= top_n"))
@@ -70,3 +72,13 @@ def sweep_diversity(candidates: DataFrame, truth: DataFrame, thresholds: Sequenc
         select, "query_id long, label int, threshold double, lambda double")
     keys = ["threshold", "lambda"]
     return classification_metrics(vote(kept, truth, keys), by=keys).select(*keys, "f1_macro")
+
+
+def sweep_fit(train: DataFrame, evaluation: DataFrame, regs: Sequence[float], iterations: Sequence[int],
+              vec: str = "embedding") -> DataFrame:
+    """Macro-F1 of the classifier for every (regularisation, iterations); the fits follow one another."""
+    train, evaluation = durable(train, "train"), durable(evaluation, "evaluation")
+    points = [classification_metrics(score(fit(train, vec, reg=reg, max_iter=n), evaluation, vec))
+              .select(F.lit(float(reg)).alias("reg"), F.lit(n).alias("iterations"), "f1_macro")
+              for reg in regs for n in iterations]
+    return reduce(DataFrame.unionByName, points)

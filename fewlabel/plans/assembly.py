@@ -357,6 +357,25 @@ def q_few_render(spark, sf):
         prompts.format_examples("examples")).alias("prompt"))
 
 
+@query("few_shot_batch", f"""{PER_QUERY.replace('rank <= 15', 'rank <= 60')},
+  fs AS (SELECT * FROM o WHERE position <= 20),
+  sh AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY position) AS place FROM fs),
+  fn AS (SELECT *, count(*) FILTER (label = 0) OVER (PARTITION BY query_id) AS n0, count(*) FILTER (label = 1) OVER (PARTITION BY query_id) AS n1 FROM sh),
+  fx AS (SELECT query_id, shots, text, label, (place - 1) * 2 + label + 1 AS shot_pos FROM fn, (SELECT unnest({prompts.SHOTS}) AS shots)
+    WHERE place <= least(n0, n1, shots)),
+  ex AS (SELECT query_id, shots, string_agg('Comment: "' || text || E'\\t"Answer: ' || CASE WHEN label = 1 THEN 'yes' ELSE 'no' END, E'\\n' ORDER BY shot_pos) AS ex FROM fx GROUP BY ALL),
+  rows_ AS (SELECT doc_id, lang, text, ex, shots, unnest({prompts.FEW_SHOT}) AS variant FROM ({LABELLED}) l JOIN ex ON ex.query_id = l.doc_id)
+  SELECT doc_id, variant, shots::INT AS shots, md5({_render_sql(_TEMPLATE, 'ex', 'lang', 'doc_id::VARCHAR')}) AS digest FROM rows_""")
+def q_few_batch(spark, sf):
+    """All few-shot variants and shot numbers of the target rows from one retrieval."""
+    chosen = prompts.few_shot_select(per_query_hits(spark, sf, k=20), prompts.SHOTS)
+    examples = prompts.example_lists(chosen, ["query_id", "shots"]).withColumnRenamed("query_id", "doc_id")
+    plan = prompts.prompt_plan(labelled(spark, sf), "bloomz", prompts.FEW_SHOT, prompts.SHOTS)
+    return plan.join(examples, ["doc_id", "shots"]).select("doc_id", "variant", "shots", F.md5(prompts.render(
+        F.col("variant"), F.col("text"), F.col("lang"), F.col("doc_id").cast("string"),
+        prompts.format_examples("examples"))).alias("digest"))
+
+
 @query("prompt_zero_shot", f"""WITH r AS (SELECT doc_id, lang, text, unnest({prompts.ZERO_SHOT}) AS variant FROM ({LABELLED})),
   p AS (SELECT doc_id, variant, lang, {_render_sql(_TEMPLATE, "''", 'lang', 'doc_id::VARCHAR')} AS prompt FROM r)
   SELECT doc_id, variant, CASE WHEN contains(variant, 'cot') OR contains(variant, 'distinction') THEN 1024 ELSE 256 END AS max_length,

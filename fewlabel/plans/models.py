@@ -8,6 +8,7 @@ from fewlabel.functions.vectors import as_double, norm
 from fewlabel.operators import classify
 from fewlabel.operators.embed import embed
 from fewlabel.operators.metrics import classification_metrics
+from fewlabel.operators.sweep import sweep_fit
 from fewlabel.plans.registry import query, rnd
 from fewlabel.plans.tables import table, with_vectors
 
@@ -63,3 +64,10 @@ def q_two_stage(spark, sf):
     scored = classify.two_stage(train.where("source = 1"), train.where("source = 0"), rows)
     m = classification_metrics(scored, by=["lang"])
     return m.select("lang", "n", rnd("accuracy").alias("accuracy"), rnd("f1_macro").alias("f1_macro"))
+
+
+@query("fit_sweep")
+def q_fit_sweep(spark, sf):
+    train, rows = _sets(spark, sf)
+    return sweep_fit(train.where("source = 1"), rows.where("lang = 'es'"), [0.001, 0.1], [10, 30]).withColumn(
+        "f1_macro", rnd("f1_macro"))

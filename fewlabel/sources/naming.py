@@ -39,6 +39,12 @@ def parse_name(name) -> dict[str, Column]:
             "seed": F.coalesce(F.get(parts, F.lit(2)), F.lit("full"))}
 
 
+def split_subset(name) -> dict[str, Column]:
+    """collection and subset of a ``collection/subset`` name; a plain name has no subset."""
+    parts = F.split(F.col(name) if isinstance(name, str) else name, "/", 2)
+    return {"collection": parts[0], "subset": F.get(parts, F.lit(1))}
+
+
 def resolve(df: DataFrame, name: str = "name") -> DataFrame:
     """Add the parsed parts and ``valid``: only English has samples beyond 2000."""
     for k, v in parse_name(name).items():

@@ -129,6 +129,15 @@ def test_few_shot_select_interleaves(spark):
     assert lists.first().e.split("\n")[1] == 'Comment: "t2\t"Answer: yes'
 
 
+def test_few_shot_numbers_share_one_ranking(spark):
+    df = spark.createDataFrame([(1, i, i % 2, f"t{i}") for i in range(9)], "query_id long, position int, label int, text string")
+    grid = prompts.few_shot_select(df, [1, 3, 10])
+    for n in (1, 3, 10):
+        one = {(r.position, r.shot_pos) for r in prompts.few_shot_select(df, n).collect()}
+        assert {(r.position, r.shot_pos) for r in grid.where(F.col("shots") == n).collect()} == one
+        assert len(one) == 2 * min(n, 4)
+
+
 def test_chat_format_prefers_the_longest_key():
     assert prompts.chat_format("Gemma9-it").startswith("<start_of_turn>")
     assert prompts.chat_format("x-llama3-abliterated") == prompts.CHAT_FORMATS["llama3-abliterated"]
@@ -230,6 +239,12 @@ def test_dataset_names(spark):
         naming.select_dataset(df, "bas19_es-3000-rs1")
 
 
+def test_subset_names(spark):
+    df = spark.createDataFrame([("a/b",), ("c",)], "name string")
+    parts = naming.split_subset("name")
+    assert [tuple(r) for r in df.select(parts["collection"], parts["subset"]).collect()] == [("a", "b"), ("c", None)]
+
+
 def test_pool_filters_prune_folders(spark, tmp_path):
     rows = spark.createDataFrame([(1, "en", "a", [1.0]), (2, "es", "b", [2.0])], "id long, lang string, source string, embedding array<float>")
     tables.save_pool(rows, str(tmp_path / "pool"), files_per_key=2)
