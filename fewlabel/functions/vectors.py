@@ -31,7 +31,7 @@ def norm(a) -> Column:
 
 
 def cosine(a, b) -> Column:
-    return dot(a, b) / (norm(a) * norm(b))
+    return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
 def unit(a) -> Column:

@@ -82,7 +82,7 @@ def crosslingual_retrieval(queries: DataFrame, pool: DataFrame, lang: str, depth
     n = queries.agg(F.count(F.lit(1)).alias("n"))
     rows = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"f.k{k}").alias("found")) for k in depths])
     return (found.select(F.inline(rows)).withColumn("_n", n.scalar())
-            .select("k", F.bround(F.col("found") / (F.col("_n") * F.col("k")), 3).alias("share")))
+            .select("k", F.bround(F.try_divide(F.col("found"), F.col("_n") * F.col("k")), 3).alias("share")))
 
 
 def pairwise_cosine(left: DataFrame, right: DataFrame, pos: str = "pos", vec: str = "embedding") -> DataFrame:

@@ -13,6 +13,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
@@ -91,12 +92,15 @@ class _Best:
         self.q, self.dist, self.rows = self.q[kept], self.dist[kept], self.rows.take(kept)
 
 
-def _codes_index(codes: list) -> dict:
-    index: dict = {}
-    for row, values in enumerate(codes):
-        for c in values:
-            index.setdefault(c, []).append(row)
-    return {c: np.asarray(r) for c, r in index.items()}
+def _codes_index(column: pa.ListArray) -> dict:
+    """Code -> positions of the rows that carry it."""
+    rows = np.repeat(np.arange(len(column)), pc.list_value_length(column).to_numpy(zero_copy_only=False))
+    coded = column.flatten().dictionary_encode()
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(codes, kind="stable")
+    cuts = np.flatnonzero(np.diff(codes[order])) + 1
+    names = coded.dictionary.to_pylist()
+    return {names[codes[part[0]]]: rows[part] for part in np.split(order, cuts) if len(part)}
 
 
 def _scan(block: pa.Table, pool: DataFrame, k: int, key_field: T.StructField, pool_id: str,
@@ -107,7 +111,7 @@ def _scan(block: pa.Table, pool: DataFrame, k: int, key_field: T.StructField, po
     sc = pool.sparkSession.sparkContext
     payload = sc.broadcast({
         "vec": _matrix(block[query_vec].combine_chunks()),
-        "codes": _codes_index(block[codes].to_pylist()) if codes else None})
+        "codes": _codes_index(block[codes].combine_chunks()) if codes else None})
     keys = sc.broadcast(block[query_id].combine_chunks())
     kept = [pool_id, *[c for c in carry if c != pool_id]]
     schema = T.StructType([key_field, *[pool.schema[c] for c in kept],
@@ -124,7 +128,7 @@ def _scan(block: pa.Table, pool: DataFrame, k: int, key_field: T.StructField, po
             if by_code is None:
                 groups = [(np.arange(len(q_all)), np.arange(len(p_all)))]
             else:
-                present = _codes_index(batch.column(codes).to_pylist())
+                present = _codes_index(batch.column(codes))
                 groups = [(by_code[c], rows) for c, rows in present.items() if c in by_code]
             found_q, found_p = [], []
             for q_idx, p_idx in groups:
@@ -153,7 +157,7 @@ def _scan(block: pa.Table, pool: DataFrame, k: int, key_field: T.StructField, po
             yield pa.RecordBatch.from_arrays(arrays, names=[query_id, *kept, "dist"])
 
     needed = list(dict.fromkeys([*kept, pool_vec] + ([codes] if codes else [])))
-    return pool.select(*needed).mapInArrow(scan, schema)
+    return pool.where(F.col(pool_vec).isNotNull()).select(*needed).mapInArrow(scan, schema)
 
 
 def _blocks(queries: DataFrame, query_id: str, size: int):
@@ -183,7 +187,8 @@ def knn_join(queries: DataFrame, pool: DataFrame, k: int, *, query_id: str = "qu
     if normalize:
         queries = queries.withColumn(query_vec, unit(query_vec))
         pool = pool.withColumn(pool_vec, unit(pool_vec))
-    queries = queries.select(query_id, query_vec, *([codes] if codes else []))
+    queries = (queries.where(F.col(query_vec).isNotNull())
+               .select(query_id, query_vec, *([codes] if codes else [])))
     args = (k, queries.schema[query_id], pool_id, query_vec, pool_vec, metric, carry, codes)
     size = max(1, min(QUERY_BLOCK_ROWS, TASK_HITS // k))
     block = queries.limit(size + 1).toArrow()
@@ -267,4 +272,4 @@ def recall(approx: DataFrame, exact: DataFrame, query_id: str, pool_id: str) ->
     found = exact.join(approx.select(query_id, pool_id), [query_id, pool_id], "left_semi")
     return (exact.agg(F.count(F.lit(1)).alias("exact_hits"))
             .withColumn("found_hits", found.agg(F.count(F.lit(1)).alias("n")).scalar())
-            .withColumn("recall", F.col("found_hits") / F.col("exact_hits")))
+            .withColumn("recall", F.try_divide("found_hits", "exact_hits")))

@@ -81,12 +81,15 @@ def q_seed_matrix(spark, sf):
     return reports.matrix(averages, ["source"], "size", ["10", "100", "1000"], prefix="n_")
 
 
+_SOURCES = [f"src{i}" for i in range(20)] + ["absent"]
+
+
 @query("full_grid_report", f"""WITH a AS (SELECT source, size, {_AVG.format(m=3)} AS score, count(f1_macro) AS n_runs FROM ({RUNS}) GROUP BY source, size),
-  g AS (SELECT source, size FROM (SELECT unnest(['src0', 'src1', 'src2', 'absent']) AS source), (SELECT unnest(['10', '100', '1000', '5000']) AS size))
+  g AS (SELECT source, size FROM (SELECT unnest({_SOURCES}) AS source), (SELECT unnest(['10', '100', '1000', '5000']) AS size))
   SELECT source, size, n_runs, score FROM g LEFT JOIN a USING (source, size)""")
 def q_full_grid(spark, sf):
     averages = reports.seed_average(runs(spark, sf), ["source", "size"], "f1_macro")
-    return reports.full_grid(averages, {"source": ["src0", "src1", "src2", "absent"], "size": ["10", "100", "1000", "5000"]})
+    return reports.full_grid(averages, {"source": _SOURCES, "size": ["10", "100", "1000", "5000"]})
 
 
 _LANG_RUNS = f"""SELECT lang, source, 'rs' || (ascii(substr(md5(doc_id::VARCHAR), 1, 1)) % 5 + 1)::VARCHAR AS seed,

@@ -59,6 +59,15 @@ def test_string_keys_and_carried_columns(spark, vectors):
     assert got == {f"q{i}": [f"{j:04d}" for j in v] for i, v in brute(q, p, "l2", 3).items()}
 
 
+def test_rows_without_a_vector_are_left_out(spark, vectors):
+    q, p = vectors
+    queries, pool = frame(spark, q, "query_id", "query_vec"), frame(spark, p, "vec_id", "embedding")
+    holes = pool.withColumn("embedding", F.when(F.col("vec_id") % 2 == 0, F.col("embedding")))
+    got = hits_of(knn.knn_join(queries, holes, 3))
+    want = {i: [2 * j for j in v] for i, v in brute(q, p[::2], "l2", 3).items()}
+    assert got == want
+
+
 def test_empty_sides(spark, vectors):
     q, p = vectors
     queries, pool = frame(spark, q, "query_id", "query_vec"), frame(spark, p, "vec_id", "embedding")
