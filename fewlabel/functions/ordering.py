@@ -78,25 +78,48 @@ def rank_in_group(df: DataFrame, groups: Sequence[str], order: Sequence, name: s
         *df.columns, (F.col("_seq") - F.col("_low") + F.col("_before") + 1).cast("long").alias(name))
 
 
+# Groups up to this size are ranked by one task each; buckets of larger groups aim at a quarter of it.
+PLAIN_GROUP_ROWS = 200_000
+
+
+def _bucket_digits(largest: int) -> int:
+    """Hex digits that cut the largest group into buckets of about 50 000 rows."""
+    digits = 0
+    while largest > PLAIN_GROUP_ROWS // 4 * 16 ** digits and digits < 5:
+        digits += 1
+    return digits if largest > PLAIN_GROUP_ROWS else 0
+
+
 def hash_rank(df: DataFrame, groups: Sequence[str], key: Column, limit: int | None = None,
-              name: str = "rank", digits: int = 3) -> DataFrame:
+              name: str = "rank") -> DataFrame:
     """Exact rank of rows in hash order within each group, kept up to ``limit``.
 
-    The leading hex digits of the digest cut every group into ``16**digits`` even buckets.
-    Bucket counts give the rank offset of each bucket; buckets that start beyond ``limit``
-    are dropped before any row is shuffled for ranking.
+    Where a group is large, the leading hex digits of the digest cut the groups into even
+    buckets. Bucket counts give the rank offset of each bucket; buckets that start beyond
+    ``limit`` are dropped before any row is shuffled for ranking.
     """
-    keyed = df.withColumn("_key", key).withColumn("_bucket", F.substring("_key", 1, digits))
-    sizes = keyed.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = (Window.partitionBy(*groups).orderBy("_bucket")
-              .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = (sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-               .drop("_n"))
-    if limit is not None:
-        offsets = offsets.where(F.col("_before") < limit)
-    ranked = (join_small(keyed, offsets, [*groups, "_bucket"])
-              .withColumn(name, (F.col("_before") + F.row_number().over(
-                  Window.partitionBy(*groups, "_bucket").orderBy("_key"))).cast("long")))
+    groups = list(groups)
+    largest = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    digits = _bucket_digits(largest)
+    keyed = df.withColumn("_key", key)
+    if digits:
+        keyed = keyed.withColumn("_bucket", F.substring("_key", 1, digits))
+        sizes = keyed.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+        before = (Window.partitionBy(*groups).orderBy("_bucket")
+                  .rowsBetween(Window.unboundedPreceding, -1))
+        offsets = (sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+                   .drop("_n"))
+        if limit is not None:
+            offsets = offsets.where(F.col("_before") < limit)
+        keyed = join_small(keyed, offsets, [*groups, "_bucket"])
+        within, offset = [*groups, "_bucket"], F.col("_before")
+    else:
+        within, offset = groups, F.lit(0)
+    place = F.row_number().over(Window.partitionBy(*within).orderBy("_key"))
+    if limit is not None and not digits:
+        return keyed.withColumn(name, place).where(F.col(name) <= limit).select(
+            *df.columns, F.col(name).cast("long").alias(name))
+    ranked = keyed.withColumn(name, (offset + place).cast("long"))
     if limit is not None:
         ranked = ranked.where(F.col(name) <= limit)
     return ranked.select(*df.columns, name)

@@ -37,6 +37,7 @@ def lookup_counted(left: DataFrame, right: DataFrame, on: Sequence[str], weight:
 
 def lookup(left: DataFrame, right: DataFrame, on: Sequence[str], weight: str) -> DataFrame:
     """Inner join onto a side with unique keys that knows, in ``weight``, how often each key occurs.
+    The side is read three times: pass it cheap or written.
 
     Keys above a thousandth of all occurrences number at most a thousand, so they are
     broadcast; the remaining keys are too light to skew the shuffled join.

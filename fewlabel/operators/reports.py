@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fewlabel.session import durable
+
 
 def pick_metric(*columns: str):
     """First metric column that is present."""
@@ -69,9 +71,9 @@ def duplicate_audit(df: DataFrame, text: str, order: Sequence[str]) -> DataFrame
     """
     from fewlabel.operators.joins import lookup
     keyed = df.withColumn("_text", F.sha2(text, 256))
-    firsts = (keyed.groupBy("_text")
-              .agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(*order)).alias("_first"))
-              .where("_n > 1"))
+    firsts = durable(keyed.groupBy("_text")
+                     .agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(*order)).alias("_first"))
+                     .where("_n > 1"), "firsts")
     seen = lookup(keyed, firsts, ["_text"], "_n")
     return seen.where(F.struct(*order) != F.col("_first")).drop("_text", "_n", "_first")
 

@@ -32,8 +32,10 @@ def test_rank_over_everything(skewed):
     assert got == list(range(1, 6001))
 
 
-def test_hash_rank_is_exact_and_keeps_null_groups(skewed):
+@pytest.mark.parametrize("plain_rows", [200_000, 400])
+def test_hash_rank_is_exact_and_keeps_null_groups(skewed, monkeypatch, plain_rows):
     import hashlib
+    monkeypatch.setattr(o, "PLAIN_GROUP_ROWS", plain_rows)
     want = expected(skewed, lambda r: hashlib.md5(f"{r.id}-1".encode()).hexdigest())
     got = {r.id: r["rank"] for r in o.hash_rank(skewed, ["g"], o.hash_key("id", seed="1"), None).collect()}
     assert got == want
