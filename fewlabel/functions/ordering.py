@@ -68,13 +68,9 @@ def rank_in_group(df: DataFrame, groups: Sequence[str], order: Sequence, name: s
               .agg(F.count(F.lit(1)).alias("_n"), F.min("_seq").alias("_low")))
     before = (Window.partitionBy(*groups).orderBy("_part")
               .rowsBetween(Window.unboundedPreceding, -1))
-    pieces = pieces.select(
-        F.col("_part").alias("_piece"), *[F.col(g).alias(f"_piece_{g}") for g in groups], "_low",
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    on = F.col("_part") == F.col("_piece")
-    for g in groups:
-        on = on & F.col(g).eqNullSafe(F.col(f"_piece_{g}"))
-    return placed.join(pieces, on).select(
+    pieces = (pieces.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"))
+    # few rows per (partition, group): usually a broadcast, so the ranked rows are not shuffled again
+    return join_small(placed, pieces, ["_part", *groups]).select(
         *df.columns, (F.col("_seq") - F.col("_low") + F.col("_before") + 1).cast("long").alias(name))
 
 
