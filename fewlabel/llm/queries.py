@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
-from fewlabel.llm import common, pii, secret_scan
+from fewlabel.llm import common, decontaminate, main_text, pieces, pii, secret_scan, simhash, spans, topk, toxicity
 from fewlabel.plans.registry import query
 from fewlabel.plans.tables import table
 
+# Where the tokenizer files lie; a path of the driver.
+PIECE_MODEL = os.path.join(os.environ.get("TOKENIZER_DIR", "/opt/tokenizers"), "piece_bpe_32k.model")
+
 
 def _digest(found, kinds: dict[str, str]):
     """Counts per base kind, the digest of the base spans and all spans as text."""
@@ -32,3 +37,61 @@ def op10(spark, sf):
     docs = table(spark, sf, "documents")
     ratios = secret_scan.fit_markov(secret_scan.document_samples(docs))
     return _digest(secret_scan.find_secrets(docs, ratios), {"assign": "n_assign", "access": "n_access", "hex": "n_hex"})
+
+
+@query("op3_simhash")
+def op3(spark, sf):
+    found = simhash.near_duplicates(table(spark, sf, "documents"), width=3, distance=2)
+    return found.select("doc_id", simhash.hex_text(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
+OP5_SQL = """WITH v AS (
+  SELECT vec_id, [floor(64 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum([a.q * a.c FOR a IN list_transform(list_zip(q.v, c.v),
+    lambda z: {'q': z[1], 'c': z[2]})])::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v))
+SELECT * FROM (
+  SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s)
+WHERE rank <= 20"""
+
+
+@query("op5_topk", OP5_SQL)
+def op5(spark, sf):
+    rows = table(spark, sf, "embeddings").select("vec_id", topk.integer_vector(F.col("embedding")).alias("vector"))
+    return topk.top_k(rows, rows.where(F.col("vec_id") % 20 == 0))
+
+
+@query("op4_decontaminate")
+def op4(spark, sf):
+    return decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op2_main_text")
+def op2(spark, sf):
+    return main_text.extract(table(spark, sf, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query("op6_repeats")
+def op6(spark, sf):
+    found = spans.drop_repeats(table(spark, sf, "documents"))
+    parts = F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string")))
+    return found.select("doc_id", F.col("sentences").alias("n_sentences"), F.size("removed").alias("n_removed"),
+                        F.concat_ws(",", parts).alias("removed"), "text")
+
+
+@query("op8_pieces")
+def op8(spark, sf):
+    coded = pieces.encode(table(spark, sf, "documents"), PIECE_MODEL)
+    back = pieces.decode(coded, PIECE_MODEL)
+    return back.select("doc_id", F.size("ids").alias("n_ids"), "ids",
+                       (F.col("decoded") == F.translate("text", pieces.MARK, " ")).alias("round_trip"))
+
+
+@query("op9_toxicity")
+def op9(spark, sf):
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    rated = toxicity.score(docs, toxicity.train(docs, labels))
+    return rated.select("doc_id", common.held_out("doc_id", 5).alias("held_out"), "score",
+                        (F.col("score") >= 0.5).cast("int").alias("predicted"))
