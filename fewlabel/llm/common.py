@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,3 +43,16 @@ def spans_text(spans: Column) -> Column:
     """``kind:start:end`` joined by commas."""
     return F.concat_ws(",", F.transform(
         spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+
+
+def frame(columns: dict) -> pd.DataFrame:
+    """A result batch. Strings and lists stay Python objects, which become one Arrow array each."""
+    out = {}
+    for name, values in columns.items():
+        if isinstance(values, pd.Series):
+            values = values.reset_index(drop=True)
+            values = values.astype(object) if isinstance(values.dtype, pd.StringDtype) else values
+        elif isinstance(values, list):
+            values = pd.Series(values, dtype=object)
+        out[name] = values
+    return pd.DataFrame(out)

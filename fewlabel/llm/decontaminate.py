@@ -9,11 +9,10 @@ from __future__ import annotations
 import re
 
 import ahocorasick
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fewlabel.llm.common import text_of
+from fewlabel.llm.common import frame, text_of
 from fewlabel.session import durable
 
 WORD = re.compile(r"\w+")
@@ -169,7 +168,8 @@ def _search(items: list[tuple[int, str]], rate: float, id_col: str):
         matcher = Matcher(items, rate)
         for batch in batches:
             out = [(i, *hit) for i, t in zip(batch[id_col], batch["text"]) for hit in matcher.find(t)]
-            yield pd.DataFrame(out, columns=[id_col, "item_id", "distance", "start", "end"])
+            names = [id_col, "item_id", "distance", "start", "end"]
+            yield frame({name: [row[i] for row in out] for i, name in enumerate(names)})
     return run
 
 

@@ -10,11 +10,10 @@ from __future__ import annotations
 import re
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fewlabel.llm.common import text_of
+from fewlabel.llm.common import frame, text_of
 
 # Elements that run along in a line of text; all others end a block of text where they begin and end.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter noscript "
@@ -203,6 +202,6 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def run(batches):
         for batch in batches:
-            yield pd.DataFrame({id_col: batch[id_col], url_col: batch[url_col], "text": [main_text(h) for h in batch["_html"]]})
+            yield frame({id_col: batch[id_col], url_col: batch[url_col], "text": [main_text(h) for h in batch["_html"]]})
 
     return rows.mapInPandas(run, f"`{id_col}` {kinds[id_col]}, `{url_col}` {kinds[url_col]}, text string")

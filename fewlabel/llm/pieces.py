@@ -11,7 +11,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fewlabel.llm.common import text_of
+from fewlabel.llm.common import frame, text_of
 
 MARK = "▁"
 UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -178,7 +178,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
         pieces = Pieces.load(model, merges)
         for batch in batches:
             for part in _slices(batch, text_col, 4_000_000):
-                yield pd.DataFrame({id_col: part[id_col], text_col: part[text_col], "ids": pieces.encode_batch(list(part[text_col]))})
+                yield frame({id_col: part[id_col], text_col: part[text_col], "ids": pieces.encode_batch(list(part[text_col]))})
 
     return rows.mapInPandas(run, f"`{id_col}` {kind}, `{text_col}` string, ids array<int>")
 

@@ -5,12 +5,11 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fewlabel.llm.common import text_of
+from fewlabel.llm.common import frame, text_of
 from fewlabel.llm.components import components
 from fewlabel.session import durable
 
@@ -42,7 +41,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches):
         for batch in batches:
-            yield pd.DataFrame({id_col: batch[id_col], "fingerprint": np.fromiter(
+            yield frame({id_col: batch[id_col], "fingerprint": np.fromiter(
                 (fingerprint(t, width) for t in batch["text"]), dtype=np.int64, count=len(batch))})
 
     kind = rows.schema[id_col].dataType.simpleString()

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fewlabel.llm.common import text_of
+from fewlabel.llm.common import frame, text_of
 from fewlabel.session import durable
 
 BREAK = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
@@ -118,7 +118,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for text in batch[text_col]:
                 _, hashes, _ = runs(text, sentences(text), run_words)
                 out.append(np.unique(hashes))
-            yield pd.DataFrame({id_col: batch[id_col], "h": out})
+            yield frame({id_col: batch[id_col], "h": out})
 
     given = rows.where(F.col(id_col).isNotNull()).mapInPandas(hand_out, f"`{id_col}` {kind}, h array<bigint>")
     given = given.select(F.col(id_col), F.explode("h").alias("h"))
@@ -137,6 +137,6 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 texts.append("".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])))
                 counts.append(n)
                 parts.append([{"start": a, "end": b} for a, b in gone])
-            yield pd.DataFrame({id_col: batch[id_col], text_col: texts, "sentences": counts, "removed": parts})
+            yield frame({id_col: batch[id_col], text_col: texts, "sentences": counts, "removed": parts})
 
     return joined.mapInPandas(cut, f"`{id_col}` {kind}, `{text_col}` string, sentences int, removed array<struct<start:int,end:int>>")

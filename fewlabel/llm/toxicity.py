@@ -9,14 +9,14 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fewlabel.llm.common import held_out, text_of
+from fewlabel.llm.common import frame, held_out, text_of
 
 # What a character may stand for, besides itself if it is a letter.
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a",
@@ -139,7 +139,7 @@ def character_model(docs: DataFrame, text_col: str = "text") -> list[float]:
         for batch in batches:
             total += trigram_counts(batch["text"])
         at = np.flatnonzero(total)
-        yield pd.DataFrame({"triple": at, "n": total[at]})
+        yield frame({"triple": at, "n": total[at]})
 
     rows = docs.select(text_of(text_col).alias("text")).mapInPandas(count, "triple long, n long")
     counts = np.zeros(SYMBOLS ** 3, dtype=np.int64)
@@ -212,7 +212,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def lists(batches):
         reader = Reader(letters, wanted)
         for batch in batches:
-            yield pd.DataFrame({"y": batch["y"], "f": [sorted(reader.read(t)) for t in batch["text"]]})
+            yield frame({"y": batch["y"], "f": [sorted(reader.read(t)) for t in batch["text"]]})
 
     sample = known.orderBy(F.xxhash64(F.col(id_col)), id_col).limit(FIT_ROWS).select("text", "y")
     rows = [(list(r["f"]), r["y"]) for r in sample.mapInPandas(lists, "y int, f array<int>").collect()]
@@ -220,7 +220,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def _counted(total: dict[str, list[int]]) -> pd.DataFrame:
-    return pd.DataFrame({"feature": list(total), "zero": [v[0] for v in total.values()], "one": [v[1] for v in total.values()]})
+    return frame({"feature": list(total), "zero": [v[0] for v in total.values()], "one": [v[1] for v in total.values()]})
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -230,26 +230,15 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     are scored in place, repeated ones alike.
     """
     @F.pandas_udf("double")
-    def rate(texts: pd.Series) -> pd.Series:
-        reader = _reader(model)
-        out = [model.bias + sum(model.weights[i] for i in reader.read(t or "")) for t in texts]
-        return pd.Series(1 / (1 + np.exp(-np.clip(np.array(out, dtype=float), -30, 30))))
+    def rate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        reader = Reader(model.letters, model.names)
+        for texts in batches:
+            out = [model.bias + sum(model.weights[i] for i in sorted(reader.read(t or ""))) for t in texts]
+            yield pd.Series(1 / (1 + np.exp(-np.clip(np.array(out, dtype=float), -30, 30))))
 
     return docs.withColumn("score", rate(text_of(text_col)))
 
 
-_READERS: dict[int, Reader] = {}
-
-
-def _reader(model: Model) -> Reader:
-    """One reader per model and worker, so that words are remembered across batches."""
-    key = id(model)
-    if key not in _READERS:
-        _READERS.clear()
-        _READERS[key] = Reader(model.letters, model.names)
-    return _READERS[key]
-
-
 def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that score below one half, with the columns of ``docs`` as they are."""
     scored = score(docs.withColumnsRenamed({"score": "_score"}), train(docs, labels, id_col, text_col), id_col, text_col)
