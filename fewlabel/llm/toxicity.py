@@ -30,6 +30,7 @@ PLAIN = re.compile(r"[^\W\d_]+")
 REPEAT = re.compile(r"(.)\1\1")
 STARTS = (4, 5, 6)
 FEATURES, FIT_ROWS = 4_000, 20_000
+LEAST_ODDS = 2.5  # bound on a feature's log odds; four labelled texts and none without reach it
 WORDS_KEPT = 300_000
 
 
@@ -148,7 +149,7 @@ def character_model(docs: DataFrame, text_col: str = "text") -> list[float]:
     return log_trigrams(counts)
 
 
-def _fit(rows: list[tuple[list[int], int]], size: int, rounds: int = 300, penalty: float = 0.02) -> tuple[np.ndarray, float]:
+def _fit(rows: list[tuple[list[int], int]], size: int, rounds: int = 300, penalty: float = 0.01) -> tuple[np.ndarray, float]:
     """Logistic regression over binary features by full gradients with a running scale per weight."""
     at = np.repeat(np.arange(len(rows)), [len(f) for f, _ in rows])
     col = np.fromiter((i for f, _ in rows for i in f), dtype=np.int64, count=len(at))
@@ -205,8 +206,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     counts = counts.groupBy("feature").agg(F.sum("zero").alias("zero"), F.sum("one").alias("one"))
     # A lower bound of how much likelier the label is with the feature than without, weighed by how often it says so.
     odds = F.log((F.col("one") + 0.5) / (ones + 1)) - F.log((F.col("zero") + 0.5) / (zeros + 1))
-    worth = (odds - F.sqrt(1 / (F.col("one") + 0.5) + 1 / (F.col("zero") + 0.5))) * F.sqrt("one")
-    best = counts.where("one >= 2").withColumn("worth", worth).where(odds > 1).orderBy(F.desc("worth"), "feature").limit(FEATURES)
+    bound = odds - F.sqrt(1 / (F.col("one") + 0.5) + 1 / (F.col("zero") + 0.5))
+    best = counts.where(bound > LEAST_ODDS).orderBy(F.desc(bound * F.sqrt("one")), "feature").limit(FEATURES)
     wanted = {r["feature"]: i for i, r in enumerate(best.collect())}
 
     def lists(batches):
