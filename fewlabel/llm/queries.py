@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from fewlabel.llm import common, decontaminate, main_text, pieces, pii, secret_scan, simhash, spans, topk, toxicity
+from fewlabel.llm import common, decontaminate, main_text, maxent, pieces, pii, secret_scan, simhash, spans, topk, toxicity
 from fewlabel.plans.registry import query
 from fewlabel.plans.tables import table
 
@@ -95,3 +95,8 @@ def op9(spark, sf):
     rated = toxicity.score(docs, toxicity.train(docs, labels))
     return rated.select("doc_id", common.held_out("doc_id", 5).alias("held_out"), "score",
                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op7_maxent")
+def op7(spark, sf):
+    return maxent.score(table(spark, sf, "documents"))
