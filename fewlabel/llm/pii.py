@@ -142,3 +142,20 @@ def masked(text: Column, spans: Column) -> Column:
     whole = F.aggregate(spans, start, step, lambda acc: F.concat(
         F.array_join(acc["out"], ""), F.substring(text, acc["pos"] + 1, F.length(text))))
     return F.when(F.size(spans) > 0, whole).otherwise(text)
+
+
+def mask(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """``docs``, all columns as they are, with personal data in ``text_col`` replaced by its kind in brackets.
+
+    Where there is such a column, ``length_col`` gets the new number of code points of a changed text. Null and empty
+    texts stay; repeated rows are masked alike.
+    """
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    found = find_pii(docs.select(own, F.col(text_col)), "_row", text_col)
+    changed = found.select("_row", (F.size("spans") > 0).alias("_hit"), masked(F.col(text_col), F.col("spans")).alias("_masked"))
+    columns = []
+    for c in docs.columns:
+        old = F.col("_row").getField(c)
+        new = F.col("_masked") if c == text_col else F.length("_masked").cast("long") if c == length_col else None
+        columns.append((old if new is None else F.when(F.col("_hit"), new).otherwise(old)).alias(c))
+    return changed.select(*columns)

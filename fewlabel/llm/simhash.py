@@ -5,6 +5,7 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -126,3 +127,162 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def hex_text(fingerprint: Column) -> Column:
     """Sixteen lowercase hex digits of a 64-bit fingerprint."""
     return F.lower(F.lpad(F.hex(fingerprint), 16, "0"))
+
+
+# --- wide fingerprints: groups of texts above a shingle similarity -------------------------
+
+WORDS = 32  # 64-bit words of a wide fingerprint
+BLOCK_BITS = 22
+CROWD, TILE = 16, 512
+
+
+def bit_counts(rows: np.ndarray) -> np.ndarray:
+    """How many rows of an ``n x k`` table of 64-bit words have each of the ``64 k`` bits, lowest bit first.
+
+    Rows are added three at a time as bit planes: sums stay on the plane, carries go to the next one.
+    """
+    total = np.zeros(64 * rows.shape[1], dtype=np.int64)
+    weight, plane = 1, rows
+    while len(plane):
+        carried = []
+        while len(plane) > 1:
+            third = len(plane) // 3
+            if third == 0:
+                carried.append(plane[:1] & plane[1:])
+                plane = plane[:1] ^ plane[1:]
+                continue
+            a, b, c = plane[:third], plane[third:2 * third], plane[2 * third:3 * third]
+            both = a ^ b
+            carried.append((a & b) | (c & both))
+            plane = np.concatenate([both ^ c, plane[3 * third:]])
+        total += weight * np.unpackbits(plane.astype("<u8").view(np.uint8).ravel(), bitorder="little").astype(np.int64)
+        weight *= 2
+        plane = np.concatenate(carried) if carried else plane[:0]
+    return total
+
+
+def wide_fingerprint(text: str, width: int) -> np.ndarray:
+    """SimHash of ``64 * WORDS`` bits, as signed words. Words, shingles and short texts are as in ``fingerprint``."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    n = len(words) - width + 1 if len(words) >= width else min(len(words), 1)
+    ones = np.zeros(64 * WORDS, dtype=np.int64)
+    digest, join = xxhash.xxh64_intdigest, b" ".join
+    salts = np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, n, 20_000):
+        part = range(at, min(at + 20_000, n))
+        hashes = np.fromiter((digest(join(words[i:i + width]), SEED) for i in part), dtype=np.uint64, count=len(part))
+        mixed = hashes[:, None] + salts
+        mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        ones += bit_counts(mixed ^ (mixed >> np.uint64(31)))
+    return np.packbits((2 * ones > n).astype(np.uint8), bitorder="little").view("<i8")
+
+
+def differing_bits(similarity: float, deviations: float = 1.5) -> int:
+    """Bits that wide fingerprints of two texts with this Jaccard similarity differ in at most, up to the given deviations.
+
+    Sets of equal size that share ``j`` of their union have cosine ``2 j / (1 + j)``, and a bit differs with the
+    angle's share of a half turn.
+    """
+    bits = 64 * WORDS
+    share = float(np.arccos(min(1.0, 2 * similarity / (1 + similarity))) / np.pi)
+    return int(bits * share + deviations * (bits * share * (1 - share)) ** 0.5)
+
+
+def _blocks(words: np.ndarray) -> np.ndarray:
+    """Block number and value of every block of ``BLOCK_BITS`` bits, packed into one number each."""
+    bits = np.unpackbits(words.view(np.uint8), bitorder="little")
+    count = len(bits) // BLOCK_BITS
+    values = bits[:count * BLOCK_BITS].reshape(count, BLOCK_BITS).astype(np.int64) @ (1 << np.arange(BLOCK_BITS, dtype=np.int64))
+    return (np.arange(count, dtype=np.int64) << 32) | values
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
+                    similarity: float = 0.8) -> DataFrame:
+    """``id_col``: the smallest id of every group of texts linked by a shingle similarity of ``similarity`` or more.
+
+    Equal fingerprints are one node. Nodes that share a block are candidates, and those within ``differing_bits`` are
+    linked: at similarity 0.8 a pair meets in one of the 93 blocks with probability 0.92, at 0.85 with 0.99. Groups of a
+    block with up to ``CROWD`` nodes compare all pairs. A larger one compares every node with its first; where that
+    leaves it in several components, its nodes are dealt into tiles and all tiles compared in parallel, each handing out a
+    spanning set of its links only. So no link is lost to a group's size and no task holds more than two tiles.
+    Rows with a null id take no part.
+    """
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
+
+    def run(batches):
+        for batch in batches:
+            prints = [wide_fingerprint(t, width) for t in batch["text"]]
+            yield frame({"id": batch["id"], "digest": [xxhash.xxh3_128_digest(p.tobytes()) for p in prints], "print": prints})
+
+    prints = durable(rows.mapInPandas(run, "id long, digest binary, print array<bigint>"), "prints")
+    nodes = durable(prints.groupBy("digest").agg(F.min("id").alias("id")), "nodes")
+    prints = prints.join(nodes, ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"]).select(F.col("id").alias("node"), "print")
+    prints = durable(prints, "node_prints")
+
+    def cut(batches):
+        for batch in batches:
+            keys = [_blocks(p) for p in batch["print"]]
+            size = len(keys[0]) if keys else 0
+            yield frame({"key": np.concatenate(keys) if keys else np.empty(0, dtype=np.int64),
+                         "node": np.repeat(batch["node"].to_numpy(), size)})
+
+    keyed = prints.mapInPandas(cut, "key long, node long")
+    groups = durable(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1"), "groups")
+    members = durable(keyed.join(groups, "key"), "members")
+    few = members.where(F.col("n") <= CROWD)
+    pairs = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").where("a < b")
+    star = members.where((F.col("n") > CROWD) & (F.col("node") > F.col("least")))
+    pairs = pairs.select("a", "b").unionByName(star.select(F.col("least").alias("a"), F.col("node").alias("b"))).distinct()
+    most = differing_bits(similarity)
+    left = prints.select(F.col("node").alias("a"), F.col("print").alias("p"))
+    right = prints.select(F.col("node").alias("b"), F.col("print").alias("q"))
+    apart = F.aggregate(F.zip_with("p", "q", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    edges = durable(pairs.join(left, "a").join(right, "b").where(apart <= most).select("a", "b"), "edges")
+    named = components(edges)
+
+    # Crowded groups whose nodes are not all connected yet.
+    crowded = members.where(F.col("n") > CROWD).select("key", "node", "n").join(named, "node", "left").select(
+        "key", "node", "n", F.coalesce("component", "node").alias("component"))
+    split = crowded.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    open_ = durable(crowded.join(durable(split, "split").select("key"), "key", "left_semi"), "open")
+    if not open_.isEmpty():
+        tiles = F.ceil(F.col("n") / TILE).cast("int")
+        own = F.pmod(F.xxhash64("node", "key"), tiles).cast("int")
+        dealt = open_.select("key", "node", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("other"))
+        dealt = dealt.select("key", "node", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        more = dealt.join(prints, "node").groupBy("key", "i", "j").applyInPandas(_tile(most), "a long, b long")
+        named = components(edges.unionByName(more.distinct()))
+    found = nodes.select("id").join(named, nodes["id"] == named["node"], "left")
+    return found.where(F.col("component").isNull() | (F.col("component") == F.col("id"))).select(F.col("id").alias(id_col))
+
+
+def _tile(most: int):
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        """Links between nodes of different components in one pair of tiles, one per pair of components."""
+        rows = rows.drop_duplicates("node")
+        prints = np.stack(rows["print"].to_numpy()).view(np.uint64)
+        nodes, comps, own = (rows[c].to_numpy() for c in ("node", "component", "own"))
+        across = rows["i"].iloc[0] != rows["j"].iloc[0]
+        out = {}
+        for x in range(len(rows)):
+            other = comps != comps[x]
+            if across:
+                other &= own != own[x]
+            near = np.flatnonzero(other)
+            near = near[np.bitwise_count(prints[near] ^ prints[x]).sum(axis=1) <= most]
+            for y in near:
+                out.setdefault((min(comps[x], comps[y]), max(comps[x], comps[y])), (nodes[x], nodes[y]))
+        return pd.DataFrame(list(out.values()), columns=["a", "b"], dtype=np.int64)
+    return compare
+
+
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
+                         similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` that ``representatives`` names, all columns as they are; of rows that share an id one stays.
+
+    Rows with a null id cannot be named as copies and stay.
+    """
+    named, unnamed = docs.where(F.col(id_col).isNotNull()), docs.where(F.col(id_col).isNull())
+    kept = representatives(named, id_col, text_col, width, similarity)
+    return named.join(kept, id_col, "left_semi").dropDuplicates([id_col]).select(docs.columns).unionByName(unnamed)
