@@ -39,6 +39,12 @@ class Pieces:
         self.fits: dict[tuple[str, str], bool] = {}
         self.worst = min(scores, default=0.0) - 10.0
         self.known: dict[str, tuple[int, ...]] = {}
+        # Runs of blanks: where all pieces of marks tie below every other piece, the leftmost pair always merges first,
+        # so a run is cut into longest pieces from the left.
+        run = [MARK * k for k in range(2, self.longest + 1) if MARK * k in self.ids]
+        ties = {scores[self.ids[p]] for p in run}
+        rest = [scores[i] for p, i in self.ids.items() if p.strip(MARK)]
+        self.run = len(run) + 1 if run and len(run[-1]) == len(run) + 1 and len(ties) == 1 and ties.pop() < min(rest, default=0) else 0
 
     @classmethod
     def load(cls, model: bytes, merges: bool = True) -> Pieces:
@@ -71,12 +77,12 @@ class Pieces:
     def encode_words(self, words: list[str]) -> dict[str, tuple[int, ...]]:
         """The ids of every distinct word, in one depth-first walk over the sorted words."""
         out: dict[str, tuple[int, ...]] = {}
-        ids, longest, last = self.ids, self.longest, ""
+        ids, longest, last, blanks = self.ids, self.longest, "", []
         # state[i]: (score, piece) of the best way to end a piece after i characters
         state: list[tuple[float, str]] = [(0.0, "")]
         for word in sorted(words):
-            if word[1:2] == MARK:  # a run of blanks: its pieces tie in score, so merge it as it stands
-                out[word] = self._ids(self.merged(word))
+            if self.merges and word[1:2] == MARK:
+                blanks.append(word)
                 continue
             shared = 0
             for a, b in zip(word, last):
@@ -113,8 +119,26 @@ class Pieces:
                 parts.append(state[end][1])
                 end -= len(parts[-1])
             out[word] = self._ids(parts[::-1])
+        if blanks:
+            self._blank_runs(blanks, out)
         return out
 
+    def _blank_runs(self, words: list[str], out: dict[str, tuple[int, ...]]) -> None:
+        """Words behind a run of marks: the last mark belongs to the word if it merges with it, the others to the run."""
+        if not self.run:
+            out.update({w: self._ids(self.merged(w)) for w in words})
+            return
+        ends = {w: w.lstrip(MARK) for w in words}
+        single = self.encode_words(sorted({MARK + e for e in ends.values() if e}))
+        mark = self.ids.get(MARK)
+        for word, end in ends.items():
+            tail = single[MARK + end] if end else ()
+            marks = len(word) - len(end) - (1 if end else 0)
+            if tail and tail[0] == mark:
+                marks, tail = marks + 1, tail[1:]
+            runs = [MARK * min(self.run, marks - at) for at in range(0, marks, self.run)]
+            out[word] = self._ids(runs) + tail
+
     def _ids(self, parts: list[str]) -> tuple[int, ...]:
         out: list[int] = []
         for p in parts:

@@ -92,7 +92,7 @@ def op8(spark, sf):
 @query("op9_toxicity")
 def op9(spark, sf):
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
-    rated = toxicity.score(docs, toxicity.train(docs, labels))
+    rated = docs.select("doc_id", toxicity.rating(toxicity.train(docs, labels)).alias("score"))
     return rated.select("doc_id", common.held_out("doc_id", 5).alias("held_out"), "score",
                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

@@ -201,8 +201,9 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     similarity: float = 0.8) -> DataFrame:
     """``id_col``: the smallest id of every group of texts linked by a shingle similarity of ``similarity`` or more.
 
-    Equal fingerprints are one node. Nodes that share a block are candidates, and those within ``differing_bits`` are
-    linked: at similarity 0.8 a pair meets in one of the 93 blocks with probability 0.92, at 0.85 with 0.99. Groups of a
+    Equal fingerprints are one node. Nodes that share a block are candidates; those clearly within ``differing_bits`` are
+    linked, and those near the limit when their shingle sets confirm it. At similarity 0.8 a pair meets in one of the 93
+    blocks with probability 0.92, at 0.85 with 0.99. Groups of a
     block with up to ``CROWD`` nodes compare all pairs. A larger one compares every node with its first; where that
     leaves it in several components, its nodes are dealt into tiles and all tiles compared in parallel, each handing out a
     spanning set of its links only. So no link is lost to a group's size and no task holds more than two tiles.
@@ -234,11 +235,13 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").where("a < b")
     star = members.where((F.col("n") > CROWD) & (F.col("node") > F.col("least")))
     pairs = pairs.select("a", "b").unionByName(star.select(F.col("least").alias("a"), F.col("node").alias("b"))).distinct()
-    most = differing_bits(similarity)
+    least, most = differing_bits(similarity, -2.0), differing_bits(similarity, 2.5)
     left = prints.select(F.col("node").alias("a"), F.col("print").alias("p"))
     right = prints.select(F.col("node").alias("b"), F.col("print").alias("q"))
     apart = F.aggregate(F.zip_with("p", "q", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
-    edges = durable(pairs.join(left, "a").join(right, "b").where(apart <= most).select("a", "b"), "edges")
+    near = durable(pairs.join(left, "a").join(right, "b").select("a", "b", apart.alias("apart")).where(F.col("apart") <= most), "near")
+    sure = near.where(F.col("apart") <= least).select("a", "b")
+    edges = durable(sure.unionByName(_confirmed(near, components(sure), rows, width, similarity)), "edges")
     named = components(edges)
 
     # Crowded groups whose nodes are not all connected yet.
@@ -252,14 +255,51 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         dealt = open_.select("key", "node", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("other"))
         dealt = dealt.select("key", "node", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
         more = dealt.join(prints, "node").groupBy("key", "i", "j").applyInPandas(_tile(most), "a long, b long")
-        named = components(edges.unionByName(more.distinct()))
+        more = _confirmed(durable(more.distinct(), "more"), named, rows, width, similarity)
+        named = components(durable(edges.unionByName(more), "all_edges"))
     found = nodes.select("id").join(named, nodes["id"] == named["node"], "left")
     return found.where(F.col("component").isNull() | (F.col("component") == F.col("id"))).select(F.col("id").alias(id_col))
 
 
+def _confirmed(pairs: DataFrame, named: DataFrame, rows: DataFrame, width: int, similarity: float) -> DataFrame:
+    """``a, b``: the pairs across components of ``named`` whose shingle sets really are that similar.
+
+    Only the texts of these pairs travel; near the limit the fingerprint's estimate is off by a few hundredths."""
+    one = named.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    two = named.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    open_ = pairs.join(one, "a", "left").join(two, "b", "left").where(
+        F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    open_ = durable(open_, "uncertain")
+    asked = open_.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = durable(rows.join(asked, "id", "left_semi"), "texts")
+    both = open_.join(texts.select(F.col("id").alias("a"), F.col("text").alias("s")), "a").join(
+        texts.select(F.col("id").alias("b"), F.col("text").alias("t")), "b")
+
+    def run(batches):
+        for batch in batches:
+            keep = [jaccard(s, t, width) >= similarity for s, t in zip(batch["s"], batch["t"])]
+            yield frame({"a": batch["a"][keep], "b": batch["b"][keep]})
+
+    return both.mapInPandas(run, "a long, b long")
+
+
+def _shingles(text: str, width: int) -> set:
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    if len(words) < width:
+        return {tuple(words)}
+    return set(zip(*(words[i:] for i in range(width))))
+
+
+def jaccard(one: str, two: str, width: int) -> float:
+    """Shared shingles over all shingles; texts with fewer words are one shingle."""
+    a, b = _shingles(one, width), _shingles(two, width)
+    shared = len(a & b)
+    return shared / (len(a) + len(b) - shared)
+
+
 def _tile(most: int):
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        """Links between nodes of different components in one pair of tiles, one per pair of components."""
+        """Links between nodes of different components in one pair of tiles, the closest per pair of components."""
         rows = rows.drop_duplicates("node")
         prints = np.stack(rows["print"].to_numpy()).view(np.uint64)
         nodes, comps, own = (rows[c].to_numpy() for c in ("node", "component", "own"))
@@ -270,10 +310,12 @@ def _tile(most: int):
             if across:
                 other &= own != own[x]
             near = np.flatnonzero(other)
-            near = near[np.bitwise_count(prints[near] ^ prints[x]).sum(axis=1) <= most]
-            for y in near:
-                out.setdefault((min(comps[x], comps[y]), max(comps[x], comps[y])), (nodes[x], nodes[y]))
-        return pd.DataFrame(list(out.values()), columns=["a", "b"], dtype=np.int64)
+            apart = np.bitwise_count(prints[near] ^ prints[x]).sum(axis=1)
+            for y, d in zip(near[apart <= most], apart[apart <= most]):
+                sides = min(comps[x], comps[y]), max(comps[x], comps[y])
+                found = (d, min(nodes[x], nodes[y]), max(nodes[x], nodes[y]))
+                out[sides] = min(out.get(sides, found), found)
+        return pd.DataFrame([o[1:] for o in out.values()], columns=["a", "b"], dtype=np.int64)
     return compare
 
 

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fewlabel.llm.common import frame, held_out, text_of
@@ -179,7 +179,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Feature counts cover all of these rows; the ``FEATURES`` that speak most for the label are kept, and the regression
     is fitted on at most ``FIT_ROWS`` rows, those with the smallest hash of their id. Labels other than 0 and 1 are left out;
-    of repeated labels of an id the largest counts. Without labelled rows of both kinds every score is the base rate.
+    of repeated labels of an id the largest counts. Without labelled rows of both kinds every score is the share of the
+    label, which is one third (not toxic) where there are none.
     """
     letters = character_model(docs if corpus is None else corpus, text_col)
     marks = labels.where(F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
@@ -201,7 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     size = {r["y"]: r["count"] for r in sides}
     zeros, ones = size.get(0, 0), size.get(1, 0)
     if not zeros or not ones:
-        return Model(letters, {}, np.zeros(0), math.log((ones + 0.5) / (zeros + 0.5)))
+        return Model(letters, {}, np.zeros(0), math.log((ones + 0.5) / (zeros + 1)))
     counts = known.select("text", "y").mapInPandas(names, "feature string, zero long, one long")
     counts = counts.groupBy("feature").agg(F.sum("zero").alias("zero"), F.sum("one").alias("one"))
     # A lower bound of how much likelier the label is with the feature than without, weighed by how often it says so.
@@ -224,11 +225,10 @@ def _counted(total: dict[str, list[int]]) -> pd.DataFrame:
     return frame({"feature": list(total), "zero": [v[0] for v in total.values()], "one": [v[1] for v in total.values()]})
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``score`` (double, 0 to 1): the probability of the label, from the whole text alone.
+def rating(model: Model, text_col: str = "text") -> Column:
+    """The probability (0 to 1) of the label from the whole text alone, as a column to select or filter by.
 
-    All columns stay; a null text counts as the empty one, whose score is that of a text without any feature. Rows
-    are scored in place, repeated ones alike.
+    A null text counts as the empty one, whose score is that of a text without any feature.
     """
     @F.pandas_udf("double")
     def rate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -237,10 +237,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             out = [model.bias + sum(model.weights[i] for i in sorted(reader.read(t or ""))) for t in texts]
             yield pd.Series(1 / (1 + np.exp(-np.clip(np.array(out, dtype=float), -30, 30))))
 
-    return docs.withColumn("score", rate(text_of(text_col)))
+    return rate(text_of(text_col))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that score below one half, with the columns of ``docs`` as they are."""
-    scored = score(docs.withColumnsRenamed({"score": "_score"}), train(docs, labels, id_col, text_col), id_col, text_col)
-    return scored.where(F.col("score") < 0.5).drop("score").withColumnsRenamed({"_score": "score"}).select(docs.columns)
+    """The rows of ``docs`` that score below one half, with all columns as they are; repeated rows are rated alike."""
+    return docs.where(rating(train(docs, labels, id_col, text_col), text_col) < 0.5)
