@@ -39,12 +39,11 @@ class Pieces:
         self.fits: dict[tuple[str, str], bool] = {}
         self.worst = min(scores, default=0.0) - 10.0
         self.known: dict[str, tuple[int, ...]] = {}
-        # Runs of blanks: where all pieces of marks tie below every other piece, the leftmost pair always merges first,
-        # so a run is cut into longest pieces from the left.
-        run = [MARK * k for k in range(2, self.longest + 1) if MARK * k in self.ids]
-        ties = {scores[self.ids[p]] for p in run}
-        rest = [scores[i] for p, i in self.ids.items() if p.strip(MARK)]
-        self.run = len(run) + 1 if run and len(run[-1]) == len(run) + 1 and len(ties) == 1 and ties.pop() < min(rest, default=0) else 0
+        # How runs of blanks are cut. Where a run of three lengths of the longest piece starts with that piece and goes on
+        # like the run without it, all longer ones do.
+        most = max((k for k in range(1, self.longest + 1) if MARK * k in self.ids), default=1)
+        self.runs = [self.merged(MARK * k) for k in range(3 * most + 1)]
+        self.period = most if all(self.runs[k] == [MARK * most, *self.runs[k - most]] for k in range(2 * most, 3 * most + 1)) else 0
 
     @classmethod
     def load(cls, model: bytes, merges: bool = True) -> Pieces:
@@ -125,7 +124,7 @@ class Pieces:
 
     def _blank_runs(self, words: list[str], out: dict[str, tuple[int, ...]]) -> None:
         """Words behind a run of marks: the last mark belongs to the word if it merges with it, the others to the run."""
-        if not self.run:
+        if not self.period:
             out.update({w: self._ids(self.merged(w)) for w in words})
             return
         ends = {w: w.lstrip(MARK) for w in words}
@@ -136,8 +135,8 @@ class Pieces:
             marks = len(word) - len(end) - (1 if end else 0)
             if tail and tail[0] == mark:
                 marks, tail = marks + 1, tail[1:]
-            runs = [MARK * min(self.run, marks - at) for at in range(0, marks, self.run)]
-            out[word] = self._ids(runs) + tail
+            whole = max(0, (marks - 2 * self.period) // self.period)
+            out[word] = self._ids([MARK * self.period] * whole + self.runs[marks - whole * self.period]) + tail
 
     def _ids(self, parts: list[str]) -> tuple[int, ...]:
         out: list[int] = []

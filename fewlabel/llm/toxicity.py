@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fewlabel.llm.common import frame, held_out, text_of
+from fewlabel.session import durable
 
 # What a character may stand for, besides itself if it is a letter.
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a",
@@ -29,6 +30,7 @@ SPACED = re.compile(r"(?<!\S)\S(?: \S){3,}(?!\S)")
 PLAIN = re.compile(r"[^\W\d_]+")
 REPEAT = re.compile(r"(.)\1\1")
 STARTS = (4, 5, 6)
+BROADCAST_ROWS = 1_000_000
 FEATURES, FIT_ROWS = 4_000, 20_000
 LEAST_ODDS = 2.5  # bound on a feature's log odds; four labelled texts and none without reach it
 WORDS_KEPT = 300_000
@@ -178,13 +180,18 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Learns from the labelled rows that are not held out.
 
     Feature counts cover all of these rows; the ``FEATURES`` that speak most for the label are kept, and the regression
-    is fitted on at most ``FIT_ROWS`` rows, those with the smallest hash of their id. Labels other than 0 and 1 are left out;
+    is fitted on about ``FIT_ROWS`` rows at most, those with the smallest hashes of their id. Labels other than 0 and 1 are left out;
     of repeated labels of an id the largest counts. Without labelled rows of both kinds every score is the share of the
     label, which is one third (not toxic) where there are none.
     """
     letters = character_model(docs if corpus is None else corpus, text_col)
     marks = labels.where(F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
-    known = docs.where(~held_out(id_col, parts)).select(id_col, text_of(text_col).alias("text")).join(marks, id_col)
+    marks = durable(marks, "marks")
+    texts = docs.where(~held_out(id_col, parts)).select(id_col, text_of(text_col).alias("text"))
+    if marks.count() <= BROADCAST_ROWS:  # two numbers a row; the texts stay where they are
+        known = texts.join(F.broadcast(marks), id_col)
+    else:  # the texts are shuffled once and kept, since they are read three times
+        known = durable(texts.join(marks, id_col), "labelled")
 
     def names(batches):
         reader, total = Reader(letters), {}
@@ -216,7 +223,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for batch in batches:
             yield frame({"y": batch["y"], "f": [sorted(reader.read(t)) for t in batch["text"]]})
 
-    sample = known.orderBy(F.xxhash64(F.col(id_col)), id_col).limit(FIT_ROWS).select("text", "y")
+    share = int(2 ** 31 * min(1.0, FIT_ROWS / (zeros + ones)))
+    sample = known.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(2 ** 31)) < share).select("text", "y")
     rows = [(list(r["f"]), r["y"]) for r in sample.mapInPandas(lists, "y int, f array<int>").collect()]
     return Model(letters, wanted, *_fit(rows, len(wanted)))
 
