@@ -9,13 +9,13 @@ from fewlabel.session import durable
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``node, component``: the smallest node reachable from every node of ``edges`` (``a, b`` long, either order).
+    """``node, component``: the smallest node reachable from every other node of ``edges`` (``a, b`` long, either order).
 
     Alternates two steps until nothing changes: every node hands its larger neighbours to its smallest one, then its
     smaller neighbours too, so long chains shrink by halves. A round is two aggregations whose partial results meet a
     hot node early, and two joins with the written minima, whose skewed keys Spark can split; only the answer whether
     to go on reaches the driver.
-    Nodes that appear in no edge are left out; self loops and repeated edges change nothing.
+    The smallest nodes themselves and nodes of no edge are left out; self loops and repeated edges change nothing.
     """
     links = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     if links.isEmpty():

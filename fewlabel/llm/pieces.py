@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -14,8 +16,8 @@ from pyspark.sql import functions as F
 from fewlabel.llm.common import frame, text_of
 
 MARK = "▁"
-UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-KNOWN_WORDS = 400_000  # encoded words a task remembers; beyond it forgets all and goes on
+KNOWN_WORDS = 200_000  # with more encoded words than this a task forgets them before it reads on
+SLICE = 16_000_000  # characters whose words are encoded in one walk
 
 
 class Pieces:
@@ -32,13 +34,31 @@ class Pieces:
 
     def __init__(self, pieces: list[str], scores: list[float], byte_ids: dict[int, int], unknown: int, merges: bool = True,
                  special: frozenset[int] = frozenset()):
-        self.ids = {p: i for i, p in enumerate(pieces) if i not in special and i not in set(byte_ids.values())}
+        raw = special | set(byte_ids.values())
+        self.ids = {p: i for i, p in enumerate(pieces) if i not in raw}
         self.names, self.scores, self.bytes, self.unknown, self.merges = pieces, scores, byte_ids, unknown, merges
         self.special, self.from_byte = special, {i: b for b, i in byte_ids.items()}
         self.longest = max(map(len, self.ids), default=1)
+        self.rank = {p: -scores[i] for p, i in self.ids.items()}
+        # Every ending of a piece with the piece's number, or None where the ending is no piece itself.
+        self.endings: dict[str, int | None] = {p[k:]: None for p in self.ids for k in range(len(p))}
+        self.endings.update(self.ids)
+        # Where two characters never stand together in a piece, no piece can reach over them.
+        self.pairs = {p[k:k + 2] for p in self.ids for k in range(len(p) - 1)}
+        breaks = "".join(c for c in "\n\t\r" if c not in self.endings)
+        inner = f"[^{MARK}{re.escape(breaks)}]" if breaks else f"[^{MARK}]"
+        self.unit = re.compile(f"{MARK}*{inner}+|{MARK}+" + (f"|[{re.escape(breaks)}]+" if breaks else ""))
+        self.shown = [n.replace(MARK, " ") for n in pieces]
+        for i in special:
+            self.shown[i] = ""
+        for i, value in self.from_byte.items():
+            self.shown[i] = chr(value) if value < 128 else ""
+        self.high = np.array([self.from_byte.get(i, 0) > 127 for i in range(len(pieces))] or [False])
         self.fits: dict[tuple[str, str], bool] = {}
         self.worst = min(scores, default=0.0) - 10.0
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.lines = "\n" not in self.endings
+        self.known: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
+
         # How runs of blanks are cut. Where a run of three lengths of the longest piece starts with that piece and goes on
         # like the run without it, all longer ones do.
         most = max((k for k in range(1, self.longest + 1) if MARK * k in self.ids), default=1)
@@ -55,13 +75,15 @@ class Pieces:
 
     def merged(self, text: str) -> list[str]:
         """Merge the adjacent pair with the best score, the first of equals, until no pair is a piece."""
-        parts = list(text)
+        parts, rank = list(text), self.rank.get
         while len(parts) > 1:
-            ranked = [(-self.scores[i], at) for at in range(len(parts) - 1)
-                      if (i := self.ids.get(parts[at] + parts[at + 1])) is not None]
-            if not ranked:
+            best, at = None, 0
+            for i in range(len(parts) - 1):
+                r = rank(parts[i] + parts[i + 1])
+                if r is not None and (best is None or r < best):
+                    best, at = r, i
+            if best is None:
                 break
-            at = min(ranked)[1]
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
@@ -76,11 +98,11 @@ class Pieces:
     def encode_words(self, words: list[str]) -> dict[str, tuple[int, ...]]:
         """The ids of every distinct word, in one depth-first walk over the sorted words."""
         out: dict[str, tuple[int, ...]] = {}
-        ids, longest, last, blanks = self.ids, self.longest, "", []
-        # state[i]: (score, piece) of the best way to end a piece after i characters
-        state: list[tuple[float, str]] = [(0.0, "")]
+        ids, endings, fits, merges, last, blanks = self.ids, self.endings, self.fits, self.merges, "", []
+        # After i characters: the piece that ends there, and for unigrams its score.
+        pieces, sums = [""], [0.0]
         for word in sorted(words):
-            if self.merges and word[1:2] == MARK:
+            if merges and word[1:2] == MARK:
                 blanks.append(word)
                 continue
             shared = 0
@@ -88,36 +110,43 @@ class Pieces:
                 if a != b:
                     break
                 shared += 1
-            del state[shared + 1:]
+            del pieces[shared + 1:], sums[shared + 1:]
             for end in range(shared + 1, len(word) + 1):
                 char = word[end - 1]
                 if char not in ids:  # not in the vocabulary: stands alone, later spelled in bytes
-                    state.append((state[-1][0] + self.worst, char))
+                    pieces.append(char)
+                    sums.append(sums[-1] + self.worst)
                     continue
-                best = None
-                for start in range(max(0, end - longest), end) if self.merges else range(end - 1, max(-1, end - longest - 1), -1):
+                best, most = None, 0.0
+                for start in range(end - 1, -1, -1):
                     piece = word[start:end]
-                    number = ids.get(piece)
+                    number = endings.get(piece, -1)
                     if number is None:
                         continue
-                    if self.merges:
-                        if self._fits(state[start][1], piece):
-                            best = (0.0, piece)
+                    if number < 0:  # no piece ends like this, so none starts further left
+                        break
+                    if merges:
+                        fit = fits.get((pieces[start], piece))
+                        if fit is None:
+                            fit = self._fits(pieces[start], piece)
+                        if fit:
+                            best = piece
                             break
-                    elif best is None or state[start][0] + self.scores[number] > best[0]:
-                        best = (state[start][0] + self.scores[number], piece)
+                    elif best is None or sums[start] + self.scores[number] > most:
+                        best, most = piece, sums[start] + self.scores[number]
                 if best is None:  # scores that tie can leave a prefix open: merge this word as it stands
                     break
-                state.append(best)
-            last = word[:len(state) - 1]
+                pieces.append(best)
+                sums.append(most)
+            last = word[:len(pieces) - 1]
             if last != word:
                 out[word] = self._ids(self.merged(word))
                 continue
-            parts, end = [], len(word)
+            found, end = [], len(word)
             while end:
-                parts.append(state[end][1])
-                end -= len(parts[-1])
-            out[word] = self._ids(parts[::-1])
+                found.append(pieces[end])
+                end -= len(pieces[end])
+            out[word] = self._ids(found[::-1])
         if blanks:
             self._blank_runs(blanks, out)
         return out
@@ -150,29 +179,71 @@ class Pieces:
                 out.append(self.unknown)
         return tuple(out)
 
+    def _cut(self, unit: str) -> list[str]:
+        """The parts of a word that no piece reaches over; a run of marks stays with what follows."""
+        pairs, out, at = self.pairs, [], 0
+        first = len(unit) - len(unit.lstrip(MARK)) if unit[1:2] == MARK else 0
+        for i in range(max(1, first + 1), len(unit)):
+            if unit[i - 1:i + 1] not in pairs:
+                out.append(unit[at:i])
+                at = i
+        out.append(unit[at:])
+        return out
+
+    def _units(self, text: str) -> tuple[bool, list[str]]:
+        """The words of a text. Where blanks stand alone, a split does: a word stands for itself behind a mark, and one
+        that starts with a line break for itself without. Else (True) marked words are cut out by pattern."""
+        if not text:
+            return False, []
+        if "  " in text or text[0] == " " or MARK in text or not self.lines:
+            return True, self.unit.findall(MARK + text.replace(" ", MARK))
+        return False, text.replace("\n", " \n").split(" ")
+
+    def learn(self, texts: list[str]) -> None:
+        """Encode the distinct words of ``texts`` that are not known yet, all in one walk, and remember them."""
+        if len(self.known[0]) + len(self.known[1]) > KNOWN_WORDS:
+            self.known = {}, {}
+        fresh: tuple[set[str], set[str]] = set(), set()
+        for text in texts:
+            marked, words = self._units(text)
+            fresh[marked].update(words)
+        cuts = []
+        for known, words, marked in zip(self.known, fresh, (False, True)):
+            for w in words:
+                if w not in known:
+                    unit = w if marked or w[:1] == "\n" else MARK + w
+                    cuts.append((known, w, [unit] if w.isalpha() else self._cut(unit)))
+        parts = self.encode_words(list({p for _, _, ps in cuts for p in ps}))
+        raw = {p: np.array(ids, dtype=np.int32).tobytes() for p, ids in parts.items()}
+        for known, w, ps in cuts:
+            known[w] = raw[ps[0]] if len(ps) == 1 else b"".join(map(raw.__getitem__, ps))
+
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of whole texts. A blank goes before a text that is not empty; blanks become marks."""
-        units = [UNIT.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        known = self.known
-        fresh = {u for us in units for u in us if u not in known}
-        if len(known) + len(fresh) > KNOWN_WORDS:
-            self.known = known = {u: known[u] for us in units for u in us if u in known}
-        known.update(self.encode_words(list(fresh)))
-        return [np.fromiter((i for u in us for i in known[u]), dtype=np.int32) for us in units]
+        self.learn(texts)
+        out = []
+        for text in texts:
+            marked, words = self._units(text)
+            out.append(np.frombuffer(b"".join(map(self.known[marked].__getitem__, words)), dtype=np.int32))
+        return out
 
     def decode(self, ids) -> str:
         """The text of ``ids``: marks become blanks, the first one goes, control pieces and numbers out of range are
         skipped, bytes that form no character become U+FFFD."""
+        ids = np.asarray(ids, dtype=np.int64)
+        ids = ids[(ids >= 0) & (ids < len(self.names))]
+        if not self.high[ids].any():
+            text = "".join(map(self.shown.__getitem__, ids.tolist()))
+            return text[1:] if text[:1] == " " else text
         out, raw = [], bytearray()
-        for i in ids:
+        for i in ids.tolist():
             if i in self.from_byte:
                 raw.append(self.from_byte[i])
                 continue
             if raw:
                 out.append(raw.decode("utf-8", "replace"))
                 raw.clear()
-            if 0 <= i < len(self.names) and i not in self.special:
-                out.append(self.names[i].replace(MARK, " "))
+            out.append(self.shown[i])
         if raw:
             out.append(raw.decode("utf-8", "replace"))
         text = "".join(out)
@@ -199,9 +270,13 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
     def run(batches):
         pieces = Pieces.load(model, merges)
-        for batch in batches:
-            for part in _slices(batch, text_col, 4_000_000):
-                yield frame({id_col: part[id_col], text_col: part[text_col], "ids": pieces.encode_batch(list(part[text_col]))})
+        gc.disable()  # the walk makes millions of small objects and no cycles
+        try:
+            for batch in batches:
+                for part in _slices(batch, text_col, SLICE):
+                    yield frame({id_col: part[id_col], text_col: part[text_col], "ids": pieces.encode_batch(list(part[text_col]))})
+        finally:
+            gc.enable()
 
     return rows.mapInPandas(run, f"`{id_col}` {kind}, `{text_col}` string, ids array<int>")
 
@@ -215,6 +290,6 @@ def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids", out_col: s
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         pieces = Pieces.load(model)
         for ids in batches:
-            yield pd.Series([pieces.decode([] if i is None else i.tolist()) for i in ids], dtype=object)
+            yield pd.Series([pieces.decode([] if i is None else i) for i in ids], dtype=object)
 
     return encoded.withColumn(out_col, text(F.col(ids_col)))

@@ -24,6 +24,7 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}+"
 ORDINARY = r"[A-Za-z0-9+/_=-]{12,}+"
 STATES = len(ALPHABET) + 1  # the last state stands before the first character
 THRESHOLD = 0.7
+BACKING = 20.0  # weight of a character's own share against what was seen after the one before
 
 
 def _steps(value: Column) -> Column:
@@ -39,15 +40,17 @@ def fit_markov(samples: DataFrame, sample_col: str = "sample", label_col: str =
 
     ``samples`` holds strings with label 1 (random) or 0 (ordinary); others, nulls and empty strings are left out.
     All samples are counted, pre-aggregated per task; only the counts reach the driver (at most ``2 * STATES**2`` rows).
-    ``prior`` is added to every cell, so without samples every ratio is zero.
+    A step is backed by its character's own share, and that by ``prior`` for every character, so without samples every
+    ratio is zero.
     """
     rows = samples.where((F.length(sample_col) > 0) & F.col(label_col).isin(0, 1)).select(
         F.col(label_col).cast("int").alias("label"), F.explode(_steps(F.col(sample_col))).alias("cell"))
-    counts = np.full((2, STATES * STATES), prior)
+    counts = np.zeros((2, STATES, STATES))
     for r in rows.groupBy("label", "cell").count().collect():
-        counts[r["label"], r["cell"]] += r["count"]
-    shares = counts.reshape(2, STATES, STATES)
-    logs = np.log(shares / shares.sum(axis=2, keepdims=True))
+        counts[r["label"]].flat[r["cell"]] = r["count"]
+    shares = (counts.sum(axis=1) + prior) / (counts.sum(axis=(1, 2))[:, None] + prior * STATES)
+    steps = counts + BACKING * shares[:, None, :]
+    logs = np.log(steps / steps.sum(axis=2, keepdims=True))
     return (logs[1] - logs[0]).ravel()
 
 
