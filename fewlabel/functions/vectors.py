@@ -22,16 +22,14 @@ def dot(a, b) -> Column:
     return total(F.zip_with(as_double(a), as_double(b), lambda x, y: x * y))
 
 
-def squared_l2(a, b) -> Column:
-    return total(F.zip_with(as_double(a), as_double(b), lambda x, y: (x - y) * (x - y)))
-
-
 def norm(a) -> Column:
     return F.sqrt(total(F.transform(as_double(a), lambda x: x * x)))
 
 
 def cosine(a, b) -> Column:
-    return F.try_divide(dot(a, b), norm(a) * norm(b))
+    """A zero vector is similar to nothing (0)."""
+    length = norm(a) * norm(b)
+    return F.when(length > 0, dot(a, b) / length).when(length.isNotNull(), 0.0)
 
 
 def unit(a) -> Column:

@@ -1,8 +1,7 @@
-"""Maximal marginal relevance: inside bounded groups, and over a large set in bucketed rounds."""
+"""Maximal marginal relevance: inside bounded groups, and over a large set in two steps."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -54,12 +53,15 @@ def mmr(df: DataFrame, groups: Sequence[str], vec: str, score: str, key: str, *,
     """Greedy selection inside each group; the groups are bounded candidate sets.
 
     ``threshold=None`` or >= 1 keeps everything. Only key, score and vector enter the Python
-    task; the survivors are joined back by key.
+    task; the survivors are joined back by key. A group beyond ``MAX_GROUP_ROWS`` is an error: what one task can hold
+    never decides which rows come out.
     """
     if threshold is None or threshold >= 1:
         return df
 
     def select(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) > MAX_GROUP_ROWS:
+            raise ValueError(f"{len(pdf)} rows in one group; select in more buckets, or with a lower threshold")
         pdf = pdf.sort_values(key, kind="stable").reset_index(drop=True)
         vectors = np.stack(pdf[vec].to_numpy()).astype(np.float64)
         chosen = greedy(vectors, relevance_of(pdf[score].to_numpy()), threshold, min_remained, lambda_param)
@@ -71,30 +73,22 @@ def mmr(df: DataFrame, groups: Sequence[str], vec: str, score: str, key: str, *,
     return rows.join(kept, [*groups, key], "left_semi")
 
 
+def bucket_of(key: str, buckets: int):
+    """An even bucket number by md5, which every engine can repeat."""
+    return F.pmod(F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long"), F.lit(buckets)).cast("int")
+
+
 def mmr_partitioned(df: DataFrame, vec: str, score: str, key: str, *, threshold: float,
-                    min_remained: int, lambda_param: float = 0.5, bucket_rows: int = 20_000,
-                    final_rows: int = MAX_GROUP_ROWS, max_rounds: int = 4) -> DataFrame:
-    """Two-step greedy over a set too large for one task.
+                    min_remained: int, lambda_param: float = 0.5, buckets: int = 1) -> DataFrame:
+    """Greedy selection over one large set.
 
-    Rows are spread over even hash buckets and each bucket keeps its share of ``min_remained``;
-    survivors that fit one task get a final pass. Larger survivor sets are spread anew with
-    another hash, round by round, while they still shrink; what is left then is returned whole.
+    The caller says into how many ``buckets`` the rows are dealt (1: one exact pass). Each keeps its share of
+    ``min_remained`` in parallel, and one last pass always runs over the survivors. The same call gives the same rows at
+    every size; where a bucket or the survivors exceed ``MAX_GROUP_ROWS`` it is an error.
     """
-    rows = durable(df, "mmr-pool")
-    n = rows.count()
-    for round_no in range(max_rounds):
-        if n <= min(bucket_rows, final_rows):
-            break
-        parts = math.ceil(n / bucket_rows)
-        bucket = F.pmod(F.xxhash64(F.lit(round_no), F.col(key)), F.lit(parts)).cast("int")
-        kept = durable(mmr(rows.withColumn("_bucket", bucket), ["_bucket"], vec, score, key,
-                           threshold=threshold, min_remained=max(1, min_remained // parts),
-                           lambda_param=lambda_param).drop("_bucket"), "mmr-round")
-        before, n = n, kept.count()
-        rows = kept
-        if n <= final_rows or n == before:
-            break
-    if min_remained < n <= final_rows:
-        rows = mmr(rows.withColumn("_bucket", F.lit(0)), ["_bucket"], vec, score, key,
-                   threshold=threshold, min_remained=min_remained, lambda_param=lambda_param).drop("_bucket")
-    return rows
+    args = {"threshold": threshold, "lambda_param": lambda_param}
+    rows = df
+    if buckets > 1:
+        rows = mmr(df.withColumn("_bucket", bucket_of(key, buckets)), ["_bucket"], vec, score, key,
+                   min_remained=max(1, min_remained // buckets), **args).drop("_bucket")
+    return mmr(rows.withColumn("_bucket", F.lit(0)), ["_bucket"], vec, score, key, min_remained=min_remained, **args).drop("_bucket")

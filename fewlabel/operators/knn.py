@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fewlabel.functions.ordering import GROUP_LIMIT, top_per_group
+from fewlabel.functions.ordering import GROUP_LIMIT, first_per_group, top_per_group
 from fewlabel.functions.vectors import unit
 from fewlabel.session import durable
 
@@ -29,7 +29,8 @@ METRICS = ("l2", "ip", "cosine")
 QUERY_BLOCK_ROWS = 20_000  # about 120 MB at 768 dimensions
 TILE_CELLS = 2_000_000  # distances computed at once
 TASK_HITS = 5_000_000  # hits one task may hold
-SLACK = 1e-9
+EPS = np.finfo(np.float64).eps
+DIGEST = "_digest"
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -42,10 +43,25 @@ def _fast_distance(q: np.ndarray, p: np.ndarray, metric: str) -> np.ndarray:
     if metric == "l2":
         return (q * q).sum(1)[:, None] + (p * p).sum(1)[None, :] - 2.0 * prod
     if metric == "cosine":
-        prod = prod / (np.sqrt((q * q).sum(1))[:, None] * np.sqrt((p * p).sum(1))[None, :])
+        prod = _share(prod, np.sqrt((q * q).sum(1))[:, None] * np.sqrt((p * p).sum(1))[None, :])
     return -prod
 
 
+def _share(prod: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Cosines; a zero vector is similar to nothing (0)."""
+    return np.divide(prod, length, out=np.zeros(np.broadcast(prod, length).shape), where=length > 0)
+
+
+def _rounding(q: np.ndarray, p: np.ndarray, metric: str) -> np.ndarray:
+    """How far ``_fast_distance`` may be off per query row, on both sides of a comparison: its terms grow with the norms."""
+    if metric == "cosine":
+        scale = np.ones(len(q))
+    else:
+        q2, p2 = (q * q).sum(1), (p * p).sum(1).max(initial=0.0)
+        scale = q2 + p2 if metric == "l2" else np.sqrt(q2 * p2)
+    return 4.0 * (q.shape[1] + 8) * EPS * scale
+
+
 def _ordered_sum(terms) -> np.ndarray:
     acc = 0.0
     for t in terms:
@@ -61,16 +77,16 @@ def _exact_distance(q: np.ndarray, p: np.ndarray, metric: str) -> np.ndarray:
         return _ordered_sum((q[:, j] - p[:, j]) ** 2 for j in dims)
     prod = _ordered_sum(q[:, j] * p[:, j] for j in dims)
     if metric == "cosine":
-        prod = prod / (np.sqrt(_ordered_sum(q[:, j] ** 2 for j in dims))
-                       * np.sqrt(_ordered_sum(p[:, j] ** 2 for j in dims)))
+        prod = _share(prod, np.sqrt(_ordered_sum(q[:, j] ** 2 for j in dims))
+                      * np.sqrt(_ordered_sum(p[:, j] ** 2 for j in dims)))
     return -prod
 
 
 class _Best:
-    """The k best pool rows of every query seen so far in one task."""
+    """The k best pool rows of every query seen so far in one task; with ``distinct`` of equal digests the best only."""
 
-    def __init__(self, n_queries: int, k: int):
-        self.k = k
+    def __init__(self, n_queries: int, k: int, distinct: bool = False):
+        self.k, self.distinct = k, distinct
         self.limit = np.full(n_queries, np.inf)
         self.q = np.empty(0, dtype=np.int64)
         self.dist = np.empty(0)
@@ -83,6 +99,10 @@ class _Best:
         ids = self.rows[id_name].to_numpy()
         ids = ids.astype(str) if ids.dtype == object else ids
         order = np.lexsort((ids, self.dist, self.q))
+        if self.distinct:
+            codes = self.rows[DIGEST].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            pair = self.q[order] * (codes.max(initial=0) + 1) + codes[order]
+            order = order[np.sort(np.unique(pair, return_index=True)[1])]
         q_sorted = self.q[order]
         starts = np.flatnonzero(np.r_[True, q_sorted[1:] != q_sorted[:-1]])
         place = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)]))
@@ -105,7 +125,7 @@ def _codes_index(column: pa.ListArray) -> dict:
 
 def _scan(block: pa.Table, pool: DataFrame, k: int, key_field: T.StructField, pool_id: str,
           query_vec: str, pool_vec: str, metric: str, carry: Sequence[str],
-          codes: str | None) -> DataFrame:
+          codes: str | None, distinct: bool) -> DataFrame:
     """One pass over the pool for one bounded query block."""
     query_id = key_field.name
     sc = pool.sparkSession.sparkContext
@@ -113,17 +133,20 @@ def _scan(block: pa.Table, pool: DataFrame, k: int, key_field: T.StructField, po
         "vec": _matrix(block[query_vec].combine_chunks()),
         "codes": _codes_index(block[codes].combine_chunks()) if codes else None})
     keys = sc.broadcast(block[query_id].combine_chunks())
-    kept = [pool_id, *[c for c in carry if c != pool_id]]
+    kept = [pool_id, *[c for c in carry if c != pool_id], *([DIGEST] if distinct else [])]
     schema = T.StructType([key_field, *[pool.schema[c] for c in kept],
                            T.StructField("dist", T.DoubleType())])
 
     def scan(batches):
         q_all, by_code = payload.value["vec"], payload.value["codes"]
-        best = _Best(len(q_all), k)
+        best = _Best(len(q_all), k, distinct)
+        # The bound on distances is taken around the middle of the queries, where norms are small.
+        middle = q_all.mean(axis=0) if metric == "l2" and len(q_all) else 0.0
         for batch in batches:
             if not batch.num_rows or not len(q_all):
                 continue
             p_all = _matrix(batch.column(pool_vec))
+            text_of = (batch.column(DIGEST).dictionary_encode().indices.to_numpy(zero_copy_only=False) if distinct else None)
             table = pa.Table.from_batches([batch]).select(kept)
             if by_code is None:
                 groups = [(np.arange(len(q_all)), np.arange(len(p_all)))]
@@ -133,13 +156,20 @@ def _scan(block: pa.Table, pool: DataFrame, k: int, key_field: T.StructField, po
             found_q, found_p = [], []
             for q_idx, p_idx in groups:
                 step = max(1, TILE_CELLS // len(p_idx))
+                p_near = p_all[p_idx] - middle
+                if distinct:  # rows of one text side by side, so that the k-th best is one of texts
+                    by_text = np.argsort(text_of[p_idx], kind="stable")
+                    p_idx, p_near = p_idx[by_text], p_near[by_text]
+                    heads = np.flatnonzero(np.r_[True, np.diff(text_of[p_idx]) != 0])
                 for lo in range(0, len(q_idx), step):
                     part = q_idx[lo:lo + step]
-                    d = _fast_distance(q_all[part], p_all[p_idx], metric)
+                    q_near = q_all[part] - middle
+                    d = _fast_distance(q_near, p_near, metric)
                     bound = best.limit[part]
-                    if d.shape[1] > k:
-                        bound = np.minimum(bound, np.partition(d, k - 1, axis=1)[:, k - 1])
-                    a, b = np.nonzero(d <= (bound + SLACK * (1.0 + np.abs(bound)))[:, None])
+                    least = np.minimum.reduceat(d, heads, axis=1) if distinct else d
+                    if least.shape[1] > k:
+                        bound = np.minimum(bound, np.partition(least, k - 1, axis=1)[:, k - 1])
+                    a, b = np.nonzero(d <= (bound + _rounding(q_near, p_near, metric))[:, None])
                     found_q.append(part[a])
                     found_p.append(p_idx[b])
             if not found_q:
@@ -174,13 +204,15 @@ def _blocks(queries: DataFrame, query_id: str, size: int):
 def knn_join(queries: DataFrame, pool: DataFrame, k: int, *, query_id: str = "query_id",
              pool_id: str = "vec_id", query_vec: str = "query_vec", pool_vec: str = "embedding",
              metric: str = "l2", normalize: bool = False, carry: Sequence[str] = (),
-             codes: str | None = None, rank_name: str = "rank") -> DataFrame:
+             codes: str | None = None, rank_name: str = "rank", distinct: str | None = None) -> DataFrame:
     """The k nearest pool rows of every query with ``dist`` and ``rank`` (ties by pool id).
 
     ``dist`` is the squared Euclidean distance, or the negated inner product or cosine, so
     smaller is always closer. Only ``pool_id`` and the ``carry`` columns of the pool travel
     with the hits; attach texts afterwards by key. ``codes`` names an array column present on
-    both sides: a pair is compared only if the two arrays share a value.
+    both sides: a pair is compared only if the two arrays share a value. ``distinct`` names a pool
+    column of which a query gets every value once, at its closest row: k distinct texts come out of one
+    scan however many copies the pool holds. Its digest travels with the hits as ``_digest``.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric: {metric}")
@@ -189,7 +221,9 @@ def knn_join(queries: DataFrame, pool: DataFrame, k: int, *, query_id: str = "qu
         pool = pool.withColumn(pool_vec, unit(pool_vec))
     queries = (queries.where(F.col(query_vec).isNotNull())
                .select(query_id, query_vec, *([codes] if codes else [])))
-    args = (k, queries.schema[query_id], pool_id, query_vec, pool_vec, metric, carry, codes)
+    if distinct:
+        pool = pool.withColumn(DIGEST, F.unhex(F.md5(F.coalesce(F.col(distinct).cast("string"), F.lit("")))))
+    args = (k, queries.schema[query_id], pool_id, query_vec, pool_vec, metric, carry, codes, bool(distinct))
     size = max(1, min(QUERY_BLOCK_ROWS, TASK_HITS // k))
     block = queries.limit(size + 1).toArrow()
     if block.num_rows <= size:
@@ -197,6 +231,8 @@ def knn_join(queries: DataFrame, pool: DataFrame, k: int, *, query_id: str = "qu
     else:
         hits = reduce(DataFrame.unionByName,
                       [_scan(b, pool, *args) for b in _blocks(durable(queries, "queries"), query_id, size)])
+    if distinct:
+        hits = first_per_group(hits, [query_id, DIGEST], ["dist", pool_id])
     per_query = k * hits.rdd.getNumPartitions() if k > GROUP_LIMIT else None  # every task sends k at most
     return top_per_group(hits, [query_id], ["dist", pool_id], k, rank_name, per_query)
 

@@ -13,8 +13,9 @@ from fewlabel.operators.perplexity import perplexity
 
 def build_pool(df: DataFrame, key: str, text: str = "text", *, vec: str = "embedding", encoder=None,
                add_perplexity: bool = False, add_uncertainty: bool = False,
-               mmr_threshold: float | None = None, min_share: float = 0.1) -> DataFrame:
-    """Labelled rows to pool rows. Vectors that are already present are kept as they are."""
+               mmr_threshold: float | None = None, min_share: float = 0.1, mmr_buckets: int = 16) -> DataFrame:
+    """Labelled rows to pool rows. Vectors that are already present are kept as they are. Pruning deals the rows into
+    ``mmr_buckets`` buckets first; give more for a pool of more than a million rows."""
     pool = df if vec in df.columns else embed(df, text, vec, encoder=encoder)
     if add_perplexity:
         pool = pool.join(perplexity(df.select(key, text), key, text), key)
@@ -24,5 +25,6 @@ def build_pool(df: DataFrame, key: str, text: str = "text", *, vec: str = "embed
     if mmr_threshold is not None and mmr_threshold < 1:
         n = pool.count()
         pool = mmr_partitioned(pool.withColumn("_rel", F.lit(1.0)), vec, "_rel", key,
-                               threshold=mmr_threshold, min_remained=max(1, int(n * min_share))).drop("_rel")
+                               threshold=mmr_threshold, min_remained=max(1, int(n * min_share)),
+                               buckets=mmr_buckets).drop("_rel")
     return pool

@@ -41,12 +41,14 @@ def matrix(averages: DataFrame, rows: Sequence[str], column: str, values: Sequen
     return out.select(*rows, *[F.col(f"`{v}`").alias(f"{prefix}{v}") for v in values])
 
 
-def best_model_vote(scores: DataFrame, groups: Sequence[str], model: str, position: str, score: str) -> DataFrame:
-    """Per group the model that reaches the top score at most positions; ties go to the first name."""
+def best_model_vote(scores: DataFrame, groups: Sequence[str], model: str, position: str, score: str,
+                    listed: Sequence[str] = ()) -> DataFrame:
+    """Per group the model that reaches the top score at most positions; ties go to the first of ``listed``, then by name."""
     top = scores.groupBy(*groups, position).agg(F.max(score).alias("_top"))
     wins = (scores.join(top, [*groups, position])
             .groupBy(*groups, model).agg(F.sum((F.col(score) >= F.col("_top")).cast("long")).alias("wins")))
-    w = Window.partitionBy(*groups).orderBy(F.desc("wins"), model)
+    place = F.array_position(F.array(*[F.lit(m) for m in listed]), F.col(model)) if listed else F.lit(0)
+    w = Window.partitionBy(*groups).orderBy(F.desc("wins"), F.when(place > 0, place).otherwise(len(listed) + 1), model)
     return wins.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
@@ -63,6 +65,11 @@ def value_counts(df: DataFrame, *columns: str) -> DataFrame:
     return df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _text_key(text: str):
+    """A digest that tells texts apart; null texts are one text, other than the empty one."""
+    return F.coalesce(F.sha2(text, 256), F.lit("null"))
+
+
 def duplicate_audit(df: DataFrame, text: str, order: Sequence[str]) -> DataFrame:
     """Rows whose text occurred earlier in ``order``.
 
@@ -70,7 +77,7 @@ def duplicate_audit(df: DataFrame, text: str, order: Sequence[str]) -> DataFrame
     the others are looked up so that one very frequent text does not load one task.
     """
     from fewlabel.operators.joins import lookup
-    keyed = df.withColumn("_text", F.sha2(text, 256))
+    keyed = df.withColumn("_text", _text_key(text))
     firsts = durable(keyed.groupBy("_text")
                      .agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(*order)).alias("_first"))
                      .where("_n > 1"), "firsts")
@@ -80,5 +87,5 @@ def duplicate_audit(df: DataFrame, text: str, order: Sequence[str]) -> DataFrame
 
 def duplicate_totals(df: DataFrame, text: str) -> DataFrame:
     """Number of texts and of distinct texts."""
-    per_text = df.groupBy(F.sha2(text, 256).alias("_text")).agg(F.count(F.lit(1)).alias("_n"))
+    per_text = df.groupBy(_text_key(text).alias("_text")).agg(F.count(F.lit(1)).alias("_n"))
     return per_text.agg(F.sum("_n").alias("n_texts"), F.count(F.lit(1)).alias("n_distinct"))

@@ -5,21 +5,24 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fewlabel.functions.ordering import hash_key, hash_rank
 from fewlabel.functions.scaling import min_max
-from fewlabel.operators.diversity import MAX_GROUP_ROWS, mmr, mmr_partitioned
+from fewlabel.operators.diversity import mmr, mmr_partitioned
 from fewlabel.operators.joins import MAX_BROADCAST_ROWS, join_small
-from fewlabel.operators.knn import knn_join
+from fewlabel.operators.knn import DIGEST, knn_join
 from fewlabel.operators.selection import (
     balance_labels, best_rows, dedup_two_stage, exclude, include, weighted_score)
 from fewlabel.session import durable
 
-MAX_ROUNDS = 10  # deepening rounds
+CLUSTER_ROUNDS = 20  # k-means rounds on the candidates of one query
 
 
 def candidate_depth(num_retrieved: int, n_queries: int) -> int:
@@ -58,24 +61,43 @@ def cluster_sizes(df: DataFrame, vec: str = "embedding", seed: int = 42) -> Data
     return join_small(scored, sizes, ["cluster"]).drop("cluster")
 
 
-def _diversify(rows, max_rows, key, threshold, min_remained, lambda_param):
-    """One greedy pass where the candidates fit one task by their bound, bucketed rounds beyond."""
-    args = {"threshold": threshold, "min_remained": min_remained, "lambda_param": lambda_param}
-    if max_rows > MAX_GROUP_ROWS:
-        return mmr_partitioned(rows, "embedding", "dist_norm", key, **args)
-    return mmr(rows.withColumn("_group", F.lit(0)), ["_group"], "embedding", "dist_norm", key, **args).drop("_group")
+def cluster_sizes_within(df: DataFrame, within: Sequence[str], key: str, vec: str = "embedding", seed: int = 42) -> DataFrame:
+    """Size of the cluster of every row among the rows of its group; the groups are bounded candidate sets.
 
-
-def _rescore(rows, weights, within=()):
+    max(n / 100, 50) centres, at most n, drawn by a seed from the rows in key order; a row belongs to the first closest.
+    """
+    def sizes(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(key, kind="stable")
+        x = np.stack(pdf[vec].to_numpy()).astype(np.float64)
+        count = min(max(len(x) // 100, 50), len(x))
+        centres = x[np.sort(np.random.default_rng(seed).permutation(len(x))[:count])]
+        for _ in range(CLUSTER_ROUNDS):
+            home = ((centres ** 2).sum(1)[None, :] - 2 * x @ centres.T).argmin(axis=1)
+            sums = np.zeros_like(centres)
+            np.add.at(sums, home, x)
+            n = np.bincount(home, minlength=count)
+            moved = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres)
+            if np.array_equal(moved, centres):
+                break
+            centres = moved
+        return pdf[[*within, key]].assign(cluster_size=np.bincount(home, minlength=count)[home])
+
+    rows = durable(df, "candidates")
+    sized = rows.select(*within, key, vec).groupBy(*within).applyInPandas(
+        sizes, T.StructType([*[rows.schema[c] for c in (*within, key)], T.StructField("cluster_size", T.LongType())]))
+    return rows.join(sized, [*within, key])
+
+
+def _rescore(rows, weights, within=(), key="doc_id"):
     if weights.get("cluster"):
-        rows = cluster_sizes(rows)
+        rows = cluster_sizes_within(rows, within, key) if within else cluster_sizes(rows)
     return weighted_score(rows, "dist_norm", weights, within=within)
 
 
 def retrieve_multi(queries: DataFrame, pool: DataFrame, num_retrieved: int, k: int = 0, *,
                    pool_id: str = "doc_id", metric: str = "l2", normalize: bool = False,
                    weights: dict[str, float] | None = None, balance: bool = False,
-                   mmr_threshold: float | None = None, lambda_param: float = 0.5,
+                   mmr_threshold: float | None = None, lambda_param: float = 0.5, mmr_buckets: int = 1,
                    policy: str = "query_major", deepen: bool = True, **filters) -> DataFrame:
     """Rows retrieved for a whole query set.
 
@@ -90,25 +112,22 @@ def retrieve_multi(queries: DataFrame, pool: DataFrame, num_retrieved: int, k: i
     k = k or candidate_depth(num_retrieved, n_queries)
     order = ["query_id", "rank"] if policy == "query_major" else ["dist", "query_id", "rank"]
     signals = [c for c in ("uncertainty", "margin", "perplexity") if weights.get(c)]
-    pool_size = None
-    for _ in range(MAX_ROUNDS if deepen else 1):
+    while True:
         hits = durable(knn_join(queries, pool, k, pool_id=pool_id, metric=metric, normalize=normalize,
-                                carry=["lang", "source", "label", *signals]), "hits")
+                                carry=["lang", "source", "label", *signals], distinct="text"), "hits")
         scaled = min_max(hits, {"dist_norm": "dist"})
-        full = attach(scaled, pool, pool_id, ["text"], n_queries * k)
-        unique = durable(dedup_two_stage(full, ["source", pool_id], "text", order), "unique")
-        if not deepen or unique.count() >= 2 * num_retrieved:
-            break
-        pool_size = pool.count() if pool_size is None else pool_size
-        if k >= pool_size:
+        unique = durable(dedup_two_stage(scaled, ["source", pool_id], DIGEST, order), "unique")
+        if not deepen or unique.count() >= 2 * num_retrieved or hits.count() < n_queries * k:
             break
         k *= 2
-    rows = best_rows(unique, 3 * num_retrieved, order)
+    rows = best_rows(unique, 3 * num_retrieved, order).drop(DIGEST)
+    rows = attach(rows, pool, pool_id, ["text"], 3 * num_retrieved)
     need_vec = mmr_threshold is not None or weights.get("cluster")
     if need_vec:
         rows = durable(attach(rows, pool, pool_id, ["embedding"], 3 * num_retrieved), "candidates")
     if mmr_threshold is not None:
-        rows = _diversify(rows, 3 * num_retrieved, pool_id, mmr_threshold, num_retrieved, lambda_param)
+        rows = mmr_partitioned(rows, "embedding", "dist_norm", pool_id, threshold=mmr_threshold,
+                               min_remained=num_retrieved, lambda_param=lambda_param, buckets=mmr_buckets)
     rows = _rescore(rows, weights).drop("embedding")
     final = ["score", "query_id", "rank"]
     return balance_labels(rows, num_retrieved, final) if balance else best_rows(rows, num_retrieved, final)
@@ -119,8 +138,9 @@ def retrieve_per_query(queries: DataFrame, pool: DataFrame, k: int, *, pool_id:
                        weights: dict[str, float] | None = None, balance: bool = False,
                        mmr_threshold: float | None = None, lambda_param: float = 0.5,
                        **filters) -> DataFrame:
-    """k rows for each query on its own: three-fold search, per-query scaling, deduplication,
-    diversity and re-ranking, then the cut; ``position`` is the final place of a row."""
+    """k rows for each query on its own: the 3k nearest distinct texts, per-query scaling, diversity and re-ranking
+    (the cluster criterion within the query's candidates), then the cut; ``position`` is the final place of a row.
+    Only a pool with fewer than k distinct texts gives fewer rows."""
     from fewlabel.functions.ordering import top_per_group
     weights = weights or {}
     pool = filtered_pool(pool, **filters)
@@ -129,7 +149,7 @@ def retrieve_per_query(queries: DataFrame, pool: DataFrame, k: int, *, pool_id:
     signals = [c for c in ("uncertainty", "margin", "perplexity") if weights.get(c)]
     need_vec = mmr_threshold is not None or bool(weights.get("cluster"))
     hits = knn_join(queries, pool, 3 * k, pool_id=pool_id, metric=metric, normalize=normalize,
-                    carry=["lang", "source", "label", *signals])
+                    carry=["lang", "source", "label", *signals], distinct="text").drop(DIGEST)
     hits = min_max(hits, {"dist_norm": "dist"}, within)
     columns = ["text", *(["embedding"] if need_vec else [])]
     hits = attach(hits, pool, pool_id, columns, n_queries * 3 * k)
@@ -137,7 +157,7 @@ def retrieve_per_query(queries: DataFrame, pool: DataFrame, k: int, *, pool_id:
     if mmr_threshold is not None:
         rows = mmr(rows, within, "embedding", "dist_norm", pool_id, threshold=mmr_threshold,
                    min_remained=k, lambda_param=lambda_param)
-    rows = _rescore(rows, weights, within).drop("embedding")
+    rows = _rescore(rows, weights, within, pool_id).drop("embedding")
     final = ["score", "rank"]
     if balance:
         rows = balance_labels(rows, k, final, within=within)
@@ -146,7 +166,8 @@ def retrieve_per_query(queries: DataFrame, pool: DataFrame, k: int, *, pool_id:
 
 def retrieve_random(pool: DataFrame, num_retrieved: int, *, pool_id: str = "doc_id", seed: int = 0,
                     weights: dict[str, float] | None = None, balance: bool = False,
-                    mmr_threshold: float | None = None, lambda_param: float = 0.5, **filters) -> DataFrame:
+                    mmr_threshold: float | None = None, lambda_param: float = 0.5, mmr_buckets: int = 1,
+                    **filters) -> DataFrame:
     """A seeded random draw of max(2n, 100) pool rows, deduplicated, re-ranked and cut."""
     weights = weights or {}
     pool = filtered_pool(pool, **filters).withColumn("_all", F.lit(0))
@@ -155,7 +176,8 @@ def retrieve_random(pool: DataFrame, num_retrieved: int, *, pool_id: str = "doc_
     drawn = drawn.withColumn("dist_norm", F.lit(0.0))
     rows = durable(dedup_two_stage(drawn, ["source", pool_id], "text", ["rank"]), "drawn")
     if mmr_threshold is not None:
-        rows = _diversify(rows, size, pool_id, mmr_threshold, num_retrieved, lambda_param)
+        rows = mmr_partitioned(rows, "embedding", "dist_norm", pool_id, threshold=mmr_threshold,
+                               min_remained=num_retrieved, lambda_param=lambda_param, buckets=mmr_buckets)
     rows = _rescore(rows.drop("_all"), weights).drop("embedding")
     final = ["score", "rank"]
     return balance_labels(rows, num_retrieved, final) if balance else best_rows(rows, num_retrieved, final)

@@ -373,11 +373,11 @@ def q_coherence(spark, sf):
 def q_topic_model(spark, sf):
     """Fitted topics: size, mean entropy and purity of each."""
     vectors = topics.term_vectors(table(spark, sf, "documents").select("doc_id", "text"))
-    rows = topics.assign(vectors, 8, threshold=0.3, iterations=8)
+    rows = topics.assign(vectors, 8, threshold=0.3)
     return _stats(topics.topic_stats(rows, ["topic"])).join(topics.topic_sizes(rows), "topic")
 
 
 @query("choose_topic_count")
 def q_choose(spark, sf):
-    out = topics.choose_topic_count(table(spark, sf, "documents").select("doc_id", "text"), iterations=3)
+    out = topics.choose_topic_count(table(spark, sf, "documents").select("doc_id", "text"))
     return out.withColumn("coherence", rnd("coherence", 5))

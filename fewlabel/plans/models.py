@@ -14,9 +14,11 @@ from fewlabel.plans.tables import table, with_vectors
 
 
 def _sets(spark, sf):
-    """Training rows (source 0 = es, 1 = retrieved) and all labelled rows to score."""
+    """Training rows (source 0 = es, 1 = retrieved) and the held-out quarter to score, split by a digest of the id."""
     x = with_vectors(spark, sf).select("doc_id", "lang", "label", "embedding", "text", "n_chars")
-    train = (x.withColumn("source", (F.col("lang") != "es").cast("int"))
+    out = F.substring(F.md5(F.col("doc_id").cast("string")), 1, 1).isin("0", "1", "2", "3")
+    x, rest = x.where(out), x.where(~out)
+    train = (rest.withColumn("source", (F.col("lang") != "es").cast("int"))
              .withColumn("score", F.col("n_chars") / 1000.0).withColumnRenamed("doc_id", "id"))
     return train, x
 
@@ -35,8 +37,8 @@ def q_embed(spark, sf):
 
 @query("uncertainty_signals")
 def q_uncertainty(spark, sf):
-    _, rows = _sets(spark, sf)
-    out = classify.uncertainty_signals(classify.fit(rows), rows)
+    train, rows = _sets(spark, sf)
+    out = classify.uncertainty_signals(classify.fit(train), rows)
     return out.select("doc_id", "pred", rnd("uncertainty").alias("uncertainty"), rnd("margin").alias("margin"))
 
 

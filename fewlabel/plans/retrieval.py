@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from fewlabel.operators import knn
@@ -74,6 +76,13 @@ def knn_join_normalised(spark, sf):
     return _shown(knn.knn_join(_queries(x), exclude(x, "lang", ["es"]), 10, normalize=True))
 
 
+@query("knn_join_offset", _knn_sql(sql_l2("q.u", "p.u"), "p.lang <> 'es'", v="[c + 10000 FOR c IN v]"))
+def knn_join_offset(spark, sf):
+    """Vectors far from the origin, whose norms hide their distances."""
+    x = _vectors(spark, sf).withColumn("embedding", F.transform("embedding", lambda c: c.cast("double") + F.lit(10000.0)))
+    return _shown(knn.knn_join(_queries(x), exclude(x, "lang", ["es"]), 10))
+
+
 @query("ivf_all_cells", _knn_sql(sql_l2("q.v", "p.v"), "p.lang <> 'es'"))
 def ivf_all_cells(spark, sf):
     """The cell join that probes every cell equals the exact join."""
@@ -117,13 +126,14 @@ def cluster_score(spark, sf):
 
 # --- retrieval ----------------------------------------------------------------------------
 
-def _base_sql(k: int | str, partition: str, order: str) -> str:
-    """hits -> scaled -> two-stage first-wins; ``partition`` is '' or 'query_id, '."""
+def _base_sql(k: int | str, partition: str, order: str, rows: str = "first") -> str:
+    """hits of distinct texts (of all rows where ``rows`` is 'p') -> scaled -> two-stage first-wins; ``partition`` is '' or 'query_id, '."""
     over = f"PARTITION BY {partition.rstrip(', ')}" if partition else ""
     return f"""WITH x AS ({WITH_VECTORS}),
       p AS (SELECT q.doc_id AS query_id, p.doc_id, p.lang, p.source, p.label, p.text, {sql_l2('q.v', 'p.v')} AS dist
             FROM x q, x p WHERE q.lang = 'es' AND p.lang <> 'es'),
-      h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, doc_id) AS rank FROM p)
+      first AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY query_id, text ORDER BY dist, doc_id) = 1),
+      h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, doc_id) AS rank FROM {rows})
             WHERE rank <= {k}),
       s AS (SELECT *, CASE WHEN max(dist) OVER ({over}) > min(dist) OVER ({over})
             THEN (dist - min(dist) OVER ({over})) / (max(dist) OVER ({over}) - min(dist) OVER ({over})) ELSE 0 END AS dist_norm FROM h),
@@ -196,6 +206,13 @@ def q_retrieve_balanced(spark, sf):
         "query_id", "doc_id", "label", F.col("position").cast("long").alias("position"))
 
 
+@query("retrieve_per_query_clustered")
+def q_retrieve_clustered(spark, sf):
+    """The size of a candidate's cluster among its query's candidates as a criterion."""
+    return per_query_hits(spark, sf, k=40, weights={"cluster": 0.5}).select(
+        "query_id", "doc_id", F.col("position").cast("long").alias("position"), "cluster_size", rnd("score").alias("score"))
+
+
 @query("retrieve_random", f"""WITH p AS (SELECT * FROM ({LABELLED}) WHERE lang <> 'es'),
   r AS (SELECT *, row_number() OVER (ORDER BY md5(doc_id::VARCHAR || '-0')) AS rank FROM p),
   d1 AS (SELECT * FROM r WHERE rank <= 100),
@@ -215,9 +232,9 @@ def q_candidate_depth(spark, sf):
     return q.agg(F.count(F.lit(1)).alias("n_queries")).withColumn("k", F.lit(candidate_depth(20, n)).cast("long"))
 
 
-_DEEPEN = """(SELECT min(k) FROM (SELECT unnest([1, 2, 4, 8, 16, 32, 64, 128, 256, 512]) AS k) WHERE
-    k = 512 OR k >= (SELECT count(*) FROM x WHERE lang <> 'es') OR 100 <= (SELECT count(DISTINCT text) FROM
-    (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, doc_id) AS rank FROM p) WHERE rank <= k))"""
+_DEEPEN = """(SELECT min(k) FROM (SELECT unnest([1::BIGINT << i FOR i IN range(0, 40)]) AS k) WHERE
+    k > (SELECT count(DISTINCT text) FROM x WHERE lang <> 'es') OR 100 <= (SELECT count(DISTINCT text) FROM
+    (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, doc_id) AS rank FROM first) WHERE rank <= k))"""
 
 
 @query("adaptive_depth", f"""{_base_sql(_DEEPEN, '', 'query_id, rank')},
@@ -232,7 +249,7 @@ def adaptive_depth(spark, sf):
 
 # --- selection ----------------------------------------------------------------------------
 
-@query("dedup_two_stage", f"""{_base_sql(10, '', 'query_id, rank')} SELECT query_id, rank, doc_id, source FROM d2""")
+@query("dedup_two_stage", f"""{_base_sql(10, '', 'query_id, rank', 'p')} SELECT query_id, rank, doc_id, source FROM d2""")
 def q_dedup(spark, sf):
     x = with_vectors(spark, sf)
     pool, q = exclude(x, "lang", ["es"]), target_queries(x)
@@ -320,12 +337,22 @@ def mmr_multi(spark, sf):
         "doc_id", "query_id", rnd("score").alias("score"))
 
 
-@query("mmr_partitioned")
+def _step(tag: str, src: str, group: str, threshold: float, min_remained: int) -> str:
+    """``_mmr_sql`` with its relations named by ``tag``."""
+    return re.sub(r"\b(mr|ms|walk|wl|kept)\b", rf"\1_{tag}", _mmr_sql(src, group, threshold, min_remained))
+
+
+MMR_PARTITIONED = f"""WITH RECURSIVE x AS (SELECT vec_id AS doc_id, embedding::DOUBLE[] AS v FROM embeddings),
+  c0 AS (SELECT doc_id, v[1] AS dist_norm, (('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % 4) AS bucket FROM x),
+  {_step('a', 'c0', 'bucket', 0.3, 25)}, c1 AS (SELECT c0.* FROM c0 JOIN kept_a USING (doc_id)), {_step('b', 'c1', '0', 0.3, 100)}
+  SELECT doc_id AS vec_id FROM kept_b"""
+
+
+@query("mmr_partitioned", MMR_PARTITIONED)
 def q_mmr_partitioned(spark, sf):
-    """Two-step selection over all vectors, in several buckets."""
-    x = table(spark, sf, "embeddings").select("vec_id", "embedding").withColumn("rel", F.lit(0.0))
-    return mmr_partitioned(x, "embedding", "rel", "vec_id", threshold=0.3, min_remained=100,
-                           bucket_rows=400).select("vec_id")
+    """Two-step selection over all vectors, dealt into four buckets."""
+    x = table(spark, sf, "embeddings").select("vec_id", "embedding").withColumn("rel", F.col("embedding")[0].cast("double"))
+    return mmr_partitioned(x, "embedding", "rel", "vec_id", threshold=0.3, min_remained=100, buckets=4).select("vec_id")
 
 
 @query("pool_build")

@@ -15,11 +15,12 @@ from fewlabel.sources import labelled as lab
 from fewlabel.sources import naming, tables as st
 
 
-@query("ingest_csv", f"""SELECT source AS dataset_name, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1)::VARCHAR AS id, text, label
-  FROM ({LABELLED})""")
+@query("ingest_csv", f"""SELECT 'my set+' || source || '%' AS dataset_name, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1)::VARCHAR AS id,
+  CASE WHEN n_chars < 700 THEN '' ELSE text END AS text, label FROM ({LABELLED})""")
 def ingest_csv(spark, sf):
     path = scratch_path(spark, "csv")
-    rows = labelled(spark, sf).select("doc_id", "text", "label", F.col("source").alias("dataset"))
+    name = F.concat(F.lit("my set+"), "source", F.lit("%"))
+    rows = labelled(spark, sf).select("doc_id", F.when(F.col("n_chars") < 700, "").otherwise(F.col("text")).alias("text"), "label", name.alias("dataset"))
     lab.write_labelled(rows, path, ["doc_id"])
     return lab.read_labelled_csv(spark, path).select("dataset_name", "id", "text", "label")
 
@@ -78,14 +79,26 @@ def raw_multi_format(spark, sf):
     return lab.read_raw_folder(spark, path, "text string, label string").select("dataset_name", "text", "label")
 
 
-@query("resolve_dataset_name", """WITH n AS (SELECT source || '_' || lang || CASE WHEN n_chars < 1000 THEN '' ELSE '-' || n_chars::VARCHAR || '-rs1' END AS name FROM documents)
-  SELECT name, string_split(name, '-')[1] AS source, string_split(string_split(name, '-')[1], '_')[-1] AS language,
-  coalesce(string_split(name, '-')[2], 'full') AS size, coalesce(string_split(name, '-')[3], 'full') AS seed,
-  (string_split(string_split(name, '-')[1], '_')[-1] = 'en' OR string_split(name, '-')[2] IS NULL OR string_split(name, '-')[2]::INT <= 2000) AS valid FROM n""")
+_SOURCES = {"src0_en": {"train": 4000}, "src1_en": {"train": 900, "test": 700}, "src2_de": {"train": 3000, "dev": 100},
+            "src3_fr": {"train": 20}, "src5_es": {"train": 50, "test": 60, "dev": 70}}
+
+
+def _size_sql(split: str) -> str:
+    default = {"test": 2000, "dev": 500}.get(split)
+    whens = " ".join(f"WHEN '{k}' THEN {v.get(split, default)}" for k, v in _SOURCES.items())
+    return f"(CASE source {whens} END)::INT AS {split}_size"
+
+
+@query("resolve_dataset_name", f"""WITH n AS (SELECT source || '_' || lang || CASE WHEN n_chars < 1000 THEN '' ELSE '-' || n_chars::VARCHAR || '-rs1' END AS name FROM documents),
+  p AS (SELECT name, string_split(name, '-')[1] AS source, string_split(string_split(name, '-')[1], '_')[-1] AS language,
+  coalesce(string_split(name, '-')[2], 'full') AS size, coalesce(string_split(name, '-')[3], 'full') AS seed FROM n)
+  SELECT *, source IN ({', '.join(f"'{k}'" for k in _SOURCES)}) AND (language = 'en' OR size = 'full' OR try_cast(size AS INT) <= 2000) AS valid,
+    {_size_sql('train')}, {_size_sql('test')}, {_size_sql('dev')} FROM p""")
 def q_resolve(spark, sf):
     suffix = F.when(F.col("n_chars") < 1000, "").otherwise(F.concat(F.lit("-"), F.col("n_chars").cast("string"), F.lit("-rs1")))
     names = table(spark, sf, "documents").select(F.concat("source", F.lit("_"), "lang", suffix).alias("name"))
-    return naming.resolve(names).select("name", "source", "language", "size", "seed", "valid")
+    return naming.resolve(names, catalogue=_SOURCES).select("name", "source", "language", "size", "seed", "valid",
+                                                            "train_size", "test_size", "dev_size")
 
 
 @query("split_table_roundtrip", """WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR || '-123')) AS p FROM documents)
@@ -129,10 +142,11 @@ def retrieved_sink(spark, sf):
             .agg(F.count(F.lit(1)).alias("n"), F.sum("position").alias("positions"), rnd(F.sum("score")).alias("score")))
 
 
-@query("metric_tree_scan", f"SELECT source, size, seed, {sql_rnd('f1_macro')} AS f1_macro FROM ({RUNS})")
+@query("metric_tree_scan", f"SELECT 'org/' || source || ':1 a+b 100%' AS source, size, seed, {sql_rnd('f1_macro')} AS f1_macro FROM ({RUNS})")
 def metric_tree_scan(spark, sf):
     path = scratch_path(spark, "runs")
-    st.save_runs(runs(spark, sf).select("source", "size", "seed", F.col("f1_macro").alias("eval_f1_macro")), path,
+    name = F.concat(F.lit("org/"), "source", F.lit(":1 a+b 100%"))
+    st.save_runs(runs(spark, sf).select(name.alias("source"), "size", "seed", F.col("f1_macro").alias("eval_f1_macro")), path,
                  ["source", "size", "seed"])
     found = st.scan_runs(spark, path, "eval_f1_macro double, test_f1_macro double", ["source", "size", "seed"])
     return found.select("source", "size", "seed", rnd(F.coalesce("eval_f1_macro", "test_f1_macro")).alias("f1_macro"))

@@ -45,10 +45,10 @@ def predictions(spark, sf) -> DataFrame:
 
 
 def probabilities(spark, sf) -> DataFrame:
-    """Four class shares per vector: the first four components squared and normalised."""
-    p = F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double") * x.cast("double"))
+    """Class shares per vector: all components squared and normalised."""
+    p = F.transform("embedding", lambda x: x.cast("double") * x.cast("double"))
     e = table(spark, sf, "embeddings").withColumn("sq", p)
-    mass = F.col("sq")[0] + F.col("sq")[1] + F.col("sq")[2] + F.col("sq")[3]
+    mass = F.aggregate("sq", F.lit(0.0), lambda a, x: a + x)
     return e.withColumn("probs", F.transform("sq", lambda x: x / mass)).drop("sq")
 
 
@@ -68,8 +68,8 @@ LABELLED = "SELECT d.*, l.quality, l.toxic, l.toxic AS label FROM documents d JO
 WITH_VECTORS = (f"SELECT b.*, e.embedding::DOUBLE[] AS v, e.label AS topic FROM ({LABELLED}) b "
                 "JOIN embeddings e ON e.vec_id = b.doc_id")
 PREDICTIONS = f"SELECT *, CASE WHEN n_chars < 700 THEN -1 ELSE 1 - quality END AS pred FROM ({LABELLED})"
-PROBABILITIES = """SELECT vec_id, label, [x / (s[1] + s[2] + s[3] + s[4]) FOR x IN s] AS probs FROM (
-  SELECT vec_id, label, [x * x FOR x IN embedding[1:4]::DOUBLE[]] AS s FROM embeddings)"""
+PROBABILITIES = """SELECT vec_id, label, [x / list_reduce(s, lambda a, b: a + b) FOR x IN s] AS probs FROM (
+  SELECT vec_id, label, [x * x FOR x IN embedding::DOUBLE[]] AS s FROM embeddings)"""
 RUNS = f"""SELECT source, CASE WHEN n_chars < 1000 THEN '10' WHEN n_chars < 3000 THEN '100' ELSE '1000' END AS size,
   'rs' || (ascii(substr(md5(doc_id::VARCHAR), 1, 1)) % 5 + 1)::VARCHAR AS seed,
   avg(CASE WHEN quality <> label THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS f1_macro

@@ -12,13 +12,37 @@ from fewlabel.operators.joins import join_small
 from fewlabel.operators.selection import cap_rows
 
 _CSV = {"quote": '"', "escape": '"', "multiLine": True, "ignoreLeadingWhiteSpace": True,
-        "header": True, "enforceSchema": True, "encoding": "UTF-8", "mode": "PERMISSIVE"}
+        "header": True, "enforceSchema": True, "encoding": "UTF-8", "mode": "PERMISSIVE",
+        # A quoted empty field is an empty text; an unquoted one and a missing one come as null.
+        "nullValue": "\u0001", "emptyValue": ""}
 
 
 def _read(spark: SparkSession, path, schema: str, sep: str = ",", **options) -> DataFrame:
     return spark.read.schema(schema).options(**{**_CSV, "sep": sep, **options}).csv(path)
 
 
+def file_path(times: int = 1) -> Column:
+    """The path of a row's file as it was named. Spark reports it percent-encoded; values of ``key=value`` folders are
+    encoded twice. A plus sign stands for itself."""
+    path = F.col("_metadata.file_path")
+    for _ in range(times):
+        path = F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
+    return path
+
+
+def folder_value(key: str) -> Column:
+    """The value of a ``key=`` folder of a row's file."""
+    found = F.regexp_extract(F.col("_metadata.file_path"), rf"/{key}=([^/]+)/", 1)
+    for _ in range(2):
+        found = F.coalesce(F.try_url_decode(F.replace(found, F.lit("+"), F.lit("%2B"))), found)
+    return found
+
+
+def _texts(rows: DataFrame, label: str = "label") -> DataFrame:
+    """Rows that have their ``label`` field; a text that is missing before it is an empty one."""
+    return rows.where(F.col(label).isNotNull()).withColumn("text", F.coalesce("text", F.lit("")))
+
+
 def number_rows(df: DataFrame, groups: Sequence[str], name: str = "row_idx") -> DataFrame:
     """0-based row number in file order inside each group.
 
@@ -36,16 +60,15 @@ def number_rows(df: DataFrame, groups: Sequence[str], name: str = "row_idx") ->
 
 def dataset_of_path(suffix: str = "(?:csv|tsv)") -> Column:
     """Dataset name from the path: the ``dataset=`` folder, or else the file stem."""
-    path = F.col("_metadata.file_path")
-    folder = F.regexp_extract(path, r"/dataset=([^/]+)/", 1)
-    return F.when(folder != "", folder).otherwise(F.regexp_extract(path, rf"([^/]+)\.{suffix}$", 1))
+    folder = folder_value("dataset")
+    return F.when(folder != "", folder).otherwise(F.regexp_extract(file_path(), rf"([^/]+)\.{suffix}$", 1))
 
 
 def read_labelled_csv(spark: SparkSession, path, sep: str = ",") -> DataFrame:
     """(dataset_name, id, text, label): the first two columns; rows with fewer than two fields are
-    dropped before ids are given."""
+    dropped before ids are given, rows with an empty text are not."""
     raw = _read(spark, path, "text string, label string", sep, recursiveFileLookup=True)
-    rows = raw.withColumn("dataset_name", dataset_of_path()).where(F.col("text").isNotNull() & F.col("label").isNotNull())
+    rows = _texts(raw.withColumn("dataset_name", dataset_of_path()))
     rows = number_rows(rows, ["dataset_name"])
     return rows.select("dataset_name", F.col("row_idx").cast("string").alias("id"), "row_idx", "text",
                        F.col("label").cast("double").cast("int").alias("label"))
@@ -55,10 +78,7 @@ def read_parallel_tsv(spark: SparkSession, path) -> DataFrame:
     """(language, source, row_idx, text, label) of ``language=/source=`` folders; equal (source, row_idx)
     means the same sentence."""
     raw = _read(spark, path, "text string, label string", "\t", recursiveFileLookup=True)
-    file = F.col("_metadata.file_path")
-    rows = (raw.withColumn("language", F.regexp_extract(file, r"/language=([^/]+)/", 1))
-            .withColumn("source", F.regexp_extract(file, r"/source=([^/]+)/", 1))
-            .where(F.col("label").isNotNull()))
+    rows = _texts(raw.withColumn("language", folder_value("language")).withColumn("source", folder_value("source")))
     return number_rows(rows, ["language", "source"]).select(
         "language", "source", "row_idx", "text", F.col("label").cast("int").alias("label"))
 
@@ -102,8 +122,7 @@ def functional_rows(df: DataFrame, lang: str = "language") -> DataFrame:
 def read_functional_tests(spark: SparkSession, path) -> DataFrame:
     """Files with ``id, <ignored>, text, label`` below ``language=`` folders; the id is kept."""
     raw = _read(spark, path, "id string, skipped string, text string, label string", recursiveFileLookup=True)
-    lang = F.regexp_extract(F.col("_metadata.file_path"), r"/language=([^/]+)/", 1)
-    return functional_rows(raw.withColumn("language", lang)).select(
+    return functional_rows(_texts(raw.withColumn("language", folder_value("language")))).select(
         "language", "id", "text", F.col("label").cast("int").alias("label"))
 
 
@@ -123,7 +142,7 @@ def read_country_slice(spark: SparkSession, path, cap: int = MAX_COUNTRY_NEGATIV
     """Files with ``id, text, label, <ignored>, country``."""
     raw = _read(spark, path, "id string, text string, label string, skipped string, country string",
                 recursiveFileLookup=True).withColumn("_all", F.lit(0))
-    rows = number_rows(raw.where(F.col("country").isNotNull()), ["_all"]).drop("_all")
+    rows = number_rows(_texts(raw, "country"), ["_all"]).drop("_all")
     return country_slice(rows, ["row_idx"], cap).select("language", "id", "text", "label")
 
 

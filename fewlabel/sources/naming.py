@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fewlabel.functions.labels import literal_map
+
 # Catalogue of sources with the sizes of their full splits (default test 2000, dev 500).
 CATALOGUE = {
     "bas19_es": {"train": 4100},
@@ -45,19 +47,30 @@ def split_subset(name) -> dict[str, Column]:
     return {"collection": parts[0], "subset": F.get(parts, F.lit(1))}
 
 
-def resolve(df: DataFrame, name: str = "name") -> DataFrame:
-    """Add the parsed parts and ``valid``: only English has samples beyond 2000."""
+def resolve(df: DataFrame, name: str = "name", catalogue: dict[str, dict[str, int]] | None = None) -> DataFrame:
+    """Add the parsed parts, ``valid`` and the sizes of the full splits.
+
+    A name is valid if ``catalogue`` (default ``CATALOGUE``) lists its source, and only English has samples beyond 2000.
+    Sizes that the catalogue leaves open are ``DEFAULT_SIZES``; an unknown source has none.
+    """
+    catalogue = CATALOGUE if catalogue is None else catalogue
     for k, v in parse_name(name).items():
         df = df.withColumn(k, v)
-    size = F.expr("try_cast(size AS int)")
-    return df.withColumn("valid", (F.col("language") == "en") | size.isNull() | (size <= MAX_OTHER_SIZE))
+    size, known = F.expr("try_cast(size AS int)"), F.col("source").isin(*catalogue)
+    df = df.withColumn("valid", known & ((F.col("language") == "en") | size.isNull() | (size <= MAX_OTHER_SIZE)))
+    for split in ("train", "test", "dev"):
+        sizes = {k: v.get(split, DEFAULT_SIZES.get(split)) for k, v in catalogue.items()}
+        df = df.withColumn(f"{split}_size", literal_map({k: v for k, v in sizes.items() if v is not None})[F.col("source")])
+    return df
 
 
-def select_dataset(table: DataFrame, name: str) -> DataFrame:
+def select_dataset(table: DataFrame, name: str, catalogue: dict[str, dict[str, int]] | None = None) -> DataFrame:
     """Rows of a named dataset from a table laid out by ``dataset_name, split, n, rs``: the name becomes
     partition predicates. Test and validation rows belong to every size."""
     source, *rest = name.split("-")
     language = source.split("_")[-1]
+    if catalogue is not None and source not in catalogue:
+        raise ValueError(f"unknown dataset: {name}")
     if rest and language != "en" and int(rest[0]) > MAX_OTHER_SIZE:
         raise ValueError(f"no training sample of that size: {name}")
     n, rs = (rest[0], rest[1]) if rest else ("full", "full")

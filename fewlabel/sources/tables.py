@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 
 def save_pool(pool: DataFrame, path: str, by: Sequence[str] = ("lang", "source"), mode: str = "append",
-              files_per_key: int | None = None) -> None:
+              files_per_key: int | None = 64) -> None:
     """Parquet laid out by language and dataset (and cell), so filters prune folders.
 
-    Without ``files_per_key`` every task writes its own rows. With it, rows are first spread over that many
-    tasks per key by a salt, so that a dataset with a third of the rows still has many writers.
+    Rows are first spread over ``files_per_key`` tasks per key by a salt, so that a dataset with a third of the rows
+    still has many writers and no key has more files than that. With None every task writes its own rows.
     """
     if files_per_key:
         pool = (pool.withColumn("_salt", F.pmod(F.xxhash64(*pool.columns), F.lit(files_per_key)))
@@ -60,7 +60,9 @@ def scan_runs(spark: SparkSession, path: str, metrics: str, keys: Sequence[str],
     for i, k in enumerate(keys):
         found = (F.regexp_extract("_path", pattern, i + 1) if pattern
                  else F.regexp_extract("_path", rf"/{k}=([^/]+)/", 1))
-        rows = rows.withColumn(k, F.url_decode(found))
+        for _ in range(1 if pattern else 2):  # the path is percent-encoded, folder values once more; a plus is itself
+            found = F.coalesce(F.try_url_decode(F.replace(found, F.lit("+"), F.lit("%2B"))), found)
+        rows = rows.withColumn(k, found)
     return rows.drop("_path")
 
 

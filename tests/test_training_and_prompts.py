@@ -234,6 +234,8 @@ def test_dataset_names(spark):
     df = spark.createDataFrame([("bas19_es-20-rs3",), ("dyn21_en",), ("bas19_es-3000-rs1",), ("dyn21_en-3000-rs1",)], "name string")
     rows = {r.name: r for r in naming.resolve(df).collect()}
     assert (rows["bas19_es-20-rs3"].source, rows["bas19_es-20-rs3"]["size"], rows["bas19_es-20-rs3"].seed) == ("bas19_es", "20", "rs3")
+    assert (rows["dyn21_en"].train_size, rows["dyn21_en"].test_size, rows["dyn21_en"].dev_size) == (38644, 2000, 500)
+    assert not naming.resolve(spark.createDataFrame([("other_en",)], "name string")).first().valid
     assert rows["dyn21_en"]["size"] == "full" and not rows["bas19_es-3000-rs1"].valid and rows["dyn21_en-3000-rs1"].valid
     with pytest.raises(ValueError):
         naming.select_dataset(df, "bas19_es-3000-rs1")

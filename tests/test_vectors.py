@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fewlabel.operators import alignment, diversity, knn
+from fewlabel.operators import alignment, diversity, knn, retrieve
 
 
 def frame(spark, x, key, vec):
@@ -134,11 +134,52 @@ def test_partitioned_selection(spark):
     base = rng.normal(size=(40, 8))
     rows = [(i, 0.0, [float(x) for x in base[i % 40]]) for i in range(400)]  # ten copies of each
     df = spark.createDataFrame(rows, "id long, s double, vec array<double>")
-    kept = diversity.mmr_partitioned(df, "vec", "s", "id", threshold=0.9, min_remained=10, bucket_rows=100)
-    ids = [r.id for r in kept.select("id").collect()]
-    assert 10 <= len(ids) <= 40 and len({i % 40 for i in ids}) == len(ids)
-    open_end = diversity.mmr_partitioned(df, "vec", "s", "id", threshold=0.9, min_remained=10, bucket_rows=100, final_rows=20)
-    assert {r.id for r in open_end.collect()} <= set(range(400)) and open_end.count() >= 10
+    for buckets in (1, 4):
+        kept = diversity.mmr_partitioned(df, "vec", "s", "id", threshold=0.9, min_remained=10, buckets=buckets)
+        ids = [r.id for r in kept.select("id").collect()]
+        assert 10 <= len(ids) <= 40 and len({i % 40 for i in ids}) == len(ids)
+
+
+def test_selection_beyond_one_task_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(diversity, "MAX_GROUP_ROWS", 50)
+    df = spark.createDataFrame([(i, 0.0, [float(i), 1.0]) for i in range(60)], "id long, s double, vec array<double>")
+    with pytest.raises(Exception, match="more buckets"):
+        diversity.mmr_partitioned(df, "vec", "s", "id", threshold=0.999, min_remained=50).collect()
+
+
+# --- exact search -------------------------------------------------------------------------
+
+def test_exact_join_far_from_the_origin(spark):
+    rng = np.random.default_rng(9)
+    v = 1e4 + rng.normal(size=(400, 16)) * 0.002
+    pool = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>").coalesce(1)
+    q = pool.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    got = {(r.query_id, r["rank"]): r.vec_id for r in knn.knn_join(q, pool, 10).collect()}
+    for i in range(20):
+        d = ((v - v[i]) ** 2).sum(axis=1)
+        assert [got[i, k + 1] for k in range(10)] == sorted(range(400), key=lambda j: (d[j], j))[:10]
+
+
+def test_zero_vectors_have_cosine_zero(spark):
+    pool = spark.createDataFrame([(0, [0.0, 0.0]), (1, [1.0, 0.0]), (2, [-1.0, 0.0])], "vec_id long, embedding array<double>")
+    q = pool.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    got = [(r.query_id, r.vec_id, r.dist) for r in knn.knn_join(q, pool, 3, metric="cosine").orderBy("query_id", "rank").collect()]
+    assert got == [(0, 0, 0.0), (0, 1, 0.0), (0, 2, 0.0), (1, 1, -1.0), (1, 0, 0.0), (1, 2, 1.0), (2, 2, -1.0), (2, 0, 0.0), (2, 1, 1.0)]
+
+
+def test_copies_do_not_crowd_out_texts(spark):
+    rows = [(i, "same", "en", "s", i % 2, [0.001 * (i % 7), 0.0]) for i in range(2000)]
+    rows += [(2000 + i, f"text {i}", "en", "s", i % 2, [1.0 + i, 0.0]) for i in range(100)]
+    pool = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, label int, embedding array<double>").repartition(3)
+    q = spark.createDataFrame([(1, [0.0, 0.0]), (2, [50.0, 0.0])], "query_id long, query_vec array<double>")
+    found = retrieve.retrieve_per_query(q, pool, 5)
+    texts = {k: {r.text for r in found.collect() if r.query_id == k} for k in (1, 2)}
+    assert len(texts[1]) == len(texts[2]) == 5 and found.count() == 10 and "same" in texts[1]
+    one = q.where("query_id = 1")
+    assert len({r.text for r in retrieve.retrieve_multi(one, pool, 20, 1).collect()}) == 20
+    assert len({r.text for r in retrieve.retrieve_multi(one, pool, 500, 1).collect()}) == 101
+    sized = retrieve.retrieve_per_query(q, pool, 30, weights={"cluster": 0.5})
+    assert sized.count() == 60 and sized.agg(F.min("cluster_size")).first()[0] >= 1
 
 
 # --- alignment ----------------------------------------------------------------------------
