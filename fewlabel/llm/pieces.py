@@ -17,7 +17,7 @@ from fewlabel.llm.common import frame, text_of
 
 MARK = "▁"
 KNOWN_WORDS = 200_000  # with more encoded words than this a task forgets them before it reads on
-SLICE = 16_000_000  # characters whose words are encoded in one walk
+SLICE = 6_000_000  # characters whose words are encoded in one walk
 
 
 class Pieces:
@@ -201,6 +201,13 @@ class Pieces:
 
     def learn(self, texts: list[str]) -> None:
         """Encode the distinct words of ``texts`` that are not known yet, all in one walk, and remember them."""
+        gc.disable()  # the walk makes millions of small objects and no cycles
+        try:
+            self._learn(texts)
+        finally:
+            gc.enable()
+
+    def _learn(self, texts: list[str]) -> None:
         if len(self.known[0]) + len(self.known[1]) > KNOWN_WORDS:
             self.known = {}, {}
         fresh: tuple[set[str], set[str]] = set(), set()
@@ -270,13 +277,9 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
     def run(batches):
         pieces = Pieces.load(model, merges)
-        gc.disable()  # the walk makes millions of small objects and no cycles
-        try:
-            for batch in batches:
-                for part in _slices(batch, text_col, SLICE):
-                    yield frame({id_col: part[id_col], text_col: part[text_col], "ids": pieces.encode_batch(list(part[text_col]))})
-        finally:
-            gc.enable()
+        for batch in batches:
+            for part in _slices(batch, text_col, SLICE):
+                yield frame({id_col: part[id_col], text_col: part[text_col], "ids": pieces.encode_batch(list(part[text_col]))})
 
     return rows.mapInPandas(run, f"`{id_col}` {kind}, `{text_col}` string, ids array<int>")
 
