@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fewlabel.operators.knn import knn_join
-from fewlabel.operators.sampling import split_train_dev_test
+from fewlabel.operators import reports
+from fewlabel.operators.sampling import learning_curve, split_train_dev_test
 from fewlabel.plans.registry import query, rnd, sql_rnd
 from fewlabel.plans.retrieval import PER_QUERY, per_query_hits
 from fewlabel.plans.tables import (
@@ -112,6 +113,32 @@ def split_table(spark, sf):
     return naming.select_dataset(spark.read.parquet(path), "src5").select("doc_id", "split")
 
 
+@query("split_grid_roundtrip", """WITH r AS (SELECT doc_id, source, count(*) OVER (PARTITION BY source) AS total,
+    row_number() OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR || '-2-curve')) AS p FROM documents)
+  SELECT doc_id, 'train' AS split FROM r WHERE source = 'src5' AND p <= 5 AND 5 < total""")
+def split_grid(spark, sf):
+    """Training samples by size and seed saved as one table; a name with both reads one of its folders."""
+    path = scratch_path(spark, "split-grid")
+    rows = table(spark, sf, "documents").select("doc_id", F.col("source").alias("dataset_name"), "lang")
+    drawn = learning_curve(rows, "doc_id", "dataset_name", [5, 20], 3)
+    st.save_splits(drawn.select("doc_id", "dataset_name", F.lit("train").alias("split"), F.col("n").cast("string").alias("n"),
+                                F.concat(F.lit("rs"), F.col("seed").cast("string")).alias("rs")), path)
+    found = spark.read.schema("doc_id long, dataset_name string, split string, n string, rs string").parquet(path)
+    return naming.select_dataset(found, "src5-5-rs2").select("doc_id", "split")
+
+
+@query("report_sink", f"""WITH a AS (SELECT source, size, CASE WHEN count(f1_macro) >= 3 THEN round_even(avg(f1_macro) * 100, 2) END AS s
+    FROM ({RUNS}) GROUP BY source, size)
+  SELECT source, coalesce(max(s) FILTER (size = '10')::VARCHAR, 'None') AS n_10, coalesce(max(s) FILTER (size = '100')::VARCHAR, 'None') AS n_100,
+  coalesce(max(s) FILTER (size = '5000')::VARCHAR, 'None') AS n_5000 FROM a GROUP BY source""")
+def report_sink(spark, sf):
+    """A report matrix written as tab-separated text and read back as it stands."""
+    path = scratch_path(spark, "report")
+    averages = reports.seed_average(runs(spark, sf), ["source", "size"], "f1_macro")
+    st.save_matrix(reports.matrix(averages, ["source"], "size", ["10", "100", "5000"], prefix="n_"), path)
+    return spark.read.schema("source string, n_10 string, n_100 string, n_5000 string").options(header=True, sep="\t").csv(path)
+
+
 @query("pool_roundtrip", f"SELECT doc_id, lang, source, label, {sql_rnd('list_sum(v)')} AS total FROM ({WITH_VECTORS}) WHERE lang <> 'en'")
 def pool_roundtrip(spark, sf):
     from fewlabel.functions.vectors import as_double, total
