@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fewlabel.llm.common import frame, held_out, text_of
+from fewlabel.llm.common import frame, held_out, largest, text_of
 from fewlabel.session import durable
 
 # What a character may stand for, besides itself if it is a letter.
@@ -215,8 +215,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # A lower bound of how much likelier the label is with the feature than without, weighed by how often it says so.
     odds = F.log((F.col("one") + 0.5) / (ones + 1)) - F.log((F.col("zero") + 0.5) / (zeros + 1))
     bound = odds - F.sqrt(1 / (F.col("one") + 0.5) + 1 / (F.col("zero") + 0.5))
-    best = counts.where(bound > LEAST_ODDS).orderBy(F.desc(bound * F.sqrt("one")), "feature").limit(FEATURES)
-    wanted = {r["feature"]: i for i, r in enumerate(best.collect())}
+    clear = durable(counts.where(bound > LEAST_ODDS).select("feature", (bound * F.sqrt("one")).alias("worth")), "features")
+    wanted = {f: i for i, f in enumerate(sorted(r["feature"] for r in largest(clear, "worth", FEATURES).collect()))}
 
     def lists(batches):
         reader = Reader(letters, wanted)
