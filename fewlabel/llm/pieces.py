@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from fewlabel.llm.common import frame, text_of
 
 MARK = "▁"
-KNOWN_WORDS = 200_000  # with more encoded words than this a task forgets them before it reads on
-SLICE = 6_000_000  # characters whose words are encoded in one walk
+KNOWN_WORDS = 120_000  # with more encoded words than this a task forgets them before it reads on
+SLICE = 4_000_000  # characters whose words are encoded in one walk
 
 
 class Pieces:
@@ -264,11 +264,14 @@ def _slices(batch: pd.DataFrame, column: str, most: int):
         yield part
 
 
-def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", merges: bool = True) -> DataFrame:
-    """``id_col, text_col, ids`` (array of int) for every row, in place and without a shuffle; other columns are left out.
+def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", merges: bool = True,
+           keep_text: bool = False, verify: bool = False) -> DataFrame:
+    """``id_col, ids`` (array of int) for every row, in place and without a shuffle; other columns are left out.
 
-    ``model_path`` names a model file on the driver; its bytes (about half a megabyte) travel with the tasks. A null
-    text is the empty one and has no ids. Repeated rows are encoded once per batch and returned each.
+    With ``keep_text`` also the text; with ``verify`` also ``round_trip``: whether the ids decode to the text again (marks
+    in it read as blanks), checked in the same task. ``model_path`` names a model file on the driver; its bytes (about half
+    a megabyte) travel with the tasks. A null text is the empty one and has no ids. Repeated rows are encoded once per
+    batch and returned each.
     """
     with open(model_path, "rb") as f:
         model = f.read()
@@ -279,9 +282,17 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
         pieces = Pieces.load(model, merges)
         for batch in batches:
             for part in _slices(batch, text_col, SLICE):
-                yield frame({id_col: part[id_col], text_col: part[text_col], "ids": pieces.encode_batch(list(part[text_col]))})
-
-    return rows.mapInPandas(run, f"`{id_col}` {kind}, `{text_col}` string, ids array<int>")
+                texts = list(part[text_col])
+                ids = pieces.encode_batch(texts)
+                out = {id_col: part[id_col], "ids": ids}
+                if keep_text:
+                    out[text_col] = texts
+                if verify:
+                    out["round_trip"] = np.array([pieces.decode(i) == t.replace(MARK, " ") for i, t in zip(ids, texts)], dtype=bool)
+                yield frame(out)
+
+    shape = f"`{id_col}` {kind}, ids array<int>" + f", `{text_col}` string" * keep_text + ", round_trip boolean" * verify
+    return rows.mapInPandas(run, shape)
 
 
 def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

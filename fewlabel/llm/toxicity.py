@@ -33,7 +33,8 @@ STARTS = (4, 5, 6)
 BROADCAST_ROWS = 1_000_000
 FEATURES, FIT_ROWS = 4_000, 20_000
 LEAST_ODDS = 2.5  # bound on a feature's log odds; four labelled texts and none without reach it
-WORDS_KEPT = 300_000
+WORDS_KEPT = 100_000  # words whose features a task remembers; with more it forgets them
+FEATURES_KEPT = 150_000  # features a task counts before it hands the counts on
 
 
 def _symbol(c: str) -> int:
@@ -200,9 +201,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 for f in reader.read(text):
                     pair = total.setdefault(f, [0, 0])
                     pair[y] += 1
-            if len(total) > 500_000:
-                yield _counted(total)
-                total = {}
+                if len(total) > FEATURES_KEPT:
+                    yield _counted(total)
+                    total = {}
         yield _counted(total)
 
     sides = known.groupBy("y").count().collect()

@@ -51,7 +51,8 @@ def test_unigram_words_take_the_best_sum():
 
 
 def test_odd_pieces(odd, empty):
-    back = pieces.decode(pieces.encode(odd, MODEL), MODEL).collect()
+    back = pieces.decode(pieces.encode(odd, MODEL, keep_text=True, verify=True), MODEL).collect()
+    assert all(r["round_trip"] for r in back)
     assert len(back) == odd.count() and all(r["decoded"] == r["text"] for r in back)
     assert {len(r["ids"]) for r in back if not r["text"]} == {0}
     assert pieces.encode(empty, MODEL).count() == 0
