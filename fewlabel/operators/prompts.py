@@ -108,6 +108,20 @@ def example_lists(selected: DataFrame, keys: Sequence[str] = ("query_id",)) -> D
     return selected.groupBy(*keys).agg(packed.alias("examples"))
 
 
+def attach_examples(rows: DataFrame, examples: DataFrame, keys: Sequence[str], missing: str = "raise") -> DataFrame:
+    """Every row of ``rows`` with its ``examples``.
+
+    A row without examples is an error (``missing="raise"``), or keeps none (``"keep"``); it is never dropped.
+    """
+    if missing not in ("raise", "keep"):
+        raise ValueError(f"unknown rule for missing examples: {missing}")
+    out = rows.join(examples, list(keys), "left")
+    if missing == "raise":
+        key = F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])
+        out = out.withColumn("examples", F.coalesce("examples", F.raise_error(F.concat(F.lit("no examples for "), key))))
+    return out
+
+
 def format_examples(examples) -> Column:
     """Fixed format of the example block."""
     examples = F.col(examples) if isinstance(examples, str) else examples

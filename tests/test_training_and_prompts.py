@@ -255,3 +255,13 @@ def test_pool_filters_prune_folders(spark, tmp_path):
     kept = filtered_pool(pool, exclude_languages=["es"])
     assert [r.id for r in kept.collect()] == [1]
     assert "PartitionFilters: [" in kept._jdf.queryExecution().executedPlan().toString().replace("PartitionFilters: []", "")
+
+
+def test_rows_without_examples_are_never_dropped(spark):
+    from fewlabel.operators import prompts
+    rows = spark.createDataFrame([(1,), (2,)], "doc_id long")
+    examples = spark.createDataFrame([(1, [(1, "a", 0)])], "doc_id long, examples array<struct<shot_pos:int,text:string,label:int>>")
+    kept = prompts.attach_examples(rows, examples, ["doc_id"], missing="keep").withColumn("e", prompts.format_examples("examples"))
+    assert sorted((r.doc_id, r.e) for r in kept.collect()) == [(1, 'Comment: "a\t"Answer: no'), (2, None)]
+    with pytest.raises(Exception, match="no examples for 2"):
+        prompts.attach_examples(rows, examples, ["doc_id"]).collect()
