@@ -1,4 +1,5 @@
-"""Repeated passages across documents: hash runs of consecutive sentences, join the hashes, remove later occurrences."""
+"""Repeated passages across documents: hash runs of consecutive sentences and stretches of words, join the hashes, remove
+the sentences of later occurrences."""
 
 from __future__ import annotations
 
@@ -15,6 +16,7 @@ from fewlabel.session import durable
 
 BREAK = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
 RUN_WORDS, PASSAGE_WORDS = 25, 50
+BASE = 0x9E3779B97F4A7C15
 
 
 def sentences(text: str) -> list[tuple[int, int, int]]:
@@ -64,17 +66,54 @@ def runs(text: str, pieces: list[tuple[int, int, int]], least: int) -> tuple[lis
     return spans, hashes.view(np.int64), np.array(counts, dtype=np.int64)
 
 
-def removed(text: str, bad, run_words: int = RUN_WORDS, passage_words: int = PASSAGE_WORDS) -> tuple[int, list[tuple[int, int]]]:
-    """The number of sentences, and the parts ``(start, end)`` of ``text`` to remove.
-
-    Sentences count as repeated where a run covers them whose hash is in ``bad`` or came before in this text. Stretches of
-    repeated sentences with ``passage_words`` words or more go; shorter ones stay.
-    """
-    pieces = sentences(text)
+def word_codes(text: str, pieces: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word of the sentences, and the number of the first word of every sentence, then of all."""
+    codes, starts, digest = [], [0], xxhash.xxh3_64_intdigest
+    for start, end, _ in pieces:
+        codes += [digest(w.encode("utf-8", "surrogatepass")) for w in text[start:end].lower().split()]
+        starts.append(len(codes))
+    return np.array(codes, dtype=np.uint64), np.array(starts, dtype=np.int64)
+
+
+def stretches(codes: np.ndarray, width: int) -> np.ndarray:
+    """The hash of ``width`` words from every word on: a polynomial in the words' hashes modulo 2 ** 64, mixed."""
+    n = len(codes) - width + 1
+    if n <= 0:
+        return np.empty(0, dtype=np.uint64)
+    up = np.cumprod(np.full(len(codes), BASE, dtype=np.uint64))
+    down = np.cumprod(np.full(n, pow(BASE, -1, 1 << 64), dtype=np.uint64))
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(codes * up, dtype=np.uint64)])
+    mixed = (sums[width:] - sums[:-width]) * down
+    mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return mixed ^ (mixed >> np.uint64(31))
+
+
+def anchors(codes: np.ndarray, run_words: int, passage_words: int) -> np.ndarray:
+    """The anchor of every stretch of ``passage_words`` words: the smallest hash of ``run_words`` words in it. Equal stretches
+    have equal anchors, and neighbours mostly share one, so a text has about one anchor for ``run_words / 2`` words."""
+    width = max(1, min(run_words, passage_words))
+    grams = stretches(codes, width)
+    around = passage_words - width + 1
+    if len(grams) < around:
+        return np.empty(0, dtype=np.int64)
+    return np.lib.stride_tricks.sliding_window_view(grams, around).min(axis=1).view(np.int64)
+
+
+def _whole(at: np.ndarray, starts: np.ndarray, words: int) -> np.ndarray:
+    """The sentences all of whose words lie in one of the stretches of ``words`` words that begin at ``at``."""
+    marks = np.zeros(starts[-1] + 1, dtype=np.int64)
+    np.add.at(marks, at, 1)
+    np.add.at(marks, at + words, -1)
+    bare = np.concatenate([[0], np.cumsum(np.cumsum(marks[:-1]) == 0)])
+    return bare[starts[1:]] == bare[starts[:-1]]
+
+
+def _by_runs(text: str, pieces: list[tuple[int, int, int]], bad: set[int], run_words: int, passage_words: int) -> np.ndarray:
+    """The sentences in stretches of repeated runs with ``passage_words`` words or more."""
     spans, hashes, counts = runs(text, pieces, run_words)
     marks = np.zeros(len(pieces) + 1, dtype=np.int64)
     order = sorted(range(len(spans)), key=lambda k: spans[k])
-    seen, bad = set(), set(bad)
+    seen = set()
     for k in order:
         h = int(hashes[k])
         if h in bad or h in seen:
@@ -82,7 +121,7 @@ def removed(text: str, bad, run_words: int = RUN_WORDS, passage_words: int = PAS
             marks[spans[k][1]] -= 1
         seen.add(h)
     covered = np.cumsum(marks[:-1]) > 0
-    out, i = [], 0
+    gone, i = np.zeros(len(pieces), dtype=bool), 0
     while i < len(pieces):
         if not covered[i]:
             i += 1
@@ -90,9 +129,49 @@ def removed(text: str, bad, run_words: int = RUN_WORDS, passage_words: int = PAS
         j = i
         while j < len(pieces) and covered[j]:
             j += 1
-        if counts[i:j].sum() >= passage_words:
-            out.append((pieces[i][0], pieces[j - 1][2]))
+        gone[i:j] = counts[i:j].sum() >= passage_words
         i = j
+    return gone
+
+
+def undecided(text: str, bad, run_words: int = RUN_WORDS, passage_words: int = PASSAGE_WORDS) -> np.ndarray:
+    """The anchors in ``bad`` whose stretches of words may cover a whole sentence that repeated runs do not remove."""
+    pieces = sentences(text)
+    codes, starts = word_codes(text, pieces)
+    own = anchors(codes, run_words, passage_words)
+    at = np.flatnonzero(np.isin(own, np.fromiter(bad, dtype=np.int64, count=len(bad))))
+    if not len(at):
+        return own[:0]
+    open_ = _whole(at, starts, passage_words) & ~_by_runs(text, pieces, set(bad), run_words, passage_words)
+    before = np.concatenate([[0], np.cumsum(np.repeat(open_, np.diff(starts)))])
+    return np.unique(own[at[before[at + passage_words] > before[at]]])
+
+
+def removed(text: str, bad, run_words: int = RUN_WORDS, passage_words: int = PASSAGE_WORDS, words_bad=()) -> tuple[int, list[tuple[int, int]]]:
+    """The number of sentences, and the parts ``(start, end)`` of ``text`` to remove.
+
+    Sentences count as repeated where a run covers them whose hash is in ``bad`` or came before in this text; stretches of
+    them with ``passage_words`` words or more go. So does every sentence that lies whole in stretches of ``passage_words``
+    words whose hash is in ``words_bad`` or came before in this text, wherever in a sentence these begin and end.
+    """
+    pieces = sentences(text)
+    gone = _by_runs(text, pieces, set(bad), run_words, passage_words)
+    codes, starts = word_codes(text, pieces)
+    own = stretches(codes, passage_words).view(np.int64)
+    again = np.ones(len(own), dtype=bool)
+    again[np.unique(own, return_index=True)[1]] = False
+    if len(words_bad):
+        again |= np.isin(own, np.asarray(words_bad, dtype=np.int64))
+    if again.any():
+        gone |= _whole(np.flatnonzero(again), starts, passage_words)
+    out, i = [], 0
+    while i < len(pieces):
+        j = i
+        while j < len(pieces) and gone[j]:
+            j += 1
+        if j > i:
+            out.append((pieces[i][0], pieces[j - 1][2]))
+        i = max(j, i + 1)
     return len(pieces), out
 
 
@@ -105,9 +184,14 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     count as one document. Null texts are empty ones; rows with a null id take no part and stay as they are, as do
     repeated rows. Other columns are left out.
 
-    Every text hands out each of its run hashes once. They are counted per hash with partial sums in the tasks, so a passage
-    that a third of all documents share meets as one row per task; the repeated hashes are joined back, and only the hashes
-    that are not first for a document travel to its text. A hash has 64 bits: about one false match is expected in 6e9 runs.
+    A passage is ``passage_words`` words or more that come again, as whole sentences or with edges inside of sentences; the
+    sentences that lie whole in a later occurrence go. Words are compared without letter case and white space.
+
+    Every text hands out each of its run hashes and anchors once. They are counted per hash with partial sums in the tasks, so
+    a passage that a third of all documents share meets as one row per task; the repeated hashes are joined back, and only the
+    hashes that are not first for a document travel to its text. Where runs leave a sentence that repeated anchors may
+    cover, all texts with such an anchor hand out the hashes of its stretches of ``passage_words`` words, which are
+    counted in the same way. A hash has 64 bits: about one false match is expected in 6e9 runs.
     """
     rows = docs.select(F.col(id_col), text_of(text_col).alias(text_col))
     kind = rows.schema[id_col].dataType.simpleString()
@@ -116,23 +200,44 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             out = []
             for text in batch[text_col]:
-                _, hashes, _ = runs(text, sentences(text), run_words)
-                out.append(np.unique(hashes))
+                pieces = sentences(text)
+                _, hashes, _ = runs(text, pieces, run_words)
+                out.append(np.unique(np.concatenate([hashes, anchors(word_codes(text, pieces)[0], run_words, passage_words)])))
             yield frame({id_col: batch[id_col], "h": out})
 
+    def ask(batches):
+        for batch in batches:
+            found = [undecided(text, bad.tolist(), run_words, passage_words) for text, bad in zip(batch[text_col], batch["_bad"])]
+            yield frame({"h": np.unique(np.concatenate(found)) if found else np.empty(0, dtype=np.int64)})
+
+    def answer(batches):
+        for batch in batches:
+            out = []
+            for text, asked in zip(batch[text_col], batch["_asked"]):
+                codes, _ = word_codes(text, sentences(text))
+                at = np.isin(anchors(codes, run_words, passage_words), asked)
+                out.append(np.unique(stretches(codes, passage_words).view(np.int64)[at]))
+            yield frame({id_col: batch[id_col], "h": out})
+
+    def not_first(handed, name):
+        first = handed.groupBy("h").agg(F.min(id_col).alias("_first"), F.max(id_col).alias("_last")).where("_first < _last").select("h", "_first")
+        return handed.join(durable(first, name), "h").where(F.col(id_col) > F.col("_first"))
+
     given = rows.where(F.col(id_col).isNotNull()).mapInPandas(hand_out, f"`{id_col}` {kind}, h array<bigint>")
-    given = given.select(F.col(id_col), F.explode("h").alias("h"))
-    first = given.groupBy("h").agg(F.min(id_col).alias("_first"), F.max(id_col).alias("_last")).where("_first < _last").select("h", "_first")
-    first = durable(first, "repeated_runs")
-    later = given.join(first, "h").where(F.col(id_col) > F.col("_first"))
-    later = durable(later.groupBy(id_col).agg(F.collect_set("h").alias("_bad")), "later_runs")
-    joined = rows.join(later, id_col, "left")
+    given = durable(given.select(F.col(id_col), F.explode("h").alias("h")), "runs")
+    later = durable(not_first(given, "repeated_runs").groupBy(id_col).agg(F.collect_set("h").alias("_bad")), "later_runs")
+    asked = durable(rows.join(later, id_col).mapInPandas(ask, "h bigint").distinct(), "asked")
+    wanted = durable(given.join(asked, "h").groupBy(id_col).agg(F.collect_set("h").alias("_asked")), "wanted")
+    answers = rows.join(wanted, id_col).mapInPandas(answer, f"`{id_col}` {kind}, h array<bigint>")
+    answers = durable(answers.select(F.col(id_col), F.explode("h").alias("h")), "stretches")
+    words = durable(not_first(answers, "repeated_stretches").groupBy(id_col).agg(F.collect_set("h").alias("_words")), "later_stretches")
+    joined = rows.join(later.join(words, id_col, "full"), id_col, "left")
 
     def cut(batches):
         for batch in batches:
             texts, counts, parts = [], [], []
-            for i, text, bad in zip(batch[id_col], batch[text_col], batch["_bad"]):
-                n, gone = removed(text, () if bad is None else bad.tolist(), run_words, passage_words) if not pd.isna(i) else (len(sentences(text)), [])
+            for i, text, bad, far in zip(batch[id_col], batch[text_col], batch["_bad"], batch["_words"]):
+                n, gone = removed(text, () if bad is None else bad.tolist(), run_words, passage_words, () if far is None else far) if not pd.isna(i) else (len(sentences(text)), [])
                 edges = [0, *(x for part in gone for x in part), len(text)]
                 texts.append("".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])))
                 counts.append(n)

@@ -202,6 +202,24 @@ def test_repeats_against_plain_rule(spark):
         assert (rows[i]["sentences"], [(s["start"], s["end"]) for s in rows[i]["removed"]]) == (n, gone)
 
 
+def test_passages_that_begin_and_end_inside_sentences(spark):
+    rng = random.Random(12)
+    say = lambda n: " ".join(words(rng, n))
+    for head, middle, tail in ((12, (15, 15), 12), (20, (10,), 25), (15, (8, 30), 4), (30, (5, 5), 30)):
+        inner = [say(n) + "." for n in middle]
+        shared = f"{say(head)}. {' '.join(inner)} {say(tail)}"
+        # Both ends are glued to the text around, so that only the middle sentences are whole in both.
+        texts = [f"{say(20)}. {say(6)} {shared} {say(6)}. {say(20)}." for _ in range(3)]
+        rows = {r["doc_id"]: r for r in spans.drop_repeats(docs(spark, texts)).collect()}
+        assert rows[0]["text"] == texts[0]
+        for i in (1, 2):
+            assert rows[i]["text"] == texts[i].replace(" ".join(inner) + " ", ""), (head, middle, tail)
+    short = f"{say(10)}. {say(20)}. {say(10)}"
+    texts = [f"{say(6)} {short} {say(6)}." for _ in range(2)] + [f"{say(5)}. {say(6)} {shared} {say(6)} {shared} {say(9)}."]
+    rows = {r["doc_id"]: r for r in spans.drop_repeats(docs(spark, texts)).collect()}
+    assert [len(rows[i]["removed"]) for i in range(3)] == [0, 0, 1]
+
+
 def test_odd_repeats(odd, empty):
     rows = spans.drop_repeats(odd).collect()
     assert len(rows) == odd.count() and spans.drop_repeats(empty).count() == 0
