@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -134,6 +135,7 @@ def hex_text(fingerprint: Column) -> Column:
 WORDS = 32  # 64-bit words of a wide fingerprint
 BLOCK_BITS = 22
 CROWD, TILE = 16, 512
+SMALL = 64  # sets of up to so many shingles meet by their shingles, since their fingerprints say too little
 
 
 def bit_counts(rows: np.ndarray) -> np.ndarray:
@@ -161,23 +163,34 @@ def bit_counts(rows: np.ndarray) -> np.ndarray:
     return total
 
 
-def wide_fingerprint(text: str, width: int) -> np.ndarray:
-    """SimHash of ``64 * WORDS`` bits, as signed words. Words, shingles and short texts are as in ``fingerprint``."""
+def shingle_hashes(text: str, width: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles in ascending order. Words, shingles and short texts are as in ``fingerprint``."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     n = len(words) - width + 1 if len(words) >= width else min(len(words), 1)
-    ones = np.zeros(64 * WORDS, dtype=np.int64)
     digest, join = xxhash.xxh64_intdigest, b" ".join
+    return np.unique(np.fromiter((digest(join(words[i:i + width]), SEED) for i in range(n)), dtype=np.uint64, count=n))
+
+
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """SimHash of ``64 * WORDS`` bits, as signed words, over a set of shingle hashes: every shingle counts once."""
+    n = len(hashes)
+    ones = np.zeros(64 * WORDS, dtype=np.int64)
     salts = np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for at in range(0, n, 20_000):
-        part = range(at, min(at + 20_000, n))
-        hashes = np.fromiter((digest(join(words[i:i + width]), SEED) for i in part), dtype=np.uint64, count=len(part))
-        mixed = hashes[:, None] + salts
+        mixed = hashes[at:at + 20_000, None] + salts
         mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         ones += bit_counts(mixed ^ (mixed >> np.uint64(31)))
     return np.packbits((2 * ones > n).astype(np.uint8), bitorder="little").view("<i8")
 
 
+def prefix_keys(hashes: np.ndarray, similarity: float) -> np.ndarray:
+    """Keys of a small set: its smallest hashes, so many that two sets of this similarity share one for certain."""
+    n = len(hashes)
+    kept = n - math.ceil(similarity * n - 1e-9) + 1
+    return (hashes[:kept] | np.uint64(1 << 63)).view(np.int64)
+
+
 def differing_bits(similarity: float, deviations: float = 1.5) -> int:
     """Bits that wide fingerprints of two texts with this Jaccard similarity differ in at most, up to the given deviations.
 
@@ -201,9 +214,10 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     similarity: float = 0.8) -> DataFrame:
     """``id_col``: the smallest id of every group of texts linked by a shingle similarity of ``similarity`` or more.
 
-    Equal fingerprints are one node. Nodes that share a block are candidates; those clearly within ``differing_bits`` are
-    linked, and those near the limit when their shingle sets confirm it. At similarity 0.8 a pair meets in one of the 93
-    blocks with probability 0.92, at 0.85 with 0.99. Groups of a
+    Equal shingle sets are one node. Nodes that share a block are candidates, and nodes of up to ``SMALL`` shingles also
+    those that share one of their smallest shingle hashes, which pairs of the similarity do for certain. Every link
+    is confirmed on the shingle sets, of larger texts where the fingerprints are within ``differing_bits`` with five deviations.
+    At similarity 0.8 a pair of larger texts meets in one of the 93 blocks with probability 0.92, at 0.85 with 0.99. Groups of a
     block with up to ``CROWD`` nodes compare all pairs. A larger one compares every node with its first; where that
     leaves it in several components, its nodes are dealt into tiles and all tiles compared in parallel, each handing out a
     spanning set of its links only. So no link is lost to a group's size and no task holds more than two tiles.
@@ -213,35 +227,38 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches):
         for batch in batches:
-            prints = [wide_fingerprint(t, width) for t in batch["text"]]
-            yield frame({"id": batch["id"], "digest": [xxhash.xxh3_128_digest(p.tobytes()) for p in prints], "print": prints})
+            sets = [shingle_hashes(t, width) for t in batch["text"]]
+            yield frame({"id": batch["id"], "digest": [xxhash.xxh3_128_digest(h.tobytes()) for h in sets],
+                         "size": np.array([len(h) for h in sets], dtype=np.int64), "print": [wide_fingerprint(h) for h in sets],
+                         "small": [prefix_keys(h, similarity) if 0 < len(h) <= SMALL / similarity else None for h in sets]})
 
-    prints = durable(rows.mapInPandas(run, "id long, digest binary, print array<bigint>"), "prints")
+    prints = durable(rows.mapInPandas(run, "id long, digest binary, size long, print array<bigint>, small array<bigint>"), "prints")
     nodes = durable(prints.groupBy("digest").agg(F.min("id").alias("id")), "nodes")
-    prints = prints.join(nodes, ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"]).select(F.col("id").alias("node"), "print")
+    prints = prints.join(nodes, ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"]).select(F.col("id").alias("node"), "size", "print", "small")
     prints = durable(prints, "node_prints")
 
     def cut(batches):
         for batch in batches:
-            keys = [_blocks(p) for p in batch["print"]]
-            size = len(keys[0]) if keys else 0
+            keys = [_blocks(p) if s is None else np.concatenate([_blocks(p), s]) for p, s in zip(batch["print"], batch["small"])]
             yield frame({"key": np.concatenate(keys) if keys else np.empty(0, dtype=np.int64),
-                         "node": np.repeat(batch["node"].to_numpy(), size)})
+                         "node": np.repeat(batch["node"].to_numpy(), [len(k) for k in keys])})
 
-    keyed = prints.mapInPandas(cut, "key long, node long")
+    keyed = prints.select("node", "print", "small").mapInPandas(cut, "key long, node long")
     groups = durable(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1"), "groups")
     members = durable(keyed.join(groups, "key"), "members")
     few = members.where(F.col("n") <= CROWD)
     pairs = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").where("a < b")
     star = members.where((F.col("n") > CROWD) & (F.col("node") > F.col("least")))
     pairs = pairs.select("a", "b").unionByName(star.select(F.col("least").alias("a"), F.col("node").alias("b"))).distinct()
-    least, most = differing_bits(similarity, -2.0), differing_bits(similarity, 2.5)
-    left = prints.select(F.col("node").alias("a"), F.col("print").alias("p"))
-    right = prints.select(F.col("node").alias("b"), F.col("print").alias("q"))
+    most = differing_bits(similarity, 5.0)
+    left = prints.select(F.col("node").alias("a"), F.col("print").alias("p"), F.col("size").alias("m"))
+    right = prints.select(F.col("node").alias("b"), F.col("print").alias("q"), F.col("size").alias("n"))
     apart = F.aggregate(F.zip_with("p", "q", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
-    near = durable(pairs.join(left, "a").join(right, "b").select("a", "b", apart.alias("apart")).where(F.col("apart") <= most), "near")
-    sure = near.where(F.col("apart") <= least).select("a", "b")
-    edges = durable(sure.unionByName(_confirmed(near, components(sure), rows, width, similarity)), "edges")
+    likely = ((F.least("m", "n") <= SMALL) | (apart <= most)) & (F.least("m", "n") >= similarity * F.greatest("m", "n") - 1e-9)
+    near = durable(pairs.join(left, "a").join(right, "b").where(likely).select("a", "b"), "near")
+    # One check per node first; then the pairs that still lie in different components.
+    first = durable(_confirmed(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), None, rows, width, similarity), "first_edges")
+    edges = durable(first.unionByName(_confirmed(near, components(first), rows, width, similarity)), "edges")
     named = components(edges)
 
     # Crowded groups whose nodes are not all connected yet.
@@ -254,22 +271,27 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         own = F.pmod(F.xxhash64("node", "key"), tiles).cast("int")
         dealt = open_.select("key", "node", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("other"))
         dealt = dealt.select("key", "node", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-        more = dealt.join(prints, "node").groupBy("key", "i", "j").applyInPandas(_tile(most), "a long, b long")
+        more = dealt.join(prints.select("node", "size", "print"), "node").groupBy("key", "i", "j").applyInPandas(_tile(most, similarity), "a long, b long")
         more = _confirmed(durable(more.distinct(), "more"), named, rows, width, similarity)
         named = components(durable(edges.unionByName(more), "all_edges"))
     found = nodes.select("id").join(named, nodes["id"] == named["node"], "left")
     return found.where(F.col("component").isNull() | (F.col("component") == F.col("id"))).select(F.col("id").alias(id_col))
 
 
-def _confirmed(pairs: DataFrame, named: DataFrame, rows: DataFrame, width: int, similarity: float) -> DataFrame:
-    """``a, b``: the pairs across components of ``named`` whose shingle sets really are that similar.
-
-    Only the texts of these pairs travel; near the limit the fingerprint's estimate is off by a few hundredths."""
+def _across(pairs: DataFrame, named: DataFrame) -> DataFrame:
+    """The pairs between different components, which are ``ca`` and ``cb``."""
     one = named.select(F.col("node").alias("a"), F.col("component").alias("ca"))
     two = named.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    open_ = pairs.join(one, "a", "left").join(two, "b", "left").where(
-        F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    open_ = durable(open_, "uncertain")
+    named_pairs = pairs.join(one, "a", "left").join(two, "b", "left").withColumns(
+        {"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")})
+    return named_pairs.where("ca <> cb")
+
+
+def _confirmed(pairs: DataFrame, named: DataFrame | None, rows: DataFrame, width: int, similarity: float) -> DataFrame:
+    """``a, b``: the pairs across components of ``named`` (without ``named`` all pairs) whose shingle sets really are that similar.
+
+    Only the texts of these pairs travel."""
+    open_ = durable(pairs if named is None else _across(pairs, named).select("a", "b"), "uncertain")
     asked = open_.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = durable(rows.join(asked, "id", "left_semi"), "texts")
     both = open_.join(texts.select(F.col("id").alias("a"), F.col("text").alias("s")), "a").join(
@@ -297,21 +319,23 @@ def jaccard(one: str, two: str, width: int) -> float:
     return shared / (len(a) + len(b) - shared)
 
 
-def _tile(most: int):
+def _tile(most: int, similarity: float):
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         """Links between nodes of different components in one pair of tiles, the closest per pair of components."""
         rows = rows.drop_duplicates("node")
         prints = np.stack(rows["print"].to_numpy()).view(np.uint64)
-        nodes, comps, own = (rows[c].to_numpy() for c in ("node", "component", "own"))
+        nodes, comps, own, size = (rows[c].to_numpy() for c in ("node", "component", "own", "size"))
         across = rows["i"].iloc[0] != rows["j"].iloc[0]
         out = {}
         for x in range(len(rows)):
             other = comps != comps[x]
             if across:
                 other &= own != own[x]
-            near = np.flatnonzero(other)
-            apart = np.bitwise_count(prints[near] ^ prints[x]).sum(axis=1)
-            for y, d in zip(near[apart <= most], apart[apart <= most]):
+            small, large = np.minimum(size, size[x]), np.maximum(size, size[x])
+            near = np.flatnonzero(other & (small >= similarity * large - 1e-9))
+            apart = np.bitwise_count(prints[near] ^ prints[x]).sum(axis=1, dtype=np.int64)
+            likely = (apart <= most) | (small[near] <= SMALL)
+            for y, d in zip(near[likely], apart[likely]):
                 sides = min(comps[x], comps[y]), max(comps[x], comps[y])
                 found = (d, min(nodes[x], nodes[y]), max(nodes[x], nodes[y]))
                 out[sides] = min(out.get(sides, found), found)

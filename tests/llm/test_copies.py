@@ -91,6 +91,22 @@ def test_representatives_follow_exact_similarity(spark):
     assert got == {i for i, r in roots(range(n), pairs).items() if i == r}
 
 
+def test_repeated_lines_and_few_shingles_follow_exact_similarity(spark):
+    rng = random.Random(5)
+    line = " ".join(words(rng, 14))
+    texts = [" ".join(words(rng, 300)) + f" {line}" * 60 for _ in range(3)]  # one line rules what occurs, not what differs
+    texts += [" ".join(["same"] * 300 + words(rng, 40)) for _ in range(3)]
+    for n in (9, 10, 12, 24, 40):
+        own = words(rng, n)
+        texts += [" ".join(own), " ".join(own[:-1]), " ".join(own + ["more"])]
+    own = words(rng, 60)
+    texts += [" ".join(own), " ".join(own + own)]
+    got = {r["doc_id"] for r in simhash.representatives(docs(spark, texts)).collect()}
+    n = len(texts)
+    pairs = [(i, j) for i in range(n) for j in range(i) if simhash.jaccard(texts[i], texts[j], 5) >= 0.8]
+    assert set(range(6)) <= got == {i for i, r in roots(range(n), pairs).items() if i == r}
+
+
 def test_crowded_groups_lose_no_text(spark, monkeypatch):
     monkeypatch.setattr(simhash, "CROWD", 2)
     monkeypatch.setattr(simhash, "TILE", 4)
