@@ -219,8 +219,9 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     is confirmed on the shingle sets, of larger texts where the fingerprints are within ``differing_bits`` with five deviations.
     At similarity 0.8 a pair of larger texts meets in one of the 93 blocks with probability 0.92, at 0.85 with 0.99. Groups of a
     block with up to ``CROWD`` nodes compare all pairs. A larger one compares every node with its first; where that
-    leaves it in several components, its nodes are dealt into tiles and all tiles compared in parallel, each handing out a
-    spanning set of its links only. So no link is lost to a group's size and no task holds more than two tiles.
+    leaves it in several components, its nodes are dealt into tiles and all tiles compared in parallel, each handing out
+    all its pairs that may be links. The closest of every two components are confirmed first, then all pairs that still lie in
+    different ones. So no candidate is lost to a group's size and no task holds more than two tiles.
     Rows with a null id take no part.
     """
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
@@ -271,9 +272,14 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         own = F.pmod(F.xxhash64("node", "key"), tiles).cast("int")
         dealt = open_.select("key", "node", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("other"))
         dealt = dealt.select("key", "node", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-        more = dealt.join(prints.select("node", "size", "print"), "node").groupBy("key", "i", "j").applyInPandas(_tile(most, similarity), "a long, b long")
-        more = _confirmed(durable(more.distinct(), "more"), named, rows, width, similarity)
-        named = components(durable(edges.unionByName(more), "all_edges"))
+        more = dealt.join(prints.select("node", "size", "print"), "node").groupBy("key", "i", "j").applyInPandas(
+            _tile(most, similarity), "a long, b long, apart long")
+        more = durable(more.distinct(), "more")
+        sides = [F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")]
+        best = _across(more, named).groupBy(*sides).agg(F.min(F.struct("apart", "a", "b")).alias("best")).select("best.a", "best.b")
+        edges = durable(edges.unionByName(_confirmed(best, named, rows, width, similarity)), "closest_edges")
+        named = components(edges)
+        named = components(durable(edges.unionByName(_confirmed(more, named, rows, width, similarity)), "all_edges"))
     found = nodes.select("id").join(named, nodes["id"] == named["node"], "left")
     return found.where(F.col("component").isNull() | (F.col("component") == F.col("id"))).select(F.col("id").alias(id_col))
 
@@ -321,25 +327,23 @@ def jaccard(one: str, two: str, width: int) -> float:
 
 def _tile(most: int, similarity: float):
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        """Links between nodes of different components in one pair of tiles, the closest per pair of components."""
+        """Pairs of nodes of different components in one pair of tiles that may be links, with the bits they differ in."""
         rows = rows.drop_duplicates("node")
         prints = np.stack(rows["print"].to_numpy()).view(np.uint64)
         nodes, comps, own, size = (rows[c].to_numpy() for c in ("node", "component", "own", "size"))
         across = rows["i"].iloc[0] != rows["j"].iloc[0]
-        out = {}
+        out = [np.empty((0, 3), dtype=np.int64)]
         for x in range(len(rows)):
-            other = comps != comps[x]
+            small, large = np.minimum(size, size[x]), np.maximum(size, size[x])
+            other = (comps != comps[x]) & (nodes > nodes[x]) & (small >= similarity * large - 1e-9)
             if across:
                 other &= own != own[x]
-            small, large = np.minimum(size, size[x]), np.maximum(size, size[x])
-            near = np.flatnonzero(other & (small >= similarity * large - 1e-9))
+            near = np.flatnonzero(other)
             apart = np.bitwise_count(prints[near] ^ prints[x]).sum(axis=1, dtype=np.int64)
             likely = (apart <= most) | (small[near] <= SMALL)
-            for y, d in zip(near[likely], apart[likely]):
-                sides = min(comps[x], comps[y]), max(comps[x], comps[y])
-                found = (d, min(nodes[x], nodes[y]), max(nodes[x], nodes[y]))
-                out[sides] = min(out.get(sides, found), found)
-        return pd.DataFrame([o[1:] for o in out.values()], columns=["a", "b"], dtype=np.int64)
+            near, apart = near[likely], apart[likely]
+            out.append(np.stack([np.full(len(near), nodes[x]), nodes[near], apart], axis=1))
+        return pd.DataFrame(np.concatenate(out), columns=["a", "b", "apart"])
     return compare
 
 

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import xxhash
 
 from fewlabel.llm import decontaminate, simhash, spans
@@ -116,6 +117,18 @@ def test_crowded_groups_lose_no_text(spark, monkeypatch):
     assert {r["doc_id"] for r in simhash.representatives(docs(spark, texts)).collect()} == {0}
 
 
+def test_tiles_hand_out_every_candidate():
+    rng = random.Random(13)
+    own = words(rng, 300)
+    texts = [" ".join(own[k:k + 200]) for k in range(0, 100, 10)]
+    hashes = [simhash.shingle_hashes(t, 5) for t in texts]
+    rows = pd.DataFrame({"key": 0, "i": 0, "j": 0, "own": 0, "node": range(10), "component": [k % 2 for k in range(10)],
+                         "size": [len(h) for h in hashes], "print": [simhash.wide_fingerprint(h) for h in hashes]})
+    got = {(r.a, r.b) for r in simhash._tile(simhash.differing_bits(0.8, 5.0), 0.8)(rows).itertuples()}
+    want = {(a, b) for b in range(10) for a in range(b) if (a - b) % 2 and simhash.jaccard(texts[a], texts[b], 5) >= 0.8}
+    assert len(want) > 1 and want <= got
+
+
 def test_odd_copies(odd, empty):
     kept = simhash.keep_representatives(odd)
     assert kept.columns == odd.columns
