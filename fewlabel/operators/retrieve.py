@@ -117,8 +117,8 @@ def retrieve_multi(queries: DataFrame, pool: DataFrame, num_retrieved: int, k: i
                                 carry=["lang", "source", "label", *signals], distinct="text"), "hits")
         scaled = min_max(hits, {"dist_norm": "dist"})
         unique = durable(dedup_two_stage(scaled, ["source", pool_id], DIGEST, order), "unique")
-        if not deepen or unique.count() >= 2 * num_retrieved or hits.count() < n_queries * k:
-            break
+        if not deepen or unique.count() >= 2 * num_retrieved or hits.where(F.col("rank") == k).isEmpty():
+            break  # deep enough, or every query with a vector has all of the pool
         k *= 2
     rows = best_rows(unique, 3 * num_retrieved, order).drop(DIGEST)
     rows = attach(rows, pool, pool_id, ["text"], 3 * num_retrieved)

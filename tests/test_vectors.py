@@ -182,6 +182,15 @@ def test_copies_do_not_crowd_out_texts(spark):
     assert sized.count() == 60 and sized.agg(F.min("cluster_size")).first()[0] >= 1
 
 
+def test_queries_without_a_vector_do_not_stop_the_deepening(spark):
+    rows = [(i, f"text {i}", "en", "s", i % 2, [float(i), 0.0]) for i in range(60)]
+    pool = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, label int, embedding array<double>")
+    q = spark.createDataFrame([(1, [0.0, 0.0]), (2, None)], "query_id long, query_vec array<double>")
+    assert retrieve.retrieve_multi(q, pool, 20, 1).count() == 20
+    assert retrieve.retrieve_multi(q, pool, 100, 1).count() == 60
+    assert retrieve.retrieve_multi(q.where("query_id = 2"), pool, 20, 1).count() == 0
+
+
 # --- alignment ----------------------------------------------------------------------------
 
 def test_alignment_over_several_blocks(spark, monkeypatch):
