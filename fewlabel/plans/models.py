@@ -13,14 +13,22 @@ from fewlabel.plans.registry import query, rnd
 from fewlabel.plans.tables import table, with_vectors
 
 
-def _sets(spark, sf):
-    """Training rows (source 0 = es, 1 = retrieved) and the held-out quarter to score, split by a digest of the id."""
+def _rows(spark, sf):
+    """All labelled rows; ``held_out`` is a quarter of them by a digest of the id."""
     x = with_vectors(spark, sf).select("doc_id", "lang", "label", "embedding", "text", "n_chars")
-    out = F.substring(F.md5(F.col("doc_id").cast("string")), 1, 1).isin("0", "1", "2", "3")
-    x, rest = x.where(out), x.where(~out)
-    train = (rest.withColumn("source", (F.col("lang") != "es").cast("int"))
-             .withColumn("score", F.col("n_chars") / 1000.0).withColumnRenamed("doc_id", "id"))
-    return train, x
+    return x.withColumn("held_out", F.substring(F.md5(F.col("doc_id").cast("string")), 1, 1).isin("0", "1", "2", "3"))
+
+
+def _training(rows):
+    """The rows that are not held out (source 0 = es, 1 = retrieved)."""
+    return (rows.where(~F.col("held_out")).drop("held_out").withColumn("source", (F.col("lang") != "es").cast("int"))
+            .withColumn("score", F.col("n_chars") / 1000.0).withColumnRenamed("doc_id", "id"))
+
+
+def _sets(spark, sf):
+    """Training rows and the held-out quarter to score."""
+    x = _rows(spark, sf)
+    return _training(x), x.where("held_out").drop("held_out")
 
 
 def _evaluated(model, rows):
@@ -37,9 +45,10 @@ def q_embed(spark, sf):
 
 @query("uncertainty_signals")
 def q_uncertainty(spark, sf):
-    train, rows = _sets(spark, sf)
-    out = classify.uncertainty_signals(classify.fit(train), rows)
-    return out.select("doc_id", "pred", rnd("uncertainty").alias("uncertainty"), rnd("margin").alias("margin"))
+    """Signals for every labelled row; those that are not ``held_out`` were fitted on."""
+    rows = _rows(spark, sf)
+    out = classify.uncertainty_signals(classify.fit(_training(rows)), rows)
+    return out.select("doc_id", "held_out", "pred", rnd("uncertainty").alias("uncertainty"), rnd("margin").alias("margin"))
 
 
 @query("train_weighted")

@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from fewlabel.operators import classify, combine, curriculum, metrics, perplexity, prompts, reports, topics
+from fewlabel.plans import models
+from fewlabel.plans.tables import with_vectors
 from fewlabel.sources import labelled, naming, tables
 
 
@@ -265,3 +267,10 @@ def test_rows_without_examples_are_never_dropped(spark):
     assert sorted((r.doc_id, r.e) for r in kept.collect()) == [(1, 'Comment: "a\t"Answer: no'), (2, None)]
     with pytest.raises(Exception, match="no examples for 2"):
         prompts.attach_examples(rows, examples, ["doc_id"]).collect()
+
+
+def test_signals_for_every_labelled_row(spark, sf_dir):
+    rows = models.q_uncertainty(spark, sf_dir)
+    ids = {r.doc_id for r in with_vectors(spark, sf_dir).select("doc_id").collect()}
+    got = {r.doc_id: r.held_out for r in rows.collect()}
+    assert set(got) == ids and 0 < sum(got.values()) < len(got)
