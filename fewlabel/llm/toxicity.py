@@ -24,11 +24,14 @@ LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g",
          "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
 SEPARATORS = frozenset(".-_*~'`^,/\\ ")
 EDGES = ".,;:?!\"'()[]{}<>|/\\-_*~#%&=+ "
-LONGEST = 40  # characters of a word that is decoded; longer strings are data, not words
+LONGEST = 40  # characters decoded at a time; longer strings are read in parts that overlap by half
 SYMBOLS = 28  # word edge, a to z, any other letter
-SPACED = re.compile(r"(?<!\S)\S(?: \S){3,}(?!\S)")
+EDGE = "[" + re.escape(EDGES.strip()) + "]"
+UNIT = rf"(?:{EDGE}*[^\s{EDGE[1:-1]}]{EDGE}*|{EDGE})"  # one character, maybe with punctuation around
+SPACED = re.compile(rf"(?<!\S){UNIT}(?:\s+{UNIT}){{2,}}(?!\S)")
 PLAIN = re.compile(r"[^\W\d_]+")
 REPEAT = re.compile(r"(.)\1\1")
+REPEATS = re.compile(r"(.)\1{2,}", re.S)
 STARTS = (4, 5, 6)
 BROADCAST_ROWS = 1_000_000
 FEATURES, FIT_ROWS = 4_000, 20_000
@@ -60,11 +63,12 @@ def log_trigrams(counts: np.ndarray) -> list[float]:
     return np.log((cube + 5 * share) / (cube.sum(axis=2, keepdims=True) + 5)).ravel().tolist()
 
 
-def decode(word: str, model: list[float]) -> str:
+def decode(word: str, model: list[float], edges: bool = False) -> str:
     """The likeliest reading of a disguised word: Viterbi over its lattice, the state being the last two letters.
 
     Reading a character as another one costs a little, leaving out a repeated letter or a separator nothing, so the
-    longest runs shrink to what words look like. Equal scores go to the first reading in the order of the alphabet.
+    longest runs shrink to what words look like. Equal scores go to the first reading in the order of the alphabet. With
+    ``edges`` a word may end and the next one start after any letter; a blank in the reading stands for it.
     """
     states = {(0, 0): (0.0, "")}
     before = ""
@@ -78,32 +82,65 @@ def decode(word: str, model: list[float]) -> str:
                        for x, cost in choices]
             if skip or not choices:
                 options.append(((a, b), score, text))
+            if edges:
+                options += [((y, 0), value + model[(x * SYMBOLS + y) * SYMBOLS], reading + " ")
+                            for (x, y), value, reading in options if y]
             for key, value, reading in options:
                 old = following.get(key)
                 if old is None or (value, old[1]) > (old[0], reading):
                     following[key] = (value, reading)
         states, before = following, c
-    ends = ((score + model[(a * SYMBOLS + b) * SYMBOLS], text) for (a, b), (score, text) in states.items())
+    ends = ((score + (0.0 if edges and text and not b else model[(a * SYMBOLS + b) * SYMBOLS]), text) for (a, b), (score, text) in states.items())
     return max(ends, key=lambda e: (e[0], tuple(-ord(x) for x in e[1])))[1]
 
 
+def _decoded(core: str, model: list[float]) -> list[str]:
+    """The decoded form of a string; a long one is shortened where a character repeats, then read as words part by part."""
+    if len(core) > LONGEST:
+        core = REPEATS.sub(r"\1\1", core)
+    if len(core) <= LONGEST:
+        return [decode(core, model)]
+    return words_of(core, model)
+
+
+def words_of(letters: str, model: list[float]) -> list[str]:
+    """The likeliest words of a string without blanks. Parts of ``LONGEST`` characters overlap by half."""
+    if len(letters) > LONGEST:
+        letters = REPEATS.sub(r"\1\1", letters)
+    step = LONGEST // 2
+    parts = [letters[at:at + LONGEST] for at in range(0, max(1, len(letters) - step), step)]
+    return list(dict.fromkeys(w for part in parts for w in decode(part, model, edges=True).split()))
+
+
 def readings(token: str, model: list[float]) -> list[str]:
     """The words a lower-case token may be: its letters as they stand, and the decoded form of a disguised one."""
     core = token.strip(EDGES)
     if PLAIN.fullmatch(core):
         out = [core]
-        if REPEAT.search(core) and len(core) <= LONGEST:
-            out.append(decode(core, model))
+        if REPEAT.search(core):
+            out += _decoded(core, model)
         elif core != token and token[0] in LOOKS and not token[0].isalnum() and token[1:2].isalpha():
-            out.append(decode(token[0] + core, model))
+            out += _decoded(token[0] + core, model)
         return out
     bare = core.rstrip("$@€£0123456789").strip(EDGES)
     out = [bare] if PLAIN.fullmatch(bare) else PLAIN.findall(core)
-    if len(core) <= LONGEST and any(c.isalpha() for c in core):
-        out.append(decode(core, model))
+    if any(c.isalpha() for c in core):
+        out += _decoded(core, model)
     return out
 
 
+def spaced_words(stretch: str, model: list[float]) -> list[str]:
+    """The words that letters with blanks between may be: all of them as one, those between wider blanks, and the likeliest words."""
+    gaps = [len(g) for g in re.findall(r"\s+", stretch)]
+    wide = re.split(r"\s{%d,}" % (min(gaps) + 1), stretch)
+    out: dict[str, None] = {}
+    for part in (wide if len(wide) == 1 else [stretch, *wide]):
+        letters = "".join(t.strip(EDGES) or t for t in part.split())
+        if any(c.isalpha() for c in letters):
+            out.update(dict.fromkeys(readings(letters, model) + words_of(letters, model)))
+    return list(out)
+
+
 def features(word: str) -> list[str]:
     """A word and its beginnings."""
     return [word, *(f"{word[:n]}~" for n in STARTS if len(word) > n)]
@@ -115,12 +152,12 @@ class Reader:
     def __init__(self, model: list[float], wanted: dict[str, int] | None = None):
         self.model, self.wanted, self.known = model, wanted, {}
 
-    def _word(self, token: str) -> tuple:
+    def _word(self, token: str, read=readings) -> tuple:
         got = self.known.get(token)
         if got is None:
             if len(self.known) >= WORDS_KEPT:
                 self.known.clear()
-            names = [f for r in readings(token, self.model) for f in features(r)]
+            names = [f for r in read(token, self.model) for f in features(r)]
             got = tuple(names) if self.wanted is None else tuple(self.wanted[f] for f in names if f in self.wanted)
             self.known[token] = got
         return got
@@ -132,7 +169,7 @@ class Reader:
         for token in tokens:
             found.update(self._word(token))
         for m in SPACED.finditer(text):
-            found.update(self._word(m.group().replace(" ", "")))
+            found.update(self._word(m.group(), spaced_words))
         return found
 
 

@@ -129,6 +129,16 @@ def test_readings_of_disguised_words():
     assert "idiot" in toxicity.Reader(model).read("you i d i o t there")
 
 
+def test_readings_of_spaced_and_stretched_words():
+    corpus = ["you are a idiot dumb stupid and the of in you a stupid idiot fool " * 5]
+    reader = toxicity.Reader(toxicity.log_trigrams(toxicity.trigram_counts(corpus)))
+    for text, want in {"an i d i o t.": "idiot", "so d u m b!": "dumb", "a s t u p i d one": "stupid", "y o u i d i o t": "idiot",
+                       "i  d  i  o  t": "idiot", "y o u  s t u p i d": "stupid", "1 d 1 o t": "idiot", "f o o": "foo",
+                       "st" + "u" * 60 + "pid": "stupid", "y o u a s t u p i d " * 3 + "i d i o t": "idiot",
+                       " ".join("youareaidiot" * 5): "idiot", "s-t-u-p-i-d-" * 5: "stupid"}.items():
+        assert want in reader.read(text), (text, reader.read(text))
+
+
 def test_toxicity_of_held_out_rows(spark):
     rng = random.Random(15)
     good = ["".join(rng.choice(["th", "er", "on", "an", "re", "he", "in"]) for _ in range(rng.randint(1, 4))) for _ in range(400)]
