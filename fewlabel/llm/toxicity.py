@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fewlabel.llm.common import frame, held_out, largest, text_of
+from fewlabel.llm.common import frame, held_out, text_of
 from fewlabel.session import durable
 
 # What a character may stand for, besides itself if it is a letter.
@@ -34,7 +34,7 @@ REPEAT = re.compile(r"(.)\1\1")
 REPEATS = re.compile(r"(.)\1{2,}", re.S)
 STARTS = (4, 5, 6)
 BROADCAST_ROWS = 1_000_000
-FEATURES, FIT_ROWS = 4_000, 20_000
+FIT_ROWS = 20_000
 LEAST_ODDS = 2.5  # bound on a feature's log odds; four labelled texts and none without reach it
 WORDS_KEPT = 100_000  # words whose features a task remembers; with more it forgets them
 FEATURES_KEPT = 150_000  # features a task counts before it hands the counts on
@@ -207,7 +207,8 @@ def _fit(rows: list[tuple[list[int], int]], size: int, rounds: int = 300, penalt
 
 
 class Model:
-    """What scoring needs: the character model, the features and their weights. Its size is bounded by ``FEATURES``."""
+    """What scoring needs: the character model, the features and their weights. It grows with the features that pass
+    the bound, which at least four labelled texts must have."""
 
     def __init__(self, letters: list[float], names: dict[str, int], weights: np.ndarray, bias: float):
         self.letters, self.names, self.weights, self.bias = letters, names, weights, bias
@@ -217,8 +218,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
           parts: int = 5, corpus: DataFrame | None = None) -> Model:
     """Learns from the labelled rows that are not held out.
 
-    Feature counts cover all of these rows; the ``FEATURES`` that speak most for the label are kept, and the regression
-    is fitted on about ``FIT_ROWS`` rows at most, those with the smallest hashes of their id. Labels other than 0 and 1 are left out;
+    Feature counts cover all of these rows; every feature whose odds pass the bound is kept. The regression is fitted on
+    about ``FIT_ROWS`` rows at most, those with the smallest hashes of their id; features that none of them has
+    weigh their bound, times what the fitted weights are of theirs. Labels other than 0 and 1 are left out;
     of repeated labels of an id the largest counts. Without labelled rows of both kinds every score is the share of the
     label, which is one third (not toxic) where there are none.
     """
@@ -253,8 +255,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # A lower bound of how much likelier the label is with the feature than without, weighed by how often it says so.
     odds = F.log((F.col("one") + 0.5) / (ones + 1)) - F.log((F.col("zero") + 0.5) / (zeros + 1))
     bound = odds - F.sqrt(1 / (F.col("one") + 0.5) + 1 / (F.col("zero") + 0.5))
-    clear = durable(counts.where(bound > LEAST_ODDS).select("feature", (bound * F.sqrt("one")).alias("worth")), "features")
-    wanted = {f: i for i, f in enumerate(sorted(r["feature"] for r in largest(clear, "worth", FEATURES).collect()))}
+    clear = sorted(counts.where(bound > LEAST_ODDS).select("feature", bound.alias("bound")).collect())
+    wanted, bounds = {r["feature"]: i for i, r in enumerate(clear)}, np.array([r["bound"] for r in clear], dtype=float)
 
     def lists(batches):
         reader = Reader(letters, wanted)
@@ -264,7 +266,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     share = int(2 ** 31 * min(1.0, FIT_ROWS / (zeros + ones)))
     sample = known.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(2 ** 31)) < share).select("text", "y")
     rows = [(list(r["f"]), r["y"]) for r in sample.mapInPandas(lists, "y int, f array<int>").collect()]
-    return Model(letters, wanted, *_fit(rows, len(wanted)))
+    weights, bias = _fit(rows, len(wanted))
+    return Model(letters, wanted, _with_unseen(weights, bounds, rows), bias)
+
+
+def _with_unseen(weights: np.ndarray, bounds: np.ndarray, rows: list[tuple[list[int], int]]) -> np.ndarray:
+    """The weights, those of features in none of ``rows`` from their bounds."""
+    seen = np.zeros(len(weights), dtype=bool)
+    seen[[i for f, _ in rows for i in f]] = True
+    scale = weights[seen] @ bounds[seen] / (bounds[seen] @ bounds[seen]) if seen.any() else 1.0
+    return np.where(seen, weights, scale * bounds)
 
 
 def _counted(total: dict[str, list[int]]) -> pd.DataFrame:

@@ -5,6 +5,7 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -161,6 +162,19 @@ def test_toxicity_of_held_out_rows(spark):
     assert model.names and max(map(len, model.names)) < 30
 
 
+def test_every_feature_past_the_bound_counts(spark):
+    rng = random.Random(16)
+    new = ["".join(rng.choice("abcdefghij") for _ in range(9)) for _ in range(5000)]
+    rows = [(i, f"fine text {i % 7} " + (" ".join(new) if i < 8 else "scum" if i < 60 else "and more")) for i in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i < 60)) for i in range(400)], "doc_id long, toxic int")
+    model = toxicity.train(frame, marks)
+    assert set(new) <= set(model.names)
+    # Features outside of the fitted rows count too.
+    weights = toxicity._with_unseen(np.array([2.0, 0.0]), np.array([4.0, 3.0]), [([0], 1), ([], 0)])
+    assert weights.tolist() == [2.0, 1.5]
+
+
 def test_odd_toxicity(spark, odd, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     kept = toxicity.keep_clean(odd, none)
