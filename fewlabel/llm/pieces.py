@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from fewlabel.llm.common import frame, text_of
 
 MARK = "▁"
-KNOWN_WORDS = 120_000  # with more encoded words than this a task forgets them before it reads on
+KNOWN_WORDS = 300_000  # with more encoded words than this a task forgets them before it reads on
+FITS_KEPT = 2_000_000  # pairs of pieces remembered at a time
 SLICE = 4_000_000  # characters whose words are encoded in one walk
 
 
@@ -40,9 +41,10 @@ class Pieces:
         self.special, self.from_byte = special, {i: b for b, i in byte_ids.items()}
         self.longest = max(map(len, self.ids), default=1)
         self.rank = {p: -scores[i] for p, i in self.ids.items()}
-        # Every ending of a piece with the piece's number, or None where the ending is no piece itself.
-        self.endings: dict[str, int | None] = {p[k:]: None for p in self.ids for k in range(len(p))}
-        self.endings.update(self.ids)
+        # Every ending of a piece with what is known of the pieces that may stand before it, or None where it is no piece itself.
+        self.endings: dict[str, dict[str, bool] | None] = {p[k:]: None for p in self.ids for k in range(len(p))}
+        self.endings.update({p: {} for p in self.ids})
+        self.packed = {p: np.int32(i).tobytes() for p, i in self.ids.items()}
         # Where two characters never stand together in a piece, no piece can reach over them.
         self.pairs = {p[k:k + 2] for p in self.ids for k in range(len(p) - 1)}
         breaks = "".join(c for c in "\n\t\r" if c not in self.endings)
@@ -54,7 +56,7 @@ class Pieces:
         for i, value in self.from_byte.items():
             self.shown[i] = chr(value) if value < 128 else ""
         self.high = np.array([self.from_byte.get(i, 0) > 127 for i in range(len(pieces))] or [False])
-        self.fits: dict[tuple[str, str], bool] = {}
+        self.fits_known = 0
         self.worst = min(scores, default=0.0) - 10.0
         self.lines = "\n" not in self.endings
         self.known: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
@@ -88,21 +90,25 @@ class Pieces:
         return parts
 
     def _fits(self, before: str, piece: str) -> bool:
-        got = self.fits.get((before, piece))
-        if got is None:
-            if len(self.fits) > 2_000_000:
-                self.fits.clear()
-            got = self.fits[before, piece] = self.merged(before + piece) == [p for p in (before, piece) if p]
+        if self.fits_known >= FITS_KEPT:
+            for known in self.endings.values():
+                if known:
+                    known.clear()
+            self.fits_known = 0
+        self.fits_known += 1
+        got = self.endings[piece][before] = self.merged(before + piece) == [p for p in (before, piece) if p]
         return got
 
-    def encode_words(self, words: list[str]) -> dict[str, tuple[int, ...]]:
-        """The ids of every distinct word, in one depth-first walk over the sorted words."""
-        out: dict[str, tuple[int, ...]] = {}
-        ids, endings, fits, merges, last, blanks = self.ids, self.endings, self.fits, self.merges, "", []
+    def encode_words(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of every distinct word as 32-bit numbers, in one depth-first walk over the sorted words."""
+        out: dict[str, bytes] = {}
+        step = self._extend_merges if self.merges else self._extend_sums
+        blanks: list[str] = []
+        packed, last = self.packed, ""
         # After i characters: the piece that ends there, and for unigrams its score.
         pieces, sums = [""], [0.0]
         for word in sorted(words):
-            if merges and word[1:2] == MARK:
+            if self.merges and word[1:2] == MARK:
                 blanks.append(word)
                 continue
             shared = 0
@@ -111,63 +117,87 @@ class Pieces:
                     break
                 shared += 1
             del pieces[shared + 1:], sums[shared + 1:]
-            for end in range(shared + 1, len(word) + 1):
-                char = word[end - 1]
-                if char not in ids:  # not in the vocabulary: stands alone, later spelled in bytes
-                    pieces.append(char)
-                    sums.append(sums[-1] + self.worst)
-                    continue
-                best, most = None, 0.0
-                for start in range(end - 1, -1, -1):
-                    piece = word[start:end]
-                    number = endings.get(piece, -1)
-                    if number is None:
-                        continue
-                    if number < 0:  # no piece ends like this, so none starts further left
-                        break
-                    if merges:
-                        fit = fits.get((pieces[start], piece))
-                        if fit is None:
-                            fit = self._fits(pieces[start], piece)
-                        if fit:
-                            best = piece
-                            break
-                    elif best is None or sums[start] + self.scores[number] > most:
-                        best, most = piece, sums[start] + self.scores[number]
-                if best is None:  # scores that tie can leave a prefix open: merge this word as it stands
-                    break
-                pieces.append(best)
-                sums.append(most)
+            step(word, shared, pieces, sums)
+            end = len(word)
             last = word[:len(pieces) - 1]
-            if last != word:
-                out[word] = self._ids(self.merged(word))
+            if len(last) != end:  # scores that tie can leave a prefix open: merge this word as it stands
+                out[word] = self._pack(self.merged(word))
                 continue
-            found, end = [], len(word)
+            found = []
             while end:
-                found.append(pieces[end])
-                end -= len(pieces[end])
-            out[word] = self._ids(found[::-1])
+                piece = pieces[end]
+                found.append(piece)
+                end -= len(piece)
+            found.reverse()
+            try:
+                out[word] = b"".join([packed[p] for p in found])
+            except KeyError:
+                out[word] = self._pack(found)
         if blanks:
             self._blank_runs(blanks, out)
         return out
 
-    def _blank_runs(self, words: list[str], out: dict[str, tuple[int, ...]]) -> None:
+    def _extend_merges(self, word: str, shared: int, pieces: list[str], sums: list[float]) -> None:
+        """The piece that ends each prefix of ``word`` beyond ``shared`` characters, as far as there is one."""
+        endings, append = self.endings, pieces.append
+        for end in range(shared + 1, len(word) + 1):
+            for start in range(end - 1, -1, -1):
+                piece = word[start:end]
+                known = endings.get(piece, False)
+                if known is None:
+                    continue
+                if known is False:  # no piece ends like this, so none starts further left
+                    if start == end - 1:  # not in the vocabulary: stands alone, later spelled in bytes
+                        append(piece)
+                        break
+                    return
+                before = pieces[start]
+                fit = known.get(before)
+                if fit is None:
+                    fit = self._fits(before, piece)
+                if fit:
+                    append(piece)
+                    break
+            else:
+                return
+
+    def _extend_sums(self, word: str, shared: int, pieces: list[str], sums: list[float]) -> None:
+        """As ``_extend_merges``, by the best sum of scores."""
+        ids, endings = self.ids, self.endings
+        for end in range(shared + 1, len(word) + 1):
+            if word[end - 1] not in ids:
+                pieces.append(word[end - 1])
+                sums.append(sums[-1] + self.worst)
+                continue
+            best, most = None, 0.0
+            for start in range(end - 1, -1, -1):
+                piece = word[start:end]
+                if piece not in endings:
+                    break
+                number = ids.get(piece)
+                if number is not None and (best is None or sums[start] + self.scores[number] > most):
+                    best, most = piece, sums[start] + self.scores[number]
+            pieces.append(best)
+            sums.append(most)
+
+    def _blank_runs(self, words: list[str], out: dict[str, bytes]) -> None:
         """Words behind a run of marks: the last mark belongs to the word if it merges with it, the others to the run."""
         if not self.period:
-            out.update({w: self._ids(self.merged(w)) for w in words})
+            out.update({w: self._pack(self.merged(w)) for w in words})
             return
         ends = {w: w.lstrip(MARK) for w in words}
         single = self.encode_words(sorted({MARK + e for e in ends.values() if e}))
-        mark = self.ids.get(MARK)
+        mark = self.packed.get(MARK)
         for word, end in ends.items():
-            tail = single[MARK + end] if end else ()
+            tail = single[MARK + end] if end else b""
             marks = len(word) - len(end) - (1 if end else 0)
-            if tail and tail[0] == mark:
-                marks, tail = marks + 1, tail[1:]
+            if tail and tail[:4] == mark:
+                marks, tail = marks + 1, tail[4:]
             whole = max(0, (marks - 2 * self.period) // self.period)
-            out[word] = self._ids([MARK * self.period] * whole + self.runs[marks - whole * self.period]) + tail
+            out[word] = self._pack([MARK * self.period] * whole + self.runs[marks - whole * self.period]) + tail
 
-    def _ids(self, parts: list[str]) -> tuple[int, ...]:
+    def _pack(self, parts: list[str]) -> bytes:
+        """The ids of pieces and of characters outside of the vocabulary as 32-bit numbers."""
         out: list[int] = []
         for p in parts:
             i = self.ids.get(p)
@@ -177,7 +207,7 @@ class Pieces:
                 out.extend(self.bytes[b] for b in p.encode("utf-8", "surrogatepass"))
             else:
                 out.append(self.unknown)
-        return tuple(out)
+        return np.array(out, dtype=np.int32).tobytes()
 
     def _cut(self, unit: str) -> list[str]:
         """The parts of a word that no piece reaches over; a run of marks stays with what follows."""
@@ -220,8 +250,7 @@ class Pieces:
                 if w not in known:
                     unit = w if marked or w[:1] == "\n" else MARK + w
                     cuts.append((known, w, [unit] if w.isalpha() else self._cut(unit)))
-        parts = self.encode_words(list({p for _, _, ps in cuts for p in ps}))
-        raw = {p: np.array(ids, dtype=np.int32).tobytes() for p, ids in parts.items()}
+        raw = self.encode_words(list({p for _, _, ps in cuts for p in ps}))
         for known, w, ps in cuts:
             known[w] = raw[ps[0]] if len(ps) == 1 else b"".join(map(raw.__getitem__, ps))
 

@@ -46,7 +46,8 @@ def test_unigram_words_take_the_best_sum():
         return at[-1][0]
 
     words = ["▁" + "".join(rng.choice("abc▁") for _ in range(rng.randint(1, 12))) for _ in range(200)]
-    for word, ids in coder.encode_words(words).items():
+    for word, packed in coder.encode_words(words).items():
+        ids = tuple(np.frombuffer(packed, dtype=np.int32).tolist())
         assert "".join(names[i] for i in ids) == word
         assert math.isclose(sum(scores[i] for i in ids), best(word), abs_tol=1e-9)
 
