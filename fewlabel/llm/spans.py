@@ -6,7 +6,6 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,8 +31,8 @@ def sentences(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def runs(text: str, pieces: list[tuple[int, int, int]], least: int) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
-    """Runs ``(first, last + 1)`` of sentences with their 64-bit hashes, and the words of every sentence.
+def runs(text: str, pieces: list[tuple[int, int, int]], least: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Runs ``(first, last + 1)`` of consecutive sentences with their 64-bit hashes.
 
     From every sentence the shortest run forward and the shortest run backward that have ``least`` words, so any
     repeated passage of whole sentences with so many words is covered from its first to its last sentence. A sentence
@@ -63,16 +62,18 @@ def runs(text: str, pieces: list[tuple[int, int, int]], least: int) -> tuple[lis
         total -= counts[j]
     spans = list(found)
     hashes = np.fromiter((xxhash.xxh3_64_intdigest(b"".join(digests[a:b])) for a, b in spans), dtype=np.uint64, count=len(spans))
-    return spans, hashes.view(np.int64), np.array(counts, dtype=np.int64)
+    return spans, hashes.view(np.int64)
 
 
 def word_codes(text: str, pieces: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of every word of the sentences, and the number of the first word of every sentence, then of all."""
-    codes, starts, digest = [], [0], xxhash.xxh3_64_intdigest
+    words, starts = [], [0]
     for start, end, _ in pieces:
-        codes += [digest(w.encode("utf-8", "surrogatepass")) for w in text[start:end].lower().split()]
-        starts.append(len(codes))
-    return np.array(codes, dtype=np.uint64), np.array(starts, dtype=np.int64)
+        words += text[start:end].lower().split()
+        starts.append(len(words))
+    # A text's words are encoded at once: no word holds a line feed.
+    raw = "\n".join(words).encode("utf-8", "surrogatepass").split(b"\n") if words else []
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, raw), dtype=np.uint64, count=len(raw)), np.array(starts, dtype=np.int64)
 
 
 def stretches(codes: np.ndarray, width: int) -> np.ndarray:
@@ -108,30 +109,23 @@ def _whole(at: np.ndarray, starts: np.ndarray, words: int) -> np.ndarray:
     return bare[starts[1:]] == bare[starts[:-1]]
 
 
-def _by_runs(text: str, pieces: list[tuple[int, int, int]], bad: set[int], run_words: int, passage_words: int) -> np.ndarray:
-    """The sentences in stretches of repeated runs with ``passage_words`` words or more."""
-    spans, hashes, counts = runs(text, pieces, run_words)
-    marks = np.zeros(len(pieces) + 1, dtype=np.int64)
-    order = sorted(range(len(spans)), key=lambda k: spans[k])
-    seen = set()
-    for k in order:
-        h = int(hashes[k])
+def _by_runs(pieces: list[tuple[int, int, int]], spans: list[tuple[int, int]], hashes: np.ndarray, bad: set[int]) -> np.ndarray:
+    """The sentences that a run covers whose hash is in ``bad`` or came before in the text."""
+    marks, seen = np.zeros(len(pieces) + 1, dtype=np.int64), set()
+    for (first, last), h in sorted(zip(spans, hashes.tolist())):
         if h in bad or h in seen:
-            marks[spans[k][0]] += 1
-            marks[spans[k][1]] -= 1
+            marks[first] += 1
+            marks[last] -= 1
         seen.add(h)
-    covered = np.cumsum(marks[:-1]) > 0
-    gone, i = np.zeros(len(pieces), dtype=bool), 0
-    while i < len(pieces):
-        if not covered[i]:
-            i += 1
-            continue
-        j = i
-        while j < len(pieces) and covered[j]:
-            j += 1
-        gone[i:j] = counts[i:j].sum() >= passage_words
-        i = j
-    return gone
+    return np.cumsum(marks[:-1]) > 0
+
+
+def again(codes: np.ndarray, width: int) -> np.ndarray:
+    """Which stretches of ``width`` words came before in the text."""
+    own = stretches(codes, width)
+    late = np.ones(len(own), dtype=bool)
+    late[np.unique(own, return_index=True)[1]] = False
+    return late
 
 
 def undecided(text: str, bad, run_words: int = RUN_WORDS, passage_words: int = PASSAGE_WORDS) -> np.ndarray:
@@ -142,7 +136,7 @@ def undecided(text: str, bad, run_words: int = RUN_WORDS, passage_words: int = P
     at = np.flatnonzero(np.isin(own, np.fromiter(bad, dtype=np.int64, count=len(bad))))
     if not len(at):
         return own[:0]
-    open_ = _whole(at, starts, passage_words) & ~_by_runs(text, pieces, set(bad), run_words, passage_words)
+    open_ = _whole(at, starts, passage_words) & ~_by_runs(pieces, *runs(text, pieces, run_words), set(bad))
     before = np.concatenate([[0], np.cumsum(np.repeat(open_, np.diff(starts)))])
     return np.unique(own[at[before[at + passage_words] > before[at]]])
 
@@ -150,20 +144,18 @@ def undecided(text: str, bad, run_words: int = RUN_WORDS, passage_words: int = P
 def removed(text: str, bad, run_words: int = RUN_WORDS, passage_words: int = PASSAGE_WORDS, words_bad=()) -> tuple[int, list[tuple[int, int]]]:
     """The number of sentences, and the parts ``(start, end)`` of ``text`` to remove.
 
-    Sentences count as repeated where a run covers them whose hash is in ``bad`` or came before in this text; stretches of
-    them with ``passage_words`` words or more go. So does every sentence that lies whole in stretches of ``passage_words``
-    words whose hash is in ``words_bad`` or came before in this text, wherever in a sentence these begin and end.
+    Every sentence goes that a run covers whose hash is in ``bad`` or came before in this text. So does every sentence that
+    lies whole in stretches of ``passage_words`` words whose hash is in ``words_bad`` or came before in this text, wherever
+    in a sentence these begin and end.
     """
     pieces = sentences(text)
-    gone = _by_runs(text, pieces, set(bad), run_words, passage_words)
+    gone = _by_runs(pieces, *runs(text, pieces, run_words), set(bad))
     codes, starts = word_codes(text, pieces)
-    own = stretches(codes, passage_words).view(np.int64)
-    again = np.ones(len(own), dtype=bool)
-    again[np.unique(own, return_index=True)[1]] = False
+    late = again(codes, passage_words)
     if len(words_bad):
-        again |= np.isin(own, np.asarray(words_bad, dtype=np.int64))
-    if again.any():
-        gone |= _whole(np.flatnonzero(again), starts, passage_words)
+        late |= np.isin(stretches(codes, passage_words).view(np.int64), np.asarray(words_bad, dtype=np.int64))
+    if late.any():
+        gone |= _whole(np.flatnonzero(late), starts, passage_words)
     out, i = [], 0
     while i < len(pieces):
         j = i
@@ -184,8 +176,8 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     count as one document. Null texts are empty ones; rows with a null id take no part and stay as they are, as do
     repeated rows. Other columns are left out.
 
-    A passage is ``passage_words`` words or more that come again, as whole sentences or with edges inside of sentences; the
-    sentences that lie whole in a later occurrence go. Words are compared without letter case and white space.
+    All sentences that a repeated run covers go, and those that lie whole in a later occurrence of ``passage_words`` words or more
+    whose edges are inside of sentences. Words are compared without letter case and white space.
 
     Every text hands out each of its run hashes and anchors once. They are counted per hash with partial sums in the tasks, so
     a passage that a third of all documents share meets as one row per task; the repeated hashes are joined back, and only the
@@ -198,12 +190,15 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def hand_out(batches):
         for batch in batches:
-            out = []
+            out, inner = [], []
             for text in batch[text_col]:
                 pieces = sentences(text)
-                _, hashes, _ = runs(text, pieces, run_words)
-                out.append(np.unique(np.concatenate([hashes, anchors(word_codes(text, pieces)[0], run_words, passage_words)])))
-            yield frame({id_col: batch[id_col], "h": out})
+                _, hashes = runs(text, pieces, run_words)
+                codes, _ = word_codes(text, pieces)
+                own = np.unique(hashes)
+                inner.append(len(own) < len(hashes) or again(codes, passage_words).any())
+                out.append(np.unique(np.concatenate([own, anchors(codes, run_words, passage_words)])))
+            yield frame({id_col: batch[id_col], "inner": np.array(inner, dtype=bool), "h": out})
 
     def ask(batches):
         for batch in batches:
@@ -223,21 +218,27 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         first = handed.groupBy("h").agg(F.min(id_col).alias("_first"), F.max(id_col).alias("_last")).where("_first < _last").select("h", "_first")
         return handed.join(durable(first, name), "h").where(F.col(id_col) > F.col("_first"))
 
-    given = rows.where(F.col(id_col).isNotNull()).mapInPandas(hand_out, f"`{id_col}` {kind}, h array<bigint>")
-    given = durable(given.select(F.col(id_col), F.explode("h").alias("h")), "runs")
+    given = rows.where(F.col(id_col).isNotNull()).mapInPandas(hand_out, f"`{id_col}` {kind}, inner boolean, h array<bigint>")
+    given = durable(given, "runs")
+    inner = given.where("inner").select(id_col).distinct().withColumn("_inner", F.lit(True))
+    given = given.select(F.col(id_col), F.explode("h").alias("h"))
     later = durable(not_first(given, "repeated_runs").groupBy(id_col).agg(F.collect_set("h").alias("_bad")), "later_runs")
     asked = durable(rows.join(later, id_col).mapInPandas(ask, "h bigint").distinct(), "asked")
     wanted = durable(given.join(asked, "h").groupBy(id_col).agg(F.collect_set("h").alias("_asked")), "wanted")
     answers = rows.join(wanted, id_col).mapInPandas(answer, f"`{id_col}` {kind}, h array<bigint>")
     answers = durable(answers.select(F.col(id_col), F.explode("h").alias("h")), "stretches")
     words = durable(not_first(answers, "repeated_stretches").groupBy(id_col).agg(F.collect_set("h").alias("_words")), "later_stretches")
-    joined = rows.join(later.join(words, id_col, "full"), id_col, "left")
+    # A text that shares nothing and repeats nothing is not looked at again.
+    joined = rows.join(later.join(words, id_col, "full").join(inner, id_col, "full"), id_col, "left")
 
     def cut(batches):
         for batch in batches:
             texts, counts, parts = [], [], []
-            for i, text, bad, far in zip(batch[id_col], batch[text_col], batch["_bad"], batch["_words"]):
-                n, gone = removed(text, () if bad is None else bad.tolist(), run_words, passage_words, () if far is None else far) if not pd.isna(i) else (len(sentences(text)), [])
+            for text, bad, far, inner in zip(batch[text_col], batch["_bad"], batch["_words"], batch["_inner"]):
+                if bad is None and far is None and inner is not True:
+                    n, gone = len(sentences(text)), []
+                else:
+                    n, gone = removed(text, () if bad is None else bad.tolist(), run_words, passage_words, () if far is None else far)
                 edges = [0, *(x for part in gone for x in part), len(text)]
                 texts.append("".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])))
                 counts.append(n)
