@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def bounded_batches(spark, size: str = "4m") -> None:
+    """From now on Arrow batches of the session carry about ``size`` bytes, however long the texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def text_of(column: str) -> Column:
     """A null text counts as the empty one."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

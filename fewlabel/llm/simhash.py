@@ -220,8 +220,9 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     At similarity 0.8 a pair of larger texts meets in one of the 93 blocks with probability 0.92, at 0.85 with 0.99. Groups of a
     block with up to ``CROWD`` nodes compare all pairs. A larger one compares every node with its first; where that
     leaves it in several components, its nodes are dealt into tiles and all tiles compared in parallel, each handing out
-    all its pairs that may be links. The closest of every two components are confirmed first, then all pairs that still lie in
-    different ones. So no candidate is lost to a group's size and no task holds more than two tiles.
+    the closest pairs of every two components. These are confirmed, and rounds with more of them follow while two components
+    of a group are apart and have candidates left. So no candidate is lost to a group's size, no task holds more than two tiles,
+    and pairs inside of a component are never written.
     Rows with a null id take no part.
     """
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
@@ -262,24 +263,28 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = durable(first.unionByName(_confirmed(near, components(first), rows, width, similarity)), "edges")
     named = components(edges)
 
-    # Crowded groups whose nodes are not all connected yet.
-    crowded = members.where(F.col("n") > CROWD).select("key", "node", "n").join(named, "node", "left").select(
-        "key", "node", "n", F.coalesce("component", "node").alias("component"))
-    split = crowded.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    open_ = durable(crowded.join(durable(split, "split").select("key"), "key", "left_semi"), "open")
-    if not open_.isEmpty():
+    # Crowded groups whose nodes are not all connected yet. A round confirms the closest candidates of every two components in
+    # every pair of tiles; while some had more than it handed out, the next round takes eight times as many of what is still open.
+    groups_of = durable(members.where(F.col("n") > CROWD).select("key", "node", "n"), "crowded")
+    limit = 1
+    while True:
+        crowded = groups_of.join(named, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
+        split = crowded.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+        open_ = durable(crowded.join(durable(split, "split").select("key"), "key", "left_semi"), "open")
+        if open_.isEmpty():
+            break
         tiles = F.ceil(F.col("n") / TILE).cast("int")
         own = F.pmod(F.xxhash64("node", "key"), tiles).cast("int")
         dealt = open_.select("key", "node", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("other"))
         dealt = dealt.select("key", "node", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
         more = dealt.join(prints.select("node", "size", "print"), "node").groupBy("key", "i", "j").applyInPandas(
-            _tile(most, similarity), "a long, b long, apart long")
-        more = durable(more.distinct(), "more")
-        sides = [F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")]
-        best = _across(more, named).groupBy(*sides).agg(F.min(F.struct("apart", "a", "b")).alias("best")).select("best.a", "best.b")
-        edges = durable(edges.unionByName(_confirmed(best, named, rows, width, similarity)), "closest_edges")
+            _tile(most, similarity, limit), "a long, b long, more boolean")
+        more = durable(more, "more")
+        edges = durable(edges.unionByName(_confirmed(more.select("a", "b").distinct(), named, rows, width, similarity)), "edges")
         named = components(edges)
-        named = components(durable(edges.unionByName(_confirmed(more, named, rows, width, similarity)), "all_edges"))
+        if more.where("more").isEmpty():
+            break
+        limit *= 8
     found = nodes.select("id").join(named, nodes["id"] == named["node"], "left")
     return found.where(F.col("component").isNull() | (F.col("component") == F.col("id"))).select(F.col("id").alias(id_col))
 
@@ -325,14 +330,15 @@ def jaccard(one: str, two: str, width: int) -> float:
     return shared / (len(a) + len(b) - shared)
 
 
-def _tile(most: int, similarity: float):
+def _tile(most: int, similarity: float, limit: int):
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of nodes of different components in one pair of tiles that may be links, with the bits they differ in."""
+        """Of the pairs of nodes in one pair of tiles that may be links, the ``limit`` closest of every two components, and
+        whether these have more."""
         rows = rows.drop_duplicates("node")
         prints = np.stack(rows["print"].to_numpy()).view(np.uint64)
         nodes, comps, own, size = (rows[c].to_numpy() for c in ("node", "component", "own", "size"))
         across = rows["i"].iloc[0] != rows["j"].iloc[0]
-        out = [np.empty((0, 3), dtype=np.int64)]
+        out = [np.empty((0, 5), dtype=np.int64)]
         for x in range(len(rows)):
             small, large = np.minimum(size, size[x]), np.maximum(size, size[x])
             other = (comps != comps[x]) & (nodes > nodes[x]) & (small >= similarity * large - 1e-9)
@@ -342,8 +348,14 @@ def _tile(most: int, similarity: float):
             apart = np.bitwise_count(prints[near] ^ prints[x]).sum(axis=1, dtype=np.int64)
             likely = (apart <= most) | (small[near] <= SMALL)
             near, apart = near[likely], apart[likely]
-            out.append(np.stack([np.full(len(near), nodes[x]), nodes[near], apart], axis=1))
-        return pd.DataFrame(np.concatenate(out), columns=["a", "b", "apart"])
+            low, high = np.minimum(comps[near], comps[x]), np.maximum(comps[near], comps[x])
+            out.append(np.stack([low, high, apart, np.full(len(near), nodes[x]), nodes[near]], axis=1))
+        pairs = np.concatenate(out)
+        pairs = pairs[np.lexsort(pairs.T[::-1])]
+        starts = np.flatnonzero(np.r_[True, (pairs[1:, :2] != pairs[:-1, :2]).any(axis=1)]) if len(pairs) else np.empty(0, dtype=np.int64)
+        sizes = np.diff(np.r_[starts, len(pairs)])
+        kept = np.arange(len(pairs)) - np.repeat(starts, sizes) < limit
+        return pd.DataFrame({"a": pairs[kept, 3], "b": pairs[kept, 4], "more": np.repeat(sizes > limit, sizes)[kept]})
     return compare
 
 
