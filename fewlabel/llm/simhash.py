@@ -215,8 +215,8 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``id_col``: the smallest id of every group of texts linked by a shingle similarity of ``similarity`` or more.
 
     Equal shingle sets are one node. Nodes that share a block are candidates, and nodes of up to ``SMALL`` shingles also
-    those that share one of their smallest shingle hashes, which pairs of the similarity do for certain. Every link
-    is confirmed on the shingle sets, of larger texts where the fingerprints are within ``differing_bits`` with five deviations.
+    those that share one of their smallest shingle hashes, which pairs of the similarity do for certain; their sets of hashes
+    travel with them. Every link is confirmed on the shingle sets, of larger texts where the fingerprints are within ``differing_bits`` with five deviations.
     At similarity 0.8 a pair of larger texts meets in one of the 93 blocks with probability 0.92, at 0.85 with 0.99. Groups of a
     block with up to ``CROWD`` nodes compare all pairs. A larger one compares every node with its first; where that
     leaves it in several components, its nodes are dealt into tiles and all tiles compared in parallel, each handing out
@@ -232,20 +232,21 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             sets = [shingle_hashes(t, width) for t in batch["text"]]
             yield frame({"id": batch["id"], "digest": [xxhash.xxh3_128_digest(h.tobytes()) for h in sets],
                          "size": np.array([len(h) for h in sets], dtype=np.int64), "print": [wide_fingerprint(h) for h in sets],
-                         "small": [prefix_keys(h, similarity) if 0 < len(h) <= SMALL / similarity else None for h in sets]})
+                         "hashes": [h.view(np.int64) if len(h) <= SMALL / similarity else None for h in sets]})
 
-    prints = durable(rows.mapInPandas(run, "id long, digest binary, size long, print array<bigint>, small array<bigint>"), "prints")
+    prints = durable(rows.mapInPandas(run, "id long, digest binary, size long, print array<bigint>, hashes array<bigint>"), "prints")
     nodes = durable(prints.groupBy("digest").agg(F.min("id").alias("id")), "nodes")
-    prints = prints.join(nodes, ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"]).select(F.col("id").alias("node"), "size", "print", "small")
+    prints = prints.join(nodes, ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"]).select(F.col("id").alias("node"), "size", "print", "hashes")
     prints = durable(prints, "node_prints")
 
     def cut(batches):
         for batch in batches:
-            keys = [_blocks(p) if s is None else np.concatenate([_blocks(p), s]) for p, s in zip(batch["print"], batch["small"])]
+            keys = [_blocks(p) if h is None or not len(h) else np.concatenate([_blocks(p), prefix_keys(h.view(np.uint64), similarity)])
+                    for p, h in zip(batch["print"], batch["hashes"])]
             yield frame({"key": np.concatenate(keys) if keys else np.empty(0, dtype=np.int64),
                          "node": np.repeat(batch["node"].to_numpy(), [len(k) for k in keys])})
 
-    keyed = prints.select("node", "print", "small").mapInPandas(cut, "key long, node long")
+    keyed = prints.select("node", "print", "hashes").mapInPandas(cut, "key long, node long")
     groups = durable(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1"), "groups")
     members = durable(keyed.join(groups, "key"), "members")
     few = members.where(F.col("n") <= CROWD)
@@ -253,10 +254,12 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star = members.where((F.col("n") > CROWD) & (F.col("node") > F.col("least")))
     pairs = pairs.select("a", "b").unionByName(star.select(F.col("least").alias("a"), F.col("node").alias("b"))).distinct()
     most = differing_bits(similarity, 5.0)
-    left = prints.select(F.col("node").alias("a"), F.col("print").alias("p"), F.col("size").alias("m"))
-    right = prints.select(F.col("node").alias("b"), F.col("print").alias("q"), F.col("size").alias("n"))
+    left = prints.select(F.col("node").alias("a"), F.col("print").alias("p"), F.col("size").alias("m"), F.col("hashes").alias("g"))
+    right = prints.select(F.col("node").alias("b"), F.col("print").alias("q"), F.col("size").alias("n"), F.col("hashes").alias("h"))
     apart = F.aggregate(F.zip_with("p", "q", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
-    likely = ((F.least("m", "n") <= SMALL) | (apart <= most)) & (F.least("m", "n") >= similarity * F.greatest("m", "n") - 1e-9)
+    shared = F.size(F.array_intersect("g", "h"))
+    alike = F.when(F.least("m", "n") <= SMALL, shared >= similarity * (F.col("m") + F.col("n") - shared) - 1e-9).otherwise(apart <= most)
+    likely = (F.least("m", "n") >= similarity * F.greatest("m", "n") - 1e-9) & alike
     near = durable(pairs.join(left, "a").join(right, "b").where(likely).select("a", "b"), "near")
     # One check per node first; then the pairs that still lie in different components.
     first = durable(_confirmed(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), None, rows, width, similarity), "first_edges")
@@ -266,7 +269,7 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Crowded groups whose nodes are not all connected yet. A round confirms the closest candidates of every two components in
     # every pair of tiles; while some had more than it handed out, the next round takes eight times as many of what is still open.
     groups_of = durable(members.where(F.col("n") > CROWD).select("key", "node", "n"), "crowded")
-    limit = 1
+    limit, tested = 1, near.select("a", "b")
     while True:
         crowded = groups_of.join(named, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
         split = crowded.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
@@ -277,10 +280,12 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         own = F.pmod(F.xxhash64("node", "key"), tiles).cast("int")
         dealt = open_.select("key", "node", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("other"))
         dealt = dealt.select("key", "node", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-        more = dealt.join(prints.select("node", "size", "print"), "node").groupBy("key", "i", "j").applyInPandas(
+        more = dealt.join(prints.select("node", "size", "print", "hashes"), "node").groupBy("key", "i", "j").applyInPandas(
             _tile(most, similarity, limit), "a long, b long, more boolean")
         more = durable(more, "more")
-        edges = durable(edges.unionByName(_confirmed(more.select("a", "b").distinct(), named, rows, width, similarity)), "edges")
+        fresh = durable(more.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "fresh")
+        tested = tested.unionByName(fresh)
+        edges = durable(edges.unionByName(_confirmed(fresh, named, rows, width, similarity)), "edges")
         named = components(edges)
         if more.where("more").isEmpty():
             break
@@ -338,6 +343,12 @@ def _tile(most: int, similarity: float, limit: int):
         prints = np.stack(rows["print"].to_numpy()).view(np.uint64)
         nodes, comps, own, size = (rows[c].to_numpy() for c in ("node", "component", "own", "size"))
         across = rows["i"].iloc[0] != rows["j"].iloc[0]
+        # Where each hash of the small sets occurs, so that shared hashes are counted, not guessed.
+        sets = [h if h is not None and k <= SMALL / similarity else () for h, k in zip(rows["hashes"], size)]
+        value = np.concatenate([np.asarray(h, dtype=np.int64) for h in sets])
+        holder = np.repeat(np.arange(len(rows)), [len(h) for h in sets])
+        order = np.argsort(value, kind="stable")
+        value, holder = value[order], holder[order]
         out = [np.empty((0, 5), dtype=np.int64)]
         for x in range(len(rows)):
             small, large = np.minimum(size, size[x]), np.maximum(size, size[x])
@@ -346,7 +357,12 @@ def _tile(most: int, similarity: float, limit: int):
                 other &= own != own[x]
             near = np.flatnonzero(other)
             apart = np.bitwise_count(prints[near] ^ prints[x]).sum(axis=1, dtype=np.int64)
-            likely = (apart <= most) | (small[near] <= SMALL)
+            shared = np.zeros(len(rows), dtype=np.int64)
+            if len(sets[x]):
+                lo, hi = np.searchsorted(value, sets[x]), np.searchsorted(value, sets[x], "right")
+                shared = np.bincount(np.concatenate([holder[a:b] for a, b in zip(lo, hi)]), minlength=len(rows))
+            alike = shared[near] >= similarity * (size[near] + size[x] - shared[near]) - 1e-9
+            likely = np.where(small[near] <= SMALL, alike, apart <= most)
             near, apart = near[likely], apart[likely]
             low, high = np.minimum(comps[near], comps[x]), np.maximum(comps[near], comps[x])
             out.append(np.stack([low, high, apart, np.full(len(near), nodes[x]), nodes[near]], axis=1))
