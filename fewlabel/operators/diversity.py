@@ -1,4 +1,4 @@
-"""Maximal marginal relevance: inside bounded groups, and over a large set in two steps."""
+"""Maximal marginal relevance: inside bounded groups, and over a large set as a tree of such groups."""
 
 from __future__ import annotations
 
@@ -79,16 +79,30 @@ def bucket_of(key: str, buckets: int):
 
 
 def mmr_partitioned(df: DataFrame, vec: str, score: str, key: str, *, threshold: float,
-                    min_remained: int, lambda_param: float = 0.5, buckets: int = 1) -> DataFrame:
-    """Greedy selection over one large set.
-
-    The caller says into how many ``buckets`` the rows are dealt (1: one exact pass). Each keeps its share of
-    ``min_remained`` in parallel, and one last pass always runs over the survivors. The same call gives the same rows at
-    every size; where a bucket or the survivors exceed ``MAX_GROUP_ROWS`` it is an error.
+                    min_remained: int, lambda_param: float = 0.5, buckets: int = 1, fan: int | None = None) -> DataFrame:
+    """Greedy selection over one large set, as a tree of bounded passes.
+
+    The rows are dealt into ``buckets`` leaves by a digest of the unique ``key`` (1: one exact pass). Every node selects by
+    itself, in parallel, and keeps its share of ``min_remained`` at least; the survivors of ``fan`` neighbouring nodes
+    (default: of all) are the rows of the next level's node, up to the root. Leaves beyond half of what a task may hold
+    are halved until they fit, and where the survivors of a node's children would not fit one task, the tree ends with
+    the nodes it has: their union holds ``min_remained`` rows or all that are left.
     """
-    args = {"threshold": threshold, "lambda_param": lambda_param}
-    rows = df
-    if buckets > 1:
-        rows = mmr(df.withColumn("_bucket", bucket_of(key, buckets)), ["_bucket"], vec, score, key,
-                   min_remained=max(1, min_remained // buckets), **args).drop("_bucket")
-    return mmr(rows.withColumn("_bucket", F.lit(0)), ["_bucket"], vec, score, key, min_remained=min_remained, **args).drop("_bucket")
+    if threshold is None or threshold >= 1:
+        return df
+    keys = df.select(key, score, vec)
+    total = keys.count()
+    while 2 * total > buckets * MAX_GROUP_ROWS and total > MAX_GROUP_ROWS:
+        buckets *= 2
+    fan = fan or max(2, buckets)
+    rows, nodes = keys.withColumn("_bucket", bucket_of(key, buckets)), buckets
+    while True:
+        rows = durable(mmr(rows, ["_bucket"], vec, score, key, threshold=threshold, lambda_param=lambda_param,
+                           min_remained=max(1, min_remained // nodes)), "survivors")
+        if nodes == 1:
+            break
+        rows = rows.withColumn("_bucket", F.floor(F.col("_bucket") / fan).cast("int"))
+        if rows.groupBy("_bucket").count().agg(F.max("count")).first()[0] > MAX_GROUP_ROWS:
+            break
+        nodes = -(-nodes // fan)
+    return df.join(rows.select(key), key, "left_semi")

@@ -1,15 +1,14 @@
 """Vector k-nearest-neighbour joins: exact, by coarse cell, and by random-projection hash.
 
-The pool is never shuffled. A bounded block of query vectors travels to the tasks that scan
-the pool; each task keeps the k best rows per query while it reads and emits only those, and a
-ranked merge finishes the job. More queries than one block can hold are served by more blocks.
+Up to one bounded block of query vectors travels to the tasks that scan the pool, which is not shuffled; each task
+keeps the k best rows per query while it reads and emits only those, and a ranked merge finishes the job. More queries
+never pass the driver: the pool is dealt once into pieces that fit a task, and every piece meets all queries as a stream.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +28,7 @@ METRICS = ("l2", "ip", "cosine")
 QUERY_BLOCK_ROWS = 20_000  # about 120 MB at 768 dimensions
 TILE_CELLS = 2_000_000  # distances computed at once
 TASK_HITS = 5_000_000  # hits one task may hold
+PIECE_CELLS = 16_000_000  # vector components of a piece of the pool, as doubles 128 MB
 EPS = np.finfo(np.float64).eps
 DIGEST = "_digest"
 
@@ -123,6 +123,55 @@ def _codes_index(column: pa.ListArray) -> dict:
     return {names[codes[part[0]]]: rows[part] for part in np.split(order, cuts) if len(part)}
 
 
+def _meet(best: _Best, q_all: np.ndarray, by_code: dict | None, batch: pa.RecordBatch, kept: Sequence[str], pool_vec: str,
+          pool_id: str, metric: str, codes: str | None) -> None:
+    """Add to ``best`` what the pool rows of one batch have for the queries."""
+    k, distinct = best.k, best.distinct
+    # The bound on distances is taken around the middle of the queries, where norms are small.
+    middle = q_all.mean(axis=0) if metric == "l2" else 0.0
+    p_all = _matrix(batch.column(pool_vec))
+    text_of = (batch.column(DIGEST).dictionary_encode().indices.to_numpy(zero_copy_only=False) if distinct else None)
+    table = pa.Table.from_batches([batch]).select(kept)
+    if by_code is None:
+        groups = [(np.arange(len(q_all)), np.arange(len(p_all)))]
+    else:
+        present = _codes_index(batch.column(codes))
+        groups = [(by_code[c], rows) for c, rows in present.items() if c in by_code]
+    found_q, found_p = [], []
+    for q_idx, p_idx in groups:
+        step = max(1, TILE_CELLS // len(p_idx))
+        p_near = p_all[p_idx] - middle
+        if distinct:  # rows of one text side by side, so that the k-th best is one of texts
+            by_text = np.argsort(text_of[p_idx], kind="stable")
+            p_idx, p_near = p_idx[by_text], p_near[by_text]
+            heads = np.flatnonzero(np.r_[True, np.diff(text_of[p_idx]) != 0])
+        for lo in range(0, len(q_idx), step):
+            part = q_idx[lo:lo + step]
+            q_near = q_all[part] - middle
+            d = _fast_distance(q_near, p_near, metric)
+            bound = best.limit[part]
+            least = np.minimum.reduceat(d, heads, axis=1) if distinct else d
+            if least.shape[1] > k:
+                bound = np.minimum(bound, np.partition(least, k - 1, axis=1)[:, k - 1])
+            a, b = np.nonzero(d <= (bound + _rounding(q_near, p_near, metric))[:, None])
+            found_q.append(part[a])
+            found_p.append(p_idx[b])
+    if not found_q:
+        return
+    q, p = np.concatenate(found_q), np.concatenate(found_p)
+    if by_code is not None:  # a pair may meet in several tables
+        pair = np.unique(np.stack([q, p], axis=1), axis=0)
+        q, p = pair[:, 0], pair[:, 1]
+    if len(q):
+        best.add(q, _exact_distance(q_all[q], p_all[p], metric), table.take(p), pool_id)
+
+
+def _found(best: _Best, keys: pa.Array, query_id: str, kept: Sequence[str]) -> pa.RecordBatch:
+    out = best.rows.combine_chunks()
+    arrays = [keys.take(pa.array(best.q)), *[out[c].combine_chunks() for c in kept], pa.array(best.dist)]
+    return pa.RecordBatch.from_arrays(arrays, names=[query_id, *kept, "dist"])
+
+
 def _scan(block: pa.Table, pool: DataFrame, k: int, key_field: T.StructField, pool_id: str,
           query_vec: str, pool_vec: str, metric: str, carry: Sequence[str],
           codes: str | None, distinct: bool) -> DataFrame:
@@ -140,65 +189,65 @@ def _scan(block: pa.Table, pool: DataFrame, k: int, key_field: T.StructField, po
     def scan(batches):
         q_all, by_code = payload.value["vec"], payload.value["codes"]
         best = _Best(len(q_all), k, distinct)
-        # The bound on distances is taken around the middle of the queries, where norms are small.
-        middle = q_all.mean(axis=0) if metric == "l2" and len(q_all) else 0.0
         for batch in batches:
-            if not batch.num_rows or not len(q_all):
-                continue
-            p_all = _matrix(batch.column(pool_vec))
-            text_of = (batch.column(DIGEST).dictionary_encode().indices.to_numpy(zero_copy_only=False) if distinct else None)
-            table = pa.Table.from_batches([batch]).select(kept)
-            if by_code is None:
-                groups = [(np.arange(len(q_all)), np.arange(len(p_all)))]
-            else:
-                present = _codes_index(batch.column(codes))
-                groups = [(by_code[c], rows) for c, rows in present.items() if c in by_code]
-            found_q, found_p = [], []
-            for q_idx, p_idx in groups:
-                step = max(1, TILE_CELLS // len(p_idx))
-                p_near = p_all[p_idx] - middle
-                if distinct:  # rows of one text side by side, so that the k-th best is one of texts
-                    by_text = np.argsort(text_of[p_idx], kind="stable")
-                    p_idx, p_near = p_idx[by_text], p_near[by_text]
-                    heads = np.flatnonzero(np.r_[True, np.diff(text_of[p_idx]) != 0])
-                for lo in range(0, len(q_idx), step):
-                    part = q_idx[lo:lo + step]
-                    q_near = q_all[part] - middle
-                    d = _fast_distance(q_near, p_near, metric)
-                    bound = best.limit[part]
-                    least = np.minimum.reduceat(d, heads, axis=1) if distinct else d
-                    if least.shape[1] > k:
-                        bound = np.minimum(bound, np.partition(least, k - 1, axis=1)[:, k - 1])
-                    a, b = np.nonzero(d <= (bound + _rounding(q_near, p_near, metric))[:, None])
-                    found_q.append(part[a])
-                    found_p.append(p_idx[b])
-            if not found_q:
-                continue
-            q, p = np.concatenate(found_q), np.concatenate(found_p)
-            if by_code is not None:  # a pair may meet in several tables
-                pair = np.unique(np.stack([q, p], axis=1), axis=0)
-                q, p = pair[:, 0], pair[:, 1]
-            if len(q):
-                best.add(q, _exact_distance(q_all[q], p_all[p], metric), table.take(p), pool_id)
+            if batch.num_rows and len(q_all):
+                _meet(best, q_all, by_code, batch, kept, pool_vec, pool_id, metric, codes)
         if best.rows is not None and best.rows.num_rows:
-            out = best.rows.combine_chunks()
-            arrays = [keys.value.take(pa.array(best.q)),
-                      *[out[c].combine_chunks() for c in kept], pa.array(best.dist)]
-            yield pa.RecordBatch.from_arrays(arrays, names=[query_id, *kept, "dist"])
+            yield _found(best, keys.value, query_id, kept)
 
     needed = list(dict.fromkeys([*kept, pool_vec] + ([codes] if codes else [])))
     return pool.where(F.col(pool_vec).isNotNull()).select(*needed).mapInArrow(scan, schema)
 
 
-def _blocks(queries: DataFrame, query_id: str, size: int):
-    """Query blocks by key hash, on average half full so that none exceeds ``size``."""
-    n = math.ceil(2 * queries.count() / size)
-    slot = F.pmod(F.xxhash64(query_id), F.lit(n))
-    for b in range(n):
-        block = queries.where(slot == b).limit(size + 1).toArrow()
-        if block.num_rows > size:
-            raise ValueError("query keys are not unique enough to be spread over blocks")
-        yield block
+def _grid(queries: DataFrame, pool: DataFrame, k: int, key_field: T.StructField, pool_id: str,
+          query_vec: str, pool_vec: str, metric: str, carry: Sequence[str],
+          codes: str | None, distinct: bool) -> DataFrame:
+    """Every piece of the pool against all queries: one shuffle deals the pool into pieces of ``PIECE_CELLS`` components
+    and sends each query to every piece; a task holds one piece and reads its queries batch by batch."""
+    query_id = key_field.name
+    kept = [pool_id, *[c for c in carry if c != pool_id], *([DIGEST] if distinct else [])]
+    needed = list(dict.fromkeys([*kept, pool_vec] + ([codes] if codes else [])))
+    schema = T.StructType([key_field, *[pool.schema[c] for c in kept], T.StructField("dist", T.DoubleType())])
+    # Written, so that the pieces stay the same when a task runs again.
+    pool = durable(pool.where(F.col(pool_vec).isNotNull()).select(*needed), "grid-pool")
+    first = pool.select(F.size(pool_vec).alias("d")).first()
+    pieces = max(1, math.ceil(pool.count() * (first["d"] if first else 1) / PIECE_CELLS))
+    dealt = pool.select(F.pmod(F.monotonically_increasing_id(), F.lit(pieces)).cast("int").alias("_piece"), F.lit(0).alias("_side"),
+                        F.struct(*needed).alias("_p"))
+    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))).alias("_piece"), F.lit(1).alias("_side"),
+                           F.struct(*queries.columns).alias("_q"))
+    met = dealt.unionByName(asked, allowMissingColumns=True).repartition("_piece").sortWithinPartitions("_piece", "_side")
+
+    def side(batch, name):
+        column = batch.column(name)
+        return pa.RecordBatch.from_arrays(column.flatten(), names=[f.name for f in column.type])
+
+    def run(batches):
+        piece, parts, whole = None, [], None
+        for batch in batches:
+            place, kind = batch.column("_piece").to_numpy(), batch.column("_side").to_numpy()
+            cuts = np.flatnonzero((np.diff(place) != 0) | (np.diff(kind) != 0)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(place)]):
+                if lo == hi:
+                    continue
+                part = batch.slice(lo, hi - lo)
+                if place[lo] != piece:
+                    piece, parts, whole = place[lo], [], None
+                if kind[lo] == 0:
+                    parts.append(side(part, "_p"))
+                    continue
+                if parts:  # the piece is complete once a query comes
+                    whole, parts = pa.Table.from_batches(parts).combine_chunks().to_batches()[0], []
+                if whole is None:
+                    continue
+                rows = side(part, "_q")
+                q_all = _matrix(rows.column(query_vec))
+                best = _Best(len(q_all), k, distinct)
+                _meet(best, q_all, _codes_index(rows.column(codes)) if codes else None, whole, kept, pool_vec, pool_id, metric, codes)
+                if best.rows is not None and best.rows.num_rows:
+                    yield _found(best, rows.column(query_id), query_id, kept)
+
+    return met.mapInArrow(run, schema)
 
 
 def knn_join(queries: DataFrame, pool: DataFrame, k: int, *, query_id: str = "query_id",
@@ -226,11 +275,7 @@ def knn_join(queries: DataFrame, pool: DataFrame, k: int, *, query_id: str = "qu
     args = (k, queries.schema[query_id], pool_id, query_vec, pool_vec, metric, carry, codes, bool(distinct))
     size = max(1, min(QUERY_BLOCK_ROWS, TASK_HITS // k))
     block = queries.limit(size + 1).toArrow()
-    if block.num_rows <= size:
-        hits = _scan(block, pool, *args)
-    else:
-        hits = reduce(DataFrame.unionByName,
-                      [_scan(b, pool, *args) for b in _blocks(durable(queries, "queries"), query_id, size)])
+    hits = _scan(block, pool, *args) if block.num_rows <= size else _grid(queries, pool, *args)
     if distinct:
         hits = first_per_group(hits, [query_id, DIGEST], ["dist", pool_id])
     per_query = k * hits.rdd.getNumPartitions() if k > GROUP_LIMIT else None  # every task sends k at most

@@ -15,7 +15,7 @@ def build_pool(df: DataFrame, key: str, text: str = "text", *, vec: str = "embed
                add_perplexity: bool = False, add_uncertainty: bool = False,
                mmr_threshold: float | None = None, min_share: float = 0.1, mmr_buckets: int = 16) -> DataFrame:
     """Labelled rows to pool rows. Vectors that are already present are kept as they are. Pruning deals the rows into
-    ``mmr_buckets`` buckets first; give more for a pool of more than a million rows."""
+    ``mmr_buckets`` buckets and merges four survivors' sets at a time, as far as one task can hold them."""
     pool = df if vec in df.columns else embed(df, text, vec, encoder=encoder)
     if add_perplexity:
         pool = pool.join(perplexity(df.select(key, text), key, text), key)
@@ -26,5 +26,5 @@ def build_pool(df: DataFrame, key: str, text: str = "text", *, vec: str = "embed
         n = pool.count()
         pool = mmr_partitioned(pool.withColumn("_rel", F.lit(1.0)), vec, "_rel", key,
                                threshold=mmr_threshold, min_remained=max(1, int(n * min_share)),
-                               buckets=mmr_buckets).drop("_rel")
+                               buckets=mmr_buckets, fan=4).drop("_rel")
     return pool

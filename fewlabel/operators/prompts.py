@@ -122,6 +122,13 @@ def attach_examples(rows: DataFrame, examples: DataFrame, keys: Sequence[str], m
     return out
 
 
+def few_shot_batch(rows: DataFrame, examples: DataFrame, model: str, variants: Sequence[str], shots: Sequence[int], key: str = "query_id",
+                   splits: Sequence[str] = tuple(SPLITS), missing: str = "raise") -> DataFrame:
+    """The planned prompts of every row in the wanted ``splits``, per variant and number of shots, with the examples of the row."""
+    wanted = rows.where(F.col("split").isin(list(splits)))
+    return attach_examples(prompt_plan(wanted, model, variants, shots), examples, [key, "shots"], missing)
+
+
 def format_examples(examples) -> Column:
     """Fixed format of the example block."""
     examples = F.col(examples) if isinstance(examples, str) else examples
@@ -136,7 +143,7 @@ def render(variant: Column, text: Column, lang: Column, key: Column, examples: C
 
     The template is cut at ``{text}`` and the other placeholders are filled in the pieces, so
     braces inside user texts are never expanded. The order of the two options is a property
-    of the row key.
+    of the row key. A few-shot row whose examples are null, as ``attach_examples`` may keep it, has no prompt.
     """
     table = F.create_map(*[F.lit(x) for kv in TEMPLATES.items() for x in kv])
     words_lang = lang if translate else F.lit("en")
@@ -156,8 +163,9 @@ def render(variant: Column, text: Column, lang: Column, key: Column, examples: C
     if examples is None:
         needs = F.contains(variant, F.lit("few_shot"))
         return F.when(needs, F.raise_error(F.lit("few-shot variants need examples"))).otherwise(prompt)
-    return F.when(F.contains(variant, F.lit("few_shot")) & (examples == ""),
-                  F.raise_error(F.lit("few-shot variants need examples"))).otherwise(prompt)
+    few = F.contains(variant, F.lit("few_shot"))
+    return (F.when(few & (examples == ""), F.raise_error(F.lit("few-shot variants need examples")))
+            .when(few & examples.isNull(), F.lit(None)).otherwise(prompt))
 
 
 def length_budget(variant: Column, shots: Column | None = None, configured: int = 0) -> Column:

@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fewlabel.functions.ordering import top_per_group
-from fewlabel.operators.classify import fit, score
 from fewlabel.operators.metrics import classification_metrics
 from fewlabel.operators.diversity import greedy, relevance_of
 from fewlabel.session import durable
@@ -72,13 +70,3 @@ def sweep_diversity(candidates: DataFrame, truth: DataFrame, thresholds: Sequenc
         select, "query_id long, label int, threshold double, lambda double")
     keys = ["threshold", "lambda"]
     return classification_metrics(vote(kept, truth, keys), by=keys).select(*keys, "f1_macro")
-
-
-def sweep_fit(train: DataFrame, evaluation: DataFrame, regs: Sequence[float], iterations: Sequence[int],
-              vec: str = "embedding") -> DataFrame:
-    """Macro-F1 of the classifier for every (regularisation, iterations); the fits follow one another."""
-    train, evaluation = durable(train, "train"), durable(evaluation, "evaluation")
-    points = [classification_metrics(score(fit(train, vec, reg=reg, max_iter=n), evaluation, vec))
-              .select(F.lit(float(reg)).alias("reg"), F.lit(n).alias("iterations"), "f1_macro")
-              for reg in regs for n in iterations]
-    return reduce(DataFrame.unionByName, points)

@@ -8,7 +8,7 @@ from fewlabel.functions import answers, labels, text as txt
 from fewlabel.operators import combine, curriculum, prompts, sampling
 from fewlabel.plans.registry import query, rnd, sql_case, sql_rnd, sql_str
 from fewlabel.plans.retrieval import PER_QUERY, per_query_hits
-from fewlabel.plans.tables import LABELLED, labelled, runs, RUNS, table
+from fewlabel.plans.tables import LABELLED, RUNS, WITH_VECTORS, labelled, runs, table, with_vectors
 from fewlabel.session import spread
 
 _STRIP = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
@@ -270,9 +270,14 @@ def q_repeat(spark, sf):
 
 # --- curriculum ---------------------------------------------------------------------------
 
+# The share of retrieved rows in every epoch of the schedules that the queries use.
+_SHARES = {"linear": "0, 0.25, 0.5, 0.75, 1", "exponential": "0, 1 - exp(-0.6), 1 - exp(-1.2), 1 - exp(-1.8), 1 - exp(-2.4), 1 - exp(-3.0)",
+           "stepwise": "0, 0, 0, 0.3, 0.6, 1, 1, 1", "strict_separate": ", ".join(["0"] * 10 + ["1"] * 2)}
+
+
 def _slices_sql(schedule: str, epochs: int, order: str) -> str:
-    shares = [curriculum.ratio(schedule, e, epochs) for e in range(epochs)]
-    plan = ", ".join(f"({e}, '{s!r}'::DOUBLE)" for e, s in enumerate(shares))
+    plan = ", ".join(f"({e}, ({s})::DOUBLE)" for e, s in enumerate(_SHARES[schedule].split(", ")))
+    assert plan.count("DOUBLE") == epochs
     skip = f"share < 1" if schedule == "strict_separate" else "true"
     return f"""WITH x AS ({_TWO}), p(epoch, share) AS (VALUES {plan}),
       r AS (SELECT *, row_number() OVER (ORDER BY score {order}, id) AS place, count(*) OVER () AS n FROM x WHERE source = 1)
@@ -344,13 +349,25 @@ def _render_sql(template: str, examples: str, lang: str, key: str) -> str:
 _TEMPLATE = sql_case("variant", prompts.TEMPLATES, "NULL")
 
 
+# Target rows are dealt to the splits of a prompt run by a digest of their id.
+_SPLIT_SQL = f"(['{prompts.SPLITS[0]}', '{prompts.SPLITS[1]}', '{prompts.SPLITS[2]}'])[1 + ascii(substr(md5(doc_id::VARCHAR), 1, 1)) % 3]"
+
+
+def _targets(spark, sf):
+    digit = F.ascii(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 1)) % 3
+    return with_vectors(spark, sf).where(F.col("lang") == "es").withColumn(
+        "split", F.element_at(F.array(*[F.lit(x) for x in prompts.SPLITS]), digit + 1))
+
+
 @query("few_shot_render", f"""{_FEW},
   ex AS (SELECT query_id, string_agg('Comment: "' || text || E'\\t"Answer: ' || CASE WHEN label = 1 THEN 'yes' ELSE 'no' END, E'\\n' ORDER BY shot_pos) AS ex FROM fx GROUP BY query_id),
-  rows_ AS (SELECT doc_id, lang, text, ex, unnest({prompts.FEW_SHOT}) AS variant FROM ({LABELLED}) l JOIN ex ON ex.query_id = l.doc_id)
+  rows_ AS (SELECT doc_id, lang, text, ex, unnest({prompts.FEW_SHOT}) AS variant FROM ({WITH_VECTORS}) l LEFT JOIN ex ON ex.query_id = l.doc_id
+    WHERE lang = 'es')
   SELECT doc_id, variant, {_render_sql(_TEMPLATE, 'ex', 'lang', 'doc_id::VARCHAR')} AS prompt FROM rows_""")
 def q_few_render(spark, sf):
+    """A target row that got no examples stays, without a prompt."""
     examples = prompts.example_lists(_few(spark, sf)).withColumnRenamed("query_id", "doc_id")
-    rows = labelled(spark, sf).join(examples, "doc_id")
+    rows = prompts.attach_examples(_targets(spark, sf), examples, ["doc_id"], "keep")
     plan = prompts.prompt_plan(rows, "bloomz", prompts.FEW_SHOT)
     return plan.select("doc_id", "variant", prompts.render(
         F.col("variant"), F.col("text"), F.col("lang"), F.col("doc_id").cast("string"),
@@ -364,14 +381,15 @@ def q_few_render(spark, sf):
   fx AS (SELECT query_id, shots, text, label, (place - 1) * 2 + label + 1 AS shot_pos FROM fn, (SELECT unnest({prompts.SHOTS}) AS shots)
     WHERE place <= least(n0, n1, shots)),
   ex AS (SELECT query_id, shots, string_agg('Comment: "' || text || E'\\t"Answer: ' || CASE WHEN label = 1 THEN 'yes' ELSE 'no' END, E'\\n' ORDER BY shot_pos) AS ex FROM fx GROUP BY ALL),
-  rows_ AS (SELECT doc_id, lang, text, ex, shots, unnest({prompts.FEW_SHOT}) AS variant FROM ({LABELLED}) l JOIN ex ON ex.query_id = l.doc_id)
-  SELECT doc_id, variant, shots::INT AS shots, md5({_render_sql(_TEMPLATE, 'ex', 'lang', 'doc_id::VARCHAR')}) AS digest FROM rows_""")
+  tgt AS (SELECT *, {_SPLIT_SQL} AS split, unnest({prompts.SHOTS}) AS shots FROM ({WITH_VECTORS}) WHERE lang = 'es'),
+  rows_ AS (SELECT tgt.doc_id, split, lang, tgt.text, ex, tgt.shots, unnest({prompts.FEW_SHOT}) AS variant FROM tgt LEFT JOIN ex ON ex.query_id = tgt.doc_id AND ex.shots = tgt.shots)
+  SELECT doc_id, split, variant, shots::INT AS shots, md5({_render_sql(_TEMPLATE, 'ex', 'lang', 'doc_id::VARCHAR')}) AS digest FROM rows_""")
 def q_few_batch(spark, sf):
-    """All few-shot variants and shot numbers of the target rows from one retrieval."""
+    """All splits, few-shot variants and shot numbers of the target rows from one retrieval."""
     chosen = prompts.few_shot_select(per_query_hits(spark, sf, k=20), prompts.SHOTS)
     examples = prompts.example_lists(chosen, ["query_id", "shots"]).withColumnRenamed("query_id", "doc_id")
-    plan = prompts.prompt_plan(labelled(spark, sf), "bloomz", prompts.FEW_SHOT, prompts.SHOTS)
-    return plan.join(examples, ["doc_id", "shots"]).select("doc_id", "variant", "shots", F.md5(prompts.render(
+    plan = prompts.few_shot_batch(_targets(spark, sf), examples, "bloomz", prompts.FEW_SHOT, prompts.SHOTS, "doc_id", missing="keep")
+    return plan.select("doc_id", "split", "variant", "shots", F.md5(prompts.render(
         F.col("variant"), F.col("text"), F.col("lang"), F.col("doc_id").cast("string"),
         prompts.format_examples("examples"))).alias("digest"))
 

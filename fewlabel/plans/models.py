@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fewlabel.functions.vectors import as_double, norm
-from fewlabel.operators import classify
+from fewlabel.operators import classify, gradient
 from fewlabel.operators.embed import embed
 from fewlabel.operators.metrics import classification_metrics
-from fewlabel.operators.sweep import sweep_fit
 from fewlabel.plans.registry import query, rnd
 from fewlabel.plans.tables import table, with_vectors
 
@@ -77,8 +76,39 @@ def q_two_stage(spark, sf):
     return m.select("lang", "n", rnd("accuracy").alias("accuracy"), rnd("f1_macro").alias("f1_macro"))
 
 
+def _by_language(scored):
+    m = classification_metrics(scored, by=["lang"])
+    return m.select("lang", "n", rnd("accuracy").alias("accuracy"), rnd("f1_macro").alias("f1_macro"))
+
+
+@query("predict_splits")
+def q_predict_splits(spark, sf):
+    """One model scored on the test rows, the functional cases and every country's slice of them."""
+    train, rows = _sets(spark, sf)
+    digit = F.ascii(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 1)) % 3
+    rows = rows.withColumn("split", F.when(digit == 0, "test").when(digit == 1, "hate_check").otherwise("hate_day"))
+    rows = rows.withColumn("country", F.when(F.col("split") == "hate_day", F.col("lang")))
+    m = classify.evaluate_splits(classify.train_weighted(train, rows), rows, ["split", "country"])
+    return m.select("split", "country", "n", rnd("accuracy").alias("accuracy"), rnd("f1_macro").alias("f1_macro"))
+
+
+@query("train_in_epochs")
+def q_train_in_epochs(spark, sf):
+    """Curriculum training with weights that go from epoch to epoch."""
+    train, rows = _sets(spark, sf)
+    return _by_language(gradient.score(gradient.train_in_epochs(train, 5, "linear"), rows))
+
+
+@query("continue_training")
+def q_continue(spark, sf):
+    """A first stage on the retrieved rows, continued on the target rows near its weights."""
+    train, rows = _sets(spark, sf)
+    first = gradient.fit(train.where("source = 1"))
+    return _by_language(gradient.score(gradient.continue_training(first, train.where("source = 0"), pull=0.05), rows))
+
+
 @query("fit_sweep")
 def q_fit_sweep(spark, sf):
     train, rows = _sets(spark, sf)
-    return sweep_fit(train.where("source = 1"), rows.where("lang = 'es'"), [0.001, 0.1], [10, 30]).withColumn(
+    return gradient.sweep_fit(train.where("source = 1"), rows.where("lang = 'es'"), [0.001, 0.1], [10, 30]).withColumn(
         "f1_macro", rnd("f1_macro"))

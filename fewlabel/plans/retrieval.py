@@ -355,6 +355,20 @@ def q_mmr_partitioned(spark, sf):
     return mmr_partitioned(x, "embedding", "rel", "vec_id", threshold=0.3, min_remained=100, buckets=4).select("vec_id")
 
 
+MMR_TREE = f"""WITH RECURSIVE x AS (SELECT vec_id AS doc_id, embedding::DOUBLE[] AS v FROM embeddings),
+  c0 AS (SELECT doc_id, v[1] AS dist_norm, (('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % 4) AS bucket FROM x),
+  {_step('a', 'c0', 'bucket', 0.3, 20)}, c1 AS (SELECT c0.doc_id, dist_norm, bucket // 2 AS bucket FROM c0 JOIN kept_a USING (doc_id)),
+  {_step('b', 'c1', 'bucket', 0.3, 40)}, c2 AS (SELECT c1.* FROM c1 JOIN kept_b USING (doc_id)), {_step('c', 'c2', '0', 0.3, 80)}
+  SELECT doc_id AS vec_id FROM kept_c"""
+
+
+@query("mmr_tree", MMR_TREE)
+def q_mmr_tree(spark, sf):
+    """Selection over all vectors in a tree of three levels: four leaves, two nodes, one root."""
+    x = table(spark, sf, "embeddings").select("vec_id", "embedding").withColumn("rel", F.col("embedding")[0].cast("double"))
+    return mmr_partitioned(x, "embedding", "rel", "vec_id", threshold=0.3, min_remained=80, buckets=4, fan=2).select("vec_id")
+
+
 @query("pool_build")
 def q_pool_build(spark, sf):
     rows = with_vectors(spark, sf).select("doc_id", "text", "lang", "source", "label", "embedding")

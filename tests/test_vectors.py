@@ -140,11 +140,42 @@ def test_partitioned_selection(spark):
         assert 10 <= len(ids) <= 40 and len({i % 40 for i in ids}) == len(ids)
 
 
-def test_selection_beyond_one_task_is_an_error(spark, monkeypatch):
+def test_selection_beyond_one_task_ends_with_the_nodes_that_fit(spark, monkeypatch):
     monkeypatch.setattr(diversity, "MAX_GROUP_ROWS", 50)
-    df = spark.createDataFrame([(i, 0.0, [float(i), 1.0]) for i in range(60)], "id long, s double, vec array<double>")
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(30, 8))
+    different = [(i, 0.0, [float(x) for x in rng.normal(size=8)]) for i in range(200)]
+    df = spark.createDataFrame(different, "id long, s double, vec array<double>")
+    # Nothing is alike, so nothing goes, and no node grows beyond what a task holds.
+    assert diversity.mmr_partitioned(df, "vec", "s", "id", threshold=0.9999, min_remained=200).count() == 200
+    copies = spark.createDataFrame([(i, 0.0, [float(x) for x in base[i % 30]]) for i in range(600)], "id long, s double, vec array<double>")
+    for fan in (2, 4):
+        ids = [r.id for r in diversity.mmr_partitioned(copies, "vec", "s", "id", threshold=0.9, min_remained=10, fan=fan).select("id").collect()]
+        assert 10 <= len(ids) <= 30 * 16
+    monkeypatch.setattr(diversity, "MAX_GROUP_ROWS", 300)  # now the root fits: one row of each copy is left
+    ids = [r.id for r in diversity.mmr_partitioned(copies, "vec", "s", "id", threshold=0.9, min_remained=10, fan=2).select("id").collect()]
+    assert len({i % 30 for i in ids}) == len(ids)
+
+
+def test_one_group_beyond_one_task_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(diversity, "MAX_GROUP_ROWS", 50)
+    df = spark.createDataFrame([(0, i, 0.0, [float(i), 1.0]) for i in range(60)], "g int, id long, s double, vec array<double>")
     with pytest.raises(Exception, match="more buckets"):
-        diversity.mmr_partitioned(df, "vec", "s", "id", threshold=0.999, min_remained=50).collect()
+        diversity.mmr(df, ["g"], "vec", "s", "id", threshold=0.999, min_remained=50).collect()
+
+
+def test_query_grid_equals_blocks_on_the_driver(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    pool = [(i, f"t{i % 70}", [float(x) for x in rng.integers(-3, 4, 5)], ["a", "b"][i % 2:i % 2 + 1]) for i in range(300)] + [(900, "t1", None, ["a"])]
+    queries = [(i, [float(x) for x in rng.integers(-3, 4, 5)], ["a", "b"][:1 + i % 2]) for i in range(60)] + [(99, None, ["a"])]
+    p = spark.createDataFrame(pool, "vec_id long, text string, embedding array<double>, codes array<string>").repartition(4)
+    q = spark.createDataFrame(queries, "query_id long, query_vec array<double>, codes array<string>")
+    for args in ({"metric": "l2"}, {"metric": "cosine", "normalize": True}, {"metric": "ip", "codes": "codes"}, {"metric": "l2", "distinct": "text"}):
+        want = sorted(tuple(r) for r in knn.knn_join(q, p, 7, carry=["text"], **args).collect())
+        monkeypatch.setattr(knn, "QUERY_BLOCK_ROWS", 10)
+        monkeypatch.setattr(knn, "PIECE_CELLS", 5 * 64)  # five pieces of the pool
+        assert sorted(tuple(r) for r in knn.knn_join(q, p, 7, carry=["text"], **args).collect()) == want
+        monkeypatch.undo()
 
 
 # --- exact search -------------------------------------------------------------------------
