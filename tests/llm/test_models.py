@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -209,6 +210,37 @@ def test_broken_pages():
     assert main_text.main_text("<article><p>" + "a &amp; b, " * 50_000 + "</article>") == " ".join(["a & b,"] * 50_000)
 
 
+READ = "<p>" + "Long words of text here, and there, more of it to read, and read. " * 4 + "</p>"
+LONG = READ * 3
+
+
+@pytest.mark.parametrize("body, count", [
+    ("<div class='content has-sidebar'>" + LONG + "</div>", 3), ("<div class='post share-enabled'>" + LONG + "</div>", 3),
+    ("<div class='sidebar'>" + LONG + "</div>", 3), ("<div class=story>" + LONG + "</div><div class='sidebar-left'>" + READ + "</div>", 3),
+    ("<article>" + LONG + "<div class='notice-board-history'>" + READ + "</div></article>", 4),
+    ("<article>" + LONG + "</article><article>" + READ + "</article>", 4),
+    ("<article>" + LONG + "</article><article class='comment'>" + READ + "</article>", 3),
+    ("<article>" + LONG + "<div id='comments'>" + READ * 20 + "</div></article>", 3),
+    ("<div>" + LONG + "<div class='post-comments'>" + READ * 20 + "</div></div>", 3),
+    ("<div class='ad-box'>" + READ + "</div><div>" + LONG + "</div>", 3),
+])
+def test_class_words_weigh(body, count):
+    """A name in a class drops a part only if the text outside of it can be the article."""
+    text = main_text.main_text("<html><body><nav><a href=x>Menu</a></nav>" + body + "<footer>(c)</footer></body></html>")
+    assert text == "\n\n".join([" ".join(READ[3:-4].split())] * count)
+
+
+def test_short_closing_paragraph():
+    assert main_text.main_text("<div>" + LONG + "</div><p>The end.</p><p>Tags</p>").endswith("read.\n\nThe end.")
+
+
+@pytest.mark.parametrize("html", ["<h1>" * 40_000, "<b>" * 40_000 + "</i>" * 40_000, "<!--" * 40_000, "<div class=ad>" * 40_000 + "x", "<p>a" * 40_000])
+def test_unclosed_tags_take_linear_time(html):
+    start = time.process_time()
+    main_text.main_text(html)
+    assert time.process_time() - start < 10
+
+
 def test_odd_pages(spark):
     pages = spark.createDataFrame([(1, "u", None, "t"), (1, "u", None, "t"), (None, None, "<p>x</p>", "t")], "page_id long, url string, html string, text string")
     assert sorted(r["text"] for r in main_text.extract(pages).collect()) == ["", "", "x"]
