@@ -20,10 +20,9 @@ from pyspark.sql import functions as F
 from fewlabel.llm.common import frame, held_out, largest, text_of
 from fewlabel.session import durable
 
-FREQUENT = 50_000  # at most so many words travel with the tasks; the counts of all others are joined
-CLASSES, SINGLE = 16, 10
-BUCKETS_LOG2 = 14
-BATCH = 16_384  # tokens per gradient step
+BANDS = 6  # classes that hold many words: five bands of frequency and the words that do not travel
+LEAST_BITS = 11
+BATCH = 16_384  # tokens per gradient step at least; tables with more buckets take larger steps
 ROUNDS = 2
 SLICE = 1_000_000  # characters worked on at a time
 SMOOTH = 0.1
@@ -64,33 +63,51 @@ def _counted(total: Counter) -> pd.DataFrame:
     return frame({"word": [w.decode("utf-8", "replace") for w in total], "n": np.fromiter(total.values(), dtype=np.int64, count=len(total))})
 
 
+class Size:
+    """How large the model is for ``n`` training tokens; it grows with them and has no upper bound.
+
+    The buckets and the words that travel with the tasks grow with the square root of ``n``, the classes with its
+    logarithm: 15 million tokens give 2^15 buckets, 31 000 words and 18 classes, 4.5 billion 2^20, 536 000 and 26. A task
+    holds classes x buckets weights of four bytes (the larger case: 109 MB).
+    """
+
+    def __init__(self, n: int):
+        doublings = math.log2(max(n, 2))
+        self.bits = max(LEAST_BITS, math.ceil(doublings / 2) + 3)
+        self.buckets = 1 << self.bits
+        self.batch = max(BATCH, self.buckets)
+        self.classes = BANDS + max(2, round(doublings) - BANDS - 6)
+        self.frequent = 8 * math.isqrt(max(n, 1))
+
+
 class Vocabulary:
     """The frequent words with their counts and classes, and the corpus totals."""
 
     def __init__(self, frequent: list[tuple[str, int]], n: int, v: int):
-        self.n, self.v = n, v
+        self.n, self.v, self.size = n, v, Size(n)
+        classes, single = self.size.classes, self.size.classes - BANDS
         self.ids = {w.encode("utf-8"): i for i, (w, _) in enumerate(frequent)}
         counts = np.array([c for _, c in frequent], dtype=float)
         self.logs = np.append(np.log10(counts + SMOOTH), 0.0)  # the last entry is for words not in here
         kinds = np.arange(len(counts))
-        rest = counts[SINGLE:]
+        rest = counts[single:]
         if len(rest):
             share = (np.cumsum(rest) - rest / 2) / rest.sum()
-            kinds[SINGLE:] = SINGLE + np.minimum((share * (CLASSES - SINGLE - 1)).astype(int), CLASSES - SINGLE - 2)
-        self.kinds = np.append(kinds, CLASSES - 1).astype(np.int64)
-        mass = np.bincount(self.kinds[:-1], weights=counts + SMOOTH, minlength=CLASSES) + SMOOTH
+            kinds[single:] = single + np.minimum((share * (BANDS - 1)).astype(int), BANDS - 2)
+        self.kinds = np.append(kinds, classes - 1).astype(np.int64)
+        mass = np.bincount(self.kinds[:-1], weights=counts + SMOOTH, minlength=classes) + SMOOTH
         mass[-1] = n - counts.sum() + SMOOTH * (v - len(counts)) + SMOOTH
         self.mass = np.log10(mass)
         self.prior = np.log(mass / mass.sum()).astype(np.float32)
 
 
-def _hash(values: np.ndarray, salt: int) -> np.ndarray:
+def _hash(values: np.ndarray, salt: int, bits: int) -> np.ndarray:
     mixed = (values + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
     mixed ^= mixed >> np.uint64(29)
-    return ((mixed * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - BUCKETS_LOG2)).astype(np.int64)
+    return ((mixed * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _features(words: list[bytes], lengths: np.ndarray) -> np.ndarray:
+def _features(words: list[bytes], lengths: np.ndarray, bits: int) -> np.ndarray:
     """Buckets of four features per token: the word before, the one before that, both, and the third before."""
     codes = np.fromiter(map(crc32, words), dtype=np.uint64, count=len(words)) + np.uint64(1)
     place = np.arange(len(words)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
@@ -101,7 +118,8 @@ def _features(words: list[bytes], lengths: np.ndarray) -> np.ndarray:
         moved[place < step] = 0
         back.append(moved)
     one, two, three = back
-    return np.stack([_hash(one, 1), _hash(two, 2 << 33), _hash(one * np.uint64(1_000_003) + two, 3 << 33), _hash(three, 4 << 33)])
+    salted = ((one, 1), (two, 2 << 33), (one * np.uint64(1_000_003) + two, 3 << 33), (three, 4 << 33))
+    return np.stack([_hash(values, salt, bits) for values, salt in salted])
 
 
 def _probabilities(weights: np.ndarray, prior: np.ndarray, features: np.ndarray) -> np.ndarray:
@@ -142,14 +160,15 @@ def _encoded(part: pd.DataFrame, vocabulary: Vocabulary):
 
 
 def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, rate: float = 0.7) -> np.ndarray:
-    """Class weights ``CLASSES x buckets``. Every row of ``docs`` (``text``) is trained on in exactly one round.
+    """Class weights ``classes x buckets``, as many as the vocabulary's ``size`` says. Every row of ``docs`` (``text``) is trained on in exactly one round.
 
     A task starts from the weights of the round before and takes gradient steps over its rows; a feature's new weight is
-    the mean over the tasks, weighed by how often each saw it. Tasks send fixed-size rows (about a megabyte each in sum)
+    the mean over the tasks, weighed by how often each saw it. Tasks send rows of fixed size (their weights in sum)
     that are added up per block of buckets in a stream; the driver holds one set of weights.
     """
-    buckets = 1 << BUCKETS_LOG2
-    weights = np.zeros((CLASSES, buckets), dtype=np.float32)
+    size = vocabulary.size
+    buckets, classes = size.buckets, size.classes
+    weights = np.zeros((classes, buckets), dtype=np.float32)
     for number in range(rounds):
         start = weights.copy()
 
@@ -158,9 +177,10 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, rate: f
             for batch in batches:
                 for part in _slices(batch):
                     words, lengths, ids = _encoded(part, vocabulary)
-                    features, kinds = _features(words, lengths), vocabulary.kinds[ids]
-                    for at in range(0, len(kinds), BATCH):
-                        uses += _step(own, vocabulary.prior, features[:, at:at + BATCH], kinds[at:at + BATCH], rate)
+                    features, kinds = _features(words, lengths, size.bits), vocabulary.kinds[ids]
+                    for at in range(0, len(kinds), size.batch):
+                        now = slice(at, at + size.batch)
+                        uses += _step(own, vocabulary.prior, features[:, now], kinds[now], rate)
             if uses.any():
                 rows = np.concatenate([own * uses, uses[None, :]]).astype(np.float32).reshape(-1, BLOCK)
                 yield frame({"block": np.arange(len(rows)), "cells": list(rows)})
@@ -172,7 +192,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, rate: f
                     total[block] = total.get(block, 0.0) + cells.astype(np.float64)
             yield frame({"block": np.array(list(total), dtype=np.int64), "cells": list(total.values())})
 
-        blocks = (CLASSES + 1) * buckets // BLOCK
+        blocks = (classes + 1) * buckets // BLOCK
         own = docs.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == number)
         sent = own.select("text").mapInPandas(learn, "block long, cells array<float>")
         summed = sent.repartition(blocks, "block").mapInPandas(add, "block long, cells array<double>").collect()
@@ -181,7 +201,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, rate: f
         table = np.zeros((blocks, BLOCK))
         for r in summed:
             table[r["block"]] = r["cells"]
-        table = table.reshape(CLASSES + 1, buckets)
+        table = table.reshape(classes + 1, buckets)
         seen = table[-1] > 0
         weights[:, seen] = (table[:-1, seen] / table[-1, seen]).astype(np.float32)
     return weights
@@ -199,7 +219,7 @@ def score(docs: DataFrame, parts: int = 10, id_col: str = "doc_id", text_col: st
     known = rows.where(~F.col("held_out"))
     counts = durable(count_words(known), "words")
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = [(r["word"], r["n"]) for r in largest(counts, "n", FREQUENT).collect()]
+    top = [(r["word"], r["n"]) for r in largest(counts, "n", Size(n).frequent).collect()]
     vocabulary = Vocabulary(sorted(top, key=lambda w: (-w[1], w[0])), n, v)
     weights = train(known, vocabulary)
     kind = rows.schema[id_col].dataType.simpleString()
@@ -210,7 +230,7 @@ def score(docs: DataFrame, parts: int = 10, id_col: str = "doc_id", text_col: st
                 words, lengths, ids = _encoded(part, vocabulary)
                 kinds, starts = vocabulary.kinds[ids], np.cumsum(lengths) - lengths
                 logs = np.empty(len(ids))
-                features = _features(words, lengths)
+                features = _features(words, lengths, vocabulary.size.bits)
                 for at in range(0, len(ids), BATCH):
                     own = slice(at, at + BATCH)
                     p = _probabilities(weights, vocabulary.prior, features[:, own])

@@ -108,13 +108,21 @@ def test_class_shares_sum_to_one():
     words = [(f"w{i}", 1000 - i) for i in range(300)]
     tail = 50  # words with count one that do not travel
     v = maxent.Vocabulary(words, sum(c for _, c in words) + tail, len(words) + tail)
-    shares = [0.0] * maxent.CLASSES
+    shares = [0.0] * v.size.classes
     for (_, c), k in zip(words, v.kinds):
         shares[k] += (c + 0.1) / 10 ** v.mass[k]
     shares[-1] += tail * 1.1 / 10 ** v.mass[-1]
     assert all(math.isclose(s + 0.1 / 10 ** v.mass[k], 1.0) for k, s in enumerate(shares))
 
 
+def test_language_model_grows_with_the_tokens():
+    sizes = [maxent.Size(n) for n in (0, 10, 10 ** 6, 15 * 10 ** 6, 45 * 10 ** 8)]
+    for small, large in zip(sizes[1:], sizes[2:]):
+        assert (small.buckets, small.classes, small.frequent) < (large.buckets, large.classes, large.frequent)
+        assert small.classes < large.classes and small.frequent < large.frequent
+    assert (sizes[3].bits, sizes[3].classes) == (15, 18) and (sizes[4].bits, sizes[4].classes) == (20, 26)
+
+
 def test_odd_language_model(odd, empty):
     rows = maxent.score(odd).collect()
     assert len(rows) == odd.count() and maxent.score(empty).count() == 0
