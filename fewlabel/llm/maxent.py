@@ -195,7 +195,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, rate: f
         blocks = (classes + 1) * buckets // BLOCK
         own = docs.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == number)
         sent = own.select("text").mapInPandas(learn, "block long, cells array<float>")
-        summed = sent.repartition(blocks, "block").mapInPandas(add, "block long, cells array<double>").collect()
+        summed = sent.repartition(-(-blocks // 8), "block").mapInPandas(add, "block long, cells array<double>").collect()
         if not summed:
             continue
         table = np.zeros((blocks, BLOCK))
