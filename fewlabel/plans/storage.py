@@ -148,6 +148,18 @@ def pool_roundtrip(spark, sf):
     return pool.select("doc_id", "lang", "source", "label", rnd(total(as_double("embedding"))).alias("total"))
 
 
+@query("pool_batches", f"""SELECT doc_id, CASE WHEN lang <> 'es' THEN 'a' ELSE 'b' END AS batch, lang, source, label
+  FROM ({WITH_VECTORS}) WHERE lang <> 'es' OR label = 1""")
+def pool_batches(spark, sf):
+    """Two batches that share English rows, the second written twice and changed in between, the first once more."""
+    path = scratch_path(spark, "batches")
+    x = with_vectors(spark, sf).select("doc_id", "text", "label", "embedding", "lang", "source")
+    first, both = x.where("lang <> 'es'"), x.where("lang IN ('es', 'en')")
+    for name, rows in (("a", first), ("b", both), ("b", both.where("lang = 'en' OR label = 1")), ("a", first)):
+        st.save_pool_batch(rows, path, name, "doc_id")
+    return st.load_pool(spark, path).select("doc_id", "batch", "lang", "source", "label")
+
+
 @query("hit_lookup", f"""WITH x AS ({WITH_VECTORS}), p AS (SELECT q.doc_id AS query_id, p.doc_id, p.text,
     row_number() OVER (PARTITION BY q.doc_id ORDER BY list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(q.v, p.v)]), p.doc_id) AS rank FROM x q, x p WHERE q.lang = 'es')
   SELECT query_id, doc_id, md5(text) AS digest FROM p WHERE rank <= 3""")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +23,31 @@ def save_pool(pool: DataFrame, path: str, by: Sequence[str] = ("lang", "source")
     pool.write.mode(mode).partitionBy(*by).parquet(path)
 
 
+def save_pool_batch(pool: DataFrame, path: str, batch: str, key: str, by: Sequence[str] = ("lang", "source"),
+                    files_per_key: int | None = 64) -> None:
+    """One named batch of a pool, below ``batch=`` folders of ``path``; writing it again replaces it as a whole.
+
+    Rows whose ``key`` another batch already holds stay out, so a row that comes with two batches is stored once, with the
+    batch that was written first. A null key is no match. A write that broke off is mended by writing the batch again. The other
+    batches are read for their keys only. ``batch`` is letters, digits, ``.``, ``_`` and ``-``, and no column of ``pool``. Keys
+    that repeat inside a batch stay as they are. One writer at a time: two at once do not see each other's keys.
+    """
+    if not re.fullmatch(r"[A-Za-z0-9._-]+", batch):
+        raise ValueError(f"not a name for a batch: {batch!r}")
+    if "batch" in pool.columns:
+        raise ValueError("the pool has a column named batch")
+    schema = pool.select(key).withColumn("batch", F.lit("")).schema
+    try:
+        held = pool.sparkSession.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        held = None
+    if held is not None:
+        pool = pool.join(held.where(F.col("batch") != batch).select(key), key, "left_anti").select(*pool.columns)
+    save_pool(pool, f"{path}/batch={batch}", by, "overwrite", files_per_key)
+
+
 def load_pool(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

@@ -274,3 +274,24 @@ def test_signals_for_every_labelled_row(spark, sf_dir):
     ids = {r.doc_id for r in with_vectors(spark, sf_dir).select("doc_id").collect()}
     got = {r.doc_id: r.held_out for r in rows.collect()}
     assert set(got) == ids and 0 < sum(got.values()) < len(got)
+
+
+def test_pool_batches_are_repeatable(spark, tmp_path):
+    from fewlabel.sources import tables
+    path = str(tmp_path / "pool")
+
+    def write(batch, rows):
+        tables.save_pool_batch(spark.createDataFrame(rows, "id long, lang string, source string"), path, batch, "id", files_per_key=2)
+        return sorted((r["batch"], str(r["id"]), r["lang"]) for r in tables.load_pool(spark, path).collect())
+
+    one, two = [(1, "en", "x"), (2, "de", "x"), (None, "en", "x")], [(2, "de", "x"), (3, "en", "y"), (None, "en", "x")]
+    a = [("a", "1", "en"), ("a", "2", "de"), ("a", "None", "en")]
+    b = [("b", "3", "en"), ("b", "None", "en")]
+    assert write("a", one) == write("a", one) == a
+    assert write("b", two) == write("b", two) == write("a", one) == a + b
+    assert write("a", one[:1]) == a[:1] + b  # the folder of a language that is gone goes as well
+    assert write("b", []) == a[:1]
+    assert write("b", two) == sorted(a[:1] + [("b", "2", "de")] + b)
+    for bad in ("", "a/b", "a=b"):
+        with pytest.raises(ValueError):
+            write(bad, one)
