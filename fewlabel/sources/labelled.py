@@ -43,6 +43,25 @@ def _texts(rows: DataFrame, label: str = "label") -> DataFrame:
     return rows.where(F.col(label).isNotNull()).withColumn("text", F.coalesce("text", F.lit("")))
 
 
+def _two_fields(spark: SparkSession, path, sep: str = ",") -> DataFrame:
+    """``text, label`` of the rows with two fields or more. Both may be empty: a missing text is an empty one, a label
+    without a value is null.
+
+    The reader hands out a row that has not exactly two fields as read; where its label is null, the row counts if a
+    separator follows its first field.
+    """
+    raw = _read(spark, path, "text string, label string, _record string", sep, recursiveFileLookup=True,
+                columnNameOfCorruptRecord="_record")
+    second = F.col("_record").rlike(rf'^\s*(?:"[^"]*+(?:""[^"]*+)*+")?+[^{sep}]*+{sep}')
+    rows = raw.where(F.col("label").isNotNull() | F.col("_record").isNull() | second)
+    return rows.withColumn("text", F.coalesce("text", F.lit(""))).drop("_record")
+
+
+def _number(column: str) -> Column:
+    """A whole-number label; null where it is none."""
+    return F.trim(column).try_cast("double").try_cast("int")
+
+
 def number_rows(df: DataFrame, groups: Sequence[str], name: str = "row_idx") -> DataFrame:
     """0-based row number in file order inside each group.
 
@@ -66,21 +85,20 @@ def dataset_of_path(suffix: str = "(?:csv|tsv)") -> Column:
 
 def read_labelled_csv(spark: SparkSession, path, sep: str = ",") -> DataFrame:
     """(dataset_name, id, text, label): the first two columns; rows with fewer than two fields are
-    dropped before ids are given, rows with an empty text are not."""
-    raw = _read(spark, path, "text string, label string", sep, recursiveFileLookup=True)
-    rows = _texts(raw.withColumn("dataset_name", dataset_of_path()))
+    dropped before ids are given, rows with an empty text or label are not. A label that is no number is null."""
+    rows = _two_fields(spark, path, sep).withColumn("dataset_name", dataset_of_path())
     rows = number_rows(rows, ["dataset_name"])
     return rows.select("dataset_name", F.col("row_idx").cast("string").alias("id"), "row_idx", "text",
-                       F.col("label").cast("double").cast("int").alias("label"))
+                       _number("label").alias("label"))
 
 
 def read_parallel_tsv(spark: SparkSession, path) -> DataFrame:
     """(language, source, row_idx, text, label) of ``language=/source=`` folders; equal (source, row_idx)
-    means the same sentence."""
-    raw = _read(spark, path, "text string, label string", "\t", recursiveFileLookup=True)
-    rows = _texts(raw.withColumn("language", folder_value("language")).withColumn("source", folder_value("source")))
+    means the same sentence. Rows and labels are taken as in ``read_labelled_csv``."""
+    raw = _two_fields(spark, path, "\t")
+    rows = raw.withColumn("language", folder_value("language")).withColumn("source", folder_value("source"))
     return number_rows(rows, ["language", "source"]).select(
-        "language", "source", "row_idx", "text", F.col("label").cast("int").alias("label"))
+        "language", "source", "row_idx", "text", _number("label").alias("label"))
 
 
 def align_parallel(df: DataFrame, left: str, right: str) -> DataFrame:

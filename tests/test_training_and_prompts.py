@@ -204,6 +204,16 @@ def test_csv_reader_details(spark, tmp_path):
         ("a_en", "0", 'one, "q"\nline', 1), ("a_en", "1", "two", 0)]
 
 
+def test_rows_count_by_their_fields(spark, tmp_path):
+    """Two fields make a row, whatever they hold."""
+    lines = ['a,1', 'b,', '"c",', '"d, e"', '"f, ""g"" h",,x', 'i,hate', '', ',0', 'j', 'k,,', '"l\nm",2', '"n\n, o"', 'p, 1.0 ,']
+    (tmp_path / "a.csv").write_text("text,label\n" + "\n".join(lines) + "\n", encoding="utf-8")
+    rows = labelled.read_labelled_csv(spark, str(tmp_path)).orderBy("row_idx").collect()
+    assert [(r.text, r.label) for r in rows] == [
+        ("a", 1), ("b", None), ("c", None), ('f, "g" h', None), ("i", None), ("", 0), ("k", None), ("l\nm", 2), ("p", 1)]
+    assert [r.id for r in rows] == [str(i) for i in range(len(rows))]
+
+
 def test_raw_folder(spark, tmp_path):
     (tmp_path / "x.csv").write_text("text,label\nhello,1\na,b,c\n")
     (tmp_path / "y.tsv").write_text("text\tlabel\nbye\t0\n")
