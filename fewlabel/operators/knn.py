@@ -14,7 +14,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -329,22 +328,55 @@ def cell_join(queries: DataFrame, pool: DataFrame, k: int, model, n_probe: int =
     return knn_join(probed, pool, k, query_vec=query_vec, pool_vec=pool_vec, codes="codes", **kw)
 
 
+def hash_codes(df: DataFrame, vec: str, planes: np.ndarray, bucket_length: float, probes: int = 0, name: str = "codes") -> DataFrame:
+    """The buckets of every row, as an array of texts; rows without a vector go.
+
+    ``planes`` (tables x parts x dimensions) give every table as many projections as it has parts, cut at multiples of
+    ``bucket_length``; a bucket is one cell of all of them. ``probes`` more buckets follow: those one cell away in one part,
+    of any table, whose border lies closest to the row's own projection.
+    """
+    tables, parts, dims = planes.shape
+
+    @F.pandas_udf("array<string>")
+    def coded(v):
+        import pandas as pd
+        if not len(v):
+            return v
+        at = np.stack(v.to_numpy()).astype(np.float64) @ planes.reshape(-1, dims).T / bucket_length
+        cells = np.floor(at)
+        to_border = np.stack([at - cells, 1 - (at - cells)], axis=2).reshape(len(v), -1)
+        nearest = np.argsort(to_border, axis=1, kind="stable")[:, :probes]
+        cells = cells.astype(np.int64).reshape(len(v), tables, parts)
+        out = []
+        for own, near in zip(cells, nearest):
+            names = [f"{t}:{own[t].tolist()}" for t in range(tables)]
+            for n in near.tolist():
+                table, part = divmod(n // 2, parts)
+                other = own[table].copy()
+                other[part] += 1 if n % 2 else -1
+                names.append(f"{table}:{other.tolist()}")
+            out.append(names)
+        return pd.Series(out)
+
+    return df.where(F.col(vec).isNotNull()).withColumn(name, coded(F.col(vec)))
+
+
 def hash_join(queries: DataFrame, pool: DataFrame, k: int, bucket_length: float = 1.0,
-              tables: int = 4, seed: int = 42, *, query_vec: str = "query_vec",
+              tables: int = 4, seed: int = 42, *, parts: int = 1, probes: int = 0, query_vec: str = "query_vec",
               pool_vec: str = "embedding", **kw) -> DataFrame:
-    """k nearest among the pool rows that share a random-projection bucket with the query."""
-    lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", seed=seed,
-                                      bucketLength=bucket_length, numHashTables=tables)
-    model = lsh.fit(pool.select(array_to_vector(pool_vec).alias("features")))
-
-    def coded(df, vec):
-        from pyspark.ml.functions import vector_to_array
-        hashed = model.transform(df.withColumn("features", array_to_vector(vec)))
-        code = F.transform("hashes", lambda h, i: F.concat_ws(
-            ":", i.cast("string"), vector_to_array(h)[0].cast("long").cast("string")))
-        return hashed.withColumn("codes", code).drop("hashes", "features")
-
-    return knn_join(coded(queries, query_vec), coded(pool, pool_vec), k,
+    """k nearest among the pool rows that lie in a bucket of the query's own or one of ``probes`` neighbouring ones.
+
+    Buckets come from random projections of unit length, ``parts`` for each table; only queries look into neighbours, so
+    the pool has one code per table. A query may get fewer than k rows.
+    """
+    def dims(df, vec):
+        first = df.where(F.col(vec).isNotNull()).select(F.size(vec).alias("d")).first()
+        return first.d if first else 0
+
+    size = dims(pool, pool_vec) or dims(queries, query_vec) or 1
+    planes = np.random.default_rng(seed).standard_normal((tables, parts, size))
+    planes /= np.linalg.norm(planes, axis=2, keepdims=True)
+    return knn_join(hash_codes(queries, query_vec, planes, bucket_length, probes), hash_codes(pool, pool_vec, planes, bucket_length), k,
                     query_vec=query_vec, pool_vec=pool_vec, codes="codes", **kw)
 
 

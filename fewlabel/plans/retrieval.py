@@ -110,6 +110,15 @@ def lsh_join(spark, sf):
     return _recall(spark, sf, lambda q, p: knn.hash_join(q, p, 10, bucket_length=0.5, tables=6))
 
 
+@query("lsh_multi_probe", """WITH n AS (SELECT count(*) FILTER (WHERE lang = 'es') AS q, count(*) FILTER (WHERE lang <> 'es') AS p
+    FROM embeddings JOIN documents ON vec_id = doc_id WHERE embedding IS NOT NULL)
+  SELECT q * least(p, 10) AS exact_hits, true AS enough FROM n""")
+def lsh_multi_probe(spark, sf):
+    """The hash join with narrow buckets of three projections and their neighbours: recall at 10 is nine tenths or more."""
+    found = _recall(spark, sf, lambda q, p: knn.hash_join(q, p, 10, bucket_length=0.3, tables=6, parts=3, probes=12))
+    return found.select("exact_hits", (F.col("recall") >= 0.9).alias("enough"))
+
+
 @query("cluster_embeddings")
 def cluster_embeddings(spark, sf):
     x = table(spark, sf, "embeddings").select("vec_id", "embedding")

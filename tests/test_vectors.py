@@ -92,6 +92,23 @@ def test_hash_join_finds_most_neighbours(spark, vectors):
     assert row.exact_hits == 150 and row.recall > 0.8
 
 
+def test_hash_codes_probe_the_closest_borders(spark):
+    planes = np.eye(2).reshape(1, 2, 2)
+    rows = frame(spark, np.array([[0.1, 0.7], [-0.2, 1.95]]), "id", "v")
+    coded = {r["id"]: r["codes"] for r in knn.hash_codes(rows, "v", planes, 1.0, probes=3).collect()}
+    assert list(coded.values()) == [["0:[0, 0]", "0:[-1, 0]", "0:[0, 1]", "0:[0, -1]"], ["0:[-1, 1]", "0:[-1, 2]", "0:[0, 1]", "0:[-2, 1]"]]
+
+
+def test_more_probes_find_more(spark, vectors):
+    q, p = vectors
+    queries, pool = frame(spark, q, "query_id", "query_vec"), frame(spark, p, "vec_id", "embedding")
+    exact = knn.knn_join(queries, pool, 5)
+    got = [knn.recall(knn.hash_join(queries, pool, 5, bucket_length=1.0, tables=4, parts=2, probes=n), exact, "query_id", "vec_id").first().recall
+           for n in (0, 4, 16)]
+    assert got[0] < got[1] < got[2]
+    assert knn.hash_join(queries, pool.limit(0), 5).count() == 0
+
+
 # --- diversity ----------------------------------------------------------------------------
 
 def full_matrix_mmr(v, rel, threshold, keep, lam):
