@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from fewlabel.functions.scaling import normalise_per_group
 from fewlabel.functions.signals import entropy, margin
 from fewlabel.functions.vectors import arg_max
-from fewlabel.operators import alignment, metrics, perplexity as ppl, reports, topics
+from fewlabel.operators import alignment, density, metrics, perplexity as ppl, reports, topics
 from fewlabel.plans.registry import query, rnd, sql_rnd
 from fewlabel.plans.tables import (
-    LABELLED, PREDICTIONS, PROBABILITIES, RUNS, labelled, predictions, probabilities, runs, sql_dot, sql_l2,
-    sql_norm, table)
+    LABELLED, PREDICTIONS, PROBABILITIES, RUNS, WITH_VECTORS, labelled, predictions, probabilities, runs, sql_dot,
+    sql_l2, sql_norm, table, with_vectors)
 
 
 def _metrics_sql(by: str) -> str:
@@ -369,6 +369,35 @@ def q_coherence(spark, sf):
     return topics.coherence(rows, topics.topic_keywords(rows)).withColumn("coherence", rnd("coherence", 5))
 
 
+_GRID = f"""dv AS (SELECT doc_id, v FROM ({WITH_VECTORS})),
+  cl AS (SELECT doc_id, [{", ".join(f"floor({sql_dot('v', str(d) + '::DOUBLE[]')} / 0.1)::BIGINT" for d in density.directions(64, 2))}] AS cell FROM dv),
+  cn AS (SELECT cell, count(*) AS n FROM cl GROUP BY cell),
+  dn AS (SELECT cell, n FROM cn WHERE n >= 0.02::DOUBLE * (SELECT sum(n) FROM cn)),
+  ed AS (SELECT x.cell AS a, y.cell AS b FROM dn x JOIN dn y ON abs(x.cell[1] - y.cell[1]) <= 1 AND abs(x.cell[2] - y.cell[2]) <= 1),
+  re AS (SELECT a, b FROM ed UNION SELECT re.a, ed.b FROM re JOIN ed ON re.b = ed.a),
+  co AS (SELECT a AS cell, min(b) AS component FROM re GROUP BY a),
+  hm AS (SELECT x.cell, x.n, co.component, row_number() OVER (PARTITION BY x.cell ORDER BY (x.cell = dn.cell)::INT DESC, dn.n DESC, dn.cell) AS place
+         FROM cn x JOIN dn ON abs(x.cell[1] - dn.cell[1]) <= 1 AND abs(x.cell[2] - dn.cell[2]) <= 1 JOIN co ON co.cell = dn.cell),
+  sz AS (SELECT component, sum(n) AS size FROM hm WHERE place = 1 GROUP BY component HAVING sum(n) >= 10),
+  nb AS (SELECT component, row_number() OVER (ORDER BY size DESC, component) - 1 AS topic FROM sz),
+  tp AS (SELECT cl.doc_id, coalesce(nb.topic, -1)::INT AS topic FROM cl LEFT JOIN (SELECT * FROM hm WHERE place = 1) h ON h.cell = cl.cell
+         LEFT JOIN nb USING (component))"""
+
+
+@query("density_topics", f"WITH RECURSIVE {_GRID} SELECT doc_id, topic FROM tp")
+def q_density_topics(spark, sf):
+    """Density clusters of all labelled documents' vectors; outliers are -1."""
+    return density.density_topics(with_vectors(spark, sf).select("doc_id", "embedding"), width=0.1, min_share=0.02).select("doc_id", "topic")
+
+
+@query("density_topic_sizes", f"""WITH RECURSIVE {_GRID}, js AS (SELECT l.toxic AS label, tp.topic FROM tp JOIN labels l USING (doc_id))
+  SELECT label, topic, count(*) AS n FROM js WHERE topic <> -1 GROUP BY ALL""")
+def q_density_sizes(spark, sf):
+    """How the labels spread over the density clusters."""
+    rows = density.density_topics(with_vectors(spark, sf).select("doc_id", "label", "embedding"), width=0.1, min_share=0.02)
+    return topics.topic_sizes(rows, by_label=True)
+
+
 @query("topic_model")
 def q_topic_model(spark, sf):
     """Fitted topics: size, mean entropy and purity of each."""
