@@ -73,7 +73,7 @@ def cap_rows(df: DataFrame, condition: Column, groups: Sequence[str], order: Seq
 
 # --- criteria and the weighted score ------------------------------------------------------
 
-SCORE_COLUMN = {"unique_words": "length_score", "cluster": "cluster_score",
+SCORE_COLUMN = {"unique_words": "length_score", "unique_pieces": "length_score", "cluster": "cluster_score",
                 "uncertainty": "uncertainty_score", "margin": "margin_score",
                 "perplexity": "perplexity_score"}
 
@@ -82,10 +82,14 @@ def weighted_score(df: DataFrame, base: str, weights: dict[str, float], text: st
                    cluster_size: str = "cluster_size", within: Sequence[str] = ()) -> DataFrame:
     """score = (1 - sum w) * base + sum w_i * scaled criterion_i; ascending is better.
 
-    A criterion with weight 0 is not computed; its column stays null.
+    A criterion with weight 0 is not computed; its column stays null. Lengths are counted in words of ``text``, or
+    in sub-word pieces, which the column ``unique_pieces`` then holds; not in both.
     """
     active = {c: w for c, w in weights.items() if w}
+    if {"unique_words", "unique_pieces"} <= set(active):
+        raise ValueError("lengths are counted in words or in pieces")
     raw = {"unique_words": lambda: -unique_tokens(text).cast("double"),
+           "unique_pieces": lambda: -F.col("unique_pieces").cast("double"),
            "cluster": lambda: F.col(cluster_size).cast("double"),
            **{c: (lambda c=c: signed(c)) for c in CRITERION_SIGN}}
     scaled = {}
@@ -94,9 +98,9 @@ def weighted_score(df: DataFrame, base: str, weights: dict[str, float], text: st
         scaled[SCORE_COLUMN[c]] = f"_raw_{c}"
     if scaled:
         df = min_max(df, scaled, within or None)
-    for c in SCORE_COLUMN:
-        if c not in active:
-            df = df.withColumn(SCORE_COLUMN[c], F.lit(None).cast("double"))
+    for column in dict.fromkeys(SCORE_COLUMN.values()):
+        if column not in scaled:
+            df = df.withColumn(column, F.lit(None).cast("double"))
     rest = 1.0 - sum(active.values())
     score = reduce(lambda acc, c: acc + F.lit(float(active[c])) * F.col(SCORE_COLUMN[c]),
                    active, F.lit(rest) * F.col(base))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 
 from pyspark.sql import functions as F
@@ -19,7 +20,9 @@ from fewlabel.plans.tables import (
     LABELLED, PROBABILITIES, WITH_VECTORS, labelled, probabilities, sql_dot, sql_l2, sql_norm,
     table, target_queries, with_vectors)
 from fewlabel.functions.signals import entropy, margin
+from fewlabel.functions.subwords import unique_pieces
 from fewlabel.functions.vectors import unit
+from fewlabel.session import durable
 
 WORDS = r"len(list_distinct(list_filter(string_split_regex(lower(text), '\s+'), lambda w: w <> '')))"
 
@@ -305,6 +308,16 @@ def q_criteria(spark, sf):
     return out.select("doc_id", *[rnd(c).alias(c) for c in ("length_score", "uncertainty_score", "margin_score", "score")])
 
 
+@query("subword_scores")
+def q_subwords(spark, sf):
+    """Distinct sub-word pieces of every document and their scaled score; the vocabulary has no SQL form."""
+    model = os.path.join(os.environ.get("TOKENIZER_DIR", "/opt/tokenizers"), "piece_bpe_32k.model")
+    counted = durable(table(spark, sf, "documents").select("doc_id", F.lit(0.0).alias("dist_norm"),
+                                                           unique_pieces("text", model).alias("unique_pieces")), "pieces")
+    out = weighted_score(counted, "dist_norm", {"unique_pieces": 0.5})
+    return out.select("doc_id", "unique_pieces", rnd("length_score").alias("length_score"), rnd("score").alias("score"))
+
+
 # --- diversity ----------------------------------------------------------------------------
 
 def _mmr_sql(src: str, group: str, threshold: float, min_remained: int) -> str:
