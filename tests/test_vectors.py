@@ -249,3 +249,46 @@ def test_alignment_over_several_blocks(spark, monkeypatch):
     a, b = a.astype(np.float32).astype(float), b.astype(np.float32).astype(float)
     s = (a / np.linalg.norm(a, axis=1, keepdims=True)) @ (b / np.linalg.norm(b, axis=1, keepdims=True)).T
     assert abs(row.alignment - (np.mean(np.diag(s)) - np.mean(np.tril(s)))) < 1e-9
+
+
+def peak_of(q, p, k, codes=None):
+    """Hits of all queries over two batches of the pool, as (query, row) sets, and the peak of memory in MB."""
+    import tracemalloc
+
+    import pyarrow as pa
+    flat = lambda x: pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
+    names, columns = ["vec_id", "v"], [pa.array(np.arange(len(p))), flat(p)]
+    by_code = None
+    if codes:
+        names, columns = [*names, "codes"], [*columns, pa.array([list(range(codes))] * len(p))]
+        by_code = {c: np.arange(len(q)) for c in range(codes)}
+    batch, half = pa.RecordBatch.from_arrays(columns, names=names), len(p) // 2
+    tracemalloc.start()
+    asked = knn._Queries(q, by_code, k, False)
+    for part in (batch.slice(0, half), batch.slice(half)):
+        knn._meet(asked, knn._Pool(part, ["vec_id"], "v", "l2", "codes" if codes else None, False), "vec_id", "l2")
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    found = [(b.column("query_id").to_numpy(), b.column("vec_id").to_numpy()) for b in asked.found(pa.array(np.arange(len(q))), "query_id", ["vec_id"])]
+    return sorted((int(a), int(b)) for x, y in found for a, b in zip(x, y)), peak
+
+
+@pytest.mark.parametrize("codes", [None, 3])
+def test_deep_searches_hold_few_vectors_at_once(monkeypatch, codes):
+    """900 000 pairs of 64 doubles on both sides would be 900 MB."""
+    monkeypatch.setattr(knn, "SLICE_PAIRS", 10_000)
+    monkeypatch.setattr(knn, "EXACT_CELLS", 100_000)
+    monkeypatch.setattr(knn, "TILE_CELLS", 20_000)
+    rng = np.random.default_rng(8)
+    q, p = rng.normal(size=(900, 64)), rng.normal(size=(1200, 64))
+    p[900:] = p[5]  # ties beyond the depth
+    got, peak = peak_of(q, p, 1000, codes)
+    d = np.round(((q ** 2).sum(1)[:, None] + (p ** 2).sum(1)[None] - 2 * q @ p.T), 9)
+    want = sorted((i, int(j)) for i in range(len(q)) for j in np.lexsort((np.arange(len(p)), d[i]))[:1000])
+    assert got == want and peak < 120
+
+
+def test_a_row_that_is_not_finite_hides_no_other(spark):
+    pool = frame(spark, [[0.0, 1.0], [float("inf"), 0.0], [2.0, 0.0], [float("nan"), 1.0]], "vec_id", "embedding").coalesce(1)
+    queries = frame(spark, [[0.0, 0.0]], "query_id", "query_vec")
+    assert hits_of(knn.knn_join(queries, pool, 2)) == {0: [0, 2]}
