@@ -11,7 +11,7 @@ from fewlabel.plans.registry import query, rnd, sql_rnd
 from fewlabel.plans.retrieval import PER_QUERY, per_query_hits
 from fewlabel.plans.tables import (
     LABELLED, PREDICTIONS, RUNS, WITH_VECTORS, labelled, predictions, runs, table, target_queries, with_vectors)
-from fewlabel.session import scratch_path
+from fewlabel.session import durable, scratch_path
 from fewlabel.sources import labelled as lab
 from fewlabel.sources import naming, tables as st
 
@@ -153,7 +153,7 @@ def pool_roundtrip(spark, sf):
 def pool_batches(spark, sf):
     """Two batches that share English rows, the second written twice and changed in between, the first once more."""
     path = scratch_path(spark, "batches")
-    x = with_vectors(spark, sf).select("doc_id", "text", "label", "embedding", "lang", "source")
+    x = durable(with_vectors(spark, sf).select("doc_id", "text", "label", "embedding", "lang", "source"), "pool-rows")
     first, both = x.where("lang <> 'es'"), x.where("lang IN ('es', 'en')")
     for name, rows in (("a", first), ("b", both), ("b", both.where("lang = 'en' OR label = 1")), ("a", first)):
         st.save_pool_batch(rows, path, name, "doc_id")

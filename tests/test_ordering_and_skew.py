@@ -132,3 +132,14 @@ def test_splits_are_complete_and_samples_nested(spark):
         by.setdefault((r.seed, r.n), set()).add(r.id)
     assert {k: len(v) for k, v in by.items()} == {(s, n): n for s in (1, 2, 3) for n in (10, 50)}
     assert all(by[s, 10] <= by[s, 50] for s in (1, 2, 3)) and by[1, 10] != by[2, 10]
+
+
+def test_only_rows_with_a_wanted_key_are_shuffled(spark, sf_dir):
+    """The texts of documents without a vector take no part in an exchange: the keys are broadcast first."""
+    from fewlabel.operators.joins import only_keys
+    from fewlabel.plans.tables import with_vectors
+    wide = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (None, "d"), (9, "e")], "doc_id long, text string")
+    keys = spark.createDataFrame([(2,), (2,), (None,), (1,)], "doc_id long")
+    assert sorted(r.text for r in only_keys(wide, keys, "doc_id").collect()) == ["a", "b", "c"]
+    plan = with_vectors(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi, BuildRight" in plan
