@@ -8,10 +8,12 @@ from fewlabel.functions.scaling import normalise_per_group
 from fewlabel.functions.signals import entropy, margin
 from fewlabel.functions.vectors import arg_max
 from fewlabel.operators import alignment, density, metrics, perplexity as ppl, reports, topics
+from fewlabel.operators.joins import only_keys
 from fewlabel.plans.registry import query, rnd, sql_rnd
 from fewlabel.plans.tables import (
     LABELLED, PREDICTIONS, PROBABILITIES, RUNS, WITH_VECTORS, labelled, predictions, probabilities, runs, sql_dot,
     sql_l2, sql_norm, table, with_vectors)
+from fewlabel.session import durable
 
 
 def _metrics_sql(by: str) -> str:
@@ -276,7 +278,7 @@ def _topic_rows(spark, sf):
     """Documents with a fixed assignment: the vector's group, of which group 9 stands for outliers."""
     e = probabilities(spark, sf).select(F.col("vec_id").alias("doc_id"), F.col("label").alias("grp"),
                                         F.col("probs").alias("topic_probs"))
-    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
+    d = only_keys(table(spark, sf, "documents"), e, "doc_id").join(table(spark, sf, "labels"), "doc_id", "left")
     return d.join(e, "doc_id").select(
         "doc_id", "text", F.col("toxic").alias("label"), "topic_probs",
         F.when(F.col("grp") == 9, topics.OUTLIER).otherwise(F.col("grp")).alias("topic"))
@@ -365,7 +367,7 @@ def q_keywords_label(spark, sf):
          FROM np JOIN sm ON sm.topic = np.topic AND sm.b = np.b JOIN ls ON ls.topic = np.topic GROUP BY ALL)
   SELECT topic, {sql_rnd('avg(cos)', 5)} AS coherence FROM wc GROUP BY topic""")
 def q_coherence(spark, sf):
-    rows = _topic_rows(spark, sf)
+    rows = durable(_topic_rows(spark, sf).select("doc_id", "text", "topic"), "topic-rows")  # for the keywords and the windows
     return topics.coherence(rows, topics.topic_keywords(rows)).withColumn("coherence", rnd("coherence", 5))
 
 
