@@ -335,7 +335,8 @@ def jaccard(one: str, two: str, width: int) -> float:
     return shared / (len(a) + len(b) - shared)
 
 
-def _tile(most: int, similarity: float, limit: int):
+def _tile(most: int, similarity: float, limit: int = 2 ** 31):
+    """Compares a pair of tiles, of every two components the ``limit`` closest pairs; without ``hashes`` all by their fingerprints."""
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         """Of the pairs of nodes in one pair of tiles that may be links, the ``limit`` closest of every two components, and
         whether these have more."""
@@ -344,7 +345,8 @@ def _tile(most: int, similarity: float, limit: int):
         nodes, comps, own, size = (rows[c].to_numpy() for c in ("node", "component", "own", "size"))
         across = rows["i"].iloc[0] != rows["j"].iloc[0]
         # Where each hash of the small sets occurs, so that shared hashes are counted, not guessed.
-        sets = [h if h is not None and k <= SMALL / similarity else () for h, k in zip(rows["hashes"], size)]
+        known = "hashes" in rows
+        sets = [h if h is not None and k <= SMALL / similarity else () for h, k in zip(rows["hashes"], size)] if known else [()] * len(rows)
         value = np.concatenate([np.asarray(h, dtype=np.int64) for h in sets])
         holder = np.repeat(np.arange(len(rows)), [len(h) for h in sets])
         order = np.argsort(value, kind="stable")
@@ -362,7 +364,7 @@ def _tile(most: int, similarity: float, limit: int):
                 lo, hi = np.searchsorted(value, sets[x]), np.searchsorted(value, sets[x], "right")
                 shared = np.bincount(np.concatenate([holder[a:b] for a, b in zip(lo, hi)]), minlength=len(rows))
             alike = shared[near] >= similarity * (size[near] + size[x] - shared[near]) - 1e-9
-            likely = np.where(small[near] <= SMALL, alike, apart <= most)
+            likely = np.where((small[near] <= SMALL) & known, alike, apart <= most)
             near, apart = near[likely], apart[likely]
             low, high = np.minimum(comps[near], comps[x]), np.maximum(comps[near], comps[x])
             out.append(np.stack([low, high, apart, np.full(len(near), nodes[x]), nodes[near]], axis=1))
