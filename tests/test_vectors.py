@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -292,3 +294,26 @@ def test_a_row_that_is_not_finite_hides_no_other(spark):
     pool = frame(spark, [[0.0, 1.0], [float("inf"), 0.0], [2.0, 0.0], [float("nan"), 1.0]], "vec_id", "embedding").coalesce(1)
     queries = frame(spark, [[0.0, 0.0]], "query_id", "query_vec")
     assert hits_of(knn.knn_join(queries, pool, 2)) == {0: [0, 2]}
+
+
+def test_diversity_sweep_selects_all_points_from_one_copy_of_the_candidates(spark):
+    from fewlabel.operators import sweep
+    rng = np.random.default_rng(5)
+    rows = [(q, i, [float(c) for c in rng.normal(size=4)], float(rng.integers(4)), int(rng.integers(2)))
+            for q in range(6) for i in range(12)]
+    df = spark.createDataFrame(rows, "query_id long, doc_id long, embedding array<double>, dist_norm double, label int")
+    truth = df.where("doc_id = 0").select("query_id", "label")
+    out = sweep.sweep_diversity(df, truth, [0.1, 0.5], [0.3, 0.8], 5)
+    assert re.search(r"FlatMapGroupsInPandas \[query_id#\d+L?\],", out._jdf.queryExecution().executedPlan().toString())
+    got = {(r.threshold, r["lambda"]): r.f1_macro for r in out.collect()}
+    assert len(got) == 4
+    for (threshold, weight), value in got.items():
+        pairs = []
+        for q in range(6):
+            mine = [r for r in rows if r[0] == q]
+            picked = diversity.greedy(np.array([r[2] for r in mine]), diversity.relevance_of(np.array([r[3] for r in mine])),
+                                      threshold, 5, weight)
+            best = sorted((mine[i] for i in picked), key=lambda r: (r[3], r[1]))[:5]
+            pairs.append((mine[0][4], int(2 * sum(r[4] for r in best) >= len(best))))
+        f1 = [2 * sum(t == c == p for t, p in pairs) / max(1, sum(t == c for t, p in pairs) + sum(p == c for t, p in pairs)) for c in (0, 1)]
+        assert abs(value - sum(f1) / 2) < 1e-9
