@@ -174,6 +174,24 @@ def test_perplexity_with_a_model_too_large_to_broadcast(spark, monkeypatch):
     assert all(abs(a - b) < 1e-9 for (_, a), (_, b) in zip(small, large))
 
 
+def test_perplexity_counts_across_packs_and_buckets(spark, monkeypatch):
+    monkeypatch.setattr(perplexity, "PACK_WORDS", 7)
+    monkeypatch.setattr(perplexity, "BUCKET_WORDS", 5)
+    texts = [" ".join(f"w{(i * j + j * j) % 9}" for j in range(1 + i % 11)) for i in range(60)] + ["<s> w1 <s>", "", None, "w1"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(3)
+    pairs = [list(zip(["<s>", *t.split()], t.split())) if t else [] for t in texts]
+    c, first, vocabulary = {}, {}, {w for t in pairs for _, w in t}
+    for p in (p for t in pairs for p in t):
+        c[p], first[p[0]] = c.get(p, 0) + 1, first.get(p[0], 0) + 1
+    got = {r.id: r.perplexity for r in perplexity.perplexity(df, "id", "text").collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(pairs):
+        want = math.exp(-sum(math.log((c[p] + 1) / (first[p[0]] + len(vocabulary))) for p in t) / len(t)) if t else math.inf
+        assert got[i] == want or abs(got[i] - want) < 1e-9
+    empty = perplexity.perplexity(df.limit(0), "id", "text")
+    assert empty.count() == 0
+
+
 def test_window_counts_by_brute_force(spark):
     texts = ["a b c a d", "b b", "c", "a x x x b"]
     df = spark.createDataFrame([(t,) for t in texts], "text string")
