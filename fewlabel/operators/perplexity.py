@@ -23,11 +23,11 @@ PAIR, FIRST = 0, 1  # what is counted: pairs of neighbouring words, and words
 
 def packs(df: DataFrame, key: str, text: str) -> DataFrame:
     """(pack, keys, sizes, words): the 64-bit hashes of the words of many texts, one after the other, with each text's
-    number of words. Blank texts are in no pack."""
+    number of words. Keys travel as texts, so that null ones keep their words in the counts. Blank texts are in no pack."""
     hashes = F.transform(words(text), lambda w: F.xxhash64(w))
-    rows = spread(df.select(key, text)).where(F.col(text).isNotNull()).select(F.col(key), hashes.alias("_words")).where(F.size("_words") > 0)
+    rows = spread(df.select(key, text)).where(F.col(text).isNotNull()).select(F.col(key).cast("string").alias(key), hashes.alias("_words")).where(F.size("_words") > 0)
 
-    schema = T.StructType([T.StructField("keys", T.ArrayType(df.schema[key].dataType)),
+    schema = T.StructType([T.StructField("keys", T.ArrayType(T.StringType())),
                            T.StructField("sizes", T.ArrayType(T.LongType())), T.StructField("words", T.BinaryType())])
 
     def listed(column, starts):
@@ -131,16 +131,15 @@ def perplexity(df: DataFrame, key: str, text: str, add_k: float = 1.0) -> DataFr
             c_prev = counts[FIRST][np.searchsorted(both, before)]
             log_p = np.log((c + add_k) / (c_prev + add_k * vocabulary))
             starts = np.cumsum(sizes) - sizes
-            out.append(pd.DataFrame({key: pd.Series(list(keys), dtype=pack_type), "_sum": np.add.reduceat(log_p, starts), "_n": sizes}))
+            out.append(pd.DataFrame({key: pd.Series(list(keys), dtype=object), "_sum": np.add.reduceat(log_p, starts), "_n": sizes}))
         return pd.concat(out)
 
-    pack_type = "int64" if isinstance(df.schema[key].dataType, (T.LongType, T.IntegerType)) else object
-    schema = T.StructType([df.schema[key], T.StructField("_sum", T.DoubleType()), T.StructField("_n", T.LongType())])
+    schema = T.StructType([T.StructField(key, T.StringType()), T.StructField("_sum", T.DoubleType()), T.StructField("_n", T.LongType())])
     tasks = max(2 ** bits, cores)
     scored = (texts.repartition(tasks, "pack").groupBy("pack")
               .cogroup(answers.select("pack", "kind", "bucket", "counts").repartition(tasks, "pack").groupBy("pack"))
               .applyInPandas(score, schema))
-    value = scored.groupBy(key).agg(F.exp(-F.sum("_sum") / F.sum("_n")).alias("perplexity"))
+    value = scored.groupBy(F.col(key).cast(df.schema[key].dataType).alias(key)).agg(F.exp(-F.sum("_sum") / F.sum("_n")).alias("perplexity"))
     return df.select(key).join(value, key, "left").withColumn(
         "perplexity", F.coalesce("perplexity", F.lit(float("inf"))))
 

@@ -188,6 +188,8 @@ def test_perplexity_counts_across_packs_and_buckets(spark, monkeypatch):
     for i, t in enumerate(pairs):
         want = math.exp(-sum(math.log((c[p] + 1) / (first[p[0]] + len(vocabulary))) for p in t) / len(t)) if t else math.inf
         assert got[i] == want or abs(got[i] - want) < 1e-9
+    unnamed = df.withColumn("id", F.when(F.col("id") != 7, F.col("id")))
+    assert {r.id: r.perplexity for r in perplexity.perplexity(unnamed, "id", "text").collect()} == {**{i: p for i, p in got.items() if i != 7}, None: math.inf}
     empty = perplexity.perplexity(df.limit(0), "id", "text")
     assert empty.count() == 0
 
