@@ -133,9 +133,10 @@ def hex_text(fingerprint: Column) -> Column:
 # --- wide fingerprints: groups of texts above a shingle similarity -------------------------
 
 WORDS = 32  # 64-bit words of a wide fingerprint
-BLOCK_BITS = 22
 CROWD, TILE = 16, 512
-SMALL = 64  # sets of up to so many shingles meet by their shingles, since their fingerprints say too little
+SMALL = 64  # sets of up to so many shingles are compared by their shingles, since their fingerprints say too little
+SAMPLE, COMMON = 20_000, 1_000_000
+LISTED = 64  # of a node's open keys, so that pairs are handed out once
 
 
 def bit_counts(rows: np.ndarray) -> np.ndarray:
@@ -184,11 +185,17 @@ def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
     return np.packbits((2 * ones > n).astype(np.uint8), bitorder="little").view("<i8")
 
 
-def prefix_keys(hashes: np.ndarray, similarity: float) -> np.ndarray:
-    """Keys of a small set: its smallest hashes, so many that two sets of this similarity share one for certain."""
+def prefix_keys(hashes: np.ndarray, similarity: float, common: np.ndarray | None = None) -> np.ndarray:
+    """Keys of a set: the first of its hashes, so many that two sets of this similarity share one for certain.
+
+    The order is the same for all sets: ascending, but the hashes in ``common`` (ascending) come last.
+    """
     n = len(hashes)
     kept = n - math.ceil(similarity * n - 1e-9) + 1
-    return (hashes[:kept] | np.uint64(1 << 63)).view(np.int64)
+    if common is not None and len(common):
+        late = common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] == hashes
+        hashes = np.concatenate([hashes[~late], hashes[late]])
+    return hashes[:kept].view(np.int64)
 
 
 def differing_bits(similarity: float, deviations: float = 1.5) -> int:
@@ -202,23 +209,34 @@ def differing_bits(similarity: float, deviations: float = 1.5) -> int:
     return int(bits * share + deviations * (bits * share * (1 - share)) ** 0.5)
 
 
-def _blocks(words: np.ndarray) -> np.ndarray:
-    """Block number and value of every block of ``BLOCK_BITS`` bits, packed into one number each."""
-    bits = np.unpackbits(words.view(np.uint8), bitorder="little")
-    count = len(bits) // BLOCK_BITS
-    values = bits[:count * BLOCK_BITS].reshape(count, BLOCK_BITS).astype(np.int64) @ (1 << np.arange(BLOCK_BITS, dtype=np.int64))
-    return (np.arange(count, dtype=np.int64) << 32) | values
+def common_shingles(rows: DataFrame, width: int) -> np.ndarray:
+    """The hashes, ascending, that three or more of a part of the texts have: of an eighth, and at least of about ``SAMPLE``
+    (all, if there are fewer), by the hash of the id; ``COMMON`` of them at most, the most frequent.
+
+    They only set the order in which shingles become keys, not which texts are compared.
+    """
+    share = max(1 / 8, SAMPLE / max(1, rows.count()))
+    part = rows.where(F.pmod(F.xxhash64("id", F.lit("common")), F.lit(1000)) < min(1000, math.ceil(1000 * share))).select("text")
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_hashes(t, width) for t in batch["text"]]
+            yield frame({"h": np.concatenate(sets).view(np.int64)})
+
+    often = part.mapInPandas(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2")
+    found = often.orderBy(F.desc("n"), "h").limit(COMMON).select("h").toPandas()["h"].to_numpy(dtype=np.int64)
+    return np.sort(found.view(np.uint64))
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
                     similarity: float = 0.8) -> DataFrame:
     """``id_col``: the smallest id of every group of texts linked by a shingle similarity of ``similarity`` or more.
 
-    Equal shingle sets are one node. Nodes that share a block are candidates, and nodes of up to ``SMALL`` shingles also
-    those that share one of their smallest shingle hashes, which pairs of the similarity do for certain; their sets of hashes
-    travel with them. Every link is confirmed on the shingle sets, of larger texts where the fingerprints are within ``differing_bits`` with five deviations.
-    At similarity 0.8 a pair of larger texts meets in one of the 93 blocks with probability 0.92, at 0.85 with 0.99. Groups of a
-    block with up to ``CROWD`` nodes compare all pairs. A larger one compares every node with its first; where that
+    Equal shingle sets are one node. Nodes are candidates if they share one of their first shingle hashes (``prefix_keys``),
+    which pairs of the similarity do for certain. Shingles that many texts have come last in that order, so that a line or a
+    licence in thousands of texts is a key only of texts with little else. Every link is confirmed on the shingle
+    sets, of larger texts where the fingerprints are within ``differing_bits`` with five deviations. Groups of a
+    key with up to ``CROWD`` nodes compare all pairs. A larger one compares every node with its first; where that
     leaves it in several components, its nodes are dealt into tiles and all tiles compared in parallel, each handing out
     the closest pairs of every two components. These are confirmed, and rounds with more of them follow while two components
     of a group are apart and have candidates left. So no candidate is lost to a group's size, no task holds more than two tiles,
@@ -227,26 +245,21 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
 
+    last = docs.sparkSession.sparkContext.broadcast(common_shingles(rows, width))
+
     def run(batches):
         for batch in batches:
             sets = [shingle_hashes(t, width) for t in batch["text"]]
-            yield frame({"id": batch["id"], "digest": [xxhash.xxh3_128_digest(h.tobytes()) for h in sets],
+            yield frame({"id": batch["id"], "keys": [prefix_keys(h, similarity, last.value) for h in sets], "digest": [xxhash.xxh3_128_digest(h.tobytes()) for h in sets],
                          "size": np.array([len(h) for h in sets], dtype=np.int64), "print": [wide_fingerprint(h) for h in sets],
                          "hashes": [h.view(np.int64) if len(h) <= SMALL / similarity else None for h in sets]})
 
-    prints = durable(rows.mapInPandas(run, "id long, digest binary, size long, print array<bigint>, hashes array<bigint>"), "prints")
+    prints = durable(rows.mapInPandas(run, "id long, keys array<bigint>, digest binary, size long, print array<bigint>, hashes array<bigint>"), "prints")
     nodes = durable(prints.groupBy("digest").agg(F.min("id").alias("id")), "nodes")
-    prints = prints.join(nodes, ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"]).select(F.col("id").alias("node"), "size", "print", "hashes")
+    prints = prints.join(nodes, ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"]).select(F.col("id").alias("node"), "keys", "size", "print", "hashes")
     prints = durable(prints, "node_prints")
 
-    def cut(batches):
-        for batch in batches:
-            keys = [_blocks(p) if h is None or not len(h) else np.concatenate([_blocks(p), prefix_keys(h.view(np.uint64), similarity)])
-                    for p, h in zip(batch["print"], batch["hashes"])]
-            yield frame({"key": np.concatenate(keys) if keys else np.empty(0, dtype=np.int64),
-                         "node": np.repeat(batch["node"].to_numpy(), [len(k) for k in keys])})
-
-    keyed = prints.select("node", "print", "hashes").mapInPandas(cut, "key long, node long")
+    keyed = prints.select(F.explode("keys").alias("key"), "node")
     groups = durable(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1"), "groups")
     members = durable(keyed.join(groups, "key"), "members")
     few = members.where(F.col("n") <= CROWD)
@@ -276,11 +289,13 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         open_ = durable(crowded.join(durable(split, "split").select("key"), "key", "left_semi"), "open")
         if open_.isEmpty():
             break
+        # A pair that shares several open keys is handed out at the smallest that both nodes list.
+        listed = open_.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("key")), 1, LISTED).alias("listed"))
         tiles = F.ceil(F.col("n") / TILE).cast("int")
         own = F.pmod(F.xxhash64("node", "key"), tiles).cast("int")
         dealt = open_.select("key", "node", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("other"))
         dealt = dealt.select("key", "node", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-        more = dealt.join(prints.select("node", "size", "print", "hashes"), "node").groupBy("key", "i", "j").applyInPandas(
+        more = dealt.join(prints.select("node", "size", "print", "hashes").join(listed, "node"), "node").groupBy("key", "i", "j").applyInPandas(
             _tile(most, similarity, limit), "a long, b long, more boolean")
         more = durable(more, "more")
         fresh = durable(more.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "fresh")
@@ -351,6 +366,8 @@ def _tile(most: int, similarity: float, limit: int = 2 ** 31):
         holder = np.repeat(np.arange(len(rows)), [len(h) for h in sets])
         order = np.argsort(value, kind="stable")
         value, holder = value[order], holder[order]
+        key = rows["key"].iloc[0]
+        before = [{k for k in keys if k < key} for keys in rows["listed"]] if "listed" in rows else [set()] * len(rows)
         out = [np.empty((0, 5), dtype=np.int64)]
         for x in range(len(rows)):
             small, large = np.minimum(size, size[x]), np.maximum(size, size[x])
@@ -365,6 +382,7 @@ def _tile(most: int, similarity: float, limit: int = 2 ** 31):
                 shared = np.bincount(np.concatenate([holder[a:b] for a, b in zip(lo, hi)]), minlength=len(rows))
             alike = shared[near] >= similarity * (size[near] + size[x] - shared[near]) - 1e-9
             likely = np.where((small[near] <= SMALL) & known, alike, apart <= most)
+            likely[likely] = [before[x].isdisjoint(before[y]) for y in near[likely]]
             near, apart = near[likely], apart[likely]
             low, high = np.minimum(comps[near], comps[x]), np.maximum(comps[near], comps[x])
             out.append(np.stack([low, high, apart, np.full(len(near), nodes[x]), nodes[near]], axis=1))

@@ -118,6 +118,31 @@ def test_crowded_groups_lose_no_text(spark, monkeypatch):
     assert {r["doc_id"] for r in simhash.representatives(docs(spark, texts)).collect()} == {0}
 
 
+def test_pairs_at_the_limit_all_meet(spark):
+    rng = random.Random(14)
+    texts = []
+    for _ in range(60):
+        own = words(rng, 304)  # 300 shingles, of which 33 change: 267 of 333 are shared
+        texts += [" ".join(own), " ".join(words(rng, 33) + own[33:])]
+    assert all(0.8 <= simhash.jaccard(a, b, 5) < 0.81 for a, b in zip(texts[::2], texts[1::2]))
+    assert {r["doc_id"] for r in simhash.representatives(docs(spark, texts)).collect()} == set(range(0, 120, 2))
+
+
+def test_a_common_line_is_no_key_of_texts_with_more(spark, monkeypatch):
+    rng = random.Random(15)
+    line = " ".join(words(rng, 20))
+    texts = [" ".join(words(rng, 40)) + " " + line for _ in range(60)]
+    rows, real = {}, simhash.durable
+
+    def counted(df, name="step"):
+        out = real(df, name)
+        rows[name] = out.count()
+        return out
+    monkeypatch.setattr(simhash, "durable", counted)
+    assert simhash.representatives(docs(spark, texts)).count() == 60
+    assert rows["crowded"] == 0 and rows["near"] == 0
+
+
 def test_tiles_hand_out_every_candidate():
     rng = random.Random(13)
     own = words(rng, 300)
