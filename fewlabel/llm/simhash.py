@@ -136,7 +136,8 @@ WORDS = 32  # 64-bit words of a wide fingerprint
 CROWD, TILE = 16, 512
 SMALL = 64  # sets of up to so many shingles are compared by their shingles, since their fingerprints say too little
 SAMPLE, COMMON = 20_000, 1_000_000
-LISTED = 64  # of a node's open keys, so that pairs are handed out once
+TILE_SHINGLES = 1_000_000  # of the texts of a tile, about
+LISTED = 64  # of a node's open keys, so that pairs are compared once
 
 
 def bit_counts(rows: np.ndarray) -> np.ndarray:
@@ -237,10 +238,10 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     licence in thousands of texts is a key only of texts with little else. Every link is confirmed on the shingle
     sets, of larger texts where the fingerprints are within ``differing_bits`` with five deviations. Groups of a
     key with up to ``CROWD`` nodes compare all pairs. A larger one compares every node with its first; where that
-    leaves it in several components, its nodes are dealt into tiles and all tiles compared in parallel, each handing out
-    the closest pairs of every two components. These are confirmed, and rounds with more of them follow while two components
-    of a group are apart and have candidates left. So no candidate is lost to a group's size, no task holds more than two tiles,
-    and pairs inside of a component are never written.
+    leaves it in several components, its nodes are dealt into tiles and all tiles compared in parallel: by fingerprints, which
+    nodes may have a link to another component, and then these by their whole sets of 64-bit shingle hashes. A pair of tiles hands out
+    the links that join its components, fewer than it has nodes. So no link is lost to a group's size, no task holds more than two tiles,
+    and no pair that is only a candidate is written.
     Rows with a null id take no part.
     """
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
@@ -279,32 +280,31 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = durable(first.unionByName(_confirmed(near, components(first), rows, width, similarity)), "edges")
     named = components(edges)
 
-    # Crowded groups whose nodes are not all connected yet. A round confirms the closest candidates of every two components in
-    # every pair of tiles; while some had more than it handed out, the next round takes eight times as many of what is still open.
-    groups_of = durable(members.where(F.col("n") > CROWD).select("key", "node", "n"), "crowded")
-    limit, tested = 1, near.select("a", "b")
-    while True:
-        crowded = groups_of.join(named, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
-        split = crowded.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-        open_ = durable(crowded.join(durable(split, "split").select("key"), "key", "left_semi"), "open")
-        if open_.isEmpty():
-            break
-        # A pair that shares several open keys is handed out at the smallest that both nodes list.
-        listed = open_.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("key")), 1, LISTED).alias("listed"))
-        tiles = F.ceil(F.col("n") / TILE).cast("int")
-        own = F.pmod(F.xxhash64("node", "key"), tiles).cast("int")
-        dealt = open_.select("key", "node", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("other"))
-        dealt = dealt.select("key", "node", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-        more = dealt.join(prints.select("node", "size", "print", "hashes").join(listed, "node"), "node").groupBy("key", "i", "j").applyInPandas(
-            _tile(most, similarity, limit), "a long, b long, more boolean")
-        more = durable(more, "more")
-        fresh = durable(more.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "fresh")
-        tested = tested.unionByName(fresh)
-        edges = durable(edges.unionByName(_confirmed(fresh, named, rows, width, similarity)), "edges")
-        named = components(edges)
-        if more.where("more").isEmpty():
-            break
-        limit *= 8
+    # Crowded groups whose nodes are not all connected yet: the fingerprints name the nodes that may still have a link in a pair of
+    # tiles, and only these bring their shingle sets there.
+    crowded = durable(members.where(F.col("n") > CROWD).select("key", "node", "n"), "crowded")
+    crowded = crowded.join(prints.select("node", "size"), "node").join(named, "node", "left").select(
+        "key", "node", "n", "size", F.coalesce("component", "node").alias("component"))
+    split = crowded.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.sum("size").alias("shingles")).where("low < high")
+    open_ = durable(crowded.drop("size").join(durable(split, "split").select("key", "shingles"), "key"), "open")
+    # A pair that shares several open keys is compared at the smallest that both nodes list.
+    listed = durable(open_.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("key")), 1, LISTED).alias("listed")), "listed")
+    tiles = F.ceil(F.greatest(F.col("n") / TILE, F.col("shingles") / TILE_SHINGLES)).cast("int")
+    own = F.pmod(F.xxhash64("node", "key"), tiles).cast("int")
+    dealt = open_.select("key", "node", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("other"))
+    dealt = dealt.select("key", "node", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    doubtful = dealt.join(prints.select("node", "size", "print", "hashes").join(listed, "node"), "node").groupBy("key", "i", "j").applyInPandas(
+        _doubtful(most, similarity), "key long, i int, j int, own int, node long, component long")
+    doubtful = durable(doubtful, "doubtful")
+    asked = rows.join(doubtful.select(F.col("node").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id", "text"])
+
+    def shingled(batches):
+        for batch in batches:
+            yield frame({"node": batch["id"], "hashes": [shingle_hashes(t, width).view(np.int64) for t in batch["text"]]})
+
+    sets = durable(asked.mapInPandas(shingled, "node long, hashes array<bigint>"), "sets")
+    exact = doubtful.join(sets.join(listed, "node"), "node").groupBy("key", "i", "j").applyInPandas(_spanning(similarity), "a long, b long")
+    named = components(edges.unionByName(durable(exact, "exact")))
     found = nodes.select("id").join(named, nodes["id"] == named["node"], "left")
     return found.where(F.col("component").isNull() | (F.col("component") == F.col("id"))).select(F.col("id").alias(id_col))
 
@@ -350,51 +350,89 @@ def jaccard(one: str, two: str, width: int) -> float:
     return shared / (len(a) + len(b) - shared)
 
 
-def _tile(most: int, similarity: float, limit: int = 2 ** 31):
-    """Compares a pair of tiles, of every two components the ``limit`` closest pairs; without ``hashes`` all by their fingerprints."""
+def _tile(most: int, similarity: float):
+    """Compares a pair of tiles by fingerprints, small sets by their ``hashes``."""
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        """Of the pairs of nodes in one pair of tiles that may be links, the ``limit`` closest of every two components, and
-        whether these have more."""
+        """``a, b``: the pairs of nodes of different components in one pair of tiles that may be links."""
         rows = rows.drop_duplicates("node")
         prints = np.stack(rows["print"].to_numpy()).view(np.uint64)
-        nodes, comps, own, size = (rows[c].to_numpy() for c in ("node", "component", "own", "size"))
-        across = rows["i"].iloc[0] != rows["j"].iloc[0]
-        # Where each hash of the small sets occurs, so that shared hashes are counted, not guessed.
+        size = rows["size"].to_numpy()
         known = "hashes" in rows
         sets = [h if h is not None and k <= SMALL / similarity else () for h, k in zip(rows["hashes"], size)] if known else [()] * len(rows)
-        value = np.concatenate([np.asarray(h, dtype=np.int64) for h in sets])
-        holder = np.repeat(np.arange(len(rows)), [len(h) for h in sets])
-        order = np.argsort(value, kind="stable")
-        value, holder = value[order], holder[order]
-        key = rows["key"].iloc[0]
-        before = [{k for k in keys if k < key} for keys in rows["listed"]] if "listed" in rows else [set()] * len(rows)
-        out = [np.empty((0, 5), dtype=np.int64)]
-        for x in range(len(rows)):
-            small, large = np.minimum(size, size[x]), np.maximum(size, size[x])
-            other = (comps != comps[x]) & (nodes > nodes[x]) & (small >= similarity * large - 1e-9)
-            if across:
-                other &= own != own[x]
-            near = np.flatnonzero(other)
+        nodes, here, out = rows["node"].to_numpy(), _compared_here(rows), [np.empty((0, 2), dtype=np.int64)]
+        for x, near, shared in _meetings(rows, sets, similarity):
             apart = np.bitwise_count(prints[near] ^ prints[x]).sum(axis=1, dtype=np.int64)
-            shared = np.zeros(len(rows), dtype=np.int64)
-            if len(sets[x]):
-                lo, hi = np.searchsorted(value, sets[x]), np.searchsorted(value, sets[x], "right")
-                shared = np.bincount(np.concatenate([holder[a:b] for a, b in zip(lo, hi)]), minlength=len(rows))
             alike = shared[near] >= similarity * (size[near] + size[x] - shared[near]) - 1e-9
-            likely = np.where((small[near] <= SMALL) & known, alike, apart <= most)
-            likely[likely] = [before[x].isdisjoint(before[y]) for y in near[likely]]
-            near, apart = near[likely], apart[likely]
-            low, high = np.minimum(comps[near], comps[x]), np.maximum(comps[near], comps[x])
-            out.append(np.stack([low, high, apart, np.full(len(near), nodes[x]), nodes[near]], axis=1))
+            near = near[np.where((np.minimum(size[near], size[x]) <= SMALL) & known, alike, apart <= most)]
+            near = near[here(x, near)]
+            out.append(np.stack([np.full(len(near), nodes[x]), nodes[near]], axis=1))
         pairs = np.concatenate(out)
-        pairs = pairs[np.lexsort(pairs.T[::-1])]
-        starts = np.flatnonzero(np.r_[True, (pairs[1:, :2] != pairs[:-1, :2]).any(axis=1)]) if len(pairs) else np.empty(0, dtype=np.int64)
-        sizes = np.diff(np.r_[starts, len(pairs)])
-        kept = np.arange(len(pairs)) - np.repeat(starts, sizes) < limit
-        return pd.DataFrame({"a": pairs[kept, 3], "b": pairs[kept, 4], "more": np.repeat(sizes > limit, sizes)[kept]})
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
     return compare
 
 
+def _meetings(rows: pd.DataFrame, sets: list, similarity: float):
+    """``x, near, shared`` for every row ``x`` of a pair of tiles: the rows it is compared with there, of larger nodes, other components and
+    a size that allows the similarity, and the number of hashes it shares with each row of the pair."""
+    nodes, comps, own, size = (rows[c].to_numpy() for c in ("node", "component", "own", "size"))
+    across = rows["i"].iloc[0] != rows["j"].iloc[0]
+    # Where each hash occurs, so that shared hashes are counted.
+    value = np.concatenate([np.asarray(h, dtype=np.int64) for h in sets])
+    holder = np.repeat(np.arange(len(rows)), [len(h) for h in sets])
+    order = np.argsort(value, kind="stable")
+    value, holder = value[order], holder[order]
+    for x in range(len(rows)):
+        small, large = np.minimum(size, size[x]), np.maximum(size, size[x])
+        other = (comps != comps[x]) & (nodes > nodes[x]) & (small >= similarity * large - 1e-9)
+        if across:
+            other &= own != own[x]
+        near = np.flatnonzero(other)
+        if not len(near):
+            continue
+        shared = np.zeros(len(rows), dtype=np.int64)
+        if len(sets[x]):
+            lo, hi = np.searchsorted(value, sets[x]), np.searchsorted(value, sets[x], "right")
+            n = hi - lo
+            shared = np.bincount(holder[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(rows))
+        yield x, near, shared
+
+
+def _compared_here(rows: pd.DataFrame):
+    """Of a row and others, with which it shares no smaller key that both list; with those it does, it is compared there."""
+    key = rows["key"].iloc[0]
+    before = [frozenset(k for k in keys if k < key) for keys in rows["listed"]] if "listed" in rows else [frozenset()] * len(rows)
+    return lambda x, others: np.fromiter((before[x].isdisjoint(before[y]) for y in others), dtype=bool, count=len(others))
+
+
+def _doubtful(most: int, similarity: float):
+    """Hands out the rows of a pair of tiles whose nodes may have a link to another component there."""
+    tile = _tile(most, similarity)
+
+    def doubt(rows: pd.DataFrame) -> pd.DataFrame:
+        pairs = tile(rows)
+        found = rows[rows["node"].isin(np.unique(pairs.to_numpy()))].drop_duplicates("node")
+        return found[["key", "i", "j", "own", "node", "component"]]
+    return doubt
+
+
+def _spanning(similarity: float):
+    """Compares a pair of tiles by whole sets of hashes and hands out links that join all components that its links join."""
+    def span(rows: pd.DataFrame) -> pd.DataFrame:
+        sets = [np.asarray(h, dtype=np.int64) for h in rows["hashes"]]
+        rows = rows.assign(size=[len(h) for h in sets])
+        nodes, size = rows["node"].to_numpy(), rows["size"].to_numpy()
+        group = np.unique(rows["component"].to_numpy(), return_inverse=True)[1]
+        here, out = _compared_here(rows), []
+        for x, near, shared in _meetings(rows, sets, similarity):
+            near = near[(shared[near] / (size[near] + size[x] - shared[near]) >= similarity) & (group[near] != group[x])]
+            for y in near[here(x, near)]:
+                if group[x] != group[y]:
+                    out.append((nodes[x], nodes[y]))
+                    group[group == group[y]] = group[x]
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+    return span
+
+
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
                          similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that ``representatives`` names, all columns as they are; of rows that share an id one stays.

@@ -155,6 +155,31 @@ def test_tiles_hand_out_every_candidate():
     assert len(want) > 1 and want <= got
 
 
+def test_crowded_groups_write_links_not_candidates(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CROWD", 2)
+    monkeypatch.setattr(simhash, "TILE", 16)
+    monkeypatch.setattr(simhash, "TILE_SHINGLES", 2000)
+    rng = random.Random(16)
+    base, texts = words(rng, 200), []
+    for k in range(60):  # pairs on both sides of the limit, most of them below
+        own = list(base)
+        for at in rng.sample(range(200), 2 if k % 3 == 2 else 3):
+            own[at] = words(rng, 1)[0]
+        texts.append(" ".join(own))
+    pairs = [(i, j) for i in range(60) for j in range(i) if simhash.jaccard(texts[i], texts[j], 5) >= 0.8]
+    assert 0 < len(pairs) < 600
+    made, real = {}, simhash.durable
+
+    def counted(df, name="step"):
+        out = real(df, name)
+        made.setdefault(name, []).append(out.count())
+        return out
+    monkeypatch.setattr(simhash, "durable", counted)
+    got = {r["doc_id"] for r in simhash.representatives(docs(spark, texts)).collect()}
+    assert got == {i for i, r in roots(range(60), pairs).items() if i == r}
+    assert 0 < made["doubtful"][0] and made["exact"][0] < made["doubtful"][0] and "fresh" not in made
+
+
 def test_odd_copies(odd, empty):
     kept = simhash.keep_representatives(odd)
     assert kept.columns == odd.columns
