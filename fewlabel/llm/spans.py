@@ -4,6 +4,7 @@ the sentences of later occurrences."""
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 import xxhash
@@ -13,67 +14,77 @@ from pyspark.sql import functions as F
 from fewlabel.llm.common import frame, text_of
 from fewlabel.session import durable
 
-BREAK = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
+# White space after a stop or with a line feed, as a whole; that every match begins with white space lets the search skip the rest.
+BREAK = re.compile(r"\s(?:(?<=[.!?]\s)\s*|(?<=\n)\s*|[^\S\n]*\n\s*)")
 RUN_WORDS, PASSAGE_WORDS = 25, 50
+KEPT_WORDS = 200_000
 BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
+_KNOWN: dict[int, np.ndarray] = {}
 
 
 def sentences(text: str) -> list[tuple[int, int, int]]:
     """``(start, end, next)``: a sentence ends at a stop before white space or at a line's end; ``next`` is where the
     following one starts. Pieces without a word are left out."""
-    out, at = [], 0
-    for m in BREAK.finditer(text):
-        if text[at:m.start()].strip():
-            out.append((at, m.start(), m.end()))
-        at = m.end()
-    if text[at:].strip():
-        out.append((at, len(text), len(text)))
-    return out
+    breaks = [m.span() for m in BREAK.finditer(text)]
+    out = list(zip([0, *(b for _, b in breaks)], [*(a for a, _ in breaks), len(text)], [*(b for _, b in breaks), len(text)]))
+    if out and not text[out[-1][0]:].strip():
+        out.pop()
+    return out[1:] if out and not text[:out[0][1]].strip() else out
 
 
-def runs(text: str, pieces: list[tuple[int, int, int]], least: int) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """Runs ``(first, last + 1)`` of consecutive sentences with their 64-bit hashes.
+def sentence_words(text: str) -> list[list[str]]:
+    """The words of every sentence in lower case. Between two breaks there is always a word."""
+    lines = [line.split() for line in BREAK.sub("\n", text).lower().split("\n")]
+    return [words for words in lines if words]
+
+
+class _Codes(dict):
+    """A word's 64-bit hash as eight bytes; up to ``KEPT_WORDS`` words are kept, so that a frequent one is hashed once."""
+
+    def __missing__(self, word: str) -> bytes:
+        code = xxhash.xxh3_64_digest(word.encode("utf-8", "surrogatepass"))
+        if len(self) >= KEPT_WORDS:
+            self.clear()
+        self[word] = code
+        return code
+
+
+_CODES = _Codes()
+
+
+def word_codes(said: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word of the sentences, and the number of the first word of every sentence, then of all."""
+    raw = b"".join(map(_CODES.__getitem__, chain.from_iterable(said)))
+    return np.frombuffer(raw, dtype=">u8").astype(np.uint64), np.cumsum([0, *map(len, said)])
+
+
+def runs(codes: np.ndarray, starts: np.ndarray, least: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Runs ``(first, last + 1)`` of consecutive sentences, given as by ``word_codes``, with their 64-bit hashes.
 
     From every sentence the shortest run forward and the shortest run backward that have ``least`` words, so any
     repeated passage of whole sentences with so many words is covered from its first to its last sentence. A sentence
     of ``least`` words is a run of its own. Letter case and the amount of white space do not count.
     """
-    digests, counts = [], []
-    for start, end, _ in pieces:
-        words = text[start:end].lower().split()
-        counts.append(len(words))
-        digests.append(xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass")))
-    found: dict[tuple[int, int], None] = {}
-    total, j, n = 0, 0, len(pieces)
-    for i in range(n):
-        while j < n and total < least:
-            total += counts[j]
-            j += 1
-        if total >= least:
-            found[i, j] = None
-        total -= counts[i]
-    total, i = 0, n - 1
-    for j in range(n - 1, -1, -1):
-        while i >= 0 and total < least:
-            total += counts[i]
-            i -= 1
-        if total >= least:
-            found[i + 1, j + 1] = None
-        total -= counts[j]
-    spans = list(found)
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(b"".join(digests[a:b])) for a, b in spans), dtype=np.uint64, count=len(spans))
-    return spans, hashes.view(np.int64)
-
-
-def word_codes(text: str, pieces: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of every word of the sentences, and the number of the first word of every sentence, then of all."""
-    words, starts = [], [0]
-    for start, end, _ in pieces:
-        words += text[start:end].lower().split()
-        starts.append(len(words))
-    # A text's words are encoded at once: no word holds a line feed.
-    raw = "\n".join(words).encode("utf-8", "surrogatepass").split(b"\n") if words else []
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, raw), dtype=np.uint64, count=len(raw)), np.array(starts, dtype=np.int64)
+    n = len(starts) - 1
+    first = np.arange(n)
+    last = np.searchsorted(starts, starts[:-1] + least)
+    ends = np.searchsorted(starts, starts[1:] - least, "right") - 1
+    a, b = np.divmod(np.unique(np.concatenate([(first * (n + 1) + last)[last <= n], (ends * (n + 1) + first + 1)[ends >= 0]])), n + 1)
+    # A zero stands after every sentence.
+    raw, place = np.insert(codes, starts[1:], 0).tobytes(), 8 * (starts + np.arange(n + 1))
+    whole = xxhash.xxh3_64_intdigest
+    hashes = np.array([whole(raw[x:y]) for x, y in zip(place[a].tolist(), place[b].tolist())], dtype=np.uint64)
+    return list(zip(a.tolist(), b.tolist())), hashes.view(np.int64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers of ``base`` from one up; those for texts of up to 2 ** 16 words are kept."""
+    if n > 1 << 16:
+        return np.cumprod(np.full(n, base, dtype=np.uint64))
+    if base not in _KNOWN:
+        _KNOWN[base] = np.cumprod(np.full(1 << 16, base, dtype=np.uint64))
+    return _KNOWN[base][:n]
 
 
 def stretches(codes: np.ndarray, width: int) -> np.ndarray:
@@ -81,8 +92,7 @@ def stretches(codes: np.ndarray, width: int) -> np.ndarray:
     n = len(codes) - width + 1
     if n <= 0:
         return np.empty(0, dtype=np.uint64)
-    up = np.cumprod(np.full(len(codes), BASE, dtype=np.uint64))
-    down = np.cumprod(np.full(n, pow(BASE, -1, 1 << 64), dtype=np.uint64))
+    up, down = _powers(BASE, len(codes)), _powers(INVERSE, n)
     sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(codes * up, dtype=np.uint64)])
     mixed = (sums[width:] - sums[:-width]) * down
     mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -97,7 +107,13 @@ def anchors(codes: np.ndarray, run_words: int, passage_words: int) -> np.ndarray
     around = passage_words - width + 1
     if len(grams) < around:
         return np.empty(0, dtype=np.int64)
-    return np.lib.stride_tricks.sliding_window_view(grams, around).min(axis=1).view(np.int64)
+    # The smallest of ever wider windows, then of two that overlap.
+    least, wide = grams, 1
+    while 2 * wide <= around:
+        least, wide = np.minimum(least[:-wide], least[wide:]), 2 * wide
+    if wide < around:
+        least = np.minimum(least[:wide - around], least[around - wide:])
+    return least.view(np.int64)
 
 
 def _whole(at: np.ndarray, starts: np.ndarray, words: int) -> np.ndarray:
@@ -109,9 +125,9 @@ def _whole(at: np.ndarray, starts: np.ndarray, words: int) -> np.ndarray:
     return bare[starts[1:]] == bare[starts[:-1]]
 
 
-def _by_runs(pieces: list[tuple[int, int, int]], spans: list[tuple[int, int]], hashes: np.ndarray, bad: set[int]) -> np.ndarray:
-    """The sentences that a run covers whose hash is in ``bad`` or came before in the text."""
-    marks, seen = np.zeros(len(pieces) + 1, dtype=np.int64), set()
+def _by_runs(n: int, spans: list[tuple[int, int]], hashes: np.ndarray, bad: set[int]) -> np.ndarray:
+    """Which of ``n`` sentences a run covers whose hash is in ``bad`` or came before in the text."""
+    marks, seen = np.zeros(n + 1, dtype=np.int64), set()
     for (first, last), h in sorted(zip(spans, hashes.tolist())):
         if h in bad or h in seen:
             marks[first] += 1
@@ -120,23 +136,27 @@ def _by_runs(pieces: list[tuple[int, int, int]], spans: list[tuple[int, int]], h
     return np.cumsum(marks[:-1]) > 0
 
 
-def again(codes: np.ndarray, width: int) -> np.ndarray:
-    """Which stretches of ``width`` words came before in the text."""
-    own = stretches(codes, width)
-    late = np.ones(len(own), dtype=bool)
-    late[np.unique(own, return_index=True)[1]] = False
+def again(own: np.ndarray) -> np.ndarray:
+    """Which of a text's stretches came before in it."""
+    late = np.zeros(len(own), dtype=bool)
+    if len(set(own.tolist())) < len(own):
+        late[:] = True
+        late[np.unique(own, return_index=True)[1]] = False
     return late
 
 
 def undecided(text: str, bad, run_words: int = RUN_WORDS, passage_words: int = PASSAGE_WORDS) -> np.ndarray:
     """The anchors in ``bad`` whose stretches of words may cover a whole sentence that repeated runs do not remove."""
-    pieces = sentences(text)
-    codes, starts = word_codes(text, pieces)
+    said = sentence_words(text)
+    codes, starts = word_codes(said)
     own = anchors(codes, run_words, passage_words)
     at = np.flatnonzero(np.isin(own, np.fromiter(bad, dtype=np.int64, count=len(bad))))
     if not len(at):
         return own[:0]
-    open_ = _whole(at, starts, passage_words) & ~_by_runs(pieces, *runs(text, pieces, run_words), set(bad))
+    open_ = _whole(at, starts, passage_words)
+    if not open_.any():
+        return own[:0]
+    open_ &= ~_by_runs(len(said), *runs(codes, starts, run_words), set(bad))
     before = np.concatenate([[0], np.cumsum(np.repeat(open_, np.diff(starts)))])
     return np.unique(own[at[before[at + passage_words] > before[at]]])
 
@@ -148,12 +168,13 @@ def removed(text: str, bad, run_words: int = RUN_WORDS, passage_words: int = PAS
     lies whole in stretches of ``passage_words`` words whose hash is in ``words_bad`` or came before in this text, wherever
     in a sentence these begin and end.
     """
-    pieces = sentences(text)
-    gone = _by_runs(pieces, *runs(text, pieces, run_words), set(bad))
-    codes, starts = word_codes(text, pieces)
-    late = again(codes, passage_words)
+    pieces, said = sentences(text), sentence_words(text)
+    codes, starts = word_codes(said)
+    gone = _by_runs(len(said), *runs(codes, starts, run_words), set(bad))
+    own = stretches(codes, passage_words)
+    late = again(own)
     if len(words_bad):
-        late |= np.isin(stretches(codes, passage_words).view(np.int64), np.asarray(words_bad, dtype=np.int64))
+        late |= np.isin(own.view(np.int64), np.asarray(words_bad, dtype=np.int64))
     if late.any():
         gone |= _whole(np.flatnonzero(late), starts, passage_words)
     out, i = [], 0
@@ -192,11 +213,10 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             out, inner = [], []
             for text in batch[text_col]:
-                pieces = sentences(text)
-                _, hashes = runs(text, pieces, run_words)
-                codes, _ = word_codes(text, pieces)
+                codes, starts = word_codes(sentence_words(text))
+                _, hashes = runs(codes, starts, run_words)
                 own = np.unique(hashes)
-                inner.append(len(own) < len(hashes) or again(codes, passage_words).any())
+                inner.append(len(own) < len(hashes) or again(stretches(codes, passage_words)).any())
                 out.append(np.unique(np.concatenate([own, anchors(codes, run_words, passage_words)])))
             yield frame({id_col: batch[id_col], "inner": np.array(inner, dtype=bool), "h": out})
 
@@ -209,7 +229,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             out = []
             for text, asked in zip(batch[text_col], batch["_asked"]):
-                codes, _ = word_codes(text, sentences(text))
+                codes, _ = word_codes(sentence_words(text))
                 at = np.isin(anchors(codes, run_words, passage_words), asked)
                 out.append(np.unique(stretches(codes, passage_words).view(np.int64)[at]))
             yield frame({id_col: batch[id_col], "h": out})
@@ -236,7 +256,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             texts, counts, parts = [], [], []
             for text, bad, far, inner in zip(batch[text_col], batch["_bad"], batch["_words"], batch["_inner"]):
                 if bad is None and far is None and inner is not True:
-                    n, gone = len(sentences(text)), []
+                    n, gone = sum(1 for part in BREAK.split(text) if part and not part.isspace()), []
                 else:
                     n, gone = removed(text, () if bad is None else bad.tolist(), run_words, passage_words, () if far is None else far)
                 edges = [0, *(x for part in gone for x in part), len(text)]

@@ -334,3 +334,18 @@ def test_odd_repeats(odd, empty):
     rows = spans.drop_repeats(odd).collect()
     assert len(rows) == odd.count() and spans.drop_repeats(empty).count() == 0
     assert all(not r["removed"] for r in rows if r["doc_id"] != 8)
+
+
+def test_words_are_hashed_once_and_breaks_are_whole_white_space(monkeypatch):
+    rng = random.Random(17)
+    plain = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
+    for _ in range(3000):
+        text = "".join(rng.choice("ab. !?\n\t\r\x1c\x85 　Σİ ") for _ in range(rng.randint(0, 40)))
+        assert [m.span() for m in spans.BREAK.finditer(text)] == [m.span() for m in plain.finditer(text)], text
+        cut = [text[a:b].lower().split() for a, b, _ in spans.sentences(text)]
+        assert spans.sentence_words(text) == cut == [p.lower().split() for p in plain.split(text) if p.strip()], text
+    hashed, real = [], spans.xxhash.xxh3_64_digest
+    monkeypatch.setattr(spans.xxhash, "xxh3_64_digest", lambda w: hashed.append(w) or real(w))
+    spans._CODES.clear()
+    codes, starts = spans.word_codes([["a", "b", "a"], ["a"]] * 50)
+    assert len(hashed) == 2 and len(set(codes.tolist())) == 2 and starts[-1] == len(codes) == 200
