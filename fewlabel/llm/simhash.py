@@ -135,7 +135,8 @@ def hex_text(fingerprint: Column) -> Column:
 WORDS = 32  # 64-bit words of a wide fingerprint
 CROWD, TILE = 16, 512
 SMALL = 64  # sets of up to so many shingles are compared by their shingles, since their fingerprints say too little
-SAMPLE, COMMON = 20_000, 1_000_000
+SLOTS = 1 << 22  # counters of shingles at most, 16 MB
+SLOTS_A_ROW = 1024  # counters that travel together
 TILE_SHINGLES = 1_000_000  # of the texts of a tile, about
 LISTED = 64  # of a node's open keys, so that pairs are compared once
 
@@ -186,19 +187,23 @@ def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
     return np.packbits((2 * ones > n).astype(np.uint8), bitorder="little").view("<i8")
 
 
-def prefix_keys(hashes: np.ndarray, similarity: float, common: np.ndarray | None = None) -> np.ndarray:
+def prefix_keys(hashes: np.ndarray, similarity: float, counts: np.ndarray | None = None) -> np.ndarray:
     """Keys of a set: the first of its hashes, so many that two sets of this similarity share one for certain.
 
-    The order is the same for all sets: ascending, but the hashes in ``common`` (ascending) come last.
+    The order is the same for all sets: by the counts (``shingle_counts``), rare shingles first, then ascending.
     """
     n = len(hashes)
     kept = n - math.ceil(similarity * n - 1e-9) + 1
-    if common is not None and len(common):
-        late = common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] == hashes
-        hashes = np.concatenate([hashes[~late], hashes[late]])
+    if counts is not None:
+        hashes = hashes[np.argsort(counts[_slot(hashes, len(counts))], kind="stable")]
     return hashes[:kept].view(np.int64)
 
 
+def _slot(hashes: np.ndarray, slots: int) -> np.ndarray:
+    """The counter of each hash: its highest bits. ``slots`` is a power of two."""
+    return (hashes >> np.uint64(65 - slots.bit_length())).astype(np.int64)
+
+
 def differing_bits(similarity: float, deviations: float = 1.5) -> int:
     """Bits that wide fingerprints of two texts with this Jaccard similarity differ in at most, up to the given deviations.
 
@@ -210,23 +215,37 @@ def differing_bits(similarity: float, deviations: float = 1.5) -> int:
     return int(bits * share + deviations * (bits * share * (1 - share)) ** 0.5)
 
 
-def common_shingles(rows: DataFrame, width: int) -> np.ndarray:
-    """The hashes, ascending, that three or more of a part of the texts have: of an eighth, and at least of about ``SAMPLE``
-    (all, if there are fewer), by the hash of the id; ``COMMON`` of them at most, the most frequent.
+def shingle_counts(rows: DataFrame, width: int) -> np.ndarray:
+    """How many of all texts have a shingle, for every shingle of every text; shingles whose hashes share their highest bits
+    share a counter. There is a counter for eight characters, ``SLOTS`` of them at most.
 
-    They only set the order in which shingles become keys, not which texts are compared.
+    The counts only set the order in which shingles become keys, not which texts are compared. No shingle is shuffled:
+    tasks, four per core at most, hand out their counters, which are summed row by row.
     """
-    share = max(1 / 8, SAMPLE / max(1, rows.count()))
-    part = rows.where(F.pmod(F.xxhash64("id", F.lit("common")), F.lit(1000)) < min(1000, math.ceil(1000 * share))).select("text")
+    letters = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    slots = min(SLOTS, max(SLOTS_A_ROW, 1 << (letters // 8).bit_length()))
 
-    def run(batches):
+    def count(batches):
+        counts = np.zeros(slots, dtype=np.int32)
         for batch in batches:
-            sets = [shingle_hashes(t, width) for t in batch["text"]]
-            yield frame({"h": np.concatenate(sets).view(np.int64)})
+            for text in batch["text"]:
+                np.add.at(counts, _slot(shingle_hashes(text, width), slots), 1)
+        yield frame({"at": np.arange(slots // SLOTS_A_ROW), "counts": [*counts.reshape(-1, SLOTS_A_ROW)]})
+
+    def total(batches):
+        sums: dict = {}
+        for batch in batches:
+            for at, counts in zip(batch["at"], batch["counts"]):
+                sums[at] = sums[at] + counts if at in sums else np.array(counts)
+        yield frame({"at": np.array([*sums], dtype=np.int64), "counts": [*sums.values()]})
 
-    often = part.mapInPandas(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2")
-    found = often.orderBy(F.desc("n"), "h").limit(COMMON).select("h").toPandas()["h"].to_numpy(dtype=np.int64)
-    return np.sort(found.view(np.uint64))
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    parts = rows.select("text").coalesce(4 * cores).mapInPandas(count, "at long, counts array<int>")
+    found = parts.repartition(cores, "at").mapInPandas(total, "at long, counts array<int>").toPandas()
+    out = np.zeros((slots // SLOTS_A_ROW, SLOTS_A_ROW), dtype=np.int32)
+    for at, counts in zip(found["at"], found["counts"]):
+        out[at] = counts
+    return out.ravel()
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
@@ -234,8 +253,8 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``id_col``: the smallest id of every group of texts linked by a shingle similarity of ``similarity`` or more.
 
     Equal shingle sets are one node. Nodes are candidates if they share one of their first shingle hashes (``prefix_keys``),
-    which pairs of the similarity do for certain. Shingles that many texts have come last in that order, so that a line or a
-    licence in thousands of texts is a key only of texts with little else. Every link is confirmed on the shingle
+    which pairs of the similarity do for certain. Shingles that many texts have come last in that order (``shingle_counts``), so that
+    a line or a licence in thousands of texts is a key only of texts with little else. Every link is confirmed on the shingle
     sets, of larger texts where the fingerprints are within ``differing_bits`` with five deviations. Groups of a
     key with up to ``CROWD`` nodes compare all pairs. A larger one compares every node with its first; where that
     leaves it in several components, its nodes are dealt into tiles and all tiles compared in parallel: by fingerprints, which
@@ -246,12 +265,12 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
 
-    last = docs.sparkSession.sparkContext.broadcast(common_shingles(rows, width))
+    counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(rows, width))
 
     def run(batches):
         for batch in batches:
             sets = [shingle_hashes(t, width) for t in batch["text"]]
-            yield frame({"id": batch["id"], "keys": [prefix_keys(h, similarity, last.value) for h in sets], "digest": [xxhash.xxh3_128_digest(h.tobytes()) for h in sets],
+            yield frame({"id": batch["id"], "keys": [prefix_keys(h, similarity, counts.value) for h in sets], "digest": [xxhash.xxh3_128_digest(h.tobytes()) for h in sets],
                          "size": np.array([len(h) for h in sets], dtype=np.int64), "print": [wide_fingerprint(h) for h in sets],
                          "hashes": [h.view(np.int64) if len(h) <= SMALL / similarity else None for h in sets]})
 

@@ -143,6 +143,17 @@ def test_a_common_line_is_no_key_of_texts_with_more(spark, monkeypatch):
     assert rows["crowded"] == 0 and rows["near"] == 0
 
 
+def test_shingles_of_all_texts_are_counted(spark):
+    rows = spark.createDataFrame([(i, f"a b c d {i // 3} e" if i else "") for i in range(24_000)], "id long, text string").repartition(5)
+    counts = simhash.shingle_counts(rows, 5)
+    hashes = np.concatenate([simhash.shingle_hashes(f"a b c d {i // 3} e" if i else "", 5) for i in range(24_000)])
+    shift = np.uint64(64 - int(np.log2(len(counts))))
+    assert len(hashes) == 47_998 and (counts == np.bincount((hashes >> shift).astype(np.int64), minlength=len(counts))).all()
+    rare, often = simhash.shingle_hashes("a b c d 7 e f", 5)[[0, 2]], simhash.shingle_hashes("a b c d 7", 5)
+    both = np.unique(np.concatenate([rare, often]))
+    assert set(often.view(np.int64)).isdisjoint(simhash.prefix_keys(both, 0.9, np.where(np.arange(len(counts)) == int(often[0] >> shift), 9, 0)))
+
+
 def test_tiles_hand_out_every_candidate():
     rng = random.Random(13)
     own = words(rng, 300)
