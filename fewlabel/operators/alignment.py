@@ -7,11 +7,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fewlabel.functions.vectors import cosine, unit
-from fewlabel.operators.knn import knn_join
+from fewlabel.operators.knn import knn_fold
 from fewlabel.session import durable
 
 BLOCK = 4096
@@ -70,15 +72,29 @@ def crosslingual_retrieval(queries: DataFrame, pool: DataFrame, lang: str, depth
     """Mean share of hits in other languages whose id is also hit in ``lang``, for each depth.
 
     pool: ``vec_id, sent_id, language, embedding``. One ranking serves all depths: a hit counts from the
-    depth at which both it and its counterpart are in.
+    depth at which both it and its counterpart are in. Hits are counted in the tasks that rank them.
     """
-    hits = durable(knn_join(queries, pool, max(depths) + offset, metric=metric, carry=["sent_id", "language"])
-                   .where(F.col("rank") > offset), "hits")
-    home = (hits.where(F.col("language") == lang)
-            .groupBy("query_id", "sent_id").agg(F.min("rank").alias("home_rank")))
-    away = hits.where(F.col("language") != lang).join(home, ["query_id", "sent_id"])
-    depth = F.greatest("rank", "home_rank") - offset
-    found = away.agg(F.struct(*[F.count(F.when(depth <= k, 1)).alias(f"k{k}") for k in depths]).alias("f"))
+    pool = pool.select("vec_id", "sent_id", (F.col("language") == lang).alias("at_home"), "embedding")
+
+    def count(carried, hits):
+        sent = pc.fill_null(carried["sent_id"].combine_chunks().dictionary_encode().indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        home, away = (pc.fill_null(pc.equal(carried["at_home"], side), False).to_numpy() for side in (True, False))
+        found = np.zeros(len(depths), dtype=np.int64)
+        for group, rank, place in hits:
+            known = (rank > offset) & (sent[place] >= 0)
+            rank, place, pair = rank[known], place[known], group[known] * (sent.max() + 1) + sent[place[known]]
+            at_home, other = home[place], away[place]
+            pairs, first = np.unique(pair[at_home], return_index=True)  # hits come by rank, so the first is the closest
+            if not len(pairs):
+                continue
+            at = np.minimum(np.searchsorted(pairs, pair[other]), len(pairs) - 1)
+            both = pairs[at] == pair[other]
+            depth = np.maximum(rank[other][both], rank[at_home][first[at[both]]]) - offset
+            found += np.searchsorted(np.sort(depth), depths, side="right")
+        yield pa.RecordBatch.from_arrays([pa.array([found])], names=["found"])
+
+    parts = knn_fold(queries, pool, max(depths) + offset, count, "found array<bigint>", metric=metric, carry=["sent_id", "at_home"])
+    found = parts.agg(F.struct(*[F.coalesce(F.sum(F.col("found")[i]), F.lit(0)).alias(f"k{k}") for i, k in enumerate(depths)]).alias("f"))
     n = queries.agg(F.count(F.lit(1)).alias("n"))
     rows = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"f.k{k}").alias("found")) for k in depths])
     return (found.select(F.inline(rows)).withColumn("_n", n.scalar())

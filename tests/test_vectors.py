@@ -253,6 +253,37 @@ def test_alignment_over_several_blocks(spark, monkeypatch):
     assert abs(row.alignment - (np.mean(np.diag(s)) - np.mean(np.tril(s)))) < 1e-9
 
 
+def test_crosslingual_counts_where_it_ranks(spark, monkeypatch):
+    """Repeated and null ids, ties and other languages against every pair; no hit is written."""
+    for name, value in (("BLOCK_HITS", 200), ("SLICE_PAIRS", 60), ("PIECE_CELLS", 250)):
+        monkeypatch.setattr(knn, name, value)
+    rows, real = {}, knn.durable
+
+    def counted(df, name="step"):
+        rows[name] = df.count()
+        return real(df, name)
+    monkeypatch.setattr(knn, "durable", counted)
+    monkeypatch.setattr(alignment, "durable", counted)
+    rng = np.random.default_rng(9)
+    vecs = rng.integers(-2, 3, size=(120, 3)).astype(float)
+    pool = [(i, None if i % 17 == 0 else f"s{i % 40}", [None, "xa", "xb", "xc", "xa", "xb"][i % 6], vecs[i].tolist() if i % 19 else None) for i in range(120)]
+    queries = [(None if i % 13 == 0 else i // 2, rng.integers(-2, 3, size=3).astype(float).tolist() if i % 11 else None) for i in range(50)]
+    out = alignment.crosslingual_retrieval(
+        spark.createDataFrame(queries, "query_id long, query_vec array<float>"),
+        spark.createDataFrame(pool, "vec_id long, sent_id string, language string, embedding array<float>").repartition(4), "xa", [1, 5, 20, 60], offset=3)
+    found = dict.fromkeys([1, 5, 20, 60], 0)
+    for q in {q for q, v in queries if q is not None and v}:
+        pairs = [(sum((a - b) ** 2 for a, b in zip(v, p[3])), p[0], p) for i, v in queries if i == q and v for p in pool if p[3]]
+        hits = [(rank, p) for rank, (_, _, p) in enumerate(sorted(pairs, key=lambda x: x[:2])[:63], 1) if rank > 3]
+        for rank, (_, sent, lang, _) in hits:
+            home = [r for r, p in hits if p[1] == sent and p[2] == "xa"] if sent and lang not in (None, "xa") else []
+            for k in found:
+                found[k] += bool(home) and max(rank, home[0]) - 3 <= k
+    assert found[60] > found[5] > 0
+    assert {r.k: r.share for r in out.collect()} == {k: round(n / (50 * k), 3) for k, n in found.items()}
+    assert sum(rows.values()) <= 50
+
+
 def peak_of(q, p, k, codes=None):
     """Hits of all queries over two batches of the pool, as (query, row) sets, and the peak of memory in MB."""
     import tracemalloc
